@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import url_filter
+from textloom.llm import png_media, quality_rules, url_filter
+from textloom.session import materialize
 from textloom.sources.tables import table
 
 
@@ -16,15 +18,28 @@ def url_model() -> url_filter.UrlModel:
     return url_filter.train(url_filter.labelled_urls())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures, base rule and verdict of every document; hosts are the sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    judged = materialize(quality_rules.with_figures(docs).drop("text"), "quality")
+    return quality_rules.judge(judged).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, else by the n-gram model."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_model()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a PNG in a Parquet table, read back, checked and hashed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    return png_media.read(materialize(png_media.store(docs, "payload"), "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_url_filter": op8_url_filter}
+    return {f.__name__: f for f in (op3_quality_rules, op8_url_filter, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle(url_model())}
+    return {"op3_quality_rules": quality_rules.oracle(), "op8_url_filter": url_filter.oracle(url_model())}

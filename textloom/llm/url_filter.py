@@ -66,7 +66,9 @@ def labelled_urls() -> list[tuple[str, int]]:
         for i, host in enumerate(hosts):
             for prefix in ("", "www.", "blog.", "m."):
                 out.append((f"http://{prefix}{host}{PATHS[i % len(PATHS)]}", label))
-            out.append((f"https://{host}{PATHS[(i + 3) % len(PATHS)]}", label))
+            name = host.rpartition(".")[0].replace(".", "-")
+            for k, zone in enumerate(("example.com", "example.net", "example.org")):
+                out.append((f"https://{('', 'www.', 'blog.', 'm.')[(i + k) % 4]}{name}.{zone}{PATHS[(i + 3) % len(PATHS)]}", label))
     return out
 
 
@@ -106,7 +108,7 @@ def buckets(url: str | None) -> list[int]:
     return out
 
 
-def train(rows: Iterable[tuple[str, int]], epochs: int = 40, rate: float = 4.0, l2: float = 1e-6) -> UrlModel:
+def train(rows: Iterable[tuple[str, int]], epochs: int = 25, rate: float = 120.0, l2: float = 1e-6) -> UrlModel:
     """Logistic regression by stochastic gradient steps in a fixed order; bucket shares are the features."""
     data = [(Counter(buckets(url)), label) for url, label in rows]
     order = sorted(range(len(data)), key=lambda i: hashlib.md5(str(i).encode()).digest())
