@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import png_media, quality_rules, url_filter
+from textloom.llm import ngram_join, png_media, quality_rules, url_filter
 from textloom.session import materialize
 from textloom.sources.tables import table
 
@@ -18,6 +18,11 @@ def url_model() -> url_filter.UrlModel:
     return url_filter.train(url_filter.labelled_urls())
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 3-word shingle sets with a Jaccard similarity of 0.9."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(n=3, num=90, den=100))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures, base rule and verdict of every document; hosts are the sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -38,7 +43,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op8_url_filter, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op8_url_filter, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:
