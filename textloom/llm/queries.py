@@ -8,8 +8,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ngram_join, png_media, quality_rules, url_filter
-from textloom.session import materialize
+from textloom.llm import ngram_join, packing, png_media, quality_rules, token_store, url_filter
+from textloom.session import materialize, new_dir
 from textloom.sources.tables import table
 
 
@@ -23,6 +23,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(n=3, num=90, den=100))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to a token store and read back from its files."""
+    folder = new_dir(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_store.read(spark, folder)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures, base rule and verdict of every document; hosts are the sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -30,6 +37,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(judged).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, else by the n-gram model."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -43,7 +55,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op8_url_filter, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op7_best_fit_packing, op8_url_filter, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:
