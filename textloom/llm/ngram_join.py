@@ -42,7 +42,7 @@ from textloom.llm.wordhash import Words, combine, mix, words
 from textloom.session import materialize, ship
 
 #: Buckets of the count table: about one for COUNTS_PER_BUCKET n-grams, within these powers of two.
-COUNTS_PER_BUCKET, MIN_BITS, MAX_BITS = 32, 16, 26
+COUNTS_PER_BUCKET, MIN_BITS, MAX_BITS = 32, 16, 24
 SLICES = 64
 #: N-grams counted 2**HOT_LEVEL times or more are dealt in salted shares.
 HOT_LEVEL = 10
@@ -100,22 +100,14 @@ class _Counter:
     """Counts of hashes by their leading bits, given out as slices of positions and counts."""
 
     def __init__(self, bits: int) -> None:
-        self.bits, self.total, self.pending, self.waiting = bits, None, [], 0
+        self.bits, self.total = bits, None
 
     def add(self, hashes: np.ndarray) -> None:
-        self.pending.append((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
-        self.waiting += len(hashes)
-        if self.waiting > 1 << 21:
-            self._flush()
-
-    def _flush(self) -> None:
-        if self.pending:
-            found = np.bincount(np.concatenate(self.pending), minlength=1 << self.bits)
-            self.total = found if self.total is None else self.total + found
-        self.pending, self.waiting = [], 0
+        if self.total is None:
+            self.total = np.zeros(1 << self.bits, np.uint32)
+        np.add.at(self.total, (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.uint32(1))
 
     def slices(self) -> Iterator[tuple[int, bytes, bytes]]:
-        self._flush()
         if self.total is None:
             return
         width = (1 << self.bits) // SLICES
@@ -123,7 +115,7 @@ class _Counter:
             part = self.total[k * width : (k + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
-                yield k, at.astype(np.uint32).tobytes(), part[at].astype(np.uint32).tobytes()
+                yield k, at.astype(np.uint32).tobytes(), part[at].tobytes()
 
 
 def _levels(slices: DataFrame, bits: int) -> np.ndarray:
@@ -421,3 +413,19 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     out = sets.join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def oracle(spec: JoinSpec) -> str:
+    """DuckDB SQL that compares all sets which share an n-gram, and follows the links."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(spec.n))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {spec.n - 2})) AS i FROM d WHERE len(w) >= {spec.n})
+      UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {spec.n - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE {spec.den} * o >= {spec.num} * (na.n + nb.n - o)),
+r AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) c USING (doc_id)"""

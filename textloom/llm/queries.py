@@ -8,10 +8,13 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ngram_join, packing, png_media, quality_rules, token_store, url_filter
+from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, url_filter, warc
 from textloom.session import materialize, new_dir
 from textloom.sources.tables import table
 
+#: 3-word shingles; a link needs a Jaccard similarity of 0.9.
+LINKS = ngram_join.JoinSpec(n=3, num=90, den=100)
+
 
 @cache
 def url_model() -> url_filter.UrlModel:
@@ -20,7 +23,7 @@ def url_model() -> url_filter.UrlModel:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 3-word shingle sets with a Jaccard similarity of 0.9."""
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(n=3, num=90, den=100))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), LINKS)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(judged).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    folder = new_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -48,6 +58,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_model()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a PNG in a Parquet table, read back, checked and hashed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
@@ -55,8 +71,13 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op7_best_fit_packing, op8_url_filter, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle(), "op8_url_filter": url_filter.oracle(url_model())}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.oracle(LINKS),
+        "op3_quality_rules": quality_rules.oracle(),
+        "op6_warc": warc.oracle(),
+        "op8_url_filter": url_filter.oracle(url_model()),
+    }

@@ -1,7 +1,7 @@
 """Words of whole Arrow batches as numpy arrays: boundaries and 64-bit hashes without a Python loop over words.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, which never occur inside a UTF-8
-sequence. Texts are worked on in groups of about a megabyte, so memory doesn't depend on
+sequence. Texts are worked on in groups of about half a megabyte, so memory doesn't depend on
 the batch; one very long text is a group of its own, hashed in slices.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
