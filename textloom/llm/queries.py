@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, url_filter, warc
+from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, toxicity, url_filter, warc
 from textloom.session import materialize, new_dir
 from textloom.sources.tables import table
 
@@ -40,6 +40,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(judged).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def held_out() -> Column:
+    """Documents that no model is trained on."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.train(toxicity.sample(docs, labels, "toxic", ~held_out()))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back from them."""
     folder = new_dir(spark, "warc")
@@ -71,7 +87,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op5_toxicity, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.encoding import default_path, encoder
 from textloom.llm.files import filesystem, make_dir, read_bytes, write_bytes
+from textloom.llm.sampling import bounded
 from textloom.session import ship
 
 MAGIC, END = b"TLTOKEN1", b"TLTOKEND"
@@ -57,8 +58,8 @@ class TokenStoreError(ValueError):
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary for serialized ids, from a bounded sample; empty where the sample is too small for one."""
-    few = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
-    samples = [x.tobytes() for x in encoder(tokenizer).encode([r[0] for r in few])]
+    few = bounded(docs, "doc_id", SAMPLE_DOCS).where(F.length("text") <= SAMPLE_CHARS).select("text").limit(SAMPLE_DOCS).collect()
+    samples = [x.tobytes() for x in encoder(tokenizer).encode(sorted(r[0] for r in few))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in samples if x]).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.files import filesystem, make_dir, read_bytes, write_bytes
+from textloom.llm.sampling import bounded
 from textloom.session import ship
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1\r\n"
 ID = "urn:textloom:page:"
-#: The dictionary is fitted on at most so many pages (the least by hash) of at most so many characters.
+#: The dictionary is fitted on at most so many pages (the least by hash) of at most so many bytes.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 500, 20_000, 1 << 16
 LEVEL, READ_BYTES, MAX_RECORD = 3, 1 << 20, 1 << 31
 #: Equal payloads of at least so many bytes are written once.
@@ -213,8 +214,8 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BY
     ship(spark)
     make_dir(folder)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    few = pages.where(F.length("payload") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
-    samples = [page_record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in few]
+    few = bounded(pages, "page_id", SAMPLE_PAGES).where(F.length("payload") <= SAMPLE_CHARS).limit(SAMPLE_PAGES).collect()
+    samples = sorted(page_record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in few)
     try:
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -16,6 +16,8 @@ import pyarrow as pa
 GROUP_BYTES = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators that leave runs of ASCII letters and digits and of all other characters' bytes.
+letters = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,14 +83,14 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix(out + lengths.astype(np.uint64))
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = True, separators: np.ndarray = _IS_SPACE) -> Iterator[Words]:
     """The words of a column in groups of consecutive texts."""
     data, at = buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(int(np.searchsorted(at, at[i] + GROUP_BYTES, "right")) - 1, i + 1)
         piece, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        inside = ~_IS_SPACE[piece]
+        inside = ~separators[piece]
         begins, stops = inside.copy(), inside.copy()
         inner = edge[(edge > 0) & (edge < len(piece))]
         begins[1:] &= ~inside[:-1]
