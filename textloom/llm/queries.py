@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, toxicity, url_filter, warc
+from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, toxicity, url_filter, warc, wrappers
 from textloom.session import materialize, new_dir
 from textloom.sources.tables import table
 
@@ -40,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(judged).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def held_out() -> Column:
     """Documents that no model is trained on."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -87,7 +92,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op5_toxicity, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op4_html_wrappers, op5_toxicity, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
 
 
 def oracle_sql() -> dict[str, str]:
