@@ -141,11 +141,12 @@ def train(rows: DataFrame) -> Model:
     return Model(np.frombuffer(found["at"], "<u4").astype(np.int64), np.frombuffer(found["weight"]), found["intercept"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Replace the text column by ``score``, 0 to 1; the others pass through."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Add ``score``, 0 to 1; the text goes unless it is to be kept, the other columns pass through."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    gone = {"score"} if keep_text else {"score", text}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = shared.value.dense()
@@ -155,8 +156,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 doc, bucket = features(group)
                 total = np.bincount(doc, weights=dense[bucket], minlength=group.last - group.first) + shared.value.intercept
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            keep = [n for n in batch.schema.names if n not in (text, "score")]
+            keep = [n for n in batch.schema.names if n not in gone]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], names=[*keep, "score"])
 
-    keep = [f for f in docs.schema if f.name not in (text, "score")]
+    keep = [f for f in docs.schema if f.name not in gone]
     return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
