@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import curation
+from textloom.plans import curation, dedup
 
-_FAMILIES = (curation,)
+_FAMILIES = (curation, dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
