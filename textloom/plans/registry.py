@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import curation, dedup
+from textloom.plans import curation, dedup, tokens
 
-_FAMILIES = (curation, dedup)
+_FAMILIES = (curation, dedup, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
