@@ -83,3 +83,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lean(run):
+    """``run``, a function of Arrow batches, after which the worker hands freed memory back to the system.
+
+    Workers live on between tasks, and what the allocators keep would count against their executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _hand_back()
+
+    return wrapped
+
+
+def _hand_back() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
