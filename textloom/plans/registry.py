@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import curation, dedup, maths, tokens
+from textloom.plans import classify, curation, dedup, maths, tokens
 
-_FAMILIES = (curation, dedup, tokens, maths)
+_FAMILIES = (curation, dedup, classify, tokens, maths)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
