@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -157,3 +158,13 @@ def test_buckets(spark, limit, want):
 def test_power_law(spark):
     rows = spark.createDataFrame([(10.0**k, int(3 * 10 ** (k / 2))) for k in range(4, 16, 2)], "compute_budget double, parameters long")
     assert math.isclose(runs.power_law(rows).first()["exponent"], 0.5, abs_tol=1e-6)
+
+
+def test_release_deletes_tables(spark):
+    from textloom import session
+
+    df = session.materialize(spark.range(3).toDF("id"), "some")
+    path = session._made[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    session.release(spark)
+    assert not os.path.exists(path) and not session._made
