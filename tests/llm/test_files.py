@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 
 from textloom.llm import png_media, queries, token_store, warc
 from textloom.llm.encoding import Encoder, default_path, encoder
-from textloom.llm.files import filesystem
 from textloom.session import new_dir
+from textloom.sources.files import filesystem
 
 WHITE = st.text(alphabet="aB \n\té 　\x1c\x85.,'1s\0日", max_size=30)
 

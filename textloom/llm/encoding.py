@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Words that a worker remembers at most; later ones are encoded again for each batch.
-MEMORY = 1_000_000
+MEMORY = 500_000
 LINES = 512
 
 _loaded: dict[tuple[str, int], Encoder] = {}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.session import materialize, ship
+from textloom.session import lean, materialize, ship
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MAX_REPEAT = 1.5, 2
@@ -35,7 +35,7 @@ MAX_SOURCES = 100_000
 #: Blocks hold 1/LEAST_SLOTS of the budget, but no more than MAX_BLOCK words.
 LEAST_SLOTS, MAX_BLOCK = 1 << 16, 4096
 RING, GOLDEN = 1 << 31, 1327217885
-SLOTS_PER_SHARE, ROWS_PER_SHARE = 1 << 16, 4096
+SLOTS_PER_SHARE, ROWS_PER_SHARE = 1 << 16, 1024
 
 
 def word_count(text: str = "text") -> Column:
@@ -94,10 +94,10 @@ def _schedule(docs: DataFrame, goals: list[float], block: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), share)), pa.array(i[order]), pa.array(src[order].astype(np.int32)), pa.array(rank)], names=["share", "slot", "src", "rank"])
 
     ids = spark.range(0, shares, 1, max(1, min(shares, 10_000)))
-    n = ids.mapInArrow(counts, "share long, src int, n long")
+    n = ids.mapInArrow(lean(counts), "share long, src int, n long")
     before = F.sum("n").over(Window.partitionBy("src").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
     before = n.select("share", "src", F.coalesce(before, F.lit(0)).alias("before"))
-    return ids.mapInArrow(ranks, "share long, slot long, src int, rank long").join(before, ["share", "src"]).select("slot", "src", (F.col("before") + F.col("rank")).alias("k"))
+    return ids.mapInArrow(lean(ranks), "share long, slot long, src int, rank long").join(before, ["share", "src"]).select("slot", "src", (F.col("before") + F.col("rank")).alias("k"))
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, seed: int = 0) -> tuple[DataFrame, DataFrame]:

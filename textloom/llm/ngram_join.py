@@ -34,16 +34,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.components import components
 from textloom.llm.wordhash import Words, combine, mix, words
-from textloom.session import materialize, ship
+from textloom.operators.components import components
+from textloom.session import lean, materialize, ship
 
 #: Buckets of the count table: about one for COUNTS_PER_BUCKET n-grams, within these powers of two.
 COUNTS_PER_BUCKET, MIN_BITS, MAX_BITS = 32, 16, 24
-SLICES = 64
+SLICES = 256
+#: So many tasks' counts are summed by one task; more take further levels.
+FAN = 512
 #: N-grams counted 2**HOT_LEVEL times or more are dealt in salted shares.
 HOT_LEVEL = 10
 FRAGMENTS = 8
@@ -118,31 +121,44 @@ class _Counter:
                 yield k, at.astype(np.uint32).tobytes(), part[at].tobytes()
 
 
-def _levels(slices: DataFrame, bits: int) -> np.ndarray:
-    """Sum the slices of all tasks, one slice at a time, and return log2(count + 1) of each bucket as a byte."""
-    width = (1 << bits) // SLICES
+_SLICES = "task int, slice int, at binary, count binary"
+
+
+def _sum_slices(slices: DataFrame, width: int, as_level: bool) -> DataFrame:
+    """Sum counts by (task div FAN, slice), at last as log2(count + 1); rows stream by, so memory is one slice."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            level = np.floor(np.log2(total + 1.0)).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
+            at = np.flatnonzero(total)
+            found = np.log2(total[at] + 1.0).astype(np.uint8) if as_level else np.minimum(total[at], 0xFFFFFFFF).astype(np.uint32)
+            cols = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([found.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SLICES.split(", ")])
 
         for batch in batches:
-            for k, at, count in zip(*(batch.column(c).to_pylist() for c in ("slice", "at", "count")), strict=True):
-                if k != now:
+            for task, k, at, count in zip(*(batch.column(c).to_pylist() for c in ("task", "slice", "at", "count")), strict=True):
+                if (task, k) != now:
                     if now is not None:
                         yield done()
-                    now, total = k, np.zeros(width, np.int64)
+                    now, total = (task, k), np.zeros(width, np.int64)
                 total[np.frombuffer(at, np.uint32)] += np.frombuffer(count, np.uint32)
         if now is not None:
             yield done()
 
-    rows = slices.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, level binary").collect()
+    dealt = slices.withColumn("task", F.expr(f"task div {FAN}").cast("int")).select("task", "slice", "at", "count")
+    return dealt.repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(lean(merge), _SLICES)
+
+
+def _levels(slices: DataFrame, bits: int) -> np.ndarray:
+    """log2(count + 1) of each bucket over all tasks, a byte each."""
+    width = (1 << bits) // SLICES
+    last = slices.agg(F.max("task")).first()[0] or 0
+    while last >= FAN:
+        slices, last = _sum_slices(slices, width, as_level=False), last // FAN
     out = np.zeros(1 << bits, np.uint8)
-    for r in rows:  # SLICES rows of fixed size
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
+    for r in _sum_slices(slices, width, as_level=True).collect():  # SLICES rows of bounded size
+        out[r["slice"] * width + np.frombuffer(r["at"], np.uint32).astype(np.int64)] = np.frombuffer(r["count"], np.uint8)
     return out
 
 
@@ -154,16 +170,16 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-_SCAN = "doc_id long, n long, k1 long, k2 long, slice int, at binary, count binary"
+_SCAN = "doc_id long, n long, k1 long, k2 long, task int, slice int, at binary, count binary"
 
 
 def _scan(docs: DataFrame, spec: JoinSpec, bits: int) -> DataFrame:
     """One row per document with the size and key of its set, and the slices of each task's n-gram counts."""
     names = [x.split()[0] for x in _SCAN.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(bits)
+        counter, task = _Counter(bits), TaskContext.get().partitionId()
         for batch in batches:
             sizes, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
             for group in words(batch.column("text")):
@@ -175,10 +191,10 @@ def _scan(docs: DataFrame, spec: JoinSpec, bits: int) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(key[:, 0]), pa.array(key[:, 1]), *(pa.nulls(m, k) for k in kinds[4:])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
         for k, at, count in counter.slices():
-            cols = [*(pa.nulls(1, k) for k in kinds[:4]), pa.array([k], pa.int32()), pa.array([at], pa.binary()), pa.array([count], pa.binary())]
+            cols = [*(pa.nulls(1, k) for k in kinds[:4]), *(pa.array([x], kind) for x, kind in zip((task, k, at, count), kinds[4:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, _SCAN)
+    return docs.mapInArrow(lean(run), _SCAN)
 
 
 _HEADS = "gram long, salt int, k1 long, k2 long, n int, pos int"
@@ -212,7 +228,7 @@ def _heads(docs: DataFrame, spec: JoinSpec, levels, bits: int) -> DataFrame:
                 salt = np.where(level >= HOT_LEVEL, 1 + (key[doc, 1] & 0x7FFFFFFF) % share, 0)
                 yield _batch(_HEADS, grams.view(np.int64), salt.astype(np.int32), key[doc, 0], key[doc, 1], size[doc].astype(np.int32), pos.astype(np.int32))
 
-    return docs.mapInArrow(run, _HEADS)
+    return docs.mapInArrow(lean(run), _HEADS)
 
 
 def _shared(heads: DataFrame) -> DataFrame:
@@ -243,7 +259,7 @@ def _shared(heads: DataFrame) -> DataFrame:
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield from pick(rows).to_batches()
 
-    return heads.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(run, _HEADS)
+    return heads.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(lean(run), _HEADS)
 
 
 def _fits(spec: JoinSpec, n: str, pos: str, m: str, at: str) -> str:
@@ -328,18 +344,19 @@ def _segments(docs: DataFrame, spec: JoinSpec, levels, bits: int, wanted, wanted
                 cols = [pa.array(name[d]), pa.array(key[d, 0]), pa.array(key[d, 1]), pa.array(frag[first].astype(np.int32)), seg]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
-    return docs.mapInArrow(run, _SEGMENTS)
+    return docs.mapInArrow(lean(run), _SEGMENTS)
 
 
 def _members(ids: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(bits)
+        counter, task = _Counter(bits), TaskContext.get().partitionId()
         for batch in batches:
             counter.add(mix(batch.column(0).to_numpy().view(np.uint64)))
         for k, at, count in counter.slices():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at]), pa.array([count])], names=["slice", "at", "count"])
+            cols = [pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([at]), pa.array([count])]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SLICES.split(", ")])
 
-    return ids.mapInArrow(run, "slice int, at binary, count binary")
+    return ids.mapInArrow(lean(run), _SLICES)
 
 
 class _Verifier:
@@ -375,7 +392,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = _bits_for(chars // 6 // COUNTS_PER_BUCKET)
     scan = materialize(_scan(docs, spec, bits), "scan")
-    levels = spark.sparkContext.broadcast(_levels(scan.where("slice is not null").select("slice", "at", "count"), bits))
+    levels = spark.sparkContext.broadcast(_levels(scan.where("slice is not null").select("task", "slice", "at", "count"), bits))
     sets = scan.where("slice is null").select("doc_id", "n", "k1", "k2")
     linkable = sets.where("n > 0 and doc_id is not null")
     classes = materialize(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -420,7 +437,8 @@ def oracle(spec: JoinSpec) -> str:
     gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(spec.n))
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {spec.n - 2})) AS i FROM d WHERE len(w) >= {spec.n})
       UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {spec.n - 1}),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),

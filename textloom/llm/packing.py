@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.encoding import default_path, encoder
-from textloom.session import materialize, ship
+from textloom.session import lean, materialize, ship
 
 CAPACITY = 2048
 END_ID = 0
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return docs.mapInArrow(lean(run), PIECES + ", ids binary" * with_ids)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
@@ -144,9 +144,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), task, np.int32)), pa.array(rank)], names=[*batch.schema.names, "_task", "_rank"])
 
     own = [f for f in rows.schema if f.name not in ("sequence_id", "offset", "_task", "_rank")]
-    rows = rows.select([f.name for f in own])
+    rows = materialize(rows.select([f.name for f in own]), "rows")  # numbering and what makes the rows run one after the other
     ranked = T.StructType([*own, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
-    numbered = materialize(rows.mapInArrow(number, ranked), "pieces")
+    numbered = materialize(rows.mapInArrow(lean(number), ranked), "pieces")
 
     counts = materialize(numbered.groupBy(F.col(length).alias("_length"), "_task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     total = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("n")).collect()}  # at most one row per length
@@ -162,4 +162,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length") -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(sequence), pa.array(offset)], names=[*(f.name for f in own), "sequence_id", "offset"])
 
     result = T.StructType([*own, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return joined.select(*(f.name for f in own), "_rank", "_before").mapInArrow(place, result)
+    return joined.select(*(f.name for f in own), "_rank", "_before").mapInArrow(lean(place), result)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import ship
+from textloom.session import lean, ship
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -195,7 +195,7 @@ def store(rows: DataFrame, payload: str, how: str = "none") -> DataFrame:
             yield _with(batch, payload, {"n_bytes": pa.array([len(x) for x in data], pa.int64()), "media": pa.array(media, pa.binary())})
 
     keep = [f for f in rows.schema if f.name != payload and f.name not in STORED.names]
-    return rows.mapInArrow(run, T.StructType(keep + list(STORED)))
+    return rows.mapInArrow(lean(run), T.StructType(keep + list(STORED)))
 
 
 def read(stored: DataFrame, media: str = "media") -> DataFrame:
@@ -214,5 +214,5 @@ def read(stored: DataFrame, media: str = "media") -> DataFrame:
             yield _with(batch, media, {n: pa.array(v, k) for n, v, k in zip(FEATURES.names, found, kinds, strict=True)})
 
     keep = [f for f in stored.schema if f.name != media and f.name not in FEATURES.names]
-    return stored.mapInArrow(run, T.StructType(keep + list(FEATURES)))
+    return stored.mapInArrow(lean(run), T.StructType(keep + list(FEATURES)))
 

@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.encoding import default_path, encoder
-from textloom.llm.files import filesystem, make_dir, read_bytes, write_bytes
 from textloom.llm.sampling import bounded
-from textloom.session import ship
+from textloom.session import lean, ship
+from textloom.sources.files import filesystem, make_dir, read_bytes, write_bytes
 
 MAGIC, END = b"TLTOKEN1", b"TLTOKEND"
 HEAD, FOOT = struct.Struct("<8sQ32s"), struct.Struct("<QQQQ8s")
@@ -164,7 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "docs": len(out.index), "ids": out.ids}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    files = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
+    files = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
@@ -204,7 +204,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     raise TokenStoreError(f"{name}: its ids aren't as many as its footer says")
 
     files = manifest(spark, folder)
-    return files.repartition(max(1, files.count())).mapInArrow(run, DIGEST + ", ids array<int>" * with_ids)
+    return files.repartition(max(1, files.count())).mapInArrow(lean(run), DIGEST + ", ids array<int>" * with_ids)
 
 
 def _rows(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from textloom.llm.wordhash import Words, combine, letters
 from textloom.llm.wordhash import words as words_of
-from textloom.session import materialize, ship
+from textloom.session import lean, materialize, ship
 
 BITS = 22
 MAX_SAMPLE = 10_000
@@ -91,9 +91,10 @@ class Ftrl:
         self.n[at] = n + g * g
 
     def model(self) -> Model:
-        w = self.weights(np.arange((1 << BITS) + 1))
-        index = np.flatnonzero(w[:-1])
-        return Model(index, w[index], float(w[-1]))
+        seen = np.flatnonzero(self.n)
+        w = self.weights(seen)
+        keep = (w != 0) & (seen < 1 << BITS)
+        return Model(seen[keep], w[keep], float(self.weights(np.array([1 << BITS]))[0]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
@@ -115,7 +116,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None
                 data += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "label", "at"])
 
-    return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, at binary")
+    return texts.select("doc_id", "label", "text").mapInArrow(lean(run), "doc_id long, label int, at binary")
 
 
 def train(rows: DataFrame) -> Model:
@@ -137,7 +138,7 @@ def train(rows: DataFrame) -> Model:
 
     passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     passes = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch"), "doc_id")
-    found = passes.select("label", "at").mapInArrow(run, "at binary, weight binary, intercept double").first()
+    found = passes.select("label", "at").mapInArrow(lean(run), "at binary, weight binary, intercept double").first()
     return Model(np.frombuffer(found["at"], "<u4").astype(np.int64), np.frombuffer(found["weight"]), found["intercept"])
 
 
@@ -160,4 +161,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], names=[*keep, "score"])
 
     keep = [f for f in docs.schema if f.name not in gone]
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*keep, T.StructField("score", T.DoubleType())]))

@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.files import filesystem, make_dir, read_bytes, write_bytes
 from textloom.llm.sampling import bounded
-from textloom.session import ship
+from textloom.session import lean, ship
+from textloom.sources.files import filesystem, make_dir, read_bytes, write_bytes
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1\r\n"
@@ -242,7 +242,7 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BY
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    named.select("page_id", "url", "payload", "response_id").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    named.select("page_id", "url", "payload", "response_id").mapInArrow(lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -276,7 +276,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                     raise WarcError(f"{name}: {n} records, the manifest has {records}")
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    return files.repartition(max(1, files.count())).mapInArrow(run, result)
+    return files.repartition(max(1, files.count())).mapInArrow(lean(run), result)
 
 
 def oracle(min_revisit_bytes: int = MIN_REVISIT_BYTES) -> str:
