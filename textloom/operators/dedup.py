@@ -67,6 +67,26 @@ def jaccard_pairs(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     return counted.where(f"{den} * inter >= {num} * uni").select("l", "r", "inter", "uni")
 
 
+def set_classes(grams: DataFrame) -> DataFrame:
+    """``doc_id, rep``: the least document with the same n-grams (by number, sum and exclusive or of two hashes)."""
+    h = F.xxhash64("gram")
+    prints = [F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("gram", F.lit(1))).alias("s2")]
+    sets = grams.groupBy("doc_id").agg(*prints)
+    least = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    return sets.join(least, ["n", "s1", "s2"]).select("doc_id", "rep")
+
+
+def duplicate_links(grams: DataFrame, pairs_of) -> DataFrame:
+    """Links ``l, r`` that join all duplicates: ``pairs_of`` the sets that differ, and every copy with its representative.
+
+    So a large group of equal documents is linear in its size; pairs are made of different sets only.
+    """
+    classes = materialize(set_classes(grams), "classes")
+    single = grams.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    copies = classes.where("rep < doc_id").select(F.col("rep").alias("l"), F.col("doc_id").alias("r"))
+    return pairs_of(single).select("l", "r").unionByName(copies)
+
+
 def empty_pairs(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """Documents without any n-gram are duplicates of each other: each against the least of them."""
     empty = docs.join(grams, "doc_id", "left_anti").select("doc_id")

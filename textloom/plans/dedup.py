@@ -93,11 +93,11 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 LSH_CANDIDATES = f"WITH {KEYS}, st AS (SELECT min(doc_id) AS l, band, key FROM kb GROUP BY band, key) SELECT DISTINCT l, doc_id AS r FROM st JOIN kb USING (band, key) WHERE l < doc_id"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, sf_dir: str, pairs_of=dedup.jaccard_pairs) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    grams = _grams(spark, sf_dir)
-    pairs = dedup.jaccard_pairs(grams).select("l", "r").unionByName(dedup.empty_pairs(docs, grams))
-    return docs, materialize(pairs, "pairs")
+    grams = materialize(_grams(spark, sf_dir), "grams")
+    links = dedup.duplicate_links(grams, pairs_of).unionByName(dedup.empty_pairs(docs, grams))
+    return docs, materialize(links, "links")
 
 
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,16 +120,12 @@ FUZZY_DEDUP_EXACT = f"WITH RECURSIVE {PAIRS}, {CLUSTERS.format(pairs='jp')} SELE
 
 
 def fuzzy_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash, bands, verification and clusters; documents with equal n-gram sets are one before pairs are made."""
-    docs, grams = table(spark, sf_dir, "documents"), materialize(_grams(spark, sf_dir), "grams")
-    signed = dedup.minhash(grams, FAMILY)
-    sets = grams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("gram").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("gram", F.lit(1))).alias("s2"))
-    least = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("l"))
-    copies = sets.join(least, ["n", "s1", "s2"]).where("l < doc_id").select("l", F.col("doc_id").alias("r"))
-    single = signed.join(least.select(F.col("l").alias("doc_id")), "doc_id", "left_semi")
-    pairs = dedup.verified(dedup.candidate_pairs(dedup.bands(single, BANDS, HASHES)), grams)
-    every = pairs.unionByName(copies).unionByName(dedup.empty_pairs(docs, grams))
-    return dedup.keep_first(docs, materialize(every, "pairs")).select("doc_id")
+    """MinHash, bands, verification and clusters."""
+
+    def banded(grams: DataFrame) -> DataFrame:
+        return dedup.verified(dedup.candidate_pairs(_keys(grams)), grams)
+
+    return dedup.keep_first(*_pairs(spark, sf_dir, banded)).select("doc_id")
 
 
 FUZZY_DEDUP_LSH = f"""WITH RECURSIVE {KEYS},
