@@ -106,3 +106,38 @@ def test_stream_windows(spark, tmp_path, sf):
     assert sum(r["n"] for r in found) == events.count()
 
 
+
+
+def test_paths_stats_and_runs(spark, tmp_path):
+    from textloom.sources import runs
+
+    for name in ("b.json", "a.json"):
+        (tmp_path / name).write_text('[{"parameters": 5, "compute_budget": 1e18, "final_loss": 2.5}]')
+    found = runs.expand_paths(spark, [f"{tmp_path}/*.json", f"{tmp_path}/a.json", "/no/such*"])
+    assert [p.rsplit("/", 1)[1] for p in found] == ["such*", "a.json", "b.json"]
+    assert runs.read_runs(spark, found[1]).first() == (5, 1e18, 2.5)
+    assert runs.read_log(spark, f"{tmp_path}/a.json").count() == 1
+    stats = spark.createDataFrame([("x", 1), ("y", 2)], "file string, n int")
+    runs.write_stats(stats, str(tmp_path / "stats"), "file")
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "stats")).select("file", "n").collect())) == [("x", 1), ("y", 2)]
+    runs.write_stats(stats, str(tmp_path / "whole"))
+    assert spark.read.json(str(tmp_path / "whole")).count() == 2
+
+
+def test_line_ids(spark):
+    from textloom.operators import bpe, tokens
+
+    t = Tokenizer({i: bytes([i]) for i in range(256)}, [])
+    lines = spark.createDataFrame([("ab\n",), ("",), ("\n",), (None,)], "text string")
+    encode = lambda df: bpe.encode(df, t)
+    assert [r["ids"] for r in tokens.line_ids(lines, encode, 0).collect()] == [[97, 98, 0]]
+    assert tokens.count_ids(tokens.line_ids(lines, encode, 0, keep_empty=True)).first() == (4, 6)
+
+
+def test_harm_takes_nsfw_first(spark):
+    from textloom.operators.curation import harm
+
+    rows = [("nsfw", 0.95, "toxic", 1.0, "nsfw"), ("nsfw", 0.94, "toxic", 0.98, "toxic"), ("non-nsfw", 1.0, "toxic", 0.97, None), ("non-nsfw", 1.0, "non-toxic", 1.0, None)]
+    df = spark.createDataFrame(rows, "a string, b double, c string, d double, want string")
+    out = df.select("want", harm(F.col("a"), F.col("b"), F.col("c"), F.col("d"), FilterConfig()).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in out)

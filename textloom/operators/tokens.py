@@ -51,3 +51,15 @@ def random_starts(spark, samples: int, tokens: int, length: int, seed: int = 0)
         raise ValueError("fewer tokens than a window")
     chance = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(tokens - length))
     return spark.range(samples).select(F.col("id").alias("sample"), chance.alias("start"))
+
+
+def line_ids(lines: DataFrame, encode, end_id: int, keep_empty: bool = False, text: str = "text", out: str = "ids") -> DataFrame:
+    """Ids of each line and the end id; a trailing line feed isn't text. Empty lines go, or count as the end id alone."""
+    rows = lines.withColumn(text, F.regexp_replace(F.coalesce(text, F.lit("")), "\n$", ""))
+    rows = rows if keep_empty else rows.where(F.col(text) != "")
+    return encode(rows).withColumn(out, F.concat(F.col(out), F.array(F.lit(end_id))))
+
+
+def count_ids(rows: DataFrame, ids: str = "ids") -> DataFrame:
+    """One row: documents and ids."""
+    return rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("tokens"))
