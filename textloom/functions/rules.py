@@ -59,11 +59,10 @@ def gopher(words: Column, lines: Column) -> Column:
 
 def boilerplate(lines: Column, normalized: Column) -> Column:
     """Struct of lines, distinct lines, words, distinct words, navigation phrases, and ``keep``."""
-    lower = F.lower(normalized)
-    hits = sum((F.regexp_count(lower, F.lit(p)) for p in NAVIGATION_PHRASES), F.lit(0))
     filled = F.filter(F.transform(lines, lambda x: F.lower(normalize(x))), lambda x: x != "")
 
-    def rules(rows: Column, w: Column) -> Column:
+    def rules(rows: Column, lower: Column, w: Column) -> Column:
+        hits = sum((F.regexp_count(lower, F.lit(p)) for p in NAVIGATION_PHRASES), F.lit(0))
         n, words = F.size(rows), F.size(w)
         distinct, kinds = F.size(F.array_distinct(rows)), F.size(F.array_distinct(w))
         repeated = (n >= 5) & (5 * distinct < 4 * n)
@@ -73,18 +72,22 @@ def boilerplate(lines: Column, normalized: Column) -> Column:
             n.alias("lines"), distinct.alias("distinct_lines"), words.alias("words"), kinds.alias("distinct_words"), hits.alias("nav_hits"), (~repeated & (words > 0) & ~menu & ~poor).alias("keep")
         )
 
-    return bind(filled, lambda rows: bind(F.filter(F.split(lower, " "), lambda x: x != ""), lambda w: rules(rows, w)))
+    split = lambda lower: F.filter(F.split(lower, " "), lambda x: x != "")
+    return bind(filled, lambda rows: bind(F.lower(normalized), lambda lower: bind(split(lower), lambda w: rules(rows, lower, w))))
 
 
 def keyword_hits(uri: Column, text: Column) -> Column:
     """How many of the blocked keywords occur, as substrings, in the address and the start of the text."""
     seen = F.lower(F.concat(F.coalesce(uri, F.lit("")), F.lit(" "), F.substring(text, 1, KEYWORD_CHARS)))
-    return sum((F.contains(seen, F.lit(k)).cast("int") for k in BLOCKED_KEYWORDS), F.lit(0))
+    return bind(seen, lambda s: sum((F.contains(s, F.lit(k)).cast("int") for k in BLOCKED_KEYWORDS), F.lit(0)))
 
 
 def is_parked(text: Column) -> Column:
-    lower = F.lower(text)
-    out = F.lit(False)
-    for phrase in PARKED_PHRASES:
-        out = out | F.contains(lower, F.lit(phrase))
-    return out
+
+    def any_of(lower: Column) -> Column:
+        out = F.lit(False)
+        for phrase in PARKED_PHRASES:
+            out = out | F.contains(lower, F.lit(phrase))
+        return out
+
+    return bind(F.lower(text), any_of)
