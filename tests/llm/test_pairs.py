@@ -77,6 +77,17 @@ def test_join_large_group_of_near_copies(spark, monkeypatch):
     assert set(found.values()) == {(118, 0)}
 
 
+def test_counts_in_several_levels(spark, monkeypatch):
+    """More tasks than one task sums take further levels, with the same counts."""
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(1, 40)), "s") for i in range(60)]
+    df = frame(spark, rows).repartition(9)
+    scan = ngram_join._scan(df.select("doc_id", "text"), ngram_join.JoinSpec(), 16).where("slice is not null").select("task", "slice", "counts").persist()
+    whole = ngram_join._levels(scan, 16)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    assert (ngram_join._levels(scan, 16) == whole).all() and whole.any()
+    scan.unpersist()
+
+
 def test_join_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = frame(spark, [(3, text, "s"), (3, text, "s"), (2, text, "s"), (None, text, "s")])

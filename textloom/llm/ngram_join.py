@@ -2,7 +2,8 @@
 
 A global order of all n-grams (rarer first) is cut into fragments. For every candidate
 pair the overlap inside each fragment is counted on its own, and the partial overlaps are
-summed per pair; the sum decides the link exactly.
+summed per pair; the sum decides the link exactly. Fragments that two sets share whole are
+known by a summary, so only fragments that differ are ever sent.
 
 Candidates and the order
     One pass computes each document's set (64-bit hashes of n-grams), a 128-bit key of the
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ SLICES = 256
 FAN = 512
 #: N-grams counted 2**HOT_LEVEL times or more are dealt in salted shares.
 HOT_LEVEL = 10
-FRAGMENTS = 8
+FRAGMENTS = 32
 #: Stars go on while they find links and groups have over this many members, in the mean over members.
 LARGE_GROUPS = 50
 
@@ -100,7 +102,7 @@ def set_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Counter:
-    """Counts of hashes by their leading bits, given out as slices of positions and counts."""
+    """Counts of hashes by their leading bits, given out as compressed slices."""
 
     def __init__(self, bits: int) -> None:
         self.bits, self.total = bits, None
@@ -110,18 +112,23 @@ class _Counter:
             self.total = np.zeros(1 << self.bits, np.uint32)
         np.add.at(self.total, (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.uint32(1))
 
-    def slices(self) -> Iterator[tuple[int, bytes, bytes]]:
+    def slices(self) -> Iterator[tuple[int, bytes]]:
         if self.total is None:
             return
-        width = (1 << self.bits) // SLICES
-        for k in range(SLICES):
-            part = self.total[k * width : (k + 1) * width]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield k, at.astype(np.uint32).tobytes(), part[at].tobytes()
+        for k, part in enumerate(self.total.reshape(SLICES, -1)):
+            if part.any():
+                yield k, _zipped(part)
 
 
-_SLICES = "task int, slice int, at binary, count binary"
+def _zipped(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
+
+
+def _unzipped(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
+
+
+_SLICES = "task int, slice int, counts binary"
 
 
 def _sum_slices(slices: DataFrame, width: int, as_level: bool) -> DataFrame:
@@ -131,22 +138,20 @@ def _sum_slices(slices: DataFrame, width: int, as_level: bool) -> DataFrame:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            at = np.flatnonzero(total)
-            found = np.log2(total[at] + 1.0).astype(np.uint8) if as_level else np.minimum(total[at], 0xFFFFFFFF).astype(np.uint32)
-            cols = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([found.tobytes()])]
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SLICES.split(", ")])
+            counts = np.log2(total + 1.0).astype(np.uint8).tobytes() if as_level else _zipped(np.minimum(total, 0xFFFFFFFF))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([counts], pa.binary())], names=["task", "slice", "counts"])
 
         for batch in batches:
-            for task, k, at, count in zip(*(batch.column(c).to_pylist() for c in ("task", "slice", "at", "count")), strict=True):
+            for task, k, counts in zip(*(batch.column(c).to_pylist() for c in ("task", "slice", "counts")), strict=True):
                 if (task, k) != now:
                     if now is not None:
                         yield done()
                     now, total = (task, k), np.zeros(width, np.int64)
-                total[np.frombuffer(at, np.uint32)] += np.frombuffer(count, np.uint32)
+                total += _unzipped(counts)
         if now is not None:
             yield done()
 
-    dealt = slices.withColumn("task", F.expr(f"task div {FAN}").cast("int")).select("task", "slice", "at", "count")
+    dealt = slices.withColumn("task", F.expr(f"task div {FAN}").cast("int")).select("task", "slice", "counts")
     return dealt.repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(lean(merge), _SLICES)
 
 
@@ -158,7 +163,7 @@ def _levels(slices: DataFrame, bits: int) -> np.ndarray:
         slices, last = _sum_slices(slices, width, as_level=False), last // FAN
     out = np.zeros(1 << bits, np.uint8)
     for r in _sum_slices(slices, width, as_level=True).collect():  # SLICES rows of bounded size
-        out[r["slice"] * width + np.frombuffer(r["at"], np.uint32).astype(np.int64)] = np.frombuffer(r["count"], np.uint8)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -170,13 +175,13 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-_SCAN = "doc_id long, n long, k1 long, k2 long, task int, slice int, at binary, count binary"
+_SCAN = "doc_id long, n long, k1 long, k2 long, task int, slice int, counts binary"
 
 
 def _scan(docs: DataFrame, spec: JoinSpec, bits: int) -> DataFrame:
     """One row per document with the size and key of its set, and the slices of each task's n-gram counts."""
     names = [x.split()[0] for x in _SCAN.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, task = _Counter(bits), TaskContext.get().partitionId()
@@ -190,14 +195,14 @@ def _scan(docs: DataFrame, spec: JoinSpec, bits: int) -> DataFrame:
             key, m = np.concatenate(keys), batch.num_rows
             cols = [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(key[:, 0]), pa.array(key[:, 1]), *(pa.nulls(m, k) for k in kinds[4:])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        for k, at, count in counter.slices():
-            cols = [*(pa.nulls(1, k) for k in kinds[:4]), *(pa.array([x], kind) for x, kind in zip((task, k, at, count), kinds[4:], strict=True))]
+        for k, counts in counter.slices():
+            cols = [*(pa.nulls(1, kind) for kind in kinds[:4]), *(pa.array([x], kind) for x, kind in zip((task, k, counts), kinds[4:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(lean(run), _SCAN)
 
 
-_HEADS = "gram long, salt int, k1 long, k2 long, n int, pos int"
+_HEADS = "gram long, salt int, k1 long, n int, pos int"
 
 
 def _heads(docs: DataFrame, spec: JoinSpec, levels, bits: int) -> DataFrame:
@@ -226,7 +231,7 @@ def _heads(docs: DataFrame, spec: JoinSpec, levels, bits: int) -> DataFrame:
                 doc, grams, level, pos = doc[keep], grams[keep], level[keep].astype(np.int64), pos[keep]
                 share = np.left_shift(np.int64(1), np.maximum(level - HOT_LEVEL + 1, 0))
                 salt = np.where(level >= HOT_LEVEL, 1 + (key[doc, 1] & 0x7FFFFFFF) % share, 0)
-                yield _batch(_HEADS, grams.view(np.int64), salt.astype(np.int32), key[doc, 0], key[doc, 1], size[doc].astype(np.int32), pos.astype(np.int32))
+                yield _batch(_HEADS, grams.view(np.int64), salt.astype(np.int32), key[doc, 0], size[doc].astype(np.int32), pos.astype(np.int32))
 
     return docs.mapInArrow(lean(run), _HEADS)
 
@@ -272,11 +277,11 @@ def _fits(spec: JoinSpec, n: str, pos: str, m: str, at: str) -> str:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b from rows of (x, nx, y, ny)."""
+    """Distinct (a, b) with a < b, sizes and keys, from rows of (x, nx, kx, y, ny, ky)."""
     low = F.col("x") < F.col("y")
-    return rows.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")
-    ).distinct()
+    pick = lambda p, q, name: F.when(low, F.col(p)).otherwise(F.col(q)).alias(name)
+    sides = [pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("kx", "ky", "ka"), pick("ky", "kx", "kb")]
+    return rows.select(*sides).distinct()
 
 
 def _star_pairs(live: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -285,17 +290,17 @@ def _star_pairs(live: DataFrame, spec: JoinSpec) -> DataFrame:
     hubs = (
         live.withColumn("first", first)
         .groupBy("gram")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.min_by(c, "first").alias(f"h_{c}") for c in ("rep", "n", "pos", "label")))
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.min_by(c, "first").alias(f"h_{c}") for c in ("rep", "k1", "n", "pos", "label")))
         .where("lo < hi")
     )
     met = live.join(hubs, "gram").where("rep <> h_rep and label <> h_label").where(_fits(spec, "n", "pos", "h_n", "h_pos"))
-    return _pairs(met.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("h_rep").alias("y"), F.col("h_n").alias("ny")))
+    return _pairs(met.selectExpr("rep as x", "n as nx", "k1 as kx", "h_rep as y", "h_n as ny", "h_k1 as ky"))
 
 
 def _cross_pairs(live: DataFrame, spec: JoinSpec) -> DataFrame:
     """In each n-gram's group, members of different components, as far as the filters let them meet."""
-    left = live.select("gram", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    right = live.select("gram", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"))
+    left = live.selectExpr("gram", "rep as x", "n as nx", "pos as px", "label as lx", "k1 as kx")
+    right = live.selectExpr("gram", "rep as y", "n as ny", "pos as py", "label as ly", "k1 as ky")
     return _pairs(left.join(right, "gram").where("x < y and lx <> ly").where(_fits(spec, "nx", "px", "ny", "py")))
 
 
@@ -312,75 +317,127 @@ def _pivots(levels: np.ndarray) -> np.ndarray:
     return np.array(cuts, np.uint64)
 
 
-_SEGMENTS = "rep long, k1 long, k2 long, frag int, seg array<long>"
+_SUMMARIES = "rep long, k1 long, sizes array<int>, sums array<long>, xors array<long>"
+_SEGMENTS = "rep long, k1 long, frag int, seg array<long>"
+
+
+def _cells(rep: np.ndarray, frag: np.ndarray) -> np.ndarray:
+    """A hash of a document and one of its fragments."""
+    return mix(mix(rep.view(np.uint64)) + frag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
 
+def _fragments(docs: DataFrame, spec: JoinSpec, levels, bits: int, wanted, wanted_bits: int, whole: bool) -> DataFrame:
+    """The sets of documents cut at the pivots: a summary of every fragment, or whole fragments.
 
-def _segments(docs: DataFrame, spec: JoinSpec, levels, bits: int, wanted, wanted_bits: int) -> DataFrame:
-    """The sets of wanted documents, cut at the pivots; ``wanted`` may let a few others through."""
+    ``wanted`` is a table of the hashes of the cells asked for (fragment 0 of a document stands
+    for its summary); it may let a few others through.
+    """
+    every = np.arange(FRAGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cuts, want = levels.value, _pivots(levels.value), wanted.value
+        table, want = levels.value, wanted.value
+        cuts = _pivots(table)
+
+        def asked(cells: np.ndarray) -> np.ndarray:
+            return want[(cells >> np.uint64(64 - wanted_bits)).astype(np.int64)] > 0
+
         for batch in batches:
             ids = batch.column("doc_id")
-            has = np.asarray(ids.is_valid())
             number = ids.fill_null(0).to_numpy()
-            hit = has & (want[(mix(number.view(np.uint64)) >> np.uint64(64 - wanted_bits)).astype(np.int64)] > 0)
+            if whole:
+                grid = asked(_cells(np.repeat(number, FRAGMENTS), np.tile(every, len(number)))).reshape(-1, FRAGMENTS)
+            else:
+                grid = asked(_cells(number, np.zeros(len(number), np.int64)))[:, None]
+            hit = np.asarray(ids.is_valid()) & grid.any(axis=1)
             if not hit.any():
                 continue
-            number = number[hit]
+            number, grid = number[hit], grid[hit]
             for group in words(batch.column("text").filter(pa.array(hit))):
                 doc, grams, size = set_rows(group, spec.n)
                 if not len(grams):
                     continue
-                key, name = set_keys(grams, size), number[group.first : group.last]
+                key, name, mine = set_keys(grams, size)[:, 0], number[group.first : group.last], grid[group.first : group.last]
                 level = table[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
                 frag = np.searchsorted(cuts, (level << np.uint64(56)) + (grams >> np.uint64(8)), "right")
+                if whole:
+                    keep = mine[doc, frag]
+                    doc, frag, grams = doc[keep], frag[keep], grams[keep]
                 order = np.lexsort((frag, doc))
                 doc, frag, grams = doc[order], frag[order], grams[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (frag[1:] != frag[:-1])]))
-                offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
-                seg = pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64)))
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (frag[1:] != frag[:-1])])) if len(doc) else np.zeros(0, np.int64)
                 d = doc[first]
-                cols = [pa.array(name[d]), pa.array(key[d, 0]), pa.array(key[d, 1]), pa.array(frag[first].astype(np.int32)), seg]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SEGMENTS.split(", ")])
-
-    return docs.mapInArrow(lean(run), _SEGMENTS)
+                if whole:
+                    seg = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(grams.view(np.int64)))
+                    cols, names = [pa.array(name[d]), pa.array(key[d]), pa.array(frag[first].astype(np.int32)), seg], _SEGMENTS
+                else:
+                    cell = d * FRAGMENTS + frag[first]
+                    sizes, sums, xors = (np.zeros(len(size) * FRAGMENTS, t) for t in (np.int32, np.uint64, np.uint64))
+                    sizes[cell] = np.diff(np.append(first, len(doc)))
+                    sums[cell] = np.add.reduceat(grams, first)
+                    xors[cell] = np.bitwise_xor.reduceat(mix(grams), first)
+                    some = np.flatnonzero(size)
+                    offsets = pa.array((np.arange(len(some) + 1) * FRAGMENTS).astype(np.int32))
+                    rows = (x.reshape(-1, FRAGMENTS)[some].ravel() for x in (sizes, sums.view(np.int64), xors.view(np.int64)))
+                    cols, names = [pa.array(name[some]), pa.array(key[some]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in rows)], _SUMMARIES
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in names.split(", ")])
+
+    return docs.mapInArrow(lean(run), _SEGMENTS if whole else _SUMMARIES)
+
+
+def _members(cells: DataFrame, bits: int) -> DataFrame:
+    """Counts of the hashes of ``rep, frag``."""
 
-
-def _members(ids: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, task = _Counter(bits), TaskContext.get().partitionId()
         for batch in batches:
-            counter.add(mix(batch.column(0).to_numpy().view(np.uint64)))
-        for k, at, count in counter.slices():
-            cols = [pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([at]), pa.array([count])]
+            counter.add(_cells(batch.column("rep").to_numpy(), batch.column("frag").to_numpy()))
+        for k, counts in counter.slices():
+            cols = [pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([counts])]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SLICES.split(", ")])
 
-    return ids.mapInArrow(lean(run), _SLICES)
+    return cells.mapInArrow(lean(run), _SLICES)
 
 
 class _Verifier:
-    """Counts overlaps by fragment for candidate pairs, and keeps the pairs that link."""
+    """Sums the overlaps of candidate pairs over fragments, and keeps the pairs that link.
+
+    Fragments that are equal (by size, sum and exclusive or of their n-grams) overlap in full;
+    pairs that can't reach the threshold with all others go; only what differs is compared.
+    """
+
+    def __init__(self, docs: DataFrame, spec: JoinSpec, levels, bits: int) -> None:
+        self.docs, self.spec, self.levels, self.bits = docs, spec, levels, bits
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, spec: JoinSpec, levels, bits: int) -> None:
-        self.docs, self.classes, self.spec, self.levels, self.bits = docs, classes, spec, levels, bits
+    def _read(self, cells: DataFrame, whole: bool) -> DataFrame:
+        cells = materialize(cells.distinct(), "wanted")
+        bits = _bits_for(64 * cells.count())
+        wanted = cells.sparkSession.sparkContext.broadcast(_levels(_members(cells, bits), bits))
+        return _fragments(self.docs, self.spec, self.levels, self.bits, wanted, bits, whole)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        spark, spec = pairs.sparkSession, self.spec
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        ids = materialize(ids, "wanted")
-        bits = _bits_for(64 * ids.count())
-        wanted = spark.sparkContext.broadcast(_levels(_members(ids, bits), bits))
-        found = _segments(self.docs, spec, self.levels, self.bits, wanted, bits)
-        # a document that the table let through by chance, or whose id another text has too, ends here
-        parts = found.join(self.classes.select("rep", "k1", "k2").join(ids, "rep", "left_semi"), ["rep", "k1", "k2"], "left_semi")
-        parts = materialize(parts.select("rep", "frag", "seg"), "segments")
-        asked = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-        a = parts.select(F.col("rep").alias("a"), "frag", F.col("seg").alias("sa"))
-        b = parts.select(F.col("rep").alias("b"), "frag", F.col("seg").alias("sb"))
-        partial = asked.join(a, ["a", "frag"]).join(b, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("sa", "sb")).alias("o"))
-        whole = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("o").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
-        return whole.where(f"{spec.den} * overlap >= {spec.num} * (na + nb - overlap)").select("a", "b", "overlap")
+        spec = self.spec
+        side = lambda df, x, k: df.select(*(F.col(c).alias({"rep": x, "k1": k}.get(c, f"{c}_{x}") if c != "frag" else c) for c in df.columns))
+        both = pairs.selectExpr("a as rep").unionByName(pairs.selectExpr("b as rep"))
+        summaries = materialize(self._read(both.withColumn("frag", F.lit(0)), False).dropDuplicates(["rep", "k1"]), "summaries")
+        met = pairs.join(side(summaries, "a", "ka"), ["a", "ka"]).join(side(summaries, "b", "kb"), ["b", "kb"])
+        equal = "(sizes_a[i] = sizes_b[i] and sums_a[i] = sums_b[i] and xors_a[i] = xors_b[i])"
+        each = f"sequence(0, {FRAGMENTS - 1})"
+        met = met.withColumns(
+            {
+                "same": F.expr(f"aggregate({each}, 0, (s, i) -> s + if({equal}, sizes_a[i], 0))"),
+                "most": F.expr(f"aggregate({each}, 0, (s, i) -> s + least(sizes_a[i], sizes_b[i]))"),
+                "frags": F.expr(f"filter({each}, i -> not {equal} and sizes_a[i] > 0 and sizes_b[i] > 0)"),
+            }
+        )
+        met = met.where(f"{spec.den} * most >= {spec.num} * (na + nb - most)")
+        met = materialize(met.select("a", "b", "na", "nb", "ka", "kb", "same", "frags"), "met")
+        asked = met.select("a", "b", "ka", "kb", F.explode("frags").alias("frag"))
+        segments = materialize(self._read(asked.selectExpr("a as rep", "frag").unionByName(asked.selectExpr("b as rep", "frag")), True), "segments")
+        partial = asked.join(side(segments, "a", "ka"), ["a", "ka", "frag"]).join(side(segments, "b", "kb"), ["b", "kb", "frag"])
+        partial = partial.select("a", "b", "frag", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
+        summed = partial.groupBy("a", "b", "frag").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
+        found = met.join(summed, ["a", "b"], "left").withColumn("overlap", F.col("same") + F.coalesce("o", F.lit(0)))
+        return found.where(f"{spec.den} * overlap >= {spec.num} * (na + nb - overlap)").select("a", "b", "overlap")
 
 
 def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFrame:
@@ -392,16 +449,17 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = _bits_for(chars // 6 // COUNTS_PER_BUCKET)
     scan = materialize(_scan(docs, spec, bits), "scan")
-    levels = spark.sparkContext.broadcast(_levels(scan.where("slice is not null").select("task", "slice", "at", "count"), bits))
+    levels = spark.sparkContext.broadcast(_levels(scan.where("slice is not null").select("task", "slice", "counts"), bits))
     sets = scan.where("slice is null").select("doc_id", "n", "k1", "k2")
     linkable = sets.where("n > 0 and doc_id is not null")
     classes = materialize(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
 
     heads = _shared(_heads(docs.where("doc_id is not null"), spec, levels, bits))
-    live = heads.select("gram", "k1", "k2", "n", "pos").distinct().join(classes, ["k1", "k2"])
-    live = materialize(live.select("gram", "rep", "n", "pos"), "live")
+    # two sets with one k1 would only add a candidate
+    live = heads.select("gram", "k1", "n", "pos").distinct().join(classes.select("k1", "rep"), "k1")
+    live = materialize(live.select("gram", "rep", "k1", "n", "pos"), "live")
     labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    verify, tested, links = _Verifier(docs.where("doc_id is not null"), classes, spec, levels, bits), None, None
+    verify, tested, links = _Verifier(docs.where("doc_id is not null"), spec, levels, bits), None, None
     by_star = True
     while True:
         named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
