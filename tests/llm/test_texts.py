@@ -108,6 +108,20 @@ def test_wrapper_of_pages():
     assert wrappers.extract(pages[1]).startswith("Site line")
 
 
+def test_alignment(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    for cells in (250_000, 0):
+        monkeypatch.setattr(wrappers, "MAX_CELLS", cells)
+        for _ in range(200):
+            x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+            found = wrappers._matches(x, y)
+            assert all(x[i] == y[j] for i, j in found) and found == sorted(found) and len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+            assert all(a[1] < b[1] for a, b in zip(found, found[1:]))
+    assert wrappers._matches(list("abcd"), list("axcd")) == [(0, 0), (2, 2), (3, 3)]
+
+
 def test_equal_pages_make_no_template():
     pages = ["<body><p>only text</p></body>"] * 8
     assert wrappers.extract(pages[0], wrappers.pack(wrappers.infer(pages))) == "only text"
@@ -127,6 +141,13 @@ def test_main_text_odd_rows(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def test_many_wrappers_join_by_shares(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = rows(wrappers.main_text(pages))
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    assert rows(wrappers.main_text(pages)) == want
+
+
 def test_html_query(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op4_html_wrappers(spark, sf).collect():
