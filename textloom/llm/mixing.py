@@ -35,7 +35,7 @@ MAX_SOURCES = 100_000
 #: Blocks hold 1/LEAST_SLOTS of the budget, but no more than MAX_BLOCK words.
 LEAST_SLOTS, MAX_BLOCK = 1 << 16, 4096
 RING, GOLDEN = 1 << 31, 1327217885
-SLOTS_PER_SHARE, ROWS_PER_SHARE = 1 << 16, 1024
+SLOTS_PER_SHARE, ROWS_PER_SHARE = 1 << 16, 128
 
 
 def word_count(text: str = "text") -> Column:
