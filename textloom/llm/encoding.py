@@ -10,12 +10,14 @@ is encoded as it stands. Either way every id comes from the library.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 #: Words that a worker remembers at most; later ones are encoded again for each batch.
-MEMORY = 500_000
+MEMORY = 1_000_000
 LINES = 512
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 _loaded: dict[tuple[str, int], Encoder] = {}
 
@@ -37,16 +39,18 @@ class Encoder:
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b", "c")]
         self.by_word = len(feed) == 1 and both == alone[0] + feed + alone[1] + feed + alone[2]
         self.feed = feed[0] if self.by_word else None
-        self.known: dict[str, bytes | None] = {"\n": np.array(feed, self.dtype).tobytes()}
+        #: "" and " " come from white space that isn't single
+        self.known: dict[str, bytes | None] = {"\n": np.array(feed, self.dtype).tobytes(), "": None, " ": None}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes | None]:
         """Ids of words, each without white space but for one leading space; None for what isn't such a word."""
-        good = [w for w in words if len(w.split()) == 1 and not w[-1].isspace() and not w[1:2].isspace()]
-        out: dict[str, bytes | None] = dict.fromkeys(words) if len(good) < len(words) else {}
-        size = self.dtype.itemsize
+        good, out, size = words, {}, self.dtype.itemsize
+        if _OTHER_SPACE.search("\n".join(words)):
+            good = [w for w in words if not _OTHER_SPACE.search(w)]
+            out = dict.fromkeys(words)
         for k in range(0, len(good), LINES):
             some = good[k : k + LINES]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
