@@ -50,8 +50,8 @@ class Model:
         return out
 
 
-def features(group: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every feature, distinct and sorted by both."""
+def occurrences(group: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every feature, with repeats."""
     h, doc = group.hashes, group.doc
     parts, docs = [combine([h], 1)] if len(h) else [], [doc] if len(h) else []
     for tag, places in ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 2)), (5, (0, 3))):
@@ -62,11 +62,20 @@ def features(group: Words) -> tuple[np.ndarray, np.ndarray]:
             docs.append(doc[whole])
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bucket = (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
-    both = np.unique(np.concatenate(docs) << BITS | bucket)
+    return np.concatenate(docs), (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature of a text once, sorted by text and bucket."""
+    both = np.unique(doc << BITS | bucket)
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def features(group: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every feature, distinct and sorted by both."""
+    return distinct(*occurrences(group))
+
+
 @dataclass
 class Ftrl:
     """State of FTRL-proximal; the last coordinate is the intercept, which L1 doesn't touch."""
@@ -154,7 +163,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
         for batch in batches:
             scores = [np.zeros(0)]
             for group in words_of(batch.column(text), separators=letters):
-                doc, bucket = features(group)
+                doc, bucket = occurrences(group)
+                known = dense[bucket] != 0  # few, so that only they need sorting
+                doc, bucket = distinct(doc[known], bucket[known])
                 total = np.bincount(doc, weights=dense[bucket], minlength=group.last - group.first) + shared.value.intercept
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             keep = [n for n in batch.schema.names if n not in gone]
