@@ -2,7 +2,7 @@
 
 toxicity        documents scored 0.5 or more go (model learned from the labels that aren't held out)
 quality         documents go that fail a rule, or whose source is rejected
-near duplicates of each component of linked 3-word shingle sets (Jaccard 0.9) the least doc_id stays
+near duplicates of each component of linked 5-word shingle sets (Jaccard 0.8) the least doc_id stays
 mixing          documents are repeated, or left out, as the words that the mix takes of them say
 packing         pieces of at most 2048 tokens are placed in sequences
 """
@@ -16,6 +16,9 @@ from textloom.llm import mixing, ngram_join, packing, quality_rules, queries, to
 from textloom.session import materialize
 from textloom.sources.tables import table
 
+#: Near duplicates of the stage: 5-word shingles, a Jaccard similarity of 0.8 or more. op1's own query has other values.
+NEAR = ngram_join.JoinSpec(n=5, num=80, den=100)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
@@ -32,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(docs, queries.LINKS)
+    found = ngram_join.jaccard_components(docs, NEAR)
     kept = found.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
     # rows that share a doc_id are one document
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -308,3 +308,11 @@ def test_pipeline(spark, sf):
     assert five.agg({"length": "sum"}).first()[0] > 0
     assert five.select("doc_id").distinct().count() == len(times)
     assert all(corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf).count() == 0 for k in range(1, 5))
+
+
+def test_pipeline_near_copies(spark, sf):
+    """A document and a longer copy of it, similar by 0.87 at five words, are near duplicates for the stage; one below 0.8 is not."""
+    base = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(base), " ".join([*base, *(f"new{i}" for i in range(150))]), " ".join([*base, *(f"other{i}" for i in range(270))])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, df, sf).collect()) == [0, 2]
