@@ -316,3 +316,13 @@ def test_pipeline_near_copies(spark, sf):
     texts = [" ".join(base), " ".join([*base, *(f"new{i}" for i in range(150))]), " ".join([*base, *(f"other{i}" for i in range(270))])]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, df, sf).collect()) == [0, 2]
+
+
+def test_article_keeps_parts_named_like_boilerplate():
+    """Ids and parts of classes name an article's content; whole classes of adverts, and link lists so named, still go."""
+    body = (
+        '<article><header class="entry-header"><h1>Title</h1></header><section id="discussion"><h2>Discussion</h2><p>We find</p></section>'
+        '<h2 id="related-work">Related</h2><h2 id="search" class="search">Search</h2><section id="copyright-law"><p>Law</p></section>'
+        '<div class="ad">Buy</div><div class="related-posts"><a href=x>More</a> <a href=y>Posts</a></div><nav id="search"><p>No</p></nav></article>'
+    )
+    assert wrappers.extract(PAGE.format(body=body)) == "Title\nDiscussion\nWe find\nRelated\nSearch\nLaw"

@@ -41,7 +41,7 @@ from textloom.session import lean, materialize, ship
 
 #: Pages per host that a wrapper is inferred from; texts count as the template's from so many differing pages on.
 SAMPLE, TEMPLATE_PAGES = 8, 3
-#: Outside an article, a list whose text is links to this share or more is a menu.
+#: Outside an article a list, and inside one a part with a word of DROP_WORDS, whose text is links to this share or more is a menu.
 LINK_SHARE = 0.8
 #: Wrappers are broadcast up to so many bytes in all; beyond, they join on the host and one of SHARES shares of its pages.
 BROADCAST_BYTES, SHARES = 16 << 20, 16
@@ -76,6 +76,13 @@ DROP_WORDS = frozenset(
     "comment comments commentlist respond replies reply disqus discussion share sharing social related recommended recommendations trending "
     "skip search toolbar hidden".split()
 )
+#: Inside an article words of an id, or parts of a class, may name its content; only these whole classes, and ids of comments, drop there.
+CLEAR_CLASSES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo navbar menubar breadcrumb breadcrumbs pagination pager "
+    "sidebar widget widgets topbar gdpr newsletter subscribe signup comments commentlist respond disqus share sharing hidden".split()
+)
+CLEAR_IDS = frozenset("comments respond disqus_thread".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLE_TAGS, ARTICLE_WORDS = frozenset(("article", "main")), frozenset("articlebody".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -92,6 +99,7 @@ class Node:
     text: str | None = None
     linked: int = 0
     drop: bool = False
+    unclear: bool = False
     article: bool = False
     plus: bool = False
     optional: bool = False
@@ -100,8 +108,8 @@ class Node:
 
 
 @lru_cache(maxsize=4096)
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element, whether it is no main text, and whether it is an article."""
+def _element(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element, whether it is no main text, whether an article's content can be so named, and whether it is an article."""
     found = {a.lower(): html_lib.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip(" \t\r\n/") else {}
     words = _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
     role = found.get("role", "").lower()
@@ -109,8 +117,11 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     article = name in ARTICLE_TAGS or role in ("main", "article") or found.get("itemprop", "").lower() in ARTICLE_WORDS
     plain = name in ("html", "body") or article
-    drop = not plain and (name in DROP_TAGS or role in DROP_ROLES or not DROP_WORDS.isdisjoint(words)) or hidden
-    return ".".join([name, *sorted(set(words))]), drop, article
+    sure = not plain and (name in DROP_TAGS or role in DROP_ROLES) or hidden
+    drop = sure or not plain and not DROP_WORDS.isdisjoint(words)
+    named = not CLEAR_CLASSES.isdisjoint(found.get("class", "").lower().split()) or found.get("id", "").strip().lower() in CLEAR_IDS
+    unclear = drop and not sure and (not named or name in HEADINGS)
+    return ".".join([name, *sorted(set(words))]), drop, unclear, article
 
 
 def parse(page: str) -> Node:
@@ -175,8 +186,8 @@ def parse(page: str) -> Node:
                     close(("p",), CONTAINERS | {"td", "th", "li", "dd"})
                 if name in ENDS:
                     close(ENDS[name], frozenset(("table", "ol", "ul", "dl", "menu", "select")))
-                label, drop, article = _element(name, attributes)
-                node = Node(label, drop=drop, article=article)
+                label, drop, unclear, article = _element(name, attributes)
+                node = Node(label, drop=drop, unclear=unclear, article=article)
                 stack[-1][1].children.append(node)
                 if name not in VOID:
                     stack.append((name, node))
@@ -337,6 +348,14 @@ def _amounts(node: Node) -> tuple[int, int]:
     return total, linked
 
 
+def _menu(node: Node) -> bool:
+    """Whether a part with children is links, headings aside."""
+    if node.label.partition(".")[0] in HEADINGS or not node.children:
+        return False
+    total, linked = _amounts(node)
+    return linked >= LINK_SHARE * total
+
+
 def extract(page: str, wrapper: list | None = None) -> str:
     """The main text of a page."""
     root = parse(page)
@@ -371,14 +390,12 @@ def _collect(node: Node, article: bool, inside: bool, out: list[str]) -> None:
                 out.append(child.text)
             continue
         name = child.label.partition(".")[0]
-        if child.drop and not (name not in DROP_TAGS and _has_heading(child)):
+        if child.drop and not (inside and child.unclear and not _menu(child)) and not (name not in DROP_TAGS and _has_heading(child)):
             continue
         if name == "header" and not inside:
             continue
-        if not article and name in ("ul", "ol") and child.children:
-            total, linked = _amounts(child)
-            if linked >= LINK_SHARE * total:
-                continue
+        if not article and name in ("ul", "ol") and child.children and _menu(child):
+            continue
         _collect(child, article, inside or article and child.article, out)
 
 
