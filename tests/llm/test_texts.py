@@ -326,3 +326,14 @@ def test_article_keeps_parts_named_like_boilerplate():
         '<div class="ad">Buy</div><div class="related-posts"><a href=x>More</a> <a href=y>Posts</a></div><nav id="search"><p>No</p></nav></article>'
     )
     assert wrappers.extract(PAGE.format(body=body)) == "Title\nDiscussion\nWe find\nRelated\nSearch\nLaw"
+
+
+def test_template_texts_inside_articles(spark, monkeypatch):
+    """The rows hang on the wrapper: a site's line in neutral tags of every article goes, differing texts and repeated groups stay."""
+    html = "<body><article><h1>T{0}</h1><div>Subscribe to the site</div><p>one {0}</p><p>same</p><p>same</p><section>part {0}</section></article></body>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", html.format(i)) for i in range(30)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    assert found == {i: f"T{i}\none {i}\nsame\nsame\npart {i}" for i in range(30)}
+    copies = df.selectExpr("page_id", "url", f"'{html.format(1)}' as html")
+    assert {r["text"] for r in wrappers.main_text(copies).collect()} == {"T1\nSubscribe to the site\none 1\nsame\nsame\npart 1"}
+    assert wrappers.extract(html.format(0)).count("Subscribe") == 1

@@ -9,7 +9,7 @@ every page of the host which texts fill slots and which are the template's.
 
 A page's main text is the blocks inside its article (``article``, ``main`` or the like, else
 the body) without navigation, headers and footers, asides, notices, adverts, forms, hidden
-parts, comments and, outside an article, texts of the template and lists of links. Blocks
+parts, comments, texts of the template and, outside an article, lists of links. Blocks
 have their white space collapsed and are joined by line feeds in page order.
 
 Scale: samples come from a partial aggregate per host and slot, so a host with a third of all
@@ -296,11 +296,11 @@ def folded(node: Node) -> Node:
 
 
 def infer(pages: list[str]) -> Node | None:
-    """The wrapper of some pages of one host; pages with one and the same text count once."""
+    """The wrapper of some pages of one host; pages with one and the same main text count once."""
     trees = {}
     for page in pages:
         tree = parse(page)
-        trees.setdefault("\n".join(texts(tree)), tree)
+        trees.setdefault(extract(page), tree)
     wrapper = None
     for tree in trees.values():
         tree = folded(tree)
@@ -308,13 +308,6 @@ def infer(pages: list[str]) -> Node | None:
     return wrapper
 
 
-def texts(node: Node) -> Iterator[str]:
-    if node.text is not None:
-        yield node.text
-    for child in node.children:
-        yield from texts(child)
-
-
 def expression(node: Node) -> str:
     """The wrapper as a union-free regular expression over tags and texts."""
     if node.label == "#":
@@ -325,10 +318,14 @@ def expression(node: Node) -> str:
     return f"({out}){'+' if node.plus else ''}{'?' if node.optional else ''}" if node.plus or node.optional else out
 
 
-def pack(node: Node) -> list:
-    """What :func:`extract` needs of a wrapper: label, repeated, template text, children that hold such texts."""
-    text = node.text if node.label == "#" and node.pages >= TEMPLATE_PAGES and not node.plus else None
-    children = [pack(c) for c in node.children]
+def pack(node: Node, repeated: bool = False) -> list:
+    """What :func:`extract` needs of a wrapper: label, repeated, template text, children that hold such texts.
+
+    Texts in a repeated group are no template's: their pages are counted per repetition.
+    """
+    repeated = repeated or node.plus
+    text = node.text if node.label == "#" and node.pages >= TEMPLATE_PAGES and not repeated else None
+    children = [pack(c, repeated) for c in node.children]
     return [node.label, int(node.plus), text, children if any(c[2] is not None or c[3] for c in children) else []]
 
 
@@ -386,7 +383,7 @@ def _collect(node: Node, article: bool, inside: bool, out: list[str]) -> None:
     """Texts of the article, or of the body where there is none."""
     for child in node.children:
         if child.label == "#":
-            if inside or not article and not child.template:
+            if (inside or not article) and not child.template:
                 out.append(child.text)
             continue
         name = child.label.partition(".")[0]
