@@ -337,3 +337,34 @@ def test_template_texts_inside_articles(spark, monkeypatch):
     copies = df.selectExpr("page_id", "url", f"'{html.format(1)}' as html")
     assert {r["text"] for r in wrappers.main_text(copies).collect()} == {"T1\nSubscribe to the site\none 1\nsame\nsame\npart 1"}
     assert wrappers.extract(html.format(0)).count("Subscribe") == 1
+
+
+def plain_matches(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i, j, out = 0, 0, []
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_alignment_is_one_at_every_size(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    for cells in (250_000, 0):
+        monkeypatch.setattr(wrappers, "MAX_CELLS", cells)
+        for _ in range(300):
+            x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            assert wrappers._longest(x, y) == plain_matches(x, y)
+            assert len(wrappers._matches(x, y)) == len(plain_matches(x, y))
+    x = [f"p{i}" for i in range(600)]
+    assert len(wrappers._matches(["late", *x, "end"], ["start", *x, "late"])) == 600

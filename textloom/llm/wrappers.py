@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as html_lib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,7 +46,7 @@ SAMPLE, TEMPLATE_PAGES = 8, 3
 LINK_SHARE = 0.8
 #: Wrappers are broadcast up to so many bytes in all; beyond, they join on the host and one of SHARES shares of its pages.
 BROADCAST_BYTES, SHARES = 16 << 20, 16
-#: Streams are aligned by a longest common subsequence up to so many cells, then by next places.
+#: An alignment keeps all its rows of bits up to so many cells; beyond, it makes them again in groups. The result is the same.
 MAX_CELLS = 250_000
 
 #: Element names of HTML.
@@ -224,44 +225,64 @@ def align(x: list[Node], y: list[Node]) -> list[Node]:
 
 
 def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence: the ends that agree, and a longest one between, unless both are very long."""
+    """Places of a common subsequence: the ends that agree, and a longest one between."""
     first, n, m = 0, len(x), len(y)
     while first < min(n, m) and x[first] == y[first]:
         first += 1
     while n > first and m > first and x[n - 1] == y[m - 1]:
         n, m = n - 1, m - 1
     out = [(k, k) for k in range(first)]
-    if (n - first) * (m - first) <= MAX_CELLS:
-        best = [[0] * (m - first + 1) for _ in range(n - first + 1)]
-        for i in range(n - 1, first - 1, -1):
-            for j in range(m - 1, first - 1, -1):
-                a, b = i - first, j - first
-                best[a][b] = best[a + 1][b + 1] + 1 if x[i] == y[j] else max(best[a + 1][b], best[a][b + 1])
-        i = j = first
-        while i < n and j < m:
-            if x[i] == y[j]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i - first + 1][j - first] >= best[i - first][j - first + 1]:
-                i += 1
-            else:
-                j += 1
-    else:  # each label with its next place, in linear time
-        places: dict[str, list[int]] = {}
-        for j in range(m - 1, first - 1, -1):
-            places.setdefault(y[j], []).append(j)
-        at = first
-        for i in range(first, n):
-            found = places.get(x[i], [])
-            while found and found[-1] < at:
-                found.pop()
-            if found:
-                at = found.pop()
-                out.append((i, at))
-                at += 1
+    out += [(first + i, first + j) for i, j in _longest(x[first:n], y[first:m])]
     return [*out, *((n + k, m + k) for k in range(len(x) - n))]
 
 
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, from rows of bits.
+
+    Bit k of row i says whether the longest one of x[i:] and y[m - 1 - k:] is longer than without y[m - 1 - k].
+    """
+    n, m = len(x), len(y)
+    every, step = (1 << m) - 1, 1 if n * m <= MAX_CELLS else math.isqrt(n) + 1
+    places: dict[str, int] = {}
+    for j, label in enumerate(y):
+        places[label] = places.get(label, 0) | 1 << (m - 1 - j)
+
+    def row(i: int, below: int) -> int:
+        v = every ^ below
+        u = v & places.get(x[i], 0)
+        return every ^ ((v + u | v - u) & every)
+
+    kept, bits = {n: 0}, 0
+    for i in range(n - 1, -1, -1):
+        bits = row(i, bits)
+        if i % step == 0:
+            kept[i] = bits
+    made: dict[int, int] = {}
+
+    def bits_of(i: int) -> int:
+        if i not in made:
+            made.clear()
+            made[min((i // step + 1) * step, n)] = bits = kept[min((i // step + 1) * step, n)]
+            for k in range(min((i // step + 1) * step, n) - 1, i // step * step - 1, -1):
+                made[k] = bits = row(k, bits)
+        return made[i]
+
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        here, rest = bits_of(i), every >> j
+        below = (bits_of(i + 1) & rest).bit_count() if i + 1 < n else 0
+        if below == (here & rest).bit_count():  # x[i] adds nothing
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def fold(nodes: list[Node]) -> list[Node]:
     """Neighbouring groups of one to three equal labels become one repeated group."""
     for width in (1, 2, 3):
