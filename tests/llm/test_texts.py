@@ -368,3 +368,16 @@ def test_alignment_is_one_at_every_size(monkeypatch):
             assert len(wrappers._matches(x, y)) == len(plain_matches(x, y))
     x = [f"p{i}" for i in range(600)]
     assert len(wrappers._matches(["late", *x, "end"], ["start", *x, "late"])) == 600
+
+
+def test_deep_nesting_keeps_its_structure():
+    """End tags of deep elements close those, what is dropped there stays dropped, and wrappers have any depth."""
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    page = "<body><div><article>" + deep(250, "<p>text {0}</p><nav>menu</nav><div>Site line</div>") + "<p>rest {0}</p></article></div></body>"
+    assert wrappers.extract(page.format(0)) == "text 0\nSite line\nrest 0"
+    packed = wrappers.pack(wrappers.infer([page.format(i) for i in range(4)]))
+    assert wrappers.loads(wrappers.dumps(packed)) == packed
+    assert wrappers.extract(page.format(9), packed) == "text 9\nrest 9"
+    far = "<article>" + deep(20_000, "x{0}") + "<p>rest {0}</p></article>"
+    packed = wrappers.pack(wrappers.infer([far.format(i) for i in range(4)]))
+    assert wrappers.extract(far.format(7), wrappers.loads(wrappers.dumps(packed))) == "x7\nrest 7"

@@ -29,7 +29,8 @@ import html as html_lib
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -106,6 +107,29 @@ class Node:
     optional: bool = False
     template: bool = False
     pages: int = 1
+    heading: bool = False
+    total: int = 0
+    links: int = 0
+
+
+def _deep(f: Callable) -> Callable:
+    """A recursive function, written as a generator that yields its calls' ``steps``, at any depth."""
+
+    def run(*args):
+        stack, value = [f(*args)], None
+        while stack:
+            try:
+                call = stack[-1].send(value)
+            except StopIteration as e:
+                stack.pop()
+                value = e.value
+            else:
+                stack.append(call)
+                value = None
+        return value
+
+    run.steps, run.__doc__ = f, f.__doc__
+    return run
 
 
 @lru_cache(maxsize=4096)
@@ -129,6 +153,7 @@ def parse(page: str) -> Node:
     """The block-level tree of a page; inline tags only add to the text around them."""
     root = Node("#root")
     stack: list[tuple[str, Node]] = [("#root", root)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -141,13 +166,16 @@ def parse(page: str) -> Node:
         state["linked"] = 0
 
     def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return close(names, stop) if len(names) > 1 else None
-            if stack[k][0] in stop:
-                return None
-        return None
+        while any(opened[name] for name in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in names:
+                    opened.subtract(n for n, _ in stack[k:])
+                    del stack[k:]
+                    break
+                if stack[k][0] in stop:
+                    return
+            if len(names) == 1:
+                return
 
     def add(piece: str) -> None:
         if piece:
@@ -180,8 +208,7 @@ def parse(page: str) -> Node:
         elif name in BLOCK:
             flush()
             if ends:
-                if any(n == name for n, _ in stack[1:]):
-                    close((name,), frozenset())
+                close((name,), frozenset())
             else:
                 if name != "option":
                     close(("p",), CONTAINERS | {"td", "th", "li", "dd"})
@@ -192,8 +219,7 @@ def parse(page: str) -> Node:
                 stack[-1][1].children.append(node)
                 if name not in VOID:
                     stack.append((name, node))
-                    if len(stack) > 200:  # deeper nesting goes flat
-                        stack.pop()
+                    opened[name] += 1
     flush()
     return root
 
@@ -203,14 +229,17 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE)
 
 
+@_deep
 def merge(a: Node, b: Node) -> Node:
     """The wrapper of two nodes with one label: their children aligned, differing texts a slot."""
     out = Node(a.label, drop=a.drop, article=a.article, plus=a.plus or b.plus, optional=a.optional or b.optional, pages=a.pages + b.pages)
     out.text = a.text if a.text == b.text else None
-    out.children = fold(align(a.children, b.children))
+    aligned = yield align.steps(a.children, b.children)
+    out.children = yield fold.steps(aligned)
     return out
 
 
+@_deep
 def align(x: list[Node], y: list[Node]) -> list[Node]:
     """One stream of children that has both: matching labels merge, the rest is optional."""
     out, i, j = [], 0, 0
@@ -219,7 +248,7 @@ def align(x: list[Node], y: list[Node]) -> list[Node]:
             node.optional = True
             out.append(node)
         if a < len(x):
-            out.append(merge(x[a], y[b]))
+            out.append((yield merge.steps(x[a], y[b])))
         i, j = a + 1, b + 1
     return out
 
@@ -283,6 +312,7 @@ def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+@_deep
 def fold(nodes: list[Node]) -> list[Node]:
     """Neighbouring groups of one to three equal labels become one repeated group."""
     for width in (1, 2, 3):
@@ -293,7 +323,10 @@ def fold(nodes: list[Node]) -> list[Node]:
             stop = i + width
             group = nodes[i:stop]
             while len(here) == width and [n.label for n in nodes[stop : stop + width]] == here:
-                group = [_repeat(a, b) for a, b in zip(group, nodes[stop : stop + width], strict=True)]
+                merged = []
+                for a, b in zip(group, nodes[stop : stop + width], strict=True):
+                    merged.append((yield _repeat.steps(a, b)))
+                group = merged
                 stop += width
             if stop > i + width:
                 out += group
@@ -305,14 +338,19 @@ def fold(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
+@_deep
 def _repeat(a: Node, b: Node) -> Node:
-    out = merge(a, b)
+    out = yield merge.steps(a, b)
     out.pages, out.plus, out.optional = max(a.pages, b.pages), True, a.optional and b.optional
     return out
 
 
+@_deep
 def folded(node: Node) -> Node:
-    node.children = fold([folded(c) for c in node.children])
+    children = []
+    for c in node.children:
+        children.append((yield folded.steps(c)))
+    node.children = yield fold.steps(children)
     return node
 
 
@@ -329,16 +367,21 @@ def infer(pages: list[str]) -> Node | None:
     return wrapper
 
 
+@_deep
 def expression(node: Node) -> str:
     """The wrapper as a union-free regular expression over tags and texts."""
     if node.label == "#":
         out = "#" if node.text is None else json.dumps(node.text, ensure_ascii=False)
     else:
-        inner = " ".join(expression(c) for c in node.children)
+        parts = []
+        for c in node.children:
+            parts.append((yield expression.steps(c)))
+        inner = " ".join(parts)
         out = inner if node.label == "#root" else f"<{node.label}> {inner} </>" if inner else f"<{node.label}/>"
     return f"({out}){'+' if node.plus else ''}{'?' if node.optional else ''}" if node.plus or node.optional else out
 
 
+@_deep
 def pack(node: Node, repeated: bool = False) -> list:
     """What :func:`extract` needs of a wrapper: label, repeated, template text, children that hold such texts.
 
@@ -346,32 +389,48 @@ def pack(node: Node, repeated: bool = False) -> list:
     """
     repeated = repeated or node.plus
     text = node.text if node.label == "#" and node.pages >= TEMPLATE_PAGES and not repeated else None
-    children = [pack(c, repeated) for c in node.children]
+    children = []
+    for c in node.children:
+        children.append((yield pack.steps(c, repeated)))
     return [node.label, int(node.plus), text, children if any(c[2] is not None or c[3] for c in children) else []]
 
 
-def _has_article(node: Node) -> bool:
-    return any(c.article and not c.drop or _has_article(c) for c in node.children)
+def dumps(packed: list) -> str:
+    """A packed wrapper as JSON without nesting: its nodes in order, each with the number of its children."""
+    flat, stack = [], [packed]
+    while stack:
+        label, plus, text, children = stack.pop()
+        flat.append([label, plus, text, len(children)])
+        stack += reversed(children)
+    return json.dumps(flat)
 
 
-def _has_heading(node: Node) -> bool:
-    return any(c.article or c.label.partition(".")[0] == "h1" or _has_heading(c) for c in node.children)
+def loads(data: str) -> list:
+    done: list[list] = []
+    for label, plus, text, n in reversed(json.loads(data)):
+        children = [done.pop() for _ in range(n)]
+        done.append([label, plus, text, children])
+    return done[0]
 
 
-def _amounts(node: Node) -> tuple[int, int]:
-    total, linked = len(node.text or ""), node.linked
-    for child in node.children:
-        t, k = _amounts(child)
-        total, linked = total + t, linked + k
-    return total, linked
+def _sum_up(root: Node) -> bool:
+    """Set whether parts hold a heading, and their lengths; whether there is an article."""
+    nodes, article = [root], False
+    for node in nodes:
+        nodes += node.children
+        article = article or node.article and not node.drop
+    for node in reversed(nodes):
+        node.heading = any(c.heading or c.article or c.label.partition(".")[0] == "h1" for c in node.children)
+        node.total = len(node.text or "") + sum(c.total for c in node.children)
+        node.links = node.linked + sum(c.links for c in node.children)
+    return article
 
 
 def _menu(node: Node) -> bool:
     """Whether a part with children is links, headings aside."""
     if node.label.partition(".")[0] in HEADINGS or not node.children:
         return False
-    total, linked = _amounts(node)
-    return linked >= LINK_SHARE * total
+    return node.links >= LINK_SHARE * node.total
 
 
 def extract(page: str, wrapper: list | None = None) -> str:
@@ -380,41 +439,50 @@ def extract(page: str, wrapper: list | None = None) -> str:
     if wrapper is not None and wrapper[3]:
         _mark(root, wrapper)
     blocks: list[str] = []
-    _collect(root, _has_article(root), False, blocks)
+    _collect(root, _sum_up(root), blocks)
     return "\n".join(blocks)
 
 
-def _mark(node: Node, wrapper: list) -> None:
+def _mark(root: Node, wrapper: list) -> None:
     """Walk a page along its wrapper and mark the template's texts."""
-    at, parts = 0, wrapper[3]
-    for child in node.children:
-        k = at
-        while k < len(parts) and parts[k][0] != child.label:
-            k += 1
-        if k == len(parts):
-            continue  # not in the wrapper
-        at = k if parts[k][1] else k + 1
-        if child.label == "#":
-            child.template = child.text == parts[k][2]
-        else:
-            _mark(child, parts[k])
+    stack = [(root, wrapper)]
+    while stack:
+        node, (_, _, _, parts) = stack.pop()
+        at = 0
+        for child in node.children:
+            k = at
+            while k < len(parts) and parts[k][0] != child.label:
+                k += 1
+            if k == len(parts):
+                continue  # not in the wrapper
+            at = k if parts[k][1] else k + 1
+            if child.label == "#":
+                child.template = child.text == parts[k][2]
+            else:
+                stack.append((child, parts[k]))
 
 
-def _collect(node: Node, article: bool, inside: bool, out: list[str]) -> None:
+def _collect(root: Node, article: bool, out: list[str]) -> None:
     """Texts of the article, or of the body where there is none."""
-    for child in node.children:
+    stack = [(iter(root.children), False)]
+    while stack:
+        children, inside = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            continue
         if child.label == "#":
             if (inside or not article) and not child.template:
                 out.append(child.text)
             continue
         name = child.label.partition(".")[0]
-        if child.drop and not (inside and child.unclear and not _menu(child)) and not (name not in DROP_TAGS and _has_heading(child)):
+        if child.drop and not (inside and child.unclear and not _menu(child)) and not (name not in DROP_TAGS and child.heading):
             continue
         if name == "header" and not inside:
             continue
         if not article and name in ("ul", "ol") and child.children and _menu(child):
             continue
-        _collect(child, article, inside or article and child.article, out)
+        stack.append((iter(child.children), inside or article and child.article))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -430,7 +498,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [infer([p["html"] for p in pages]) for pages in batch.column("pages").to_pylist()]
-            packed = [json.dumps(pack(w)) for w in found]
+            packed = [dumps(pack(w)) for w in found]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(packed, pa.string()), pa.array([expression(w) for w in found], pa.string())], names=["host", "wrapper", "expression"])
 
     return some.mapInArrow(lean(run), "host string, wrapper string, expression string")
@@ -438,7 +506,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=1024)
 def _loaded(wrapper: str) -> list:
-    return json.loads(wrapper)
+    return loads(wrapper)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
