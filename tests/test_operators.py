@@ -168,3 +168,11 @@ def test_release_deletes_tables(spark):
     assert df.count() == 3 and os.path.exists(path)
     session.release(spark)
     assert not os.path.exists(path) and not session._made
+
+
+def test_all_candidates_of_a_bucket(spark):
+    """Every pair of different sets in a bucket, not those with the least document alone; copies come once."""
+    grams = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "c")], "doc_id long, gram string")
+    keys = lambda g: g.selectExpr("doc_id", "0 as band", "'k' as key")
+    found = {tuple(r) for r in dedup.all_candidates(grams, keys).collect()}
+    assert found == {(1, 2, False), (1, 3, False), (2, 3, False), (3, 4, True)}

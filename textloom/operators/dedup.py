@@ -133,6 +133,14 @@ def candidate_stars(keys: DataFrame) -> DataFrame:
     return keys.join(least, ["band", "key"]).where("l < doc_id").select("l", F.col("doc_id").alias("r")).distinct()
 
 
+def all_candidates(grams: DataFrame, keys_of) -> DataFrame:
+    """``l, r, copy``: the candidate pairs of different sets, by their least documents, and each copy with its set's least document."""
+    classes = materialize(set_classes(grams), "classes")
+    single = grams.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    copies = classes.where("rep < doc_id").select(F.col("rep").alias("l"), F.col("doc_id").alias("r"), F.lit(True).alias("copy"))
+    return candidate_pairs(keys_of(single)).withColumn("copy", F.lit(False)).unionByName(copies)
+
+
 def verified(pairs: DataFrame, grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """Pairs whose exact Jaccard similarity is num/den or more."""
     sets = grams.groupBy("doc_id").agg(F.collect_set(F.xxhash64("gram")).alias("g"))

@@ -93,6 +93,17 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 LSH_CANDIDATES = f"WITH {KEYS}, st AS (SELECT min(doc_id) AS l, band, key FROM kb GROUP BY band, key) SELECT DISTINCT l, doc_id AS r FROM st JOIN kb USING (band, key) WHERE l < doc_id"
 
 
+def lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs of different n-gram sets, by their least documents, and every copy with the least document of its set."""
+    return dedup.all_candidates(materialize(_grams(spark, sf_dir), "grams"), _keys)
+
+
+LSH_CANDIDATE_PAIRS = f"""WITH {KEYS}, cs AS (SELECT doc_id, string_agg(gram, chr(10) ORDER BY gram) AS grams FROM g GROUP BY doc_id),
+rp AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS rep FROM cs)
+SELECT l, r, false AS copy FROM cp JOIN rp a ON a.doc_id = l AND a.rep = l JOIN rp b ON b.doc_id = r AND b.rep = r
+UNION ALL SELECT rep, doc_id, true FROM rp WHERE rep < doc_id"""
+
+
 def _pairs(spark: SparkSession, sf_dir: str, pairs_of=dedup.jaccard_pairs) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     grams = materialize(_grams(spark, sf_dir), "grams")
@@ -140,6 +151,7 @@ QUERIES = {
     "jaccard_pairs": (jaccard_pairs, JACCARD_PAIRS),
     "minhash_signature": (minhash_signature, MINHASH_SIGNATURE),
     "lsh_candidates": (lsh_candidates, LSH_CANDIDATES),
+    "lsh_candidate_pairs": (lsh_candidate_pairs, LSH_CANDIDATE_PAIRS),
     "fuzzy_clusters": (fuzzy_clusters, FUZZY_CLUSTERS),
     "fuzzy_dedup_exact": (fuzzy_dedup_exact, FUZZY_DEDUP_EXACT),
     "fuzzy_dedup_lsh": (fuzzy_dedup_lsh, FUZZY_DEDUP_LSH),
