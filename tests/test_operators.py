@@ -176,3 +176,12 @@ def test_all_candidates_of_a_bucket(spark):
     keys = lambda g: g.selectExpr("doc_id", "0 as band", "'k' as key")
     found = {tuple(r) for r in dedup.all_candidates(grams, keys).collect()}
     assert found == {(1, 2, False), (1, 3, False), (2, 3, False), (3, 4, True)}
+
+
+def test_arithmetic_covers_every_embedding(spark, sf):
+    from textloom.plans import maths
+
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["vec_id"] for r in maths.swiglu_all_rows(spark, sf).select("vec_id").distinct().collect()} == ids
+    assert {r["vec_id"] for r in maths.embedding_lookup_all(spark, sf).collect()} == ids
+    assert "WHERE vec_id <" not in maths.SWIGLU_ALL

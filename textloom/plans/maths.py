@@ -75,6 +75,14 @@ w2 AS (SELECT r AS o, c AS r, cos(2 + r * 16 + c) / sqrt(16) AS a FROM range(0,
 SELECT vec_id, o::INT AS dim, round(sum(a * z), {DIGITS}) AS value FROM k JOIN w2 USING (r) GROUP BY vec_id, o"""
 
 
+def swiglu_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed-forward step of every embedding."""
+    return _rows(_e(spark, sf_dir), V.swiglu(F.col("v"), _matrix(16, 64, 1), _matrix(64, 16, 2), _matrix(16, 64, 3)))
+
+
+SWIGLU_ALL = SWIGLU.replace(f" WHERE vec_id < {SMALL}", "")
+
+
 def rope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _e(spark, sf_dir)
     return _rows(df, V.rope(F.col("v"), F.col("vec_id")))
@@ -95,6 +103,18 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMBEDDING_LOOKUP = f"WITH {E} SELECT i AS pos, vec_id, round(v[1], {DIGITS}) AS first FROM range(0, 200) r(i) JOIN e ON vec_id = i * 37 % 500"
 
 
+def embedding_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row looked up by the id that follows from another row's by a rule."""
+    rows = _e(spark, sf_dir)
+    ids = rows.select(F.col("vec_id").alias("pos")).crossJoin(F.broadcast(rows.agg((F.max("vec_id") + 1).alias("n"))))
+    ids = ids.select("pos", (F.col("n") - 1 - F.col("pos")).alias("vec_id"))
+    return ids.join(rows, "vec_id").select("pos", "vec_id", F.round(F.get("v", F.lit(0)), DIGITS).alias("first"))
+
+
+EMBEDDING_LOOKUP_ALL = f"""WITH {E}, i AS (SELECT vec_id AS pos, (SELECT max(vec_id) FROM e) - vec_id AS vec_id FROM e)
+SELECT pos, vec_id, round(v[1], {DIGITS}) AS first FROM i JOIN e USING (vec_id)"""
+
+
 def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _e(spark, sf_dir).where(F.col("vec_id") < SMALL).select(F.col("vec_id").alias("id"), "v")
 
@@ -350,6 +370,8 @@ SCALING_FIT = f"WITH {_BEST} SELECT round(regr_slope(ln(n), ln(c)), {DIGITS}) AS
 
 QUERIES = {
     "embedding_norms": (embedding_norms, f"WITH {X} SELECT vec_id, round(sqrt(sum(x * x)), {DIGITS}) AS norm FROM x GROUP BY vec_id"),
+    "embedding_lookup_all": (embedding_lookup_all, EMBEDDING_LOOKUP_ALL),
+    "swiglu_all_rows": (swiglu_all_rows, SWIGLU_ALL),
     "embedding_lookup": (embedding_lookup, EMBEDDING_LOOKUP),
     "linear_rows": (linear_rows, _linear_sql()),
     "swiglu_rows": (swiglu_rows, SWIGLU),
