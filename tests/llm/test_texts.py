@@ -381,3 +381,102 @@ def test_deep_nesting_keeps_its_structure():
     far = "<article>" + deep(20_000, "x{0}") + "<p>rest {0}</p></article>"
     packed = wrappers.pack(wrappers.infer([far.format(i) for i in range(4)]))
     assert wrappers.extract(far.format(7), wrappers.loads(wrappers.dumps(packed))) == "x7\nrest 7"
+
+
+def words_of_page(rng, n):
+    return " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+
+
+def misleading(rng, i):
+    """No article; the content has a sidebar's name and the site's own lines a content's name."""
+    return (
+        f'<body><header><a href="/">Site</a></header><div class="content main-text"><p>{"Welcome to the site of all sites. " * 8}</p><p>Line of the site</p></div>'
+        f'<div class="sidebar widget"><p>{words_of_page(rng, 30 + i % 7)} &amp; {i}</p>{"".join(f"<p>more {i} {k} {words_of_page(rng, 9)}</p>" for k in range(i % 4))}</div>'
+        f'<div class="promo"><p>offer {words_of_page(rng, 4)}</p></div><div id="comments"><p>{words_of_page(rng, 60)}</p></div></body>'
+    )
+
+
+class PlainReader:
+    """Texts of the p elements inside the div whose class is given, by the standard library's parser."""
+
+    def __init__(self, cls):
+        from html.parser import HTMLParser
+
+        outer, self.cls = self, cls
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                outer.depth += tag == "div" and (outer.depth > 0 or dict(attrs).get("class") == outer.cls)
+                if tag == "p" and outer.depth:
+                    outer.found.append("")
+
+            def handle_endtag(self, tag):
+                outer.depth -= tag == "div" and outer.depth > 0
+
+            def handle_data(self, data):
+                if outer.depth and outer.found:
+                    outer.found[-1] += data
+
+        self.parser = Parser
+
+    def read(self, html):
+        self.depth, self.found = 0, []
+        self.parser(convert_charrefs=True).feed(html)
+        return "\n".join(" ".join(x.split()) for x in self.found if x.strip())
+
+
+def test_wrapper_decides_against_names(spark, monkeypatch):
+    """Without an article, and with names that mislead, slots and the template's texts decide; in any layout and number of levels."""
+    import random
+
+    rng, reader = random.Random(8), PlainReader("sidebar widget")
+    data = [(i, f"http://{'hot' if i % 3 else 'cold'}.org/{i}", misleading(rng, i)) for i in range(60)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    want = {i: reader.read(h) for i, _, h in data}
+    assert all(wrappers.extract(h) != want[i] for i, _, h in data)
+    for fan, parts in ((256, 1), (2, 7)):
+        monkeypatch.setattr(wrappers, "FAN", fan)
+        assert {r["page_id"]: r["text"] for r in wrappers.main_text(df.repartition(parts)).collect()} == want
+
+
+def test_structures_do_not_depend_on_the_layout(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(wrappers, "FAN", 3)
+    data = [(i, "h", "<body>" + "".join(f"<{t}>x{i}</{t}>" for t in rng.choices(["p", "h2", "blockquote", "pre"], k=rng.randint(1, 6))) + "</body>") for i in range(80)]
+    df = spark.createDataFrame(data, "page_id long, host string, html string")
+    found = [wrappers.structures(df.repartition(n)).collect() for n in (1, 6)]
+    assert found[0] == found[1] and len(found[0]) == 1
+    wrapper = wrappers.places(wrappers.structure(found[0][0]["skeleton"]))
+    for _, _, html in data:
+        root = wrappers.parse(html)
+        wrappers.walk(root, wrapper)
+        assert root.children[0].part is not None
+
+
+def test_every_page_of_a_host_counts(spark):
+    """A rare layout of a large host has its own template's texts known, too, and a text on few pages stays."""
+    common = "<body><article><h1>T{0}</h1><p>text {0}</p></article></body>"
+    rare = "<body><article><h1>T{0}</h1><section><div>Licence of the site</div><p>text {0}</p></section></article></body>"
+    data = [(i, f"http://h/{i}", (rare if i % 40 == 0 else common).format(i)) for i in range(400)]
+    data += [(1000 + i, f"http://h/n{i}", f"<body><article><h1>N{i}</h1><ul><li>{'once' if i < 2 else i}</li></ul></article></body>") for i in range(4)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    assert all(found[i] == f"T{i}\ntext {i}" for i in range(400))
+    assert found[1000] == "N0\nonce" and found[1002] == "N2\n2"
+
+
+def test_headings_of_the_core_stay():
+    """A heading that all articles have is content; a place around them with a title lends it to a core without one."""
+    pages = [f"<body><div class=top><h1>Title {i}</h1></div><div class=x><h2>Summary</h2><p>{'text ' * 30}{i}</p></div><div class=y><p>small {i}</p></div></body>" for i in range(5)]
+    packed = wrappers.pack(wrappers.infer(pages))
+    assert wrappers.extract(pages[2], packed).startswith("Title 2\nSummary\ntext text")
+
+
+def test_repeated_groups_come_again():
+    pages = [f"<body><dl>{''.join(f'<dt>k{i}{k}<dd>v{i}{k}' for k in range(2 + i))}</dl></body>" for i in range(4)]
+    wrapper = wrappers.pack(wrappers.infer(pages))
+    root = wrappers.parse(pages[3])
+    wrappers.walk(root, wrapper)
+    assert all(c.part is not None for c in root.children[0].children[0].children)
