@@ -220,3 +220,31 @@ def test_png_odd_rows(spark):
 def test_filesystem_of_local_uris(tmp_path):
     for uri in (f"file://{tmp_path}/a", f"file:{tmp_path}/a", f"{tmp_path}/a"):
         assert filesystem(uri)[1] == f"{tmp_path}/a"
+
+
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "a", "é b", "  ", "\t"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SPECIAL, max_size=4))
+def test_encoder_equals_a_fresh_library_call(texts):
+    """Texts with the tokenizer's own tokens give what a tokenizer just loaded gives."""
+    from tokenizers import Tokenizer
+
+    fresh = _fresh.setdefault("it", Tokenizer.from_file(default_path()))
+    assert [x.tolist() for x in encoder(default_path()).encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_fresh = {}
+
+
+def test_special_tokens_in_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_path())
+    rows = [(1, "a <|endoftext|> b"), (2, "word " * 40_000 + "<|endoftext|>" + "x" * 50_000), (3, "<|endoftext|>")]
+    folder = new_dir(spark, "tokens")
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start", "2 as ids"), folder)
+    found = {r["doc_id"]: r["ids"] for r in token_store.read(spark, folder, with_ids=True).collect()}
+    assert found == {d: [*fresh.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
+    assert found[1][1:3] == [220, 50256]

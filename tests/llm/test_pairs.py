@@ -232,3 +232,32 @@ def test_schedule_is_even(spark):
     goals = {r["src"]: r["target"] for r in line.select("src", "target").distinct().collect()}
     for src, goal in goals.items():
         assert half.count(src) / len(half) == pytest.approx(goal / sum(goals.values()), abs=0.01)
+
+
+def test_steps_are_best_fit(spark, monkeypatch):
+    """The steps' jobs place every piece, gaplessly, in as many sequences as best fit with decreasing lengths; nothing is planned elsewhere."""
+    monkeypatch.setattr(packing, "plan", None)
+    rng = random.Random(6)
+    for capacity, most, n in ((64, 64, 900), (100, 40, 700), (7, 7, 300), (33, 3, 200)):
+        lengths = [rng.randint(1, rng.randint(1, most)) for _ in range(n)]
+        df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(lengths)], "id long, length long, _rank string").repartition(5)
+        rows = packing.pack(df, capacity).collect()
+        assert sorted(r["id"] for r in rows) == list(range(n)) and {r["_rank"] for r in rows} == {"clash"}
+        bins = {}
+        for r in rows:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(bins) == best_fit_decreasing(lengths, capacity)
+
+
+def test_packing_long_text_and_clashes(spark):
+    texts = {1: "word " * 60_000, 2: "<|endoftext|> end", 3: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(packing.pieces(df).selectExpr("*", "1 as _task", "2 as Offset", "3 as `_n`"))
+    assert set(rows.columns) >= {"_task", "_n", "sequence_id", "offset"} and "Offset" not in rows.columns
+    check_packing(rows.collect(), texts, 2048)

@@ -3,8 +3,9 @@
 Byte-level BPE splits a text into pre-tokens before it merges, and a single space or line
 feed between two words always is such a split. So a text whose white space is only single
 spaces and line feeds has the ids of its words in order, and each distinct word needs to be
-encoded once per worker. New words go to the library together, a line each. Any other text
-is encoded as it stands. Either way every id comes from the library.
+encoded once per worker. New words go to the library together, a line each. Any other text,
+and any that holds an added token of the file (such as its end-of-text mark), is encoded
+as it stands. Either way every id comes from the library, as its plain call gives it.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory = memory
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # words can be remembered only where a line feed is one id and keeps words apart
         both = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b", "c")]
-        self.by_word = len(feed) == 1 and both == alone[0] + feed + alone[1] + feed + alone[2]
+        apart = not any(c.isspace() for t in added for c in t)
+        self.by_word = apart and len(feed) == 1 and both == alone[0] + feed + alone[1] + feed + alone[2]
         self.feed = feed[0] if self.by_word else None
         #: "" and " " come from white space that isn't single
         self.known: dict[str, bytes | None] = {"\n": np.array(feed, self.dtype).tobytes(), "": None, " ": None}
@@ -68,7 +71,7 @@ class Encoder:
         """Ids of each text."""
         if not self.by_word:
             return [np.frombuffer(self._whole(x), self.dtype) for x in texts]
-        parts = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x and "\0" not in x else () for x in texts]
+        parts = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x and "\0" not in x and not (self.added and self.added.search(x)) else () for x in texts]
         new = set().union(*parts).difference(self.known)
         over = len(self.known) + len(new) > self.memory
         self.known.update(self._learn(list(new)))

@@ -1,21 +1,22 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous steps.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are ranked within their
-length by all tasks at once: each task numbers its own, and the counts of the tasks before
-it are added. Since lengths and gaps are whole numbers up to the capacity, the range-sorted
-lists of pieces and of gaps are held as runs: equal lengths are one run of ranks, equal
-gaps runs of sequence numbers. A step takes all pieces of the largest length left, matches
-them with the successor gaps (the smallest that hold them), settles who gets which by rank,
-updates the gaps, and repeats until none fits; what is left opens sequences. So steps and
-their state depend on the capacity and never on the number of documents, and every task
-then finds the places of its own pieces by their rank.
-
-The result is that of best fit with decreasing lengths. Memory on the driver and in
-broadcasts: at most one count per length, and the runs.
-
-Defined results: null text is the end id alone; rows that share a doc_id are packed as
-documents of their own; ties in length go by task and place; an empty table gives an
-empty result.
+Documents become pieces of at most ``capacity`` tokens. Pieces are range-sorted by length and
+ranked within it by all tasks at once: each task numbers its own, and the counts of the tasks
+before it are added. Then steps follow, each a Spark job that reads the tables which the
+step before has written and writes its own. A step takes a range of lengths, longest first (each
+range is half the one before), and the gaps that sequences still have, sorted. A sweep matches the pieces with
+the successor gaps (the smallest that hold them); who gets which is settled by rank; gaps are
+updated and, where pieces of the range fit them again, swept again; pieces that fit none
+open sequences. At last every task finds the places of its own pieces by their rank.
+
+Lengths and gaps are whole numbers up to the capacity, so the sorted lists are held as runs: equal
+lengths are one run of ranks, equal gaps runs of sequence numbers. A step's tables and the number of steps depend on
+the capacity and not on the number of documents, so a step is one task's short sweep; counting, ranking and placing are
+everybody's. The driver only starts the steps. The result is that of best fit with decreasing lengths.
+
+Defined results: null text is the end id alone; very long texts are cut into pieces and nothing is dropped; rows that
+share a doc_id are packed as documents of their own; ties in length go by task and place; an empty table gives an
+empty result; columns named ``sequence_id`` or ``offset`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.encoding import default_path, encoder
-from textloom.session import lean, materialize, ship
+from textloom.session import lean, materialize, ship, unused
 
 CAPACITY = 2048
 END_ID = 0
@@ -51,7 +52,11 @@ class Plan:
     sequence: np.ndarray
     each: np.ndarray
     offset: np.ndarray
-    sequences: int
+    sequences: int = 0
+
+    @staticmethod
+    def of(runs: list[tuple[int, int, int, int, int]], sequences: int = 0) -> Plan:
+        return Plan(*np.array(sorted(runs), np.int64).reshape(-1, 5).T, sequences)
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces."""
@@ -61,27 +66,38 @@ class Plan:
         return self.sequence[run] + over // self.each[run], self.offset[run] + over % self.each[run] * length
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Best fit for ``counts`` pieces by length."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    sizes: list[int] = []  # gaps that some sequence has, in order
-    runs, sequences = [], 0
+def ranges(capacity: int) -> list[tuple[int, int]]:
+    """The ranges of lengths of the steps, longest first, both ends included."""
+    out = []
+    while capacity:
+        out.append((capacity // 2 + 1, capacity))
+        capacity //= 2
+    return out
+
+
+def sweep(counts: dict[int, int], gaps: list[tuple[int, int, int]], sequences: int, capacity: int) -> tuple[list[tuple], list[tuple[int, int, int]], int]:
+    """One step: runs of ``counts`` pieces by length in the ``gaps`` (gap, first sequence, number) of so many sequences, the gaps after it, and the sequences."""
+    held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for gap, first, n in sorted(gaps, key=lambda g: (g[0], -g[1])):
+        held[gap].append((first, n))
+    sizes = sorted(held)  # gaps that some sequence has, in order
+    runs: list[tuple] = []
 
     def leave(gap: int, first: int, n: int) -> None:
         if gap:
-            if not gaps[gap]:
+            if not held[gap]:
                 insort(sizes, gap)
-            gaps[gap].append((first, n))
+            held[gap].append((first, n))
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left and (k := bisect_left(sizes, length)) < len(sizes):
             gap = sizes[k]
-            first, n = gaps[gap].pop()
+            first, n = held[gap].pop()
             take = min(n, left)
             if take < n:
-                gaps[gap].append((first + take, n - take))
-            if not gaps[gap]:
+                held[gap].append((first + take, n - take))
+            if not held[gap]:
                 sizes.pop(k)
             runs.append((length, rank, first, 1, capacity - gap))
             leave(gap - length, first, take)
@@ -92,8 +108,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 runs.append((length, rank, sequences, many, 0))
                 leave(capacity - many * length, sequences, n)
                 rank, sequences = rank + many * n, sequences + n
-    cols = np.array(sorted(runs), np.int64).reshape(-1, 5).T
-    return Plan(*cols, sequences)
+    return runs, [(gap, *run) for gap in sizes for run in held[gap]], sequences
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The steps one after the other in this process, for ``counts`` pieces by length."""
+    runs, gaps, sequences = [], [], 0
+    for low, high in ranges(capacity):
+        more, gaps, sequences = sweep({n: c for n, c in counts.items() if low <= n <= high}, gaps, sequences, capacity)
+        runs += more
+    return Plan.of(runs, sequences)
+
+
+#: Rows between steps: runs of pieces (kind 0: length, rank, sequence, each, offset), gaps (1: gap, first, number), the sequences so far (2), lengths to place (3: length, number).
+_STATE = "kind int, a long, b long, c long, d long, e long"
+
+
+def steps(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Best fit for ``length, n``: the runs ``length, rank, sequence, each, offset``."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        counts = {a: b for kind, a, b, *_ in rows if kind == 3}
+        runs, gaps, sequences = sweep(counts, [(a, b, c) for kind, a, b, c, *_ in rows if kind == 1], sum(r[1] for r in rows if r[0] == 2), capacity)
+        out = [(0, *r) for r in runs] + [(1, *g, 0, 0) for g in gaps] + [(2, sequences, 0, 0, 0, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)], names=[x.split()[0] for x in _STATE.split(", ")])
+
+    rows = lengths.selectExpr("3 as kind", "length as a", "n as b", "0L as c", "0L as d", "0L as e")
+    last = max((r[0] for r in lengths.agg(F.max("length")).collect()), default=None) or 0
+    least = lengths.agg(F.min("length")).first()[0] or 0
+    state, runs = None, None
+    for low, high in ranges(capacity):
+        if low > last or high < least:
+            continue
+        some = rows.where(F.col("a").between(low, high))
+        some = some if state is None else some.unionByName(state.where("kind in (1, 2)"))
+        state = materialize(some.coalesce(1).mapInArrow(lean(step), _STATE), "step")
+        runs = state.where("kind = 0") if runs is None else runs.unionByName(state.where("kind = 0"))
+    if runs is None:
+        runs = rows.limit(0)
+    return runs.selectExpr("a as length", "b as rank", "c as sequence", "d as each", "e as offset")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -141,25 +195,28 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length") -> D
             rank[order] = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
             rank += seen[n]
             seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), task, np.int32)), pa.array(rank)], names=[*batch.schema.names, "_task", "_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), task, np.int32)), pa.array(rank)], names=[*batch.schema.names, task_, rank_])
 
-    own = [f for f in rows.schema if f.name not in ("sequence_id", "offset", "_task", "_rank")]
-    rows = materialize(rows.select([f.name for f in own]), "rows")  # numbering and what makes the rows run one after the other
-    ranked = T.StructType([*own, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    own = [f for f in rows.schema if f.name.lower() not in ("sequence_id", "offset")]
+    names = [f.name for f in own]
+    task_, rank_, n_, before_ = (unused(rows, x) for x in ("task", "rank", "n", "before"))
+    rows = materialize(rows.select([F.col(f"`{n}`") for n in names]), "rows")  # numbering and what makes the rows run one after the other
+    ranked = T.StructType([*own, T.StructField(task_, T.IntegerType()), T.StructField(rank_, T.LongType())])
     numbered = materialize(rows.mapInArrow(lean(number), ranked), "pieces")
 
-    counts = materialize(numbered.groupBy(F.col(length).alias("_length"), "_task").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    total = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("n")).collect()}  # at most one row per length
-    places = spark.sparkContext.broadcast(plan(total, capacity))
-    before = F.sum("n").over(Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.select("_length", "_task", F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = numbered.withColumn("_length", F.col(length)).join(before, ["_length", "_task"])
+    counts = materialize(numbered.groupBy(F.col(length).alias("length"), F.col(task_).alias("task")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    lengths = materialize(counts.groupBy(F.col("length").cast("long").alias("length")).agg(F.sum("n").alias("n")), "totals")  # a row per length
+    # the number of runs has a bound by the capacity, whatever the number of pieces
+    places = spark.sparkContext.broadcast(Plan.of([tuple(r) for r in steps(lengths, capacity).collect()]))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("length").alias(n_), F.col("task").alias(task_), F.coalesce(before, F.lit(0)).alias(before_))
+    joined = numbered.withColumn(n_, F.col(length)).join(before, [n_, task_])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rank = batch.column(length).to_numpy().astype(np.int64), batch.column("_rank").to_numpy() + batch.column("_before").to_numpy()
+            n, rank = batch.column(length).to_numpy().astype(np.int64), batch.column(rank_).to_numpy() + batch.column(before_).to_numpy()
             sequence, offset = places.value.place(n, rank) if len(n) else (n, n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(sequence), pa.array(offset)], names=[*(f.name for f in own), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     result = T.StructType([*own, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return joined.select(*(f.name for f in own), "_rank", "_before").mapInArrow(lean(place), result)
+    return joined.select(*(F.col(f"`{x}`") for x in names), rank_, before_).mapInArrow(lean(place), result)
