@@ -77,15 +77,67 @@ def test_join_large_group_of_near_copies(spark, monkeypatch):
     assert set(found.values()) == {(118, 0)}
 
 
-def test_counts_in_several_levels(spark, monkeypatch):
-    """More tasks than one task sums take further levels, with the same counts."""
-    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(1, 40)), "s") for i in range(60)]
-    df = frame(spark, rows).repartition(9)
-    scan = ngram_join._scan(df.select("doc_id", "text"), ngram_join.JoinSpec(), 16).where("slice is not null").select("task", "slice", "counts").persist()
-    whole = ngram_join._levels(scan, 16)
-    monkeypatch.setattr(ngram_join, "FAN", 2)
-    assert (ngram_join._levels(scan, 16) == whole).all() and whole.any()
-    scan.unpersist()
+def mosaics(rng, n):
+    """Documents made of passages that many share: large groups whose members mostly don't link."""
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(9)]
+    rows = []
+    for i in range(n):
+        some = rng.sample(passages, 5)
+        rows.append((i, " ".join([*some, *(f"own{i}x{j}" for j in range(rng.choice((0, 1, 2))))])))
+    return rows
+
+
+def test_join_in_small_pieces(spark, monkeypatch):
+    """Chunks, parts, rare n-grams and shares of any size give one result, that of brute force."""
+    rng = random.Random(11)
+    rows = mosaics(rng, 90)
+    base = [f"w{i}" for i in range(60)]
+    rows += [(200 + k, " ".join([*base[:30], f"own{k}", *base[31:]])) for k in range(40)]
+    rows += [(300 + k, " ".join(f"only{k}x{j}" for j in range(50)) + " " + " ".join(base[:20])) for k in range(20)]
+    rows += [(400 + k, rows[k][1].upper()) for k in range(0, 90, 9)]
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 30
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    assert components_of(df.repartition(3)) == want
+    for name, value in (("CHUNK", 64), ("PART", 500), ("RARE", 2), ("HOT_LEVEL", 2), ("GROWTH", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert components_of(df.repartition(5)) == want
+
+
+def test_join_of_mosaics_at_the_stage_threshold(spark):
+    rng = random.Random(12)
+    rows = mosaics(rng, 70)
+    spec = ngram_join.JoinSpec(n=5, num=80, den=100)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, [(i, t, "s") for i, t in rows]), spec).collect()}
+    assert found == brute_components(rows, 5, 80, 100)
+
+
+def test_unlinked_groups_end(spark, monkeypatch):
+    """A group whose members never link loses its centres and ends; no pair is tried twice."""
+    tried = []
+    call = ngram_join._Verifier.__call__
+
+    def watched(self, pairs):
+        tried.extend((r["a"], r["b"]) for r in pairs.collect())
+        return call(self, pairs)
+
+    monkeypatch.setattr(ngram_join._Verifier, "__call__", watched)
+    shared = [" ".join(f"s{k}w{j}" for j in range(6)) for k in range(6)]
+    rng = random.Random(1)
+    rows = []
+    for i in range(60):
+        rng.shuffle(shared)
+        rows.append((i, " ".join(shared[:4])))
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    assert components_of(df) == brute_components(rows)
+    assert len(tried) == len(set(tried))
+
+
+def test_join_rows_that_share_an_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = frame(spark, [(5, one, "s"), (5, two, "s"), (3, one, "s"), (9, two, "s")])
+    found = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert found == [(3, 3), (5, 3), (5, 5), (9, 5)]
 
 
 def test_join_repeated_rows_and_null_ids(spark):

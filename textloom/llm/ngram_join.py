@@ -1,42 +1,48 @@
 """Jaccard self-join of documents on word n-gram sets, by vertical partitioning.
 
-A global order of all n-grams (rarer first) is cut into fragments. For every candidate
-pair the overlap inside each fragment is counted on its own, and the partial overlaps are
-summed per pair; the sum decides the link exactly. Fragments that two sets share whole are
-known by a summary, so only fragments that differ are ever sent.
-
-Candidates and the order
-    One pass computes each document's set (64-bit hashes of n-grams), a 128-bit key of the
-    whole set, and a table of n-gram counts over all documents (fixed size, summed over
-    tasks, reduced to one byte of log2 per bucket before it is broadcast). Documents with
-    equal keys are one class and are never compared. Every set then gives the head of its
-    order that any partner must share; heads are dealt by n-gram, n-grams of one class are
-    dropped, and an n-gram that the counts show as frequent is dealt in salted shares.
+A global order of n-grams (rarer first) is cut into fragments. For every candidate pair the
+overlap inside each fragment is counted on its own, and the partial overlaps are summed
+per pair; the sum decides the link (exactly, up to collisions of 64-bit hashes of n-grams). Fragments that two sets
+share whole are known by a summary, so only fragments that differ are ever compared.
+
+Sets and what they share
+    One pass computes each document's set (64-bit hashes of n-grams) and a 128-bit key of the
+    whole set; documents with equal keys are one class and are never compared. A second pass
+    deals all n-grams by ranges of their hashes, packed into blocks, to find those that several
+    sets have. A pair's overlap holds only such n-grams, so a set goes
+    on only if they could reach the threshold; its shared n-grams, grouped again by set, are all that later steps
+    need: the texts are not read again. Before n-grams are dealt, a chunk of sets looks for
+    n-grams that it holds several times itself: their holders already know that they are shared and only one
+    mark of the n-gram is dealt, so an n-gram that a third of all documents have is a mark a chunk.
+
+Order and candidates
+    N-grams are counted over the sets that went on, and those with over RARE sets are told to
+    their holders. The order is by the binary logarithm of the count, then by hash. Every set gives the
+    head of its order that any partner must share; an n-gram that 2**HOT_LEVEL sets or more
+    have is dealt in salted shares.
 
 No all-pairs work in a group
-    In each n-gram's group only the member with the fewest rarer n-grams is compared with
+    In each n-gram's group a centre, the member with the fewest rarer n-grams, is compared with
     the others (size and position filters apply). Links give components; groups whose
-    members are all in one component are done. What is left is compared across
-    components only, until no untested pair remains. So a group of thousands of near
-    copies costs one comparison per member, and no link between components is lost.
+    members are all in one component are done, and a group that is not loses its centre, all of
+    whose pairs are now known. Each round has GROWTH times as many centres a group, so a group whose members do not link
+    ends after few rounds. A group of thousands of near copies costs one comparison per member, and no link
+    between components is lost.
 
 Defined results: null or blank text has an empty set, links with nothing and is its own
-component; a text with fewer words than n is one n-gram; equal texts share a component;
-rows with one doc_id count as one document; a row without doc_id has no component; ties
-go to the least doc_id; extra columns are ignored; an empty table gives an empty table.
+component; a text with fewer words than n is one n-gram; equal texts share a component; very long texts count whole;
+rows that share a doc_id are judged each by its own text; a row without doc_id has no component; ties
+go to the least doc_id; extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +50,16 @@ from textloom.llm.wordhash import Words, combine, mix, words
 from textloom.operators.components import components
 from textloom.session import lean, materialize, ship
 
-#: Buckets of the count table: about one for COUNTS_PER_BUCKET n-grams, within these powers of two.
-COUNTS_PER_BUCKET, MIN_BITS, MAX_BITS = 32, 16, 24
-SLICES = 256
-#: So many tasks' counts are summed by one task; more take further levels.
-FAN = 512
-#: N-grams counted 2**HOT_LEVEL times or more are dealt in salted shares.
-HOT_LEVEL = 10
+#: N-grams that a chunk of sets holds before it is dealt, and that a part of the n-grams' range has in the mean.
+CHUNK = 1 << 20
+PART = 1 << 21
+#: N-grams with more sets than this are told to their holders and come later in the order, the more the later.
+RARE = 8
+#: N-grams that 2**HOT_LEVEL sets or more have are dealt in salted shares.
+HOT_LEVEL = 12
 FRAGMENTS = 32
-#: Stars go on while they find links and groups have over this many members, in the mean over members.
-LARGE_GROUPS = 50
+#: A round has so many times the centres of the one before.
+GROWTH = 8
 
 
 @dataclass(frozen=True)
@@ -101,115 +107,92 @@ def set_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
 
-class _Counter:
-    """Counts of hashes by their leading bits, given out as compressed slices."""
+_SCAN = "doc_id long, n long, k1 long, k2 long"
 
-    def __init__(self, bits: int) -> None:
-        self.bits, self.total = bits, None
 
-    def add(self, hashes: np.ndarray) -> None:
-        if self.total is None:
-            self.total = np.zeros(1 << self.bits, np.uint32)
-        np.add.at(self.total, (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.uint32(1))
-
-    def slices(self) -> Iterator[tuple[int, bytes]]:
-        if self.total is None:
-            return
-        for k, part in enumerate(self.total.reshape(SLICES, -1)):
-            if part.any():
-                yield k, _zipped(part)
-
-
-def _zipped(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
-
-
-def _unzipped(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
-
-
-_SLICES = "task int, slice int, counts binary"
-
-
-def _sum_slices(slices: DataFrame, width: int, as_level: bool) -> DataFrame:
-    """Sum counts by (task div FAN, slice), at last as log2(count + 1); rows stream by, so memory is one slice."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-
-        def done() -> pa.RecordBatch:
-            counts = np.log2(total + 1.0).astype(np.uint8).tobytes() if as_level else _zipped(np.minimum(total, 0xFFFFFFFF))
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([counts], pa.binary())], names=["task", "slice", "counts"])
+def _scan(docs: DataFrame, spec: JoinSpec) -> DataFrame:
+    """One row per document with the size and the key of its set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for task, k, counts in zip(*(batch.column(c).to_pylist() for c in ("task", "slice", "counts")), strict=True):
-                if (task, k) != now:
-                    if now is not None:
-                        yield done()
-                    now, total = (task, k), np.zeros(width, np.int64)
-                total += _unzipped(counts)
-        if now is not None:
-            yield done()
-
-    dealt = slices.withColumn("task", F.expr(f"task div {FAN}").cast("int")).select("task", "slice", "counts")
-    return dealt.repartition("task", "slice").sortWithinPartitions("task", "slice").mapInArrow(lean(merge), _SLICES)
-
-
-def _levels(slices: DataFrame, bits: int) -> np.ndarray:
-    """log2(count + 1) of each bucket over all tasks, a byte each."""
-    width = (1 << bits) // SLICES
-    last = slices.agg(F.max("task")).first()[0] or 0
-    while last >= FAN:
-        slices, last = _sum_slices(slices, width, as_level=False), last // FAN
-    out = np.zeros(1 << bits, np.uint8)
-    for r in _sum_slices(slices, width, as_level=True).collect():  # SLICES rows of bounded size
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
-    return out
+            sizes, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+            for group in words(batch.column("text")):
+                _, grams, size = set_rows(group, spec.n)
+                sizes.append(size)
+                keys.append(set_keys(grams, size))
+            key = np.concatenate(keys)
+            yield _batch(_SCAN, batch.column("doc_id"), np.concatenate(sizes), key[:, 0], key[:, 1])
 
+    return docs.mapInArrow(lean(run), _SCAN)
 
-def _bits_for(n: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(n, 1)))))
 
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
-def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
+#: Packed rows: n-grams by holder. ``holders`` has key, key and size of each, three 64-bit integers; size 0 marks n-grams without one.
+_BLOCKS = "part long, known boolean, holders binary, counts binary, grams binary"
 
-_SCAN = "doc_id long, n long, k1 long, k2 long, task int, slice int, counts binary"
 
+def _deal(part: np.ndarray, holder: np.ndarray, grams: np.ndarray, holders: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of the parts that rows (number of a holder, n-gram) go to."""
+    if not len(part):
+        return
+    order = np.lexsort((holder, part))
+    part, holder, grams = part[order], holder[order], grams[order]
+    change = (part[1:] != part[:-1]) | (holder[1:] != holder[:-1])
+    run = np.flatnonzero(np.concatenate([[True], change]))
+    ends = np.append(run, len(part))
+    n, first = np.diff(ends).astype("<u4"), np.flatnonzero(np.diff(part[run], prepend=-1))
+    rows = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True):
+        rows.append((int(part[run[a]]), known, holders[holder[run[a:b]]].tobytes(), n[a:b].tobytes(), grams[ends[a] : ends[b]].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
-def _scan(docs: DataFrame, spec: JoinSpec, bits: int) -> DataFrame:
-    """One row per document with the size and key of its set, and the slices of each task's n-gram counts."""
-    names = [x.split()[0] for x in _SCAN.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, task = _Counter(bits), TaskContext.get().partitionId()
-        for batch in batches:
-            sizes, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
-            for group in words(batch.column("text")):
-                _, grams, size = set_rows(group, spec.n)
-                counter.add(grams)
-                sizes.append(size)
-                keys.append(set_keys(grams, size))
-            key, m = np.concatenate(keys), batch.num_rows
-            cols = [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(key[:, 0]), pa.array(key[:, 1]), *(pa.nulls(m, k) for k in kinds[4:])]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-        for k, counts in counter.slices():
-            cols = [*(pa.nulls(1, kind) for kind in kinds[:4]), *(pa.array([x], kind) for x, kind in zip((task, k, counts), kinds[4:], strict=True))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    return docs.mapInArrow(lean(run), _SCAN)
 
+class _Chunk:
+    """Sets whose n-grams are dealt together."""
 
-_HEADS = "gram long, salt int, k1 long, n int, pos int"
+    def __init__(self, parts: int) -> None:
+        self.parts, self.grams, self.sizes, self.holders, self.n = parts, [], [], [], 0
 
+    def add(self, grams: np.ndarray, sizes: np.ndarray, holders: np.ndarray) -> None:
+        self.grams.append(grams)
+        self.sizes.append(sizes)
+        self.holders.append(holders)
+        self.n += len(grams)
 
-def _heads(docs: DataFrame, spec: JoinSpec, levels, bits: int) -> DataFrame:
-    """The head of each set in the global order: n-gram, key of the set, its size and the place in it."""
+    def deal(self) -> Iterator[pa.RecordBatch]:
+        """Known rows of what several sets of the chunk have, a mark of each, and all others to ask about."""
+        if not self.n:
+            return
+        grams, sizes, holders = np.concatenate(self.grams), np.concatenate(self.sizes), np.concatenate(self.holders)
+        holder = np.repeat(np.arange(len(sizes)), sizes)
+        self.grams, self.sizes, self.holders, self.n = [], [], [], 0
+        order = np.argsort(grams, kind="stable")
+        grams, holder = grams[order], holder[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        several = np.diff(np.append(first, len(grams))) > 1
+        marks = grams[first[several]]
+        several = np.repeat(several, np.diff(np.append(first, len(grams))))
+        known, at = grams[several], holder[several]
+        # where several sets have it already, it goes anywhere, by n-gram and set
+        yield from _deal(_part_of(mix(known ^ mix(holders[at, 0].view(np.uint64))), self.parts), at, known, holders, True)
+        none = len(holders)
+        holders = np.concatenate([holders, np.zeros((1, 3), np.int64)])
+        asked = np.concatenate([grams[~several], marks])
+        yield from _deal(_part_of(asked, self.parts), np.concatenate([holder[~several], np.full(len(marks), none)]), asked, holders, False)
+
+
+def _blocks(docs: DataFrame, spec: JoinSpec, parts: int) -> DataFrame:
+    """All n-grams of all sets, to the parts of their range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = levels.value, set()
+        chunk, seen = _Chunk(parts), set()
         for batch in batches:
             for group in words(batch.column("text")):
                 doc, grams, size = set_rows(group, spec.n)
@@ -219,183 +202,186 @@ def _heads(docs: DataFrame, spec: JoinSpec, levels, bits: int) -> DataFrame:
                 new = np.zeros(len(size), bool)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                for i, k in enumerate(key[:, 0].tolist()):  # copies of a set within a task need one head
-                    if k not in seen:
+                for i, k in enumerate(map(bytes, key)):  # copies within a task need to be dealt once; others are found later
+                    if size[i] and k not in seen:
                         seen.add(k)
                         new[i] = True
-                level = table[(grams >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((grams, level, doc))
-                doc, grams, level = doc[order], grams[order], level[order]
-                pos = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
-                keep = new[doc] & (pos < spec.head(size)[doc])
-                doc, grams, level, pos = doc[keep], grams[keep], level[keep].astype(np.int64), pos[keep]
-                share = np.left_shift(np.int64(1), np.maximum(level - HOT_LEVEL + 1, 0))
-                salt = np.where(level >= HOT_LEVEL, 1 + (key[doc, 1] & 0x7FFFFFFF) % share, 0)
-                yield _batch(_HEADS, grams.view(np.int64), salt.astype(np.int32), key[doc, 0], size[doc].astype(np.int32), pos.astype(np.int32))
+                chunk.add(grams[new[doc]], size[new], np.column_stack([key, size])[new])
+                if chunk.n >= CHUNK:
+                    yield from chunk.deal()
+        yield from chunk.deal()
 
-    return docs.mapInArrow(lean(run), _HEADS)
+    return docs.mapInArrow(lean(run), _BLOCKS)
 
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """Drop n-grams that the head of only one class has; shares of frequent ones stay as they are."""
+@dataclass
+class _Rows:
+    """The rows of some blocks: for each n-gram the number of its holder."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    grams: np.ndarray
+    holder: np.ndarray
+    holders: np.ndarray
+
+    @staticmethod
+    def of(blocks: list[tuple[bytes, bytes, bytes]]) -> _Rows:
+        holders = np.frombuffer(b"".join(b[0] for b in blocks), np.int64).reshape(-1, 3)
+        counts = np.frombuffer(b"".join(b[1] for b in blocks), "<u4")
+        return _Rows(np.frombuffer(b"".join(b[2] for b in blocks), np.uint64), np.repeat(np.arange(len(holders)), counts), holders)
 
-        def pick(rows: pa.Table) -> pa.Table:
-            gram, salt, k1 = (rows.column(c).to_numpy() for c in ("gram", "salt", "k1"))
-            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])]))
-            many = np.minimum.reduceat(k1, first) != np.maximum.reduceat(k1, first)
-            keep = np.repeat(many, np.diff(np.append(first, len(gram)))) | (salt > 0)
-            return rows.filter(pa.array(keep))
 
+def _by_part(blocks: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` of all blocks of a part; a task holds the blocks of one part at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 65536:
-                continue
-            rows = pa.Table.from_batches(held)
-            gram = rows.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last n-gram may go on
-            if cut:
-                yield from pick(rows.slice(0, cut)).to_batches()
-                held = rows.slice(cut).to_batches()
-            else:
-                held = rows.combine_chunks().to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield from pick(rows).to_batches()
+            for part, known, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from each(*map(_Rows.of, held))
+                    now, held = part, ([], [])
+                held[known].append(block)
+        if now is not None:
+            yield from each(*map(_Rows.of, held))
 
-    return heads.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(lean(run), _HEADS)
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), schema)
 
 
-def _fits(spec: JoinSpec, n: str, pos: str, m: str, at: str) -> str:
-    """SQL for the size filter, and the position filter that the first shared n-gram of a linked pair passes."""
-    most = f"(1 + least({n} - {pos} - 1, {m} - {at} - 1))"
-    return (
-        f"{spec.den} * least({n}, {m}) >= {spec.num} * greatest({n}, {m}) and "
-        f"{spec.den} * {most} >= {spec.num} * ({n} + {m} - {most})"
-    )
+def _answers(blocks: DataFrame, parts: int) -> DataFrame:
+    """Of what was asked about the rows that several sets have, and what was known; to the parts of the sets."""
 
+    def each(asked: _Rows, known: _Rows) -> Iterator[pa.RecordBatch]:
+        for rows, pick in ((known, slice(None)), (asked, None)):
+            if not len(rows.grams):
+                continue
+            if pick is None:
+                order = np.argsort(rows.grams, kind="stable")
+                grams, holder = rows.grams[order], rows.holder[order]
+                key, mark = rows.holders[holder, 0], rows.holders[holder, 2] == 0
+                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+                low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
+                several = (low != high) | np.logical_or.reduceat(mark, first)
+                pick = np.repeat(several, np.diff(np.append(first, len(grams)))) & ~mark
+            else:
+                grams, holder = rows.grams, rows.holder
+            holder = holder[pick]
+            yield from _deal(_part_of(mix(rows.holders[holder, 0].view(np.uint64)), parts), holder, grams[pick], rows.holders, False)
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b, sizes and keys, from rows of (x, nx, kx, y, ny, ky)."""
-    low = F.col("x") < F.col("y")
-    pick = lambda p, q, name: F.when(low, F.col(p)).otherwise(F.col(q)).alias(name)
-    sides = [pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("kx", "ky", "ka"), pick("ky", "kx", "kb")]
-    return rows.select(*sides).distinct()
+    return _by_part(blocks, each, _BLOCKS)
 
 
-def _star_pairs(live: DataFrame, spec: JoinSpec) -> DataFrame:
-    """In each n-gram's group, the member with the fewest rarer n-grams against those of other components."""
-    first = F.col("pos").cast("long") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
-    hubs = (
-        live.withColumn("first", first)
-        .groupBy("gram")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.min_by(c, "first").alias(f"h_{c}") for c in ("rep", "k1", "n", "pos", "label")))
-        .where("lo < hi")
-    )
-    met = live.join(hubs, "gram").where("rep <> h_rep and label <> h_label").where(_fits(spec, "n", "pos", "h_n", "h_pos"))
-    return _pairs(met.selectExpr("rep as x", "n as nx", "k1 as kx", "h_rep as y", "h_n as ny", "h_k1 as ky"))
+_SETS = "k1 long, k2 long, n long, grams array<long>"
+
+
+def _candidates(answers: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Sets whose shared n-grams could reach the threshold, with these n-grams."""
 
+    def each(rows: _Rows, _: _Rows) -> Iterator[pa.RecordBatch]:
+        holders, which = np.unique(rows.holders, axis=0, return_inverse=True)  # copies that tasks dealt on their own are one
+        holder = which.ravel()[rows.holder]
+        order = np.lexsort((rows.grams, holder))
+        grams, holder = rows.grams[order], holder[order]
+        fresh = np.ones(len(grams), bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (holder[1:] != holder[:-1])
+        grams, holder = grams[fresh], holder[fresh]
+        m = np.bincount(holder, minlength=len(holders))
+        good = spec.den * m >= spec.num * holders[:, 2]
+        grams, left, m = grams[good[holder]], holders[good], m[good]
+        upto = np.concatenate([[0], np.cumsum(m)])
+        a = 0
+        while a < len(left):
+            b = max(int(np.searchsorted(upto, upto[a] + CHUNK, "right")) - 1, a + 1)
+            lists = pa.ListArray.from_arrays(pa.array((upto[a : b + 1] - upto[a]).astype(np.int32)), pa.array(grams[upto[a] : upto[b]].view(np.int64)))
+            yield _batch(_SETS, left[a:b, 0], left[a:b, 1], left[a:b, 2], lists)
+            a = b
 
-def _cross_pairs(live: DataFrame, spec: JoinSpec) -> DataFrame:
-    """In each n-gram's group, members of different components, as far as the filters let them meet."""
-    left = live.selectExpr("gram", "rep as x", "n as nx", "pos as px", "label as lx", "k1 as kx")
-    right = live.selectExpr("gram", "rep as y", "n as ny", "pos as py", "label as ly", "k1 as ky")
-    return _pairs(left.join(right, "gram").where("x < y and lx <> ly").where(_fits(spec, "nx", "px", "ny", "py")))
+    return _by_part(answers, each, _SETS)
 
 
-def _pivots(levels: np.ndarray) -> np.ndarray:
-    """Cuts of the global order (level, then hash) into FRAGMENTS parts of about equal n-gram mass."""
-    mass = np.bincount(levels, weights=np.exp2(levels.astype(float)) - 0.5, minlength=1)
-    upto = np.concatenate([[0], np.cumsum(mass)])
+def _pivots(mass: dict[int, float]) -> np.ndarray:
+    """Cuts of the global order (level, then hash) into FRAGMENTS parts of about equal mass; ``mass`` is by level."""
+    weights = np.array([mass.get(k, 0.0) for k in range(max(mass, default=0) + 1)])
+    upto = np.concatenate([[0], np.cumsum(weights)])
     cuts = []
     for j in range(1, FRAGMENTS):
         goal = upto[-1] * j / FRAGMENTS
-        level = min(int(np.searchsorted(upto, goal, "right")) - 1, len(mass) - 1)
-        part = min((goal - upto[level]) / mass[level], 0.999) if mass[level] else 0.0
+        level = min(int(np.searchsorted(upto, goal, "right")) - 1, len(weights) - 1)
+        part = min((goal - upto[level]) / weights[level], 0.999) if weights[level] else 0.0
         cuts.append((level << 56) + int(part * (1 << 56)))
     return np.array(cuts, np.uint64)
 
 
-_SUMMARIES = "rep long, k1 long, sizes array<int>, sums array<long>, xors array<long>"
-_SEGMENTS = "rep long, k1 long, frag int, seg array<long>"
+_ORDERED = "rep long, n int, grams array<long>, levels array<int>, sizes array<int>, sums array<long>, xors array<long>"
 
 
-def _cells(rep: np.ndarray, frag: np.ndarray) -> np.ndarray:
-    """A hash of a document and one of its fragments."""
-    return mix(mix(rep.view(np.uint64)) + frag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _ordered(sets: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """Each set's shared n-grams in the global order, cut into fragments, with the head's levels and a summary of every fragment."""
 
+    def lists(values: np.ndarray, each: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values))
 
-def _fragments(docs: DataFrame, spec: JoinSpec, levels, bits: int, wanted, wanted_bits: int, whole: bool) -> DataFrame:
-    """The sets of documents cut at the pivots: a summary of every fragment, or whole fragments.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            col = batch.column("grams")
+            m = np.diff(col.offsets.to_numpy())
+            grams = col.flatten().to_numpy().view(np.uint64)
+            doc = np.repeat(np.arange(rows), m)
+            level = np.zeros(len(grams), np.int64)
+            told = batch.column("told")
+            for i, pairs in enumerate(told.to_pylist()):
+                if pairs:
+                    a, b = int(m[:i].sum()) if i else 0, 0
+                    b = a + int(m[i])
+                    mine = grams[a:b]  # sorted
+                    level[a + np.searchsorted(mine, np.array([p["gram"] for p in pairs], np.int64).view(np.uint64))] = [p["level"] for p in pairs]
+            order = np.lexsort((grams, level, doc))
+            grams, level, doc = grams[order], level[order], doc[order]
+            frag = np.searchsorted(cuts, (level.astype(np.uint64) << np.uint64(56)) + (grams >> np.uint64(8)), "right")
+            cell = doc * FRAGMENTS + frag  # in order, as fragments follow the order
+            sizes, sums, xors = (np.zeros(rows * FRAGMENTS, t) for t in (np.int32, np.uint64, np.uint64))
+            if len(cell):
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                sizes[cell[first]] = np.diff(np.append(first, len(cell)))
+                sums[cell[first]] = np.add.reduceat(grams, first)
+                xors[cell[first]] = np.bitwise_xor.reduceat(mix(grams), first)
+            every = np.full(rows, FRAGMENTS)
+            yield _batch(
+                _ORDERED, batch.column("rep"), batch.column("n").cast(pa.int32()), lists(grams.view(np.int64), m), lists(level.astype(np.int32), m),
+                lists(sizes, every), lists(sums.view(np.int64), every), lists(xors.view(np.int64), every),
+            )
+
+    return sets.select("rep", "n", "grams", "told").mapInArrow(lean(run), _ORDERED)
 
-    ``wanted`` is a table of the hashes of the cells asked for (fragment 0 of a document stands
-    for its summary); it may let a few others through.
-    """
-    every = np.arange(FRAGMENTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, want = levels.value, wanted.value
-        cuts = _pivots(table)
+def _fits(spec: JoinSpec, n: str, pos: str, m: str, at: str) -> str:
+    """SQL for the size filter, and the position filter that the first shared n-gram of a linked pair passes."""
+    most = f"(1 + least({n} - {pos} - 1, {m} - {at} - 1))"
+    return (
+        f"{spec.den} * least({n}, {m}) >= {spec.num} * greatest({n}, {m}) and "
+        f"{spec.den} * {most} >= {spec.num} * ({n} + {m} - {most})"
+    )
 
-        def asked(cells: np.ndarray) -> np.ndarray:
-            return want[(cells >> np.uint64(64 - wanted_bits)).astype(np.int64)] > 0
 
-        for batch in batches:
-            ids = batch.column("doc_id")
-            number = ids.fill_null(0).to_numpy()
-            if whole:
-                grid = asked(_cells(np.repeat(number, FRAGMENTS), np.tile(every, len(number)))).reshape(-1, FRAGMENTS)
-            else:
-                grid = asked(_cells(number, np.zeros(len(number), np.int64)))[:, None]
-            hit = np.asarray(ids.is_valid()) & grid.any(axis=1)
-            if not hit.any():
-                continue
-            number, grid = number[hit], grid[hit]
-            for group in words(batch.column("text").filter(pa.array(hit))):
-                doc, grams, size = set_rows(group, spec.n)
-                if not len(grams):
-                    continue
-                key, name, mine = set_keys(grams, size)[:, 0], number[group.first : group.last], grid[group.first : group.last]
-                level = table[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-                frag = np.searchsorted(cuts, (level << np.uint64(56)) + (grams >> np.uint64(8)), "right")
-                if whole:
-                    keep = mine[doc, frag]
-                    doc, frag, grams = doc[keep], frag[keep], grams[keep]
-                order = np.lexsort((frag, doc))
-                doc, frag, grams = doc[order], frag[order], grams[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (frag[1:] != frag[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                d = doc[first]
-                if whole:
-                    seg = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(grams.view(np.int64)))
-                    cols, names = [pa.array(name[d]), pa.array(key[d]), pa.array(frag[first].astype(np.int32)), seg], _SEGMENTS
-                else:
-                    cell = d * FRAGMENTS + frag[first]
-                    sizes, sums, xors = (np.zeros(len(size) * FRAGMENTS, t) for t in (np.int32, np.uint64, np.uint64))
-                    sizes[cell] = np.diff(np.append(first, len(doc)))
-                    sums[cell] = np.add.reduceat(grams, first)
-                    xors[cell] = np.bitwise_xor.reduceat(mix(grams), first)
-                    some = np.flatnonzero(size)
-                    offsets = pa.array((np.arange(len(some) + 1) * FRAGMENTS).astype(np.int32))
-                    rows = (x.reshape(-1, FRAGMENTS)[some].ravel() for x in (sizes, sums.view(np.int64), xors.view(np.int64)))
-                    cols, names = [pa.array(name[some]), pa.array(key[some]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in rows)], _SUMMARIES
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in names.split(", ")])
-
-    return docs.mapInArrow(lean(run), _SEGMENTS if whole else _SUMMARIES)
-
-
-def _members(cells: DataFrame, bits: int) -> DataFrame:
-    """Counts of the hashes of ``rep, frag``."""
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b and sizes, from rows of (x, nx, y, ny)."""
+    low = F.col("x") < F.col("y")
+    pick = lambda p, q, name: F.when(low, F.col(p)).otherwise(F.col(q)).alias(name)
+    sides = [pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb")]
+    return rows.select(*sides).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, task = _Counter(bits), TaskContext.get().partitionId()
-        for batch in batches:
-            counter.add(_cells(batch.column("rep").to_numpy(), batch.column("frag").to_numpy()))
-        for k, counts in counter.slices():
-            cols = [pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([counts])]
-            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SLICES.split(", ")])
 
-    return cells.mapInArrow(lean(run), _SLICES)
+def _centre_pairs(live: DataFrame, spec: JoinSpec, many: int) -> tuple[DataFrame, DataFrame]:
+    """In each n-gram's group, up to ``many`` centres against members of other components; and the centres."""
+    first = F.col("pos").cast("long") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
+    share = F.pmod(F.xxhash64("rep", "gram"), F.lit(many))
+    found = live.withColumn("first", first).withColumn("bucket", share)
+    best = F.min(F.struct("first", "rep", "n", "pos", "label", "shares")).alias("h")
+    found = found.groupBy("gram", "bucket", "salt").agg(best).groupBy("gram", "bucket").agg(F.min("h").alias("h"))
+    centres = materialize(found.select("gram", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("rep", "n", "pos", "label", "shares"))), "centres")
+    dealt = centres.withColumn("salt", F.explode(F.expr("sequence(0, h_shares - 1)")))
+    met = live.join(dealt, ["gram", "salt"]).where("rep <> h_rep and label <> h_label").where(_fits(spec, "n", "pos", "h_n", "h_pos"))
+    return _pairs(met.selectExpr("rep as x", "n as nx", "h_rep as y", "h_n as ny")), centres.selectExpr("gram", "h_rep as rep")
 
 
 class _Verifier:
@@ -405,21 +391,14 @@ class _Verifier:
     pairs that can't reach the threshold with all others go; only what differs is compared.
     """
 
-    def __init__(self, docs: DataFrame, spec: JoinSpec, levels, bits: int) -> None:
-        self.docs, self.spec, self.levels, self.bits = docs, spec, levels, bits
-
-    def _read(self, cells: DataFrame, whole: bool) -> DataFrame:
-        cells = materialize(cells.distinct(), "wanted")
-        bits = _bits_for(64 * cells.count())
-        wanted = cells.sparkSession.sparkContext.broadcast(_levels(_members(cells, bits), bits))
-        return _fragments(self.docs, self.spec, self.levels, self.bits, wanted, bits, whole)
+    def __init__(self, ordered: DataFrame, spec: JoinSpec) -> None:
+        self.ordered, self.spec = ordered, spec
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         spec = self.spec
-        side = lambda df, x, k: df.select(*(F.col(c).alias({"rep": x, "k1": k}.get(c, f"{c}_{x}") if c != "frag" else c) for c in df.columns))
-        both = pairs.selectExpr("a as rep").unionByName(pairs.selectExpr("b as rep"))
-        summaries = materialize(self._read(both.withColumn("frag", F.lit(0)), False).dropDuplicates(["rep", "k1"]), "summaries")
-        met = pairs.join(side(summaries, "a", "ka"), ["a", "ka"]).join(side(summaries, "b", "kb"), ["b", "kb"])
+        side = lambda df, x: df.select(*(F.col(c).alias(x if c == "rep" else f"{c}_{x}" if c != "frag" else c) for c in df.columns))
+        summaries = self.ordered.select("rep", "sizes", "sums", "xors")
+        met = pairs.join(side(summaries, "a"), "a").join(side(summaries, "b"), "b")
         equal = "(sizes_a[i] = sizes_b[i] and sums_a[i] = sums_b[i] and xors_a[i] = xors_b[i])"
         each = f"sequence(0, {FRAGMENTS - 1})"
         met = met.withColumns(
@@ -430,62 +409,84 @@ class _Verifier:
             }
         )
         met = met.where(f"{spec.den} * most >= {spec.num} * (na + nb - most)")
-        met = materialize(met.select("a", "b", "na", "nb", "ka", "kb", "same", "frags"), "met")
-        asked = met.select("a", "b", "ka", "kb", F.explode("frags").alias("frag"))
-        segments = materialize(self._read(asked.selectExpr("a as rep", "frag").unionByName(asked.selectExpr("b as rep", "frag")), True), "segments")
-        partial = asked.join(side(segments, "a", "ka"), ["a", "ka", "frag"]).join(side(segments, "b", "kb"), ["b", "kb", "frag"])
-        partial = partial.select("a", "b", "frag", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
-        summed = partial.groupBy("a", "b", "frag").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
+        met = materialize(met.select("a", "b", "na", "nb", "same", "frags"), "met")
+        asked = met.select("a", "b", F.explode("frags").alias("frag"))
+        wanted = asked.selectExpr("a as rep", "frag").unionByName(asked.selectExpr("b as rep", "frag")).distinct()
+        upto = "aggregate(slice(sizes, 1, frag), 0, (s, x) -> s + x)"
+        segments = self.ordered.select("rep", "grams", "sizes").join(wanted, "rep").select("rep", "frag", F.expr(f"slice(grams, {upto} + 1, sizes[frag])").alias("seg"))
+        segments = materialize(segments, "segments")
+        partial = asked.join(side(segments, "a"), ["a", "frag"]).join(side(segments, "b"), ["b", "frag"])
+        partial = partial.select("a", "b", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
+        summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
         found = met.join(summed, ["a", "b"], "left").withColumn("overlap", F.col("same") + F.coalesce("o", F.lit(0)))
         return found.where(f"{spec.den} * overlap >= {spec.num} * (na + nb - overlap)").select("a", "b", "overlap")
 
 
+def _heads(ordered: DataFrame, spec: JoinSpec) -> DataFrame:
+    """``gram, salt, shares, rep, n, pos`` of the heads of sets, for n-grams that several heads have; ``pos`` counts n-grams of no other set first."""
+    alone = F.col("n") - F.size("grams")
+    most = F.expr(f"n - cast(ceil(n * {spec.num} / {spec.den}) as int) + 1").cast("int")
+    heads = ordered.withColumn("alone", alone).withColumn("head", F.greatest(F.least(most - alone, F.size("grams")), F.lit(0)))
+    heads = heads.select("rep", "n", "alone", F.expr("slice(grams, 1, head)").alias("gram"), F.expr("slice(levels, 1, head)").alias("level"))
+    heads = heads.select("rep", "n", "alone", F.posexplode(F.arrays_zip("gram", "level")).alias("i", "g"))
+    shares = F.expr(f"shiftleft(1, greatest(g.level - {HOT_LEVEL} + 1, 0))")
+    heads = heads.select(F.col("g.gram").alias("gram"), shares.alias("shares"), "rep", "n", (F.col("alone") + F.col("i")).alias("pos"))
+    return heads.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Rows of groups that hold several components; counted in shares, then over them."""
+    some = named.groupBy("gram", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("shares").alias("shares"))
+    lasting = some.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("shares").alias("shares")).where("lo < hi")
+    lasting = lasting.select("gram", F.explode(F.expr("sequence(0, shares - 1)")).alias("salt"))
+    return named.join(lasting, ["gram", "salt"], "left_semi")
+
+
 def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the least doc_id reachable by links) for every row."""
     spec = spec or JoinSpec()
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = _bits_for(chars // 6 // COUNTS_PER_BUCKET)
-    scan = materialize(_scan(docs, spec, bits), "scan")
-    levels = spark.sparkContext.broadcast(_levels(scan.where("slice is not null").select("task", "slice", "counts"), bits))
-    sets = scan.where("slice is null").select("doc_id", "n", "k1", "k2")
-    linkable = sets.where("n > 0 and doc_id is not null")
-    classes = materialize(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-
-    heads = _shared(_heads(docs.where("doc_id is not null"), spec, levels, bits))
-    # two sets with one k1 would only add a candidate
-    live = heads.select("gram", "k1", "n", "pos").distinct().join(classes.select("k1", "rep"), "k1")
-    live = materialize(live.select("gram", "rep", "k1", "n", "pos"), "live")
+    scan = materialize(_scan(docs, spec), "scan")
+    linkable = scan.where("n > 0 and doc_id is not null")
+    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    parts = int(classes.agg(F.sum("size")).first()[0] or 0) // PART + 1
+
+    answers = _answers(_blocks(docs.where("doc_id is not null"), spec, parts), parts)
+    sets = _candidates(answers, spec).join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    sets = materialize(sets.select("rep", "n", "grams"), "sets")
+    grams = sets.select("rep", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(f"n > {RARE}")
+    counts = materialize(counts.select("gram", "n", F.ceil(F.log2("n")).cast("int").alias("level")), "counts")
+    mass = {r[0]: float(r[1]) for r in counts.groupBy("level").agg(F.sum("n")).collect()}  # a row per level
+    mass[0] = float(sets.agg(F.sum(F.size("grams"))).first()[0] or 0) - sum(mass.values())
+    told = grams.join(counts.select("gram", "level"), "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "level")).alias("told"))
+    ordered = materialize(_ordered(sets.join(told, "rep", "left"), _pivots(mass)), "ordered")
+
+    live = _open(_heads(ordered, spec).withColumn("label", F.col("rep"))).drop("label")
     labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    verify, tested, links = _Verifier(docs.where("doc_id is not null"), spec, levels, bits), None, None
-    by_star = True
+    verify, tested, links, many = _Verifier(ordered, spec), None, None, 1
     while True:
         named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        if links is not None or not by_star:  # only groups that still hold several components
-            lasting = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            named = materialize(named.join(lasting.select("gram"), "gram", "left_semi"), "open")
-            rows, square = named.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m"), F.sum(F.expr("cast(m as double) * m"))).first()
-            if not rows:
-                break
-            by_star = by_star and square > LARGE_GROUPS * rows
-        pairs = _star_pairs(named, spec) if by_star else _cross_pairs(named, spec)
+        named = materialize(_open(named) if links is not None or many > 1 else named, "open")
+        if named.isEmpty():
+            break
+        pairs, centres = _centre_pairs(named, spec, many)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(verify(pairs), "links") if pairs.count() else None
-        gained = new is not None and new.count() > 0
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if gained:
+        new = None if pairs.isEmpty() else materialize(verify(pairs), "links")
+        if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = materialize(components(links.select("a", "b")), "labels")
-        if not by_star:
-            break
-        by_star = gained
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.join(named, ["k1", "k2"], "left")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        live = named.drop("label").join(centres, ["gram", "rep"], "left_anti")  # all pairs of a centre are known now
+        many *= GROWTH
+    linked = classes.join(labels.withColumnRenamed("node", "rep"), "rep")
+    linked = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    named = classes.join(linked.select("rep", "component_id"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "least").alias("component_id"))
+    out = scan.join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
