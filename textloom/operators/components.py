@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import materialize
+from textloom.session import discard, materialize
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(mins, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        step = materialize(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(now)
+        now = step
         last, seen = seen, _print_of(now)
         if last == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -56,10 +57,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where the session names none (tests, a laptop) is a temporary folder made.
+    Only where the session names none and runs on one machine (tests, a laptop) is a temporary
+    folder made; on a cluster executors could not read it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         base = getattr(spark.sparkContext, "_textloom_shared", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
@@ -79,10 +84,22 @@ _made: list[str] = []
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`materialize` has written; call it when no result needs them any more."""
-    jvm = spark.sparkContext._jvm
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialize` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_textloom_path", None)
+        if path in _made:
+            _made.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -94,7 +111,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
 
 
 def unused(df: DataFrame, name: str) -> str:
