@@ -25,19 +25,19 @@ def test_emails(spark, given, masked, n):
     assert (row["masked"], row["emails"]) == (masked, n)
 
 
-@pytest.mark.parametrize("number", ["2831823829", "(283)-182-3829", "(283) 182 3829", "283-182-3829"])
+@pytest.mark.parametrize("number", ["4155550132", "(415)-555-0132", "(415) 555 0132", "415-555-0132"])
 def test_phones(spark, number):
     row = pii.mask_all(spark.createDataFrame([(f"call {number}!",)], "text string")).first()
     assert (row["masked"], row["phones"]) == ("call |||PHONE_NUMBER|||!", 1)
 
 
-@pytest.mark.parametrize(("address", "n"), [("192.0.2.146", 1), ("255.255.255.255", 1), ("256.1.1.1", 0), ("1.2.3", 0), ("0.0.0.0 10.0.0.1", 2)])
+@pytest.mark.parametrize(("address", "n"), [("198.51.100.23", 1), ("255.255.255.255", 1), ("256.1.1.1", 0), ("1.2.3", 0), ("0.0.0.0 10.0.0.1", 2)])
 def test_addresses(spark, address, n):
     assert pii.mask_all(spark.createDataFrame([(f"at {address} .",)], "text string")).first()["ips"] == n
 
 
 def test_masking_twice_changes_nothing(spark):
-    first = pii.mask_all(spark.createDataFrame([("a@b.org 283-182-3829 10.1.1.1",)], "text string")).select(F.col("masked").alias("text"))
+    first = pii.mask_all(spark.createDataFrame([("a@b.org 415-555-0132 10.1.1.1",)], "text string")).select(F.col("masked").alias("text"))
     row = pii.mask_all(first).first()
     assert row["masked"] == row["text"] and row["emails"] + row["phones"] + row["ips"] == 0
 

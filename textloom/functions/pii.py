@@ -7,9 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-
 @dataclass(frozen=True)
 class Mask:
     """What is masked; ``core`` is the pattern between its borders, ``edge`` what may not adjoin it."""
@@ -25,6 +22,7 @@ class Mask:
 
 
 #: Patterns and marks, in the order in which they are applied.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MASKS = (
     Mask("emails", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "|||EMAIL_ADDRESS|||", False),
     Mask("phones", r"(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}", "|||PHONE_NUMBER|||", True),
@@ -52,7 +50,7 @@ def mask_all_sql(source: str, text: str = "text", keep: str = "doc_id") -> str:
     column = f"coalesce({text}, '')"
     done = ""
     for what in MASKS:
-        core = what.core.replace("(?:", "(?:")
+        core = what.core
         if what.digits_around:
             find, put, count = f"(^|[^0-9])({core})([^0-9]|$)", f"\\1{what.mark}\\3", f"(?:^|[^0-9])(?:{core})(?:[^0-9]|$)"
         else:
