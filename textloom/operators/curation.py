@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules, text
 from textloom.functions.pii import mask_all
+from textloom.session import materialize, unused
 
 #: Reasons in the order in which rules are tried.
 REASONS = ("missing_uri", "empty_text", "too_short", "blocked_topic", "parked_domain", "non_english", "low_gopher_quality", "boilerplate", "nsfw", "toxic", "exact_duplicate", "domain_cap")
@@ -58,16 +59,25 @@ def first_failure(docs: DataFrame, lang: Column, lang_score: Column, harmful: Co
 def curate(judged: DataFrame, domain: Column, scope: Iterable[str], order: str = "doc_id", config: FilterConfig | None = None) -> DataFrame:
     """Mask what passed, drop exact duplicates (the first stays), cap domains; ``scope`` limits both to a file or other columns.
 
-    Two windows one after the other equal a loop over records: a duplicate of a capped
-    document is a duplicate, and capped documents don't count towards the cap.
+    One rule after the other equals a loop over records: a duplicate of a capped
+    document is a duplicate, and capped documents don't count towards the cap. Both work on keys and
+    not on texts: the first of a digest is a partial minimum, and a domain's first records are a
+    rank with a limit, which each task applies before rows travel; so no domain or text is one task's load.
     """
     config, scope = config or FilterConfig(), list(scope)
     passed = mask_all(judged.where("reason is null"), "normalized").withColumn("domain", domain)
-    passed = passed.withColumn("digest", text.digest(F.col("masked")))
-    nth = F.row_number().over(Window.partitionBy(*scope, "digest").orderBy(order))
-    once = passed.withColumn("reason", F.when(nth > 1, "exact_duplicate"))
-    capped = F.row_number().over(Window.partitionBy(*scope, "domain", "reason").orderBy(order))
-    return once.withColumn("reason", F.coalesce("reason", F.when(capped > config.max_per_domain, "domain_cap")))
+    row, least = unused(passed, "row"), unused(passed, "least")
+    passed = materialize(passed.withColumn("digest", text.digest(F.col("masked"))).withColumn(row, F.monotonically_increasing_id()), "passed")
+    place = F.struct(F.col(order).alias("o"), F.col(row).alias("r"))
+    keys = passed.select(*scope, "domain", "digest", place.alias("place"))
+    first = keys.groupBy(*scope, "digest").agg(F.min("place").alias(least))
+    firsts = first.select(F.col(f"{least}.r").alias(row)).withColumn(least, F.lit(True))
+    once = keys.join(first.select(F.col(f"{least}.r").alias("r")), F.col("place.r") == F.col("r"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*scope, "domain").orderBy("place"))
+    capped = once.withColumn("nth", nth).where(F.col("nth") <= config.max_per_domain).select(F.col("place.r").alias(row), F.lit(True).alias("nth"))
+    verdict = firsts.join(capped, row, "left").select(row, F.when(F.col("nth").isNull(), "domain_cap").otherwise("kept").alias(least))
+    out = passed.join(verdict, row, "left").withColumn("reason", F.coalesce(least, F.lit("exact_duplicate")))
+    return out.withColumn("reason", F.nullif("reason", F.lit("kept"))).drop(row, least)
 
 
 def failure_counts(reasons: DataFrame) -> DataFrame:
@@ -80,5 +90,6 @@ def failure_counts(reasons: DataFrame) -> DataFrame:
 
 def first_records(docs: DataFrame, file: str, position: str, n: int) -> DataFrame:
     """The first ``n`` records of each file, by position."""
+    name = unused(docs, "nth")
     nth = F.row_number().over(Window.partitionBy(file).orderBy(position))
-    return docs.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+    return docs.withColumn(name, nth).where(F.col(name) <= n).drop(name)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text
 from textloom.operators.components import components
-from textloom.session import materialize
+from textloom.session import lean, materialize, ship
+from textloom.sources.files import make_dir, write_bytes
 
 
 def exploded_lines(docs: DataFrame) -> DataFrame:
@@ -35,6 +39,34 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("")).alias("text"))
 
 
+def dedup_files(spark: SparkSession, paths: str | Sequence[str], folder: str) -> DataFrame:
+    """Line removal over whole text files: one output file of the same base name each, also where nothing is left.
+
+    Lines count with their terminators (any of the three becomes a line feed), so a last line without one differs from the same
+    line with one. Of inputs with one base name the last path's output stays. Returns ``file, lines``, the lines that each output has.
+    """
+    ship(spark)
+    make_dir(folder)
+    files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    name = F.substring_index("file", "/", -1)
+    text_ = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    lines = files.select("file", F.posexplode(F.regexp_extract_all(text_, F.lit("([^\n]*\n|[^\n]+$)"), F.lit(1))).alias("line_no", "line"))
+    lines = lines.withColumn("hash", text.digest(F.col("line")))
+    once = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("hash")
+    kept = lines.join(once, "hash", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
+    last = files.select("file").groupBy(name.alias("name")).agg(F.max("file").alias("file"))
+    out = last.join(kept, "file", "left").select("name", F.transform("rows", lambda r: r["line"]).alias("lines"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, all_lines = batch.column("name").to_pylist(), batch.column("lines").to_pylist()
+            for file, some in zip(names, all_lines, strict=True):
+                write_bytes(f"{folder}/{file}", "".join(some or []).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(x or []) for x in all_lines], pa.int64())], names=["file", "lines"])
+
+    return materialize(out.mapInArrow(lean(write), "file string, lines long"), "files")
+
+
 def gram_rows(docs: DataFrame, n: int = 5) -> DataFrame:
     """``doc_id, gram``: distinct word n-grams of canonical texts."""
     canonical = docs.select("doc_id", text.canonical(F.col("text")).alias("c"))
@@ -47,9 +79,9 @@ def jaccard_pairs(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     An inverted index restricted to prefixes: of a set of n grams ordered by rarity, any
     partner must share one of the first n - ceil(n * num / den) + 1. Only pairs that meet there
-    are counted in full. Sets that are equal meet as well, by the same rule.
+    are counted in full. Sets that are equal meet as well, by the same rule. N-grams travel as 64-bit hashes.
     """
-    grams = materialize(grams, "grams")
+    grams = materialize(grams.select("doc_id", F.xxhash64("gram").alias("gram")), "grams")
     sized = grams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # grams of one document can't be shared; they only take up the first places of the order
@@ -133,6 +165,96 @@ def candidate_stars(keys: DataFrame) -> DataFrame:
     return keys.join(least, ["band", "key"]).where("l < doc_id").select("l", F.col("doc_id").alias("r")).distinct()
 
 
+def bucket_links(keys: DataFrame, verify, growth: int = 32) -> DataFrame:
+    """Links ``l, r`` between members of a band's bucket that ``verify`` keeps: enough of them to join all that all pairs would join.
+
+    In every bucket centres are compared with the members of other components. Buckets whose members are all in
+    one component are done; the others lose their centres, all of whose pairs are known, and a round has more
+    centres than the one before. So a bucket of near copies costs one comparison a member.
+    """
+    live, links, tested, many = keys, None, None, 1
+    labels = keys.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0)
+    while True:
+        named = live.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        lasting = named.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
+        named = materialize(named.join(lasting.select("band", "key", "members"), ["band", "key"]), "open")
+        if named.isEmpty():
+            break
+        part = F.when(F.col("members") <= many, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", "key"), F.lit(many)))
+        centres = named.groupBy("band", "key", part.alias("part")).agg(F.min(F.struct("doc_id", "label")).alias("c"))
+        centres = materialize(centres.select("band", "key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label")), "centres")
+        met = named.join(centres, ["band", "key"]).where("doc_id <> c and label <> c_label")
+        pairs = met.select(F.least("doc_id", "c").alias("l"), F.greatest("doc_id", "c").alias("r")).distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["l", "r"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = materialize(verify(pairs).select("l", "r"), "links")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = materialize(components(links, "l", "r"), "labels")
+        live = named.select("doc_id", "band", "key").join(centres.select("band", "key", F.col("c").alias("doc_id")), ["band", "key", "doc_id"], "left_anti")
+        many *= growth
+    return links if links is not None else keys.select(F.col("doc_id").alias("l"), F.col("doc_id").alias("r")).limit(0)
+
+
+#: The constants of MurmurHash3 in its variant of 128 bits for 64-bit machines.
+MURMUR_C1, MURMUR_C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+MURMUR_H1, MURMUR_H2 = 0x52DCE729, 0x38495AB5
+MURMUR_F1, MURMUR_F2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def murmur_low(data: bytes, seeds: np.ndarray) -> np.ndarray:
+    """The first 64 bits of MurmurHash3 (128 bits) of some bytes, for many seeds at once."""
+    u = np.uint64
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << u(n) | x >> u(64 - n)
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> u(33)) * u(MURMUR_F1)
+        x = (x ^ x >> u(33)) * u(MURMUR_F2)
+        return x ^ x >> u(33)
+
+    def scrambled(word: int, first: int, turn: int, second: int) -> np.uint64:
+        x = word * first & (1 << 64) - 1
+        return u((x << turn | x >> 64 - turn) * second & (1 << 64) - 1)
+
+    low, high = seeds.astype(u), seeds.astype(u)
+    whole = len(data) // 16 * 16
+    for at in range(0, whole, 16):
+        low = low ^ scrambled(int.from_bytes(data[at : at + 8], "little"), MURMUR_C1, 31, MURMUR_C2)
+        low = (turned(low, 27) + high) * u(5) + u(MURMUR_H1)
+        high = high ^ scrambled(int.from_bytes(data[at + 8 : at + 16], "little"), MURMUR_C2, 33, MURMUR_C1)
+        high = (turned(high, 31) + low) * u(5) + u(MURMUR_H2)
+    rest = data[whole:]
+    if len(rest) > 8:
+        high = high ^ scrambled(int.from_bytes(rest[8:], "little"), MURMUR_C2, 33, MURMUR_C1)
+    if rest:
+        low = low ^ scrambled(int.from_bytes(rest[:8], "little"), MURMUR_C1, 31, MURMUR_C2)
+    low, high = low ^ u(len(data)), high ^ u(len(data))
+    low = low + high
+    high = high + low
+    low, high = spread(low), spread(high)
+    return low + high
+
+
+def murmur_signatures(sets: DataFrame, hashes: int, grams: str = "grams") -> DataFrame:
+    """``doc_id, signature``: for the seeds 0 to hashes - 1 the least hash of a set's n-grams, as unsigned decimal numbers; all ones for no n-gram."""
+    ship(sets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.arange(hashes, dtype=np.uint64)
+        for batch in batches:
+            out = []
+            for some in batch.column(grams).to_pylist():
+                least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+                for gram in some or []:
+                    least = np.minimum(least, murmur_low(gram.encode(), seeds))
+                out.append([Decimal(int(x)) for x in least])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.decimal128(20, 0)))], names=["doc_id", "signature"])
+
+    return sets.select("doc_id", grams).mapInArrow(lean(run), "doc_id long, signature array<decimal(20,0)>")
+
+
 def all_candidates(grams: DataFrame, keys_of) -> DataFrame:
     """``l, r, copy``: the candidate pairs of different sets, by their least documents, and each copy with its set's least document."""
     classes = materialize(set_classes(grams), "classes")
@@ -141,9 +263,13 @@ def all_candidates(grams: DataFrame, keys_of) -> DataFrame:
     return candidate_pairs(keys_of(single)).withColumn("copy", F.lit(False)).unionByName(copies)
 
 
-def verified(pairs: DataFrame, grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """Pairs whose exact Jaccard similarity is num/den or more."""
-    sets = grams.groupBy("doc_id").agg(F.collect_set(F.xxhash64("gram")).alias("g"))
+def gram_sets(grams: DataFrame) -> DataFrame:
+    """``doc_id, g``: the hashes of each document's n-grams."""
+    return grams.groupBy("doc_id").agg(F.collect_set(F.xxhash64("gram")).alias("g"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """Pairs whose exact Jaccard similarity is num/den or more, by :func:`gram_sets`."""
     both = pairs.join(sets.select(F.col("doc_id").alias("l"), F.col("g").alias("gl")), "l").join(sets.select(F.col("doc_id").alias("r"), F.col("g").alias("gr")), "r")
     inter = F.size(F.array_intersect("gl", "gr"))
     counted = both.select("l", "r", inter.alias("inter"), (F.size("gl") + F.size("gr") - inter).alias("uni"))

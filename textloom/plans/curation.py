@@ -156,6 +156,17 @@ o AS (SELECT *, nth > 1 AS dup, row_number() OVER (PARTITION BY source, nth > 1
 CAP = 10
 
 
+def pii_totals_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is masked in the documents that pass the rules, in all."""
+    found = pii.mask_all(_judged(spark, sf_dir).where("reason is null"), "normalized")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("emails", "phones", "ips")]
+    return found.agg(*total, F.count(F.when(F.col("emails") + F.col("phones") + F.col("ips") > 0, 1)).alias("docs_modified"))
+
+
+PII_TOTALS_PASSED = f"""WITH {_JUDGED}
+SELECT coalesce(sum(emails), 0)::BIGINT AS emails, coalesce(sum(phones), 0)::BIGINT AS phones, coalesce(sum(ips), 0)::BIGINT AS ips, count(*) FILTER (emails + phones + ips > 0) AS docs_modified FROM masked_ips"""
+
+
 def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     judged = _judged(spark, sf_dir).select("doc_id", "source", "reason", F.when(F.col("reason").isNull(), F.col("normalized")).alias("normalized"))
     judged = materialize(judged, "judged")  # read twice: for the counts, and to go on with what passed
@@ -226,6 +237,7 @@ QUERIES = {
     "parked_domain": (parked_domain, PARKED_DOMAIN),
     "mask_pii": (mask_pii, MASK_PII),
     "pii_totals": (pii_totals, PII_TOTALS),
+    "pii_totals_passed": (pii_totals_passed, PII_TOTALS_PASSED),
     "url_domain": (url_domain, URL_DOMAIN),
     "filter_first_failure": (filter_first_failure, FILTER_FIRST_FAILURE),
     "exact_doc_dedup": (exact_doc_dedup, EXACT_DOC_DEDUP),

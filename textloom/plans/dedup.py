@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import text
 from textloom.operators import dedup
 from textloom.session import materialize, ship
 from textloom.sources.tables import table
@@ -131,10 +132,11 @@ FUZZY_DEDUP_EXACT = f"WITH RECURSIVE {PAIRS}, {CLUSTERS.format(pairs='jp')} SELE
 
 
 def fuzzy_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash, bands, verification and clusters."""
+    """MinHash, bands, verification and clusters; in a bucket only pairs of different components are verified."""
 
     def banded(grams: DataFrame) -> DataFrame:
-        return dedup.verified(dedup.candidate_pairs(_keys(grams)), grams)
+        sets = materialize(dedup.gram_sets(grams), "sets")
+        return dedup.bucket_links(materialize(_keys(grams), "keys"), lambda pairs: dedup.verified(pairs, sets))
 
     return dedup.keep_first(*_pairs(spark, sf_dir, banded)).select("doc_id")
 
@@ -144,7 +146,16 @@ jp AS (SELECT l, r FROM (SELECT l, r, (SELECT count(*) FROM g x JOIN g y ON x.gr
        JOIN gn a ON a.doc_id = l JOIN gn b ON b.doc_id = r WHERE 5 * inter >= 4 * (a.n + b.n - inter)),
 {CLUSTERS.format(pairs='jp')} SELECT doc_id FROM cl WHERE doc_id = component"""
 
+def murmur_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures by 128-bit MurmurHash3, a seed each; SQL has no such hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.canonical(F.col("text")).alias("c"))
+    sets = docs.select("doc_id", text.ngrams(text.tokens(F.col("c")), N).alias("grams"))
+    found = dedup.murmur_signatures(sets, HASHES)
+    return found.select("doc_id", F.posexplode("signature").alias("i", "h")).select("doc_id", F.col("i").cast("long").alias("i"), F.col("h").cast("string").alias("h"))
+
+
 QUERIES = {
+    "murmur_signature": (murmur_signature, None),
     "line_dedup": (line_dedup, LINE_DEDUP),
     "duplicate_lines_topk": (duplicate_lines_topk, DUPLICATE_LINES_TOPK),
     "ngram_counts": (ngram_counts, NGRAM_COUNTS),
