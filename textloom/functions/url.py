@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels that are recognised, besides every single last label.
+#: Public suffixes of two labels that are recognised without a list, besides every single last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "co.jp", "ne.jp", "or.jp", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.nz", "co.za", "co.kr")
 
 
@@ -15,9 +17,44 @@ def host(url: Column) -> Column:
     return F.lower(found)
 
 
-def registered_domain(url: Column) -> Column:
-    """Suffix and one label; else the host; else the URL itself."""
+def parse_suffixes(lines: Iterable[str]) -> dict[str, str]:
+    """Rules of a public suffix list: each suffix with ``plain``, ``wildcard`` (any one label before it) or ``exception``."""
+    out = {}
+    for line in lines:
+        rule = line.split("//")[0].split()
+        if not rule:
+            continue
+        name = rule[0].strip(".").lower()
+        if name.startswith("!"):
+            out[name[1:]] = "exception"
+        elif name.startswith("*."):
+            out[name[2:]] = "wildcard"
+        else:
+            out.setdefault(name, "plain")
+    return out
+
+
+def public_suffix_labels(h: Column, suffixes: Mapping[str, str]) -> Column:
+    """How many labels of a host are its public suffix: of the rules that fit the longest, an exception first, else the last label."""
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    rules = {kind: F.array(*(F.lit(s) for s, k in suffixes.items() if k == kind)) if kind in suffixes.values() else F.array().cast("array<string>") for kind in ("plain", "wildcard", "exception")}
+    deepest = max((s.count(".") + 2 for s in suffixes), default=1)
+    tail = lambda k: F.substring_index(h, ".", -k)
+    out = F.lit(1)
+    for k in range(1, deepest + 1):
+        fits = (n >= k) & (F.array_contains(rules["plain"], tail(k)) | ((F.lit(k) > 1) & F.array_contains(rules["wildcard"], tail(max(k - 1, 1)))))
+        out = F.when(fits, F.lit(k)).otherwise(out)
+    for k in range(1, deepest + 1):
+        out = F.when((n >= k) & F.array_contains(rules["exception"], tail(k)), F.lit(k - 1)).otherwise(out)
+    return out
+
+
+def registered_domain(url: Column, suffixes: Mapping[str, str] | None = None) -> Column:
+    """Public suffix and one label; else the host; else the URL itself. ``suffixes`` are rules of :func:`parse_suffixes`."""
     h = host(url)
-    two = F.substring_index(h, ".", -2)
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(two)
+    suffixes = dict.fromkeys(TWO_LABEL_SUFFIXES, "plain") if suffixes is None else suffixes
+    labels = public_suffix_labels(h, suffixes)
+    n = F.size(F.split(h, r"\."))
+    domain = F.array_join(F.slice(F.split(h, r"\."), F.greatest(n - labels, F.lit(1)), F.least(labels + 1, n)), ".")
     return F.when(h == "", F.coalesce(url, F.lit(""))).when(h.rlike(r"^[0-9.]+$"), h).otherwise(domain)

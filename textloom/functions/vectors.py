@@ -81,6 +81,11 @@ def swiglu(v: Column, w1: Column, w2: Column, w3: Column) -> Column:
     return matmul(w2, F.zip_with(gate, matmul(w3, v), lambda a, b: a * b))
 
 
+def add(a: Column, b: Column) -> Column:
+    """Elementwise, as learned positions are added to embeddings."""
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
 def hidden_size(d: int, multiple: int = 64) -> int:
     """8/3 of the model width, rounded up to a multiple."""
     return -(-(8 * d // 3) // multiple) * multiple if 8 * d % 3 == 0 else -(-math.ceil(8 * d / 3) // multiple) * multiple

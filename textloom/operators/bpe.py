@@ -7,18 +7,21 @@ bytes they stand for.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import materialize, ship
+from textloom.session import lean, materialize, ship
+from textloom.sources.files import filesystem
 
 #: Fixed value: the public pattern of pre-tokens.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,6 +61,27 @@ def pretoken_counts(docs: DataFrame, text: str = "text", specials: Sequence[str]
     return docs.select(F.explode(pretokens(F.col(text), specials)).alias("pretoken")).groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
+def file_pretoken_counts(spark: SparkSession, paths: str | Sequence[str], end: str) -> tuple[DataFrame, int]:
+    """``pretoken, n`` of text files whose documents an end mark parts, and the number of end marks.
+
+    Spark's reader splits files at the mark wherever blocks begin, carrying over what a block cuts; nothing holds a whole file.
+    """
+    pieces = spark.read.option("lineSep", end).text(paths if isinstance(paths, str) else list(paths))
+    pieces = pieces.select("value", F.input_file_name().alias("file"))
+    rows = pieces.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    marks = 0
+    for r in rows.toLocalIterator():  # a row per file
+        marks += r["n"] - 1 + _ends_with(r["file"], end.encode())
+    return pretoken_counts(pieces, "value"), marks
+
+
+def _ends_with(uri: str, end: bytes) -> bool:
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as file:
+        size = file.size()
+        return size >= len(end) and file.read_at(len(end), size - len(end)) == end
+
+
 def as_word(pretoken: Column) -> Column:
     """``«xx»`` for each UTF-8 byte."""
     return F.regexp_replace(F.lower(F.hex(pretoken.cast("binary"))), "(..)", "«$1»")
@@ -105,29 +129,48 @@ def train_local(counts: dict[bytes, int], merges: int) -> list[tuple[bytes, byte
         for pair in zip(tokens, tokens[1:]):
             totals[pair] += n
             where[pair].add(k)
+    heap = [_Entry(n, pair) for pair, n in totals.items()]
+    heapify(heap)
     out = []
-    for _ in range(merges):
-        if not totals:
-            break
-        best = max(totals, key=lambda p: (totals[p], p))
-        if totals[best] <= 0:
-            break
+    while heap and len(out) < merges:
+        entry = heappop(heap)
+        best = entry.pair
+        if totals.get(best, 0) != entry.n:  # counted anew since
+            continue
         out.append(best)
+        changed = set()
         for k in where.pop(best):
             tokens, n = words[k]
             for pair in zip(tokens, tokens[1:]):
                 totals[pair] -= n
-                if not totals[pair]:
-                    del totals[pair]
+                changed.add(pair)
             merged = merge_once(tokens, best)
             for pair in zip(merged, merged[1:]):
                 totals[pair] += n
                 where[pair].add(k)
+                changed.add(pair)
             words[k] = (merged, n)
+        changed.discard(best)
         totals.pop(best, None)
+        for pair in changed:
+            if totals[pair] > 0:
+                heappush(heap, _Entry(totals[pair], pair))
+            else:
+                del totals[pair]
     return out
 
 
+@dataclass(slots=True)
+class _Entry:
+    """A pair's count in the heap: the most frequent comes first, of equals the greatest."""
+
+    n: int
+    pair: tuple[bytes, bytes]
+
+    def __lt__(self, other: _Entry) -> bool:
+        return (self.n, self.pair) > (other.n, other.pair)
+
+
 def merge_once(tokens: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     out, i = [], 0
     while i < len(tokens):
@@ -213,19 +256,30 @@ class Tokenizer:
         return min(self.vocab.items(), key=lambda x: (-len(x[1]), x[0]))
 
 
+_workers: dict[str, Tokenizer] = {}
+
+
+def _kept(key: str, shared) -> Tokenizer:
+    """The worker's tokenizer of a broadcast, with the words that it remembers from earlier tasks."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = Tokenizer(*shared.value)
+    return _workers[key]
+
+
 def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each text. Workers remember the words they have encoded."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((tokenizer.vocab, tokenizer.merges, tokenizer.specials))
+    shared, key = spark.sparkContext.broadcast((tokenizer.vocab, tokenizer.merges, tokenizer.specials)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tokenizer(*shared.value)
+        own = _kept(key, shared)
         for batch in batches:
             ids = [own.encode(x or "") for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -240,4 +294,4 @@ def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "
             found = [b"".join(vocab[i] for i in x or []).decode("utf-8", errors="replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema, T.StructField(out, T.StringType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,32 +11,81 @@ from pyspark.sql import functions as F
 from textloom.functions import vectors as V
 
 
-def scores(q: DataFrame, k: DataFrame, dim: int, causal: bool = True) -> DataFrame:
-    """``qid, kid, s``: scaled dot products of ``id, v`` rows; causal: only keys up to the query.
+def heads(rows: DataFrame, n: int, dim: int) -> DataFrame:
+    """``head`` beside all other columns, with ``v`` cut into ``n`` parts of ``dim``."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.slice("v", h * dim + 1, F.lit(dim)))
+    return rows.select(*(c for c in rows.columns if c != "v"), F.posexplode(parts).alias("head", "v"))
 
-    The pairs are the result's own size (a full attention matrix); keys are joined within
-    a sequence, which callers partition by.
+
+def scores(q: DataFrame, k: DataFrame, dim: int, by: Sequence[str], causal: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    """``qid, kid, s`` beside the columns ``by``: scaled dot products of ``id, v`` rows within a sequence (and head).
+
+    ``by`` names what a sequence is, an equi-join, so the pairs are as many as the sequences' attention matrices hold. Causal: only
+    keys up to the query. ``mask`` has ``qid, kid, keep`` (and ``by``); what isn't kept, or not in it, scores minus infinity.
     """
-    left, right = q.select(F.col("id").alias("qid"), F.col("v").alias("qv")), k.select(F.col("id").alias("kid"), F.col("v").alias("kv"))
-    pairs = left.join(right, F.col("kid") <= F.col("qid")) if causal else left.crossJoin(right)
-    return pairs.select("qid", "kid", (V.dot(F.col("qv"), F.col("kv")) / math.sqrt(dim)).alias("s"))
+    left, right = q.select(*by, F.col("id").alias("qid"), F.col("v").alias("qv")), k.select(*by, F.col("id").alias("kid"), F.col("v").alias("kv"))
+    pairs = left.join(right, list(by))
+    pairs = pairs.where("kid <= qid") if causal else pairs
+    s = V.dot(F.col("qv"), F.col("kv")) / math.sqrt(dim)
+    if mask is not None:
+        pairs = pairs.join(mask, [*(c for c in by if c in mask.columns), "qid", "kid"], "left")
+        s = F.when(F.col("keep"), s).otherwise(float("-inf"))
+    return pairs.select(*by, "qid", "kid", s.alias("s"))
+
+
+def attention(s: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``qid, lse, out``: softmax over the keys of each query times the values, in two aggregates; not a number where all keys are masked."""
+    own = [*by, "qid"]
+    top = s.groupBy(*own).agg(F.max("s").alias("m"))
+    z = s.join(top, own).groupBy(*own, "m").agg(F.sum(F.exp(F.col("s") - F.col("m"))).alias("l")).select(*own, (F.col("m") + F.log("l")).alias("lse"))
+    p = s.join(z, own).withColumn("p", F.exp(F.col("s") - F.col("lse")))
+    parts = p.join(values.select(*by, F.col("id").alias("kid"), F.posexplode("v").alias("dim", "x")), [*by, "kid"])
+    summed = parts.groupBy(*own, "lse", "dim").agg(F.sum(F.col("p") * F.col("x")).alias("o"))
+    return summed.groupBy(*own, "lse").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "o"))), lambda r: r["o"]).alias("out"))
+
+
+def softmax_gradient(s: DataFrame, out: DataFrame, values: DataFrame, grads: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``qid, kid, p, ds``: P from scores and log-sum-exp, dS = P (dO.V - dO.O)."""
+    rows = s.join(out, [*by, "qid"]).join(grads.select(*by, F.col("id").alias("qid"), F.col("v").alias("g")), [*by, "qid"])
+    rows = rows.join(values.select(*by, F.col("id").alias("kid"), F.col("v").alias("kv")), [*by, "kid"])
+    p = F.exp(F.col("s") - F.col("lse"))
+    return rows.select(*by, "qid", "kid", p.alias("p"), (p * (V.dot(F.col("g"), F.col("kv")) - V.dot(F.col("g"), F.col("out")))).alias("ds"))
 
 
-def attention(s: DataFrame, values: DataFrame) -> DataFrame:
-    """``qid, lse, out``: softmax over the keys of each query times the values, in two aggregates."""
-    top = s.groupBy("qid").agg(F.max("s").alias("m"))
-    z = s.join(top, "qid").groupBy("qid", "m").agg(F.sum(F.exp(F.col("s") - F.col("m"))).alias("l")).select("qid", (F.col("m") + F.log("l")).alias("lse"))
-    p = s.join(z, "qid").withColumn("p", F.exp(F.col("s") - F.col("lse")))
-    parts = p.join(values.select(F.col("id").alias("kid"), F.posexplode("v").alias("dim", "x")), "kid")
-    summed = parts.groupBy("qid", "lse", "dim").agg(F.sum(F.col("p") * F.col("x")).alias("o"))
-    return summed.groupBy("qid", "lse").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "o"))), lambda r: r["o"]).alias("out"))
+def attention_gradients(ds: DataFrame, q: DataFrame, k: DataFrame, grads: DataFrame, dim: int, by: Sequence[str]) -> DataFrame:
+    """``of, id, dim, x``: the gradients dq = dS K / sqrt(dim), dk = dS' Q / sqrt(dim) and dv = P' dO of :func:`softmax_gradient`."""
 
+    def summed(of: str, own: str, other: str, weight: Column, vectors: DataFrame) -> DataFrame:
+        parts = ds.join(vectors.select(*by, F.col("id").alias(other), F.posexplode("v").alias("dim", "x")), [*by, other])
+        return parts.groupBy(*by, F.col(own).alias("id"), "dim").agg(F.sum(weight * F.col("x")).alias("x")).select(F.lit(of).alias("of"), *by, "id", "dim", "x")
 
-def softmax_gradient(s: DataFrame, out: DataFrame, values: DataFrame, grads: DataFrame) -> DataFrame:
-    """``qid, kid, p, ds``: P from scores and log-sum-exp, dS = P (dO.V - dO.O)."""
-    rows = s.join(out, "qid").join(grads.select(F.col("id").alias("qid"), F.col("v").alias("g")), "qid").join(values.select(F.col("id").alias("kid"), F.col("v").alias("kv")), "kid")
-    p = F.exp(F.col("s") - F.col("lse"))
-    return rows.select("qid", "kid", p.alias("p"), (p * (V.dot(F.col("g"), F.col("kv")) - V.dot(F.col("g"), F.col("out")))).alias("ds"))
+    scaled = F.col("ds") / math.sqrt(dim)
+    return summed("dq", "qid", "kid", scaled, k).unionByName(summed("dk", "kid", "qid", scaled, q)).unionByName(summed("dv", "kid", "qid", F.col("p"), grads))
+
+
+def replicated(states: DataFrame, ranks: DataFrame, first: int = 0) -> DataFrame:
+    """``rank, name, pos, value``: every rank of ``ranks`` starts from the state of rank ``first``."""
+    return ranks.select("rank").join(states.where(F.col("rank") == first).drop("rank"))
+
+
+def flat_mean(grads: DataFrame) -> DataFrame:
+    """``rank, idx, pos, value``: each rank's gradients laid end to end, one mean over ranks, and cut up again.
+
+    ``grads`` has ``rank, idx, pos, value`` with the same parameters (``idx``) on all ranks.
+    """
+    sizes = grads.where(F.col("rank") == 0).groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))  # one row per parameter of a model
+    places = sizes.select("idx", F.coalesce(before, F.lit(0)).alias("start"), "n")
+    flat = grads.join(F.broadcast(places), "idx").select("rank", (F.col("start") + F.col("pos")).alias("at"), "value")
+    mean = flat.groupBy("at").agg(F.avg("value").alias("value"))
+    back = flat.select("rank", "at").join(mean, "at").join(F.broadcast(places), F.expr("at >= start and at < start + n"))
+    return back.select("rank", "idx", (F.col("at") - F.col("start")).alias("pos"), "value")
+
+
+def batch_losses(rows: DataFrame, batch: Column, loss: str = "loss") -> DataFrame:
+    """One row: batches, and the mean of the batches' mean losses."""
+    each = rows.groupBy(batch.alias("batch")).agg(F.avg(loss).alias("loss"))
+    return each.agg(F.count(F.lit(1)).alias("batches"), F.avg("loss").alias("loss"))
 
 
 def merged_logsumexp(rows: DataFrame, by: str, x: str, blocks: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,16 @@ def power_law(best: DataFrame) -> DataFrame:
     """Least squares of log parameters on log budget: N = exp(intercept) * C^exponent."""
     x, y = F.log("compute_budget"), F.log(F.col("parameters").cast("double"))
     return best.agg(F.regr_slope(y, x).alias("exponent"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def peak(steps: DataFrame, by: list[str], warmup: int) -> DataFrame:
+    """Mean time (all that passed over all iterations) and peak bytes of the steps after the warm-up."""
+    kept = steps.where(F.col("step") >= warmup)
+    return kept.groupBy(*by).agg((F.sum("ms") / F.count(F.lit(1))).alias("mean_ms"), F.max("bytes").alias("peak_bytes"))
+
+
+def memory_deltas(events: DataFrame, by: list[str]) -> DataFrame:
+    """``event``'s bytes and what they grew by since the rank's event before (by ``at``), each the most over all ranks."""
+    before = F.lag("bytes").over(Window.partitionBy(*by, "rank").orderBy("at"))
+    grown = events.withColumn("delta", F.col("bytes") - F.coalesce(before, F.lit(0)))
+    return grown.groupBy(*by, "at", "event").agg(F.max("bytes").alias("bytes"), F.max("delta").alias("delta"))

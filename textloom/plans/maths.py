@@ -12,7 +12,9 @@ from textloom.operators import model_math as M
 from textloom.operators import runs as R
 from textloom.sources.tables import table
 
-DIGITS, EPS, SMALL = 6, 1e-5, 32
+DIGITS, EPS = 6, 1e-5
+#: Rows of a sequence, attention heads, rows of a batch.
+LENGTH, HEADS, BATCH = 32, 4, 50
 E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, len(embedding) AS d FROM embeddings)"
 X = f"{E}, x AS (SELECT vec_id, unnest(range(0, d))::INT AS dim, unnest(v) AS x FROM e)"
 
@@ -61,15 +63,9 @@ WITH {X}, w AS (SELECT r, c, cos(1 + r * 64 + c) / sqrt(64) AS w FROM range(0, 8
 SELECT vec_id, r::INT AS dim, round(sum(w * x), {DIGITS}) AS value FROM x JOIN w ON c = dim GROUP BY vec_id, r"""
 
 
-def swiglu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _e(spark, sf_dir).where(F.col("vec_id") < SMALL)
-    return _rows(df, V.swiglu(F.col("v"), _matrix(16, 64, 1), _matrix(64, 16, 2), _matrix(16, 64, 3)))
-
-
-SWIGLU = f"""
-WITH {X}, s AS (SELECT * FROM x WHERE vec_id < {SMALL}),
-w1 AS (SELECT r, c, cos(1 + r * 64 + c) / sqrt(64) AS a, cos(3 + r * 64 + c) / sqrt(64) AS b FROM range(0, 16) p(r), range(0, 64) q(c)),
-h AS (SELECT vec_id, r, sum(a * x) AS g, sum(b * x) AS u FROM s JOIN w1 ON c = dim GROUP BY vec_id, r),
+SWIGLU_ALL = f"""
+WITH {X}, w1 AS (SELECT r, c, cos(1 + r * 64 + c) / sqrt(64) AS a, cos(3 + r * 64 + c) / sqrt(64) AS b FROM range(0, 16) p(r), range(0, 64) q(c)),
+h AS (SELECT vec_id, r, sum(a * x) AS g, sum(b * x) AS u FROM x JOIN w1 ON c = dim GROUP BY vec_id, r),
 k AS (SELECT vec_id, r, g / (1 + exp(-g)) * u AS z FROM h),
 w2 AS (SELECT r AS o, c AS r, cos(2 + r * 16 + c) / sqrt(16) AS a FROM range(0, 64) p(r), range(0, 16) q(c))
 SELECT vec_id, o::INT AS dim, round(sum(a * z), {DIGITS}) AS value FROM k JOIN w2 USING (r) GROUP BY vec_id, o"""
@@ -80,9 +76,6 @@ def swiglu_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(_e(spark, sf_dir), V.swiglu(F.col("v"), _matrix(16, 64, 1), _matrix(64, 16, 2), _matrix(16, 64, 3)))
 
 
-SWIGLU_ALL = SWIGLU.replace(f" WHERE vec_id < {SMALL}", "")
-
-
 def rope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _e(spark, sf_dir)
     return _rows(df, V.rope(F.col("v"), F.col("vec_id")))
@@ -93,16 +86,6 @@ WITH {X}, a AS (SELECT x.vec_id, x.dim, x.x, y.x AS o, x.vec_id * pow(10000.0, -
 SELECT vec_id, dim, round(CASE WHEN dim % 2 = 0 THEN x * cos(t) - o * sin(t) ELSE o * sin(t) + x * cos(t) END, {DIGITS}) AS value FROM a"""
 
 
-def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a table by id, as an equi-join; ids come from a rule."""
-    ids = spark.range(200).select(F.col("id").alias("pos"), (F.col("id") * 37 % 500).alias("vec_id"))
-    found = ids.join(_e(spark, sf_dir), "vec_id")
-    return found.select("pos", "vec_id", F.round(F.get("v", F.lit(0)), DIGITS).alias("first"))
-
-
-EMBEDDING_LOOKUP = f"WITH {E} SELECT i AS pos, vec_id, round(v[1], {DIGITS}) AS first FROM range(0, 200) r(i) JOIN e ON vec_id = i * 37 % 500"
-
-
 def embedding_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row looked up by the id that follows from another row's by a rule."""
     rows = _e(spark, sf_dir)
@@ -115,34 +98,130 @@ EMBEDDING_LOOKUP_ALL = f"""WITH {E}, i AS (SELECT vec_id AS pos, (SELECT max(vec
 SELECT pos, vec_id, round(v[1], {DIGITS}) AS first FROM i JOIN e USING (vec_id)"""
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _e(spark, sf_dir).where(F.col("vec_id") < SMALL).select(F.col("vec_id").alias("id"), "v")
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, as sequences of LENGTH rows."""
+    return _e(spark, sf_dir).select(F.expr(f"vec_id div {LENGTH}").alias("seq"), F.col("vec_id").alias("id"), "v")
+
+
+def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention of every row within its sequence, by HEADS heads."""
+    rows, by = M.heads(_sequences(spark, sf_dir), HEADS, 64 // HEADS), ["seq", "head"]
+    out = M.attention(M.scores(rows, rows, 64 // HEADS, by), rows, by)
+    out = out.select("qid", "head", F.round("lse", DIGITS).alias("lse"), F.posexplode("out").alias("i", "x"))
+    return out.select("qid", "head", "lse", (F.col("head") * (64 // HEADS) + F.col("i")).alias("dim"), F.round("x", DIGITS).alias("value"))
+
 
+def _attention_sql(heads: int, where: str) -> str:
+    d = 64 // heads
+    return f"""
+{X}, hx AS (SELECT vec_id, vec_id // {LENGTH} AS seq, dim, dim // {d} AS head, x FROM x),
+s AS (SELECT q.seq, q.head, q.vec_id AS qid, k.vec_id AS kid, sum(q.x * k.x) / sqrt({d}) AS s FROM hx q JOIN hx k ON q.seq = k.seq AND q.dim = k.dim AND {where} GROUP BY ALL),
+z AS (SELECT head, qid, max(s) AS m FROM s GROUP BY ALL),
+l AS (SELECT head, qid, m + ln(sum(exp(s - m))) AS lse FROM s JOIN z USING (head, qid) GROUP BY head, qid, m),
+p AS (SELECT s.head, qid, kid, lse, exp(s - lse) AS p FROM s JOIN l USING (head, qid)),
+o AS (SELECT qid, p.head, lse, dim, sum(p * x) AS o FROM p JOIN hx ON vec_id = kid AND hx.head = p.head GROUP BY ALL)"""
+
+
+CAUSAL_ATTENTION = f"WITH {_attention_sql(HEADS, 'k.vec_id <= q.vec_id')} SELECT qid, head::INT AS head, round(lse, {DIGITS}) AS lse, dim, round(o, {DIGITS}) AS value FROM o"
 
-def causal_attention_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _small(spark, sf_dir)
-    out = M.attention(M.scores(rows, rows, 64), rows)
+
+def masked_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention with a Boolean mask by rule: a query sees itself and the keys whose sum with it isn't a multiple of three."""
+    rows, by = _sequences(spark, sf_dir), ["seq"]
+    keys = rows.select("seq", F.col("id").alias("kid"))
+    mask = rows.select("seq", F.col("id").alias("qid")).join(keys, "seq").select("seq", "qid", "kid", F.expr("qid = kid or (qid + kid) % 3 <> 0").alias("keep"))
+    out = M.attention(M.scores(rows, rows, 64, by, causal=False, mask=mask), rows, by)
     return out.select("qid", F.round("lse", DIGITS).alias("lse"), F.posexplode("out").alias("dim", "x")).select("qid", "lse", "dim", F.round("x", DIGITS).alias("value"))
 
 
-ATTENTION = f"""
-{X}, s AS (SELECT q.vec_id AS qid, k.vec_id AS kid, sum(q.x * k.x) / sqrt(64) AS s FROM x q JOIN x k ON q.dim = k.dim AND k.vec_id <= q.vec_id WHERE q.vec_id < {SMALL} GROUP BY ALL),
-z AS (SELECT qid, max(s) AS m FROM s GROUP BY qid),
-l AS (SELECT qid, m + ln(sum(exp(s - m))) AS lse FROM s JOIN z USING (qid) GROUP BY qid, m),
-p AS (SELECT qid, kid, lse, exp(s - lse) AS p FROM s JOIN l USING (qid)),
-o AS (SELECT qid, lse, dim, sum(p * x) AS o FROM p JOIN x ON vec_id = kid GROUP BY ALL)"""
+MASKED_ATTENTION = f"WITH {_attention_sql(1, '(q.vec_id = k.vec_id OR (q.vec_id + k.vec_id) % 3 <> 0)')} SELECT qid, round(lse, {DIGITS}) AS lse, dim, round(o, {DIGITS}) AS value FROM o"
+
+
+def attention_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradients of queries, keys and values of causal attention; the output's gradient is each row itself."""
+    rows, by = _sequences(spark, sf_dir), ["seq"]
+    s = M.scores(rows, rows, 64, by)
+    ds = M.softmax_gradient(s, M.attention(s, rows, by), rows, rows, by)
+    found = M.attention_gradients(ds, rows, rows, rows, 64, by)
+    return found.select("of", F.col("id").alias("vec_id"), "dim", F.round("x", DIGITS).alias("value"))
+
+
+ATTENTION_GRADIENTS = f"""
+WITH {_attention_sql(1, 'k.vec_id <= q.vec_id')}, dd AS (SELECT qid, sum(x * o) AS d FROM o JOIN x ON vec_id = qid AND x.dim = o.dim GROUP BY qid),
+dp AS (SELECT q.vec_id AS qid, k.vec_id AS kid, sum(q.x * k.x) AS dp FROM hx q JOIN hx k ON q.seq = k.seq AND q.dim = k.dim AND k.vec_id <= q.vec_id GROUP BY ALL),
+ds AS (SELECT qid, kid, p, p * (dp - d) / sqrt(64) AS ds FROM p JOIN dp USING (qid, kid) JOIN dd USING (qid)),
+g AS (SELECT 'dq' AS "of", qid AS vec_id, dim, sum(ds * x) AS x FROM ds JOIN x ON vec_id = kid GROUP BY ALL
+      UNION ALL SELECT 'dk', kid, dim, sum(ds * x) FROM ds JOIN x ON vec_id = qid GROUP BY ALL
+      UNION ALL SELECT 'dv', kid, dim, sum(p * x) FROM ds JOIN x ON vec_id = qid GROUP BY ALL)
+SELECT "of", vec_id, dim, round(x, {DIGITS}) AS value FROM g"""
+
+
+def learned_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding plus the row of a position table (a fixed matrix by rule) for its place in the sequence."""
+    df = _e(spark, sf_dir)
+    return _rows(df, V.add(F.col("v"), F.get(_matrix(LENGTH, 64, 5), (F.col("vec_id") % LENGTH).cast("int"))))
+
+
+LEARNED_POSITIONS = f"WITH {X} SELECT vec_id, dim, round(x + cos(5 + (vec_id % {LENGTH}) * 64 + dim) / sqrt(64), {DIGITS}) AS value FROM x"
+
+
+def eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean loss of batches of BATCH rows."""
+    loss = _e(spark, sf_dir).select("vec_id", V.cross_entropy(F.col("v"), F.col("label")).alias("loss"))
+    found = M.batch_losses(loss, F.expr(f"vec_id div {BATCH}"))
+    return found.select("batches", F.round("loss", DIGITS).alias("loss"))
+
+
+EVAL_BATCHES = f"""
+WITH {X}, l AS (SELECT vec_id, m + ln(sum(exp(x - m))) AS lse FROM (SELECT *, max(x) {OVER} AS m FROM x) GROUP BY vec_id, m),
+c AS (SELECT vec_id // {BATCH} AS b, avg(lse - v[label + 1]) AS c FROM l JOIN e USING (vec_id) GROUP BY ALL) SELECT count(*) AS batches, round(avg(c), {DIGITS}) AS loss FROM c"""
+
+#: Gradients of four ranks by rule: parameters of seven, one and four values.
+_FLAT_SIZES = ((0, 7), (1, 1), (2, 4))
+
+
+def _flat(spark: SparkSession) -> DataFrame:
+    sizes = spark.createDataFrame(_FLAT_SIZES, "idx long, n long")
+    rows = sizes.select("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).join(spark.range(4).withColumnRenamed("id", "rank"))
+    return rows.select("rank", "idx", "pos", F.sin(F.col("rank") * 100 + F.col("idx") * 10 + F.col("pos")).alias("value"))
+
+
+def replicated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rank's state after that of rank 0 was sent to all."""
+    found = M.replicated(_flat(spark), spark.range(4).withColumnRenamed("id", "rank"))
+    return found.select("rank", "idx", "pos", F.round("value", DIGITS).alias("value"))
+
+
+_FLAT_SQL = f"fs(idx, n) AS (VALUES {', '.join(map(str, _FLAT_SIZES))}), fl AS (SELECT r AS rank, idx::BIGINT AS idx, p AS pos, sin(r * 100 + idx * 10 + p) AS value FROM fs, range(0, 4) a(r), range(0, 10) b(p) WHERE p < n)"
+REPLICATED_STATE = f"WITH {_FLAT_SQL} SELECT r AS rank, idx, pos, round(value, {DIGITS}) AS value FROM fl, range(0, 4) a(r) WHERE rank = 0"
+
+
+def flat_gradient_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.flat_mean(_flat(spark)).select("rank", "idx", "pos", F.round("value", DIGITS).alias("value"))
+
+
+FLAT_GRADIENT_MEAN = f"WITH {_FLAT_SQL}, m AS (SELECT idx, pos, avg(value) AS value FROM fl GROUP BY ALL) SELECT rank, idx, pos, round(m.value, {DIGITS}) AS value FROM fl JOIN m USING (idx, pos)"
+
+
+def attention_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean time and peak bytes of runs by rule, the warm-up left out."""
+    rows = spark.range(60).selectExpr("concat('impl', id % 3) as impl", "id div 3 as step", "10 + id % 7 as ms", "1000 * (id % 11) + id as bytes")
+    return R.peak(rows, ["impl"], 3).select("impl", F.round("mean_ms", DIGITS).alias("mean_ms"), "peak_bytes")
+
+
+ATTENTION_PEAKS = f"SELECT 'impl' || (i % 3) AS impl, round(avg(10 + i % 7), {DIGITS}) AS mean_ms, max(1000 * (i % 11) + i) AS peak_bytes FROM range(0, 60) r(i) WHERE i // 3 >= 3 GROUP BY ALL"
 
 
-def attention_gradient_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _small(spark, sf_dir)
-    s = M.scores(rows, rows, 64)
-    return M.softmax_gradient(s, M.attention(s, rows), rows, rows).select("qid", "kid", F.round("p", DIGITS).alias("p"), F.round("ds", DIGITS).alias("ds"))
+def memory_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes after each phase and their growth, the most over ranks, for states by rule."""
+    rows = spark.range(24).selectExpr("id % 4 as rank", "id div 4 % 3 as at", "id div 12 as sharded", "concat('phase', id div 4 % 3) as event", "(id * 7919) % 1000 + 500 * (id div 4 % 3) as bytes")
+    return R.memory_deltas(rows, ["sharded"])
 
 
-ATTENTION_GRADIENT = f"""
-WITH {ATTENTION}, dd AS (SELECT qid, sum(x * o) AS d FROM o JOIN x ON vec_id = qid AND x.dim = o.dim GROUP BY qid),
-dp AS (SELECT q.vec_id AS qid, k.vec_id AS kid, sum(q.x * k.x) AS dp FROM x q JOIN x k ON q.dim = k.dim AND k.vec_id <= q.vec_id WHERE q.vec_id < {SMALL} GROUP BY ALL)
-SELECT qid, kid, round(p, {DIGITS}) AS p, round(p * (dp - d), {DIGITS}) AS ds FROM p JOIN dp USING (qid, kid) JOIN dd USING (qid)"""
+MEMORY_PROFILE = """
+WITH e AS (SELECT i % 4 AS rank, i // 4 % 3 AS "at", i // 12 AS sharded, 'phase' || (i // 4 % 3) AS event, (i * 7919) % 1000 + 500 * (i // 4 % 3) AS bytes FROM range(0, 24) r(i)),
+d AS (SELECT *, bytes - coalesce(lag(bytes) OVER (PARTITION BY sharded, rank ORDER BY "at"), 0) AS delta FROM e)
+SELECT sharded, "at", event, max(bytes) AS bytes, max(delta) AS delta FROM d GROUP BY ALL"""
 
 
 def online_logsumexp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,9 +451,7 @@ QUERIES = {
     "embedding_norms": (embedding_norms, f"WITH {X} SELECT vec_id, round(sqrt(sum(x * x)), {DIGITS}) AS norm FROM x GROUP BY vec_id"),
     "embedding_lookup_all": (embedding_lookup_all, EMBEDDING_LOOKUP_ALL),
     "swiglu_all_rows": (swiglu_all_rows, SWIGLU_ALL),
-    "embedding_lookup": (embedding_lookup, EMBEDDING_LOOKUP),
     "linear_rows": (linear_rows, _linear_sql()),
-    "swiglu_rows": (swiglu_rows, SWIGLU),
     "rmsnorm": (_per_row(V.rmsnorm), _per_row_sql(f"x / sqrt(q / 64 + {EPS})", f"sum(x * x) {OVER} AS q")),
     "layer_norm": (_per_row(V.layer_norm), _per_row_sql(f"(x - a) / sqrt(s + {EPS})", f"avg(x) {OVER} AS a, var_pop(x) {OVER} AS s")),
     "softmax_rows": (_per_row(V.softmax), _per_row_sql(f"exp(x - m) / sum(exp(x - m)) {OVER}", LSE)),
@@ -382,8 +459,15 @@ QUERIES = {
     "silu_rows": (_per_row(lambda v: F.transform(v, V.silu)), _per_row_sql("x / (1 + exp(-x))")),
     "gelu_rows": (_per_row(lambda v: F.transform(v, V.gelu)), _per_row_sql("0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x)))")),
     "rope_rows": (rope_rows, ROPE),
-    "causal_attention_small": (causal_attention_small, f"WITH {ATTENTION} SELECT qid, round(lse, {DIGITS}) AS lse, dim, round(o, {DIGITS}) AS value FROM o"),
-    "attention_gradient_small": (attention_gradient_small, ATTENTION_GRADIENT),
+    "causal_attention": (causal_attention, CAUSAL_ATTENTION),
+    "masked_attention": (masked_attention, MASKED_ATTENTION),
+    "attention_gradients": (attention_gradients, ATTENTION_GRADIENTS),
+    "learned_positions": (learned_positions, LEARNED_POSITIONS),
+    "eval_batches": (eval_batches, EVAL_BATCHES),
+    "replicated_state": (replicated_state, REPLICATED_STATE),
+    "flat_gradient_mean": (flat_gradient_mean, FLAT_GRADIENT_MEAN),
+    "attention_peaks": (attention_peaks, ATTENTION_PEAKS),
+    "memory_profile": (memory_profile, MEMORY_PROFILE),
     "online_logsumexp": (online_logsumexp, ONLINE),
     "cross_entropy_ppl": (cross_entropy_ppl, CROSS_ENTROPY),
     "top_p_filter": (top_p_filter, TOP_P),

@@ -100,3 +100,22 @@ def chunk_boundaries(data: bytes, chunks: int, delimiter: bytes) -> list[int]:
         at = data.find(delimiter, len(data) // chunks * k)
         cuts.add(len(data) if at < 0 else at)
     return sorted(cuts)
+
+
+def file_boundaries(uri: str, chunks: int, delimiter: bytes, step: int = 1 << 16) -> list[int]:
+    """:func:`chunk_boundaries` of a file, of which only the bytes from each cut to the next delimiter are read."""
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as file:
+        size = file.size()
+        if not size or chunks < 1:
+            return [0]
+        cuts = {0, size}
+        for k in range(1, chunks):
+            at = size // chunks * k
+            while at < size:
+                found = file.read_at(min(step + len(delimiter) - 1, size - at), at).find(delimiter)
+                if found >= 0:
+                    break
+                at += step
+            cuts.add(at + found if at < size else size)
+    return sorted(cuts)

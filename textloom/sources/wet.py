@@ -7,8 +7,9 @@ import io
 import os
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import ship
@@ -70,6 +71,16 @@ def output_name(path: str, suffix: str) -> str:
     return os.path.basename(path).removesuffix(".gz") + suffix
 
 
+def write_filtered(rows: DataFrame, folder: str, file: str = "file", text: str = "text", suffix: str = ".filtered.txt") -> None:
+    """A gzip text file's folder ``name=<input's name><suffix>`` for each input file, a document per line; Spark commits them as a whole.
+
+    White space inside a document becomes single spaces, as a line is one document.
+    """
+    base = F.regexp_replace(F.substring_index(file, "/", -1), r"\.gz$", "")
+    lines = rows.select(F.concat(base, F.lit(suffix)).alias("name"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("value"))
+    lines.write.mode("overwrite").partitionBy("name").option("compression", "gzip").text(folder)
+
+
 def decode_html(data: bytes | None) -> str:
     """UTF-8, else the encoding that a byte order mark or a meta tag names, else UTF-8 with replacements."""
     import re
@@ -85,3 +96,14 @@ def decode_html(data: bytes | None) -> str:
             return data.decode(guess, "replace")
         except LookupError:
             return data.decode("utf-8", "replace")
+
+
+def decoded_html(data: Column) -> Column:
+    """:func:`decode_html` of a binary column: sound UTF-8 stays in the JVM, only the rest goes to Python."""
+
+    @F.pandas_udf("string")
+    def guessed(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if x is None else decode_html(bytes(x)))
+
+    sound = F.try_validate_utf8(data.cast("string"))
+    return F.when(data.isNull(), F.lit("")).when(sound.isNotNull(), sound).otherwise(guessed(F.when(sound.isNull(), data)))
