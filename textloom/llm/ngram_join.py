@@ -8,15 +8,17 @@ share whole are known by a summary, so only fragments that differ are ever compa
 Sets and what they share
     One pass computes each document's set (64-bit hashes of n-grams) and a 128-bit key of the
     whole set; documents with equal keys are one class and are never compared. A second pass
-    deals all n-grams by ranges of their hashes, packed into blocks, to find those that several
-    sets have. A pair's overlap holds only such n-grams, so a set goes
-    on only if they could reach the threshold; its shared n-grams, grouped again by set, are all that later steps
-    need: the texts are not read again. Before n-grams are dealt, a chunk of sets looks for
-    n-grams that it holds several times itself: their holders already know that they are shared and only one
-    mark of the n-gram is dealt, so an n-gram that a third of all documents have is a mark a chunk.
+    deals the n-grams of one vertical fragment, those whose hash is below a limit (a multiple of
+    the share that a linked pair may differ in), by ranges of their hashes and packed into
+    blocks, to find those that several sets have. A set that links misses few of its n-grams in
+    its partner, so one with more n-grams of the fragment to itself goes no further. Before n-grams are
+    dealt, a chunk of sets looks for those that it holds several times itself: their holders
+    already know that they are shared and only one mark of the n-gram is dealt, so an n-gram that a
+    third of all documents have is a mark a chunk. Sets that could link are then made
+    once more from their class's text, which a join on doc_id fetches, and written: all later steps read them.
 
 Order and candidates
-    N-grams are counted over the sets that went on, and those with over RARE sets are told to
+    N-grams are counted over these sets, and those with over RARE sets are told to
     their holders. The order is by the binary logarithm of the count, then by hash. Every set gives the
     head of its order that any partner must share; an n-gram that 2**HOT_LEVEL sets or more
     have is dealt in salted shares.
@@ -48,8 +50,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import Words, combine, mix, words
 from textloom.operators.components import components
-from textloom.session import lean, materialize, ship
+from textloom.session import discard, lean, materialize, ship
 
+#: The first fragment has so many times the share of n-grams that a set may miss in a linked one.
+FIRST = 2.5
 #: N-grams that a chunk of sets holds before it is dealt, and that a part of the n-grams' range has in the mean.
 CHUNK = 1 << 20
 PART = 1 << 21
@@ -58,8 +62,10 @@ RARE = 8
 #: N-grams that 2**HOT_LEVEL sets or more have are dealt in salted shares.
 HOT_LEVEL = 12
 FRAGMENTS = 32
-#: A round has so many times the centres of the one before.
-GROWTH = 8
+#: Buckets of doc_ids that hold a set which goes on; a table of them has no more rows, whatever the corpus.
+ROUGH = 1 << 21
+#: A round has so many times the centres of the one before; in groups of no more members all are centres.
+GROWTH = 32
 
 
 @dataclass(frozen=True)
@@ -70,9 +76,14 @@ class JoinSpec:
     num: int = 90
     den: int = 100
 
-    def head(self, sizes: np.ndarray) -> np.ndarray:
-        """How many first n-grams of a set hold one of any partner's."""
-        return sizes - -(-sizes * self.num // self.den) + 1
+    @property
+    def first(self) -> int:
+        """N-grams with hashes below this are the first fragment."""
+        return min(int(FIRST * (1 - self.num / self.den) * (1 << 64)), (1 << 64) - 1)
+
+    def missed(self, n: str = "n") -> str:
+        """SQL for how many of a set's n-grams a linked set may lack; one more is the head that holds one of any partner's."""
+        return f"({n} - ({n} * {self.num} + {self.den - 1}) div {self.den})"
 
 
 def set_rows(group: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,21 +118,23 @@ def set_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
 
-_SCAN = "doc_id long, n long, k1 long, k2 long"
+_SCAN = "doc_id long, n long, f long, k1 long, k2 long"
 
 
 def _scan(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """One row per document with the size and the key of its set."""
+    """One row per document with the size of its set, that of its first fragment and its key."""
+    below = np.uint64(spec.first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+            sizes, firsts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
             for group in words(batch.column("text")):
-                _, grams, size = set_rows(group, spec.n)
+                doc, grams, size = set_rows(group, spec.n)
                 sizes.append(size)
+                firsts.append(np.bincount(doc[grams < below], minlength=len(size)))
                 keys.append(set_keys(grams, size))
             key = np.concatenate(keys)
-            yield _batch(_SCAN, batch.column("doc_id"), np.concatenate(sizes), key[:, 0], key[:, 1])
+            yield _batch(_SCAN, batch.column("doc_id"), np.concatenate(sizes), np.concatenate(firsts), key[:, 0], key[:, 1])
 
     return docs.mapInArrow(lean(run), _SCAN)
 
@@ -130,7 +143,7 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-#: Packed rows: n-grams by holder. ``holders`` has key, key and size of each, three 64-bit integers; size 0 marks n-grams without one.
+#: Packed rows: n-grams by holder. ``holders`` has the key and the size of each as three 64-bit integers; size 0 marks n-grams without one.
 _BLOCKS = "part long, known boolean, holders binary, counts binary, grams binary"
 
 
@@ -181,15 +194,16 @@ class _Chunk:
         several = np.repeat(several, np.diff(np.append(first, len(grams))))
         known, at = grams[several], holder[several]
         # where several sets have it already, it goes anywhere, by n-gram and set
-        yield from _deal(_part_of(mix(known ^ mix(holders[at, 0].view(np.uint64))), self.parts), at, known, holders, True)
+        yield from _deal(_part_of(mix(known ^ mix(holders[at, 0].astype(np.uint64))), self.parts), at, known, holders, True)
         none = len(holders)
         holders = np.concatenate([holders, np.zeros((1, 3), np.int64)])
         asked = np.concatenate([grams[~several], marks])
-        yield from _deal(_part_of(asked, self.parts), np.concatenate([holder[~several], np.full(len(marks), none)]), asked, holders, False)
+        yield from _deal(_part_of(mix(asked), self.parts), np.concatenate([holder[~several], np.full(len(marks), none)]), asked, holders, False)
 
 
 def _blocks(docs: DataFrame, spec: JoinSpec, parts: int) -> DataFrame:
-    """All n-grams of all sets, to the parts of their range."""
+    """The n-grams of all sets' first fragments, to the parts of their range."""
+    below = np.uint64(spec.first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, seen = _Chunk(parts), set()
@@ -206,7 +220,8 @@ def _blocks(docs: DataFrame, spec: JoinSpec, parts: int) -> DataFrame:
                     if size[i] and k not in seen:
                         seen.add(k)
                         new[i] = True
-                chunk.add(grams[new[doc]], size[new], np.column_stack([key, size])[new])
+                some = new[doc] & (grams < below)
+                chunk.add(grams[some], np.bincount(doc[some], minlength=len(size))[new], np.column_stack([key, size])[new])
                 if chunk.n >= CHUNK:
                     yield from chunk.deal()
         yield from chunk.deal()
@@ -247,55 +262,61 @@ def _by_part(blocks: DataFrame, each, schema: str) -> DataFrame:
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), schema)
 
 
+_SHARED = "k1 long, k2 long, shared long"
+
+
 def _answers(blocks: DataFrame, parts: int) -> DataFrame:
-    """Of what was asked about the rows that several sets have, and what was known; to the parts of the sets."""
+    """How many n-grams of a part each set shares with others, of those that it asked about or knew; to the parts of the sets."""
 
     def each(asked: _Rows, known: _Rows) -> Iterator[pa.RecordBatch]:
-        for rows, pick in ((known, slice(None)), (asked, None)):
+        for rows, ask in ((known, False), (asked, True)):
             if not len(rows.grams):
                 continue
-            if pick is None:
-                order = np.argsort(rows.grams, kind="stable")
-                grams, holder = rows.grams[order], rows.holder[order]
-                key, mark = rows.holders[holder, 0], rows.holders[holder, 2] == 0
+            key, mark = rows.holders[rows.holder, 0], rows.holders[rows.holder, 2] == 0
+            order = np.lexsort((key, rows.grams))
+            grams, holder, key, mark = rows.grams[order], rows.holder[order], key[order], mark[order]
+            fresh = np.concatenate([[True], (grams[1:] != grams[:-1]) | (key[1:] != key[:-1])]) & ~mark  # copies that tasks dealt on their own are one
+            if ask:
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
                 low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
                 several = (low != high) | np.logical_or.reduceat(mark, first)
-                pick = np.repeat(several, np.diff(np.append(first, len(grams)))) & ~mark
-            else:
-                grams, holder = rows.grams, rows.holder
-            holder = holder[pick]
-            yield from _deal(_part_of(mix(rows.holders[holder, 0].view(np.uint64)), parts), holder, grams[pick], rows.holders, False)
+                fresh &= np.repeat(several, np.diff(np.append(first, len(grams))))
+            holder = holder[fresh]
+            yield from _deal(_part_of(mix(rows.holders[holder, 0].astype(np.uint64)), parts), holder, np.zeros(len(holder), "V0"), rows.holders, False)
 
     return _by_part(blocks, each, _BLOCKS)
 
 
-_SETS = "k1 long, k2 long, n long, grams array<long>"
+def _sums(answers: DataFrame) -> DataFrame:
+    """The n-grams that each set shares, over all parts; copies that tasks dealt on their own may count some twice."""
 
+    def each(rows: _Rows, _: _Rows) -> Iterator[pa.RecordBatch]:
+        holders, which = np.unique(rows.holders, axis=0, return_inverse=True)
+        shared = np.bincount(which.ravel()[rows.holder], minlength=len(holders))
+        yield _batch(_SHARED, holders[:, 0], holders[:, 1], shared)
 
-def _candidates(answers: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Sets whose shared n-grams could reach the threshold, with these n-grams."""
+    return _by_part(answers, each, _SHARED)
+
+
+_SETS = "rep long, n int, times long, grams array<long>"
 
-    def each(rows: _Rows, _: _Rows) -> Iterator[pa.RecordBatch]:
-        holders, which = np.unique(rows.holders, axis=0, return_inverse=True)  # copies that tasks dealt on their own are one
-        holder = which.ravel()[rows.holder]
-        order = np.lexsort((rows.grams, holder))
-        grams, holder = rows.grams[order], holder[order]
-        fresh = np.ones(len(grams), bool)
-        fresh[1:] = (grams[1:] != grams[:-1]) | (holder[1:] != holder[:-1])
-        grams, holder = grams[fresh], holder[fresh]
-        m = np.bincount(holder, minlength=len(holders))
-        good = spec.den * m >= spec.num * holders[:, 2]
-        grams, left, m = grams[good[holder]], holders[good], m[good]
-        upto = np.concatenate([[0], np.cumsum(m)])
-        a = 0
-        while a < len(left):
-            b = max(int(np.searchsorted(upto, upto[a] + CHUNK, "right")) - 1, a + 1)
-            lists = pa.ListArray.from_arrays(pa.array((upto[a : b + 1] - upto[a]).astype(np.int32)), pa.array(grams[upto[a] : upto[b]].view(np.int64)))
-            yield _batch(_SETS, left[a:b, 0], left[a:b, 1], left[a:b, 2], lists)
-            a = b
-
-    return _by_part(answers, each, _SETS)
+
+def _sets(docs: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The sets of rows whose text has the key that is looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = np.column_stack([batch.column("k1").to_numpy(), batch.column("k2").to_numpy()])
+            rep, times = batch.column("rep").to_numpy(), batch.column("times").to_numpy()
+            for group in words(batch.column("text")):
+                doc, grams, size = set_rows(group, spec.n)
+                mine = slice(group.first, group.last)
+                good = (set_keys(grams, size) == want[mine]).all(axis=1)
+                size, grams = size[good], grams[good[doc]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(grams.view(np.int64)))
+                yield _batch(_SETS, rep[mine][good], size.astype(np.int32), times[mine][good], lists)
+
+    return docs.mapInArrow(lean(run), _SETS)
 
 
 def _pivots(mass: dict[int, float]) -> np.ndarray:
@@ -315,7 +336,7 @@ _ORDERED = "rep long, n int, grams array<long>, levels array<int>, sizes array<i
 
 
 def _ordered(sets: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """Each set's shared n-grams in the global order, cut into fragments, with the head's levels and a summary of every fragment."""
+    """Each set's n-grams in the global order, cut into fragments, with the head's levels and a summary of every fragment."""
 
     def lists(values: np.ndarray, each: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values))
@@ -374,7 +395,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def _centre_pairs(live: DataFrame, spec: JoinSpec, many: int) -> tuple[DataFrame, DataFrame]:
     """In each n-gram's group, up to ``many`` centres against members of other components; and the centres."""
     first = F.col("pos").cast("long") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
-    share = F.pmod(F.xxhash64("rep", "gram"), F.lit(many))
+    share = F.when(F.col("members") <= many, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", "gram"), F.lit(many)))
     found = live.withColumn("first", first).withColumn("bucket", share)
     best = F.min(F.struct("first", "rep", "n", "pos", "label", "shares")).alias("h")
     found = found.groupBy("gram", "bucket", "salt").agg(best).groupBy("gram", "bucket").agg(F.min("h").alias("h"))
@@ -419,27 +440,27 @@ class _Verifier:
         partial = partial.select("a", "b", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
         summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
         found = met.join(summed, ["a", "b"], "left").withColumn("overlap", F.col("same") + F.coalesce("o", F.lit(0)))
-        return found.where(f"{spec.den} * overlap >= {spec.num} * (na + nb - overlap)").select("a", "b", "overlap")
+        links = materialize(found.where(f"{spec.den} * overlap >= {spec.num} * (na + nb - overlap)").select("a", "b", "overlap"), "links")
+        discard(met, segments)
+        return links
 
 
 def _heads(ordered: DataFrame, spec: JoinSpec) -> DataFrame:
-    """``gram, salt, shares, rep, n, pos`` of the heads of sets, for n-grams that several heads have; ``pos`` counts n-grams of no other set first."""
-    alone = F.col("n") - F.size("grams")
-    most = F.expr(f"n - cast(ceil(n * {spec.num} / {spec.den}) as int) + 1").cast("int")
-    heads = ordered.withColumn("alone", alone).withColumn("head", F.greatest(F.least(most - alone, F.size("grams")), F.lit(0)))
-    heads = heads.select("rep", "n", "alone", F.expr("slice(grams, 1, head)").alias("gram"), F.expr("slice(levels, 1, head)").alias("level"))
-    heads = heads.select("rep", "n", "alone", F.posexplode(F.arrays_zip("gram", "level")).alias("i", "g"))
+    """``gram, salt, shares, rep, n, pos`` of the heads of sets."""
+    head = F.expr(f"cast({spec.missed()} + 1 as int)")
+    heads = ordered.withColumn("head", head).select("rep", "n", F.expr("slice(grams, 1, head)").alias("gram"), F.expr("slice(levels, 1, head)").alias("level"))
+    heads = heads.select("rep", "n", F.posexplode(F.arrays_zip("gram", "level")).alias("pos", "g"))
     shares = F.expr(f"shiftleft(1, greatest(g.level - {HOT_LEVEL} + 1, 0))")
-    heads = heads.select(F.col("g.gram").alias("gram"), shares.alias("shares"), "rep", "n", (F.col("alone") + F.col("i")).alias("pos"))
+    heads = heads.select(F.col("g.gram").alias("gram"), shares.alias("shares"), "rep", "n", "pos")
     return heads.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))
 
 
 def _open(named: DataFrame) -> DataFrame:
-    """Rows of groups that hold several components; counted in shares, then over them."""
-    some = named.groupBy("gram", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("shares").alias("shares"))
-    lasting = some.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("shares").alias("shares")).where("lo < hi")
-    lasting = lasting.select("gram", F.explode(F.expr("sequence(0, shares - 1)")).alias("salt"))
-    return named.join(lasting, ["gram", "salt"], "left_semi")
+    """Rows of groups that hold several components, with the group's ``members``; counted in shares, then over them."""
+    some = named.groupBy("gram", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("shares").alias("shares"), F.count(F.lit(1)).alias("members"))
+    lasting = some.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("shares").alias("shares"), F.sum("members").alias("members")).where("lo < hi")
+    lasting = lasting.select("gram", "members", F.explode(F.expr("sequence(0, shares - 1)")).alias("salt"))
+    return named.join(lasting, ["gram", "salt"])
 
 
 def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFrame:
@@ -448,14 +469,21 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = materialize(_scan(docs, spec), "scan")
-    linkable = scan.where("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
+    linkable = scan.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "doc_id").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.count(F.lit(1)).alias("times"))
+    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("f").alias("f"), F.min_by("times", "doc_id").alias("times"))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    parts = int(classes.agg(F.sum("size")).first()[0] or 0) // PART + 1
-
-    answers = _answers(_blocks(docs.where("doc_id is not null"), spec, parts), parts)
-    sets = _candidates(answers, spec).join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    sets = materialize(sets.select("rep", "n", "grams"), "sets")
+    parts = int(classes.agg(F.sum("f")).first()[0] or 0) // PART + 1
+
+    docs = docs.where("doc_id is not null")
+    shared = _sums(_answers(_blocks(docs, spec, parts), parts))
+    good = classes.join(shared, ["k1", "k2"], "left").where(f"coalesce(shared, 0) >= f - {spec.missed()}")
+    good = materialize(good.select(F.col("least").alias("doc_id"), "k1", "k2", "rep", "times"), "good")
+    # at most ROUGH buckets of ids leave out most texts before they are dealt by id
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ROUGH))
+    some = docs.join(F.broadcast(good.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
+    stored = materialize(_sets(some.join(good, "doc_id").select("text", "k1", "k2", "rep", "times"), spec), "sets")
+    # rows that repeat a doc_id and its text
+    sets = stored.where("times = 1").unionByName(stored.where("times > 1").dropDuplicates(["rep"])).drop("times")
     grams = sets.select("rep", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(f"n > {RARE}")
     counts = materialize(counts.select("gram", "n", F.ceil(F.log2("n")).cast("int").alias("level")), "counts")
@@ -463,26 +491,32 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     mass[0] = float(sets.agg(F.sum(F.size("grams"))).first()[0] or 0) - sum(mass.values())
     told = grams.join(counts.select("gram", "level"), "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "level")).alias("told"))
     ordered = materialize(_ordered(sets.join(told, "rep", "left"), _pivots(mass)), "ordered")
+    discard(stored, counts, good)
 
-    live = _open(_heads(ordered, spec).withColumn("label", F.col("rep"))).drop("label")
+    live = _heads(ordered, spec)
     labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    verify, tested, links, many = _Verifier(ordered, spec), None, None, 1
+    verify, tested, links, many, old = _Verifier(ordered, spec), None, None, 1, ()
     while True:
-        named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        named = materialize(_open(named) if links is not None or many > 1 else named, "open")
+        if links is None:
+            named = live.withColumn("label", F.col("rep"))
+        else:
+            named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        named = materialize(_open(named), "open")
         if named.isEmpty():
             break
         pairs, centres = _centre_pairs(named, spec, many)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = None if pairs.isEmpty() else materialize(verify(pairs), "links")
+        new = None if pairs.isEmpty() else verify(pairs)
         if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = materialize(components(links.select("a", "b")), "labels")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        live = named.drop("label").join(centres, ["gram", "rep"], "left_anti")  # all pairs of a centre are known now
-        many *= GROWTH
+        left = named.drop("label", "members").join(centres, ["gram", "rep"], "left_anti")  # all pairs of a centre are known now
+        live, many = materialize(left, "live"), many * GROWTH
+        discard(named, *old)
+        old = (live,)
     linked = classes.join(labels.withColumnRenamed("node", "rep"), "rep")
     linked = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label")
     named = classes.join(linked.select("rep", "component_id"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "least").alias("component_id"))
