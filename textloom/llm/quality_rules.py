@@ -10,8 +10,9 @@ with a third of all rows sends one row per task; one row (the prior) goes to the
 host verdicts join back on the host, where adaptive execution broadcasts or splits.
 
 Defined results: null or blank text has no words and fails the base rule; a null host is
-a host of its own; repeated rows are judged (and counted) one by one; an empty table
-gives an empty table; input columns named like a result are replaced.
+a host of its own; very long texts are judged whole; repeated rows are judged (and counted) one by one; an empty table
+gives an empty table; input columns named like a result (the figures, ``base_failed``, ``symbols_failed``, ``kept``) are
+replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import unused
+
 #: The separators of words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -88,8 +91,9 @@ def symbols_failed() -> Column:
 
 def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the five figures and the two rule results to every row."""
-    out = docs.withColumn("_figures", figures(text))
-    out = out.withColumns({name: F.col(f"_figures.{name}") for name in FIGURES}).drop("_figures")
+    struct = unused(docs, "figures")
+    out = docs.withColumn(struct, figures(text))
+    out = out.withColumns({name: F.col(f"{struct}.{name}") for name in FIGURES}).drop(struct)
     return out.withColumns({"base_failed": base_failed(), "symbols_failed": symbols_failed()})
 
 
@@ -119,10 +123,11 @@ def host_verdicts(hosts: DataFrame, prior: BetaPrior) -> DataFrame:
 def judge(judged: DataFrame, host: str = "source") -> DataFrame:
     """Add ``kept`` to rows of :func:`with_figures`: neither rule fails and the host isn't rejected."""
     hosts = host_counts(judged, host)
-    rejected = host_verdicts(hosts, fit_prior(hosts)).where("host_rejected").select("host", "host_rejected")
-    out = judged.drop("host_rejected").join(rejected, F.col(host).eqNullSafe(F.col("host")), "left").drop("host")
-    bad = F.coalesce(F.col("host_rejected"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("symbols_failed") & ~bad).drop("host_rejected")
+    key, verdict = unused(judged, "host"), unused(judged, "rejected")
+    rejected = host_verdicts(hosts, fit_prior(hosts)).where("host_rejected").select(F.col("host").alias(key), F.col("host_rejected").alias(verdict))
+    out = judged.join(rejected, F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
+    bad = F.coalesce(F.col(verdict), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("symbols_failed") & ~bad).drop(verdict)
 
 
 def oracle() -> str:

@@ -10,12 +10,12 @@ documents), data files, and a manifest table that names the files that count. A
     index offset, documents, ids, CRC-32, magic  40 bytes
 
 so one short document is read with the footer, its index entry and its frame. Documents are
-dealt by ranges of doc_id; a task streams through its range and keeps one Arrow batch and the
+dealt by ranges of doc_id, and of the text's beginning where a doc_id (or null) has many rows; a task streams through its range and keeps one Arrow batch and the
 index in memory. A task that is tried again writes another file, and the manifest names the
 one whose task succeeded.
 
 Defined results: null text is empty (the end id alone); a null doc_id comes first; rows with
-one doc_id follow each other by text; empty tables give an empty manifest; a damaged
+one doc_id follow each other by text; very long texts are one frame; extra columns are ignored, whatever their names; empty tables give an empty manifest; a damaged
 file, or one with another dictionary, raises :class:`TokenStoreError`.
 """
 
@@ -25,6 +25,7 @@ import hashlib
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,20 +78,24 @@ class Writer:
         fs, path = filesystem(uri)
         self.out = fs.open_output_stream(path)
         self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_checksum=True)
-        self.at, self.index, self.ids = HEAD.size, [], 0
+        self.at, self.index, self.ids = HEAD.size, array("q"), 0
         self.out.write(HEAD.pack(MAGIC, itemsize, hashlib.sha256(dictionary).digest()))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         frame = self.zip.compress(ids.tobytes())
         self.out.write(frame)
-        self.index.append((doc_id or 0, self.at, len(frame), len(ids), doc_id is None))
+        self.index.extend((doc_id or 0, self.at, len(frame), len(ids), doc_id is None))
         self.at += len(frame)
         self.ids += len(ids)
 
+    @property
+    def docs(self) -> int:
+        return len(self.index) // 5
+
     def close(self) -> None:
         index = np.array(self.index, "<i8").reshape(-1, 5).T.tobytes()
         self.out.write(index)
-        self.out.write(FOOT.pack(self.at, len(self.index), self.ids, zlib.crc32(index), END))
+        self.out.write(FOOT.pack(self.at, self.docs, self.ids, zlib.crc32(index), END))
         self.out.close()
 
 
@@ -162,9 +167,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     out.add(doc_id, np.append(found, np.array([end_id], found.dtype)))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "docs": len(out.index), "ids": out.ids}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "docs": out.docs, "ids": out.ids}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    files = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
+    files = docs.repartitionByRange("doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 

@@ -5,14 +5,15 @@ and of pairs with one or two words between, into 2^BITS buckets. FTRL-proximal k
 coordinate and an L1 threshold that leaves most weights exactly zero, so the model is a
 short list of buckets and weights, and its size has a bound: 2^BITS entries.
 
-Training reads at most MAX_SAMPLE labelled documents (the least by a hash of doc_id). Their
-features are written once and one task learns from them in EPOCHS passes, in a fixed
+Training reads at most MAX_SAMPLE labelled documents (the least by a hash of doc_id; of rows that share a
+doc_id the least text). Their features are written once and one task learns from them in EPOCHS passes, in a fixed
 order; the bound keeps that task small whatever the corpus. Scoring is one pass over all
 texts with the weights broadcast: no shuffle, memory is one group of texts.
 
 Defined results: null or empty text has no features and scores by the intercept; labels
 that are null are not learned; without labels of both kinds every score is the share of
-the one kind; repeated rows score alike; extra columns pass through.
+the one kind; very long texts are scored whole; repeated rows score alike; an empty table gives an empty table; extra columns pass
+through, but one with the name of the result (``score``, or any other that is asked for), which is replaced.
 """
 
 from __future__ import annotations
@@ -114,6 +115,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None
     few = known.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
     # at most max_sample pairs of numbers are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,25 +140,26 @@ def train(rows: DataFrame) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Ftrl.start()
+        state, known = Ftrl.start(), []  # at most the sample
         for batch in batches:
-            for label, at in zip(batch.column("label").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            known += zip(*(batch.column(c).to_pylist() for c in ("orders", "doc_id", "label", "at")), strict=True)
+        for epoch in range(EPOCHS):
+            for _, _, label, at in sorted(known, key=lambda r: (r[0][epoch], r[1])):
                 state.learn(np.append(np.frombuffer(at, "<u4").astype(np.int64), 1 << BITS), int(label > 0))
         m = state.model()
         yield pa.RecordBatch.from_arrays([pa.array([m.index.astype("<u4").tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.intercept])], names=["at", "weight", "intercept"])
 
-    passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    passes = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch"), "doc_id")
-    found = passes.select("label", "at").mapInArrow(lean(run), "at binary, weight binary, intercept double").first()
+    orders = F.array(*(F.xxhash64("doc_id", F.lit(epoch)) for epoch in range(1, EPOCHS + 1)))
+    found = rows.select(orders.alias("orders"), "doc_id", "label", "at").repartition(1).mapInArrow(lean(run), "at binary, weight binary, intercept double").first()
     return Model(np.frombuffer(found["at"], "<u4").astype(np.int64), np.frombuffer(found["weight"]), found["intercept"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Add ``score``, 0 to 1; the text goes unless it is to be kept, the other columns pass through."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
+    """Add the score, 0 to 1, as column ``name``; the text goes unless it is to be kept, the other columns pass through."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    gone = {"score"} if keep_text else {"score", text}
+    gone = {name.lower()} if keep_text else {name.lower(), text.lower()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = shared.value.dense()
@@ -168,8 +171,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
                 doc, bucket = distinct(doc[known], bucket[known])
                 total = np.bincount(doc, weights=dense[bucket], minlength=group.last - group.first) + shared.value.intercept
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            keep = [n for n in batch.schema.names if n not in gone]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], names=[*keep, "score"])
+            keep = [n for n in batch.schema.names if n.lower() not in gone]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], names=[*keep, name])
 
-    keep = [f for f in docs.schema if f.name not in gone]
-    return docs.mapInArrow(lean(run), T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    keep = [f for f in docs.schema if f.name.lower() not in gone]
+    return docs.mapInArrow(lean(run), T.StructType([*keep, T.StructField(name, T.DoubleType())]))

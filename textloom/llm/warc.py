@@ -14,7 +14,8 @@ file, and the manifest names the file whose task succeeded.
 
 Defined results: null html is an empty payload; a null page_id is written as empty and read
 as null; rows that share the largest page_id of a payload are all responses; a null
-URL has no WARC-Target-URI; control characters in a URL are percent-encoded.
+URL has no WARC-Target-URI; control characters in a URL are percent-encoded; very long payloads are one record; an empty table
+gives an empty manifest; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ VERSION = b"WARC/1.1\r\n"
 ID = "urn:textloom:page:"
 #: The dictionary is fitted on at most so many pages (the least by hash) of at most so many bytes.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 500, 20_000, 1 << 16
-LEVEL, READ_BYTES, MAX_RECORD = 3, 1 << 20, 1 << 31
+LEVEL, READ_BYTES = 3, 1 << 20
+#: A value of Spark has less than 2 GiB, so no record that was written is longer than this, only damaged headers say so.
+MAX_RECORD = 1 << 32
 #: Equal payloads of at least so many bytes are written once.
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
