@@ -1,7 +1,8 @@
 """Payloads as PNG images in binary columns, and low-frequency cosine-transform hashes of them.
 
 A payload is padded with zero bytes to whole rows of 64 grey pixels and becomes one PNG:
-signature, IHDR, one zlib stream in IDAT chunks, IEND, each chunk with its CRC. The reader
+signature, IHDR, one zlib stream in IDAT chunks, IEND, each chunk with its CRC; each row has the filter (none, left
+or above) that leaves the least sum of differences. The reader
 trusts nothing: it checks signature, order, lengths, CRCs, header values, the zlib
 checksum and the inflated size before it undoes the row filters with numpy.
 
@@ -9,7 +10,8 @@ Everything is integer arithmetic, so equal payloads have equal files and feature
 every machine. Each row stands alone: no shuffle, memory is one Arrow batch.
 
 Defined results: null is the empty payload, stored as one row of zeros; a damaged file
-raises :class:`PngError`; empty tables, repeated rows and extra columns pass through.
+raises :class:`PngError`; very long payloads are one image with many rows; ties and repeated rows have equal files; an empty table
+gives an empty table; columns named like a result (``n_bytes``, ``media``, the features) are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def _with(batch: pa.RecordBatch, drop: str, columns: dict[str, pa.Array]) -> pa.
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns.values()], names=[*keep, *columns])
 
 
-def store(rows: DataFrame, payload: str, how: str = "none") -> DataFrame:
+def store(rows: DataFrame, payload: str, how: str = "adaptive") -> DataFrame:
     """Replace the binary column ``payload`` by ``n_bytes`` (before padding) and the PNG ``media``."""
     ship(rows.sparkSession)
 
