@@ -248,3 +248,31 @@ def test_special_tokens_in_long_texts(spark):
     found = {r["doc_id"]: r["ids"] for r in token_store.read(spark, folder, with_ids=True).collect()}
     assert found == {d: [*fresh.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
     assert found[1][1:3] == [220, 50256]
+
+
+def test_png_query_unfilters(spark, sf):
+    """What the query stores has filtered rows, so reading it back undoes them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "cast(text as binary) as payload", "'mine' as kind", "1 as n_bytes", "2 as feature")
+    stored = png_media.store(docs, "payload")
+    kinds = set()
+    for r in stored.limit(40).collect():
+        png, at, z = bytes(r["media"]), 8, b""
+        while at < len(png):
+            (n,) = struct.unpack_from(">I", png, at)
+            z += png[at + 8 : at + 8 + n] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        kinds |= set(zlib.decompress(z)[:: png_media.WIDTH + 1])
+        assert r["kind"] == "mine" and r["n_bytes"] > 1 and r["feature"] == 2
+    assert kinds >= {1, 2}
+    assert "mine" in {r["kind"] for r in png_media.read(stored).limit(5).collect()}
+
+
+def test_token_store_repeated_ids_and_clashes(spark):
+    """Many rows of one doc_id, or without one, are more than one range; extra columns don't matter."""
+    rows = [(7, f"{i:03d} text") for i in range(300)] + [(None, f"{i:03d} other") for i in range(300)] + [(i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as file", "3 as ids")
+    folder, merge = new_dir(spark, "tokens"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    assert token_store.write(df, folder).count() > 2  # two ids hold nearly all rows
+    spark.conf.unset(merge)
+    check_store(spark, df, token_store.read(spark, folder).collect())

@@ -480,3 +480,112 @@ def test_repeated_groups_come_again():
     root = wrappers.parse(pages[3])
     wrappers.walk(root, wrapper)
     assert all(c.part is not None for c in root.children[0].children[0].children)
+
+
+def test_quality_extra_columns(spark):
+    df = spark.createDataFrame(QUALITY, "doc_id long, text string, source string").selectExpr("*", "'h' as host", "1 as _figures", "2 as host_rejected", "'r' as _rejected", "'x' as _host")
+    found = quality_rules.judge(quality_rules.with_figures(df))
+    assert {(r["host"], r["_figures"], r["host_rejected"], r["_rejected"], r["_host"]) for r in found.collect()} == {("h", 1, 2, "r", "x")}
+    assert rows(found.select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")) == oracle_on(quality_rules.oracle(), documents=df)
+    other = quality_rules.judge(quality_rules.with_figures(df.withColumn("host", df["source"]).drop("source")), host="host")
+    assert sorted(r["kept"] for r in other.collect()) == sorted(r["kept"] for r in found.collect())
+
+
+def plain_ftrl(data, epochs_orders, alpha, beta, l1, l2):
+    """FTRL-proximal one coordinate at a time, in dictionaries; None is the intercept."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(k):
+        t = 0.0 if k is None else l1
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= t else -(v - math.copysign(t, v)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    for order in epochs_orders:
+        for i in order:
+            grams, label = data[i]
+            w = {k: weight(k) for k in [*grams, None]}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values())))))
+            for k in w:
+                g, old = p - label, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+    return {k: weight(k) for k in n if weight(k)}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    docs, labels = planted(240)
+    docs += [(7, "zzz a repeated row whose text comes later")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    k = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = queries.toxicity_model(d, k)
+    known = {i: (t, labels[i][2]) for i, t in docs[:240] if zlib.crc32(str(i).encode()) % 5}
+    known[7] = (min(t for i, t in docs if i == 7), labels[7][2])
+    tokens = {i: re.findall(r"[a-z0-9]+", t.lower()) for i, (t, _) in known.items()}
+
+    def named(w):
+        out = {(1, x) for x in w}
+        for tag, places in ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 2)), (5, (0, 3))):
+            out |= {(tag, *(w[j + p] for p in places)) for j in range(len(w) - places[-1])}
+        return out
+
+    def grams(t):
+        (group,) = wordhash.words(pa.array([t]), separators=wordhash.letters)
+        return toxicity.features(group)[1].tolist()
+
+    # words, pairs, triples and skip-grams, but for the few that share a bucket
+    assert all(0 <= len(named(tokens[i])) - len(grams(t)) <= 3 for i, (t, _) in known.items())
+    f = quality_rules.F
+    epochs = range(1, toxicity.EPOCHS + 1)
+    ids = spark.createDataFrame([(i,) for i in known], "doc_id long").select("doc_id", *(f.xxhash64("doc_id", f.lit(e)).alias(f"o{e}") for e in epochs)).collect()
+    orders = [[r["doc_id"] for r in sorted(ids, key=lambda r: (r[f"o{e}"], r["doc_id"]))] for e in epochs]
+    plain_weights = plain_ftrl({i: (grams(t), y) for i, (t, y) in known.items()}, orders, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert model.intercept == pytest.approx(plain_weights.pop(None, 0.0), abs=1e-9)
+    assert sorted(model.weight) == pytest.approx(sorted(plain_weights.values()), abs=1e-9)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(d.where("text not like 'zzz%'"), model).collect()}
+    for i, (t, _) in enumerate((t, 0) for _, t in docs[:240]):
+        total = model.intercept + sum(plain_weights.get(g, 0.0) for g in grams(t))
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
+def test_toxicity_clash_long_and_repeated(spark):
+    docs, labels = planted(200)
+    docs += [(3, "word1 word2")] * 300 + [(9000, "word5 " * 200_000 + "nasty vile rotten " * 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'mine' as score", "'own' as Text2")
+    k = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.sample(d, k, "toxic").count() == 200
+    model = queries.toxicity_model(d, k)
+    scored = toxicity.score(d, model, keep_text=True, name="p")
+    assert scored.columns == ["doc_id", "text", "score", "Text2", "p"] and scored.count() == len(docs)
+    assert {r["score"] for r in scored.select("score").collect()} == {"mine"}
+    assert toxicity.score(d, model).schema["score"].dataType.typeName() == "double"
+
+
+def test_pipeline_clashing_columns_and_odd_rows(spark, sf):
+    """Extra columns of any name come through every stage but the last as they were; empty tables and odd rows too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, "en", None, None), (9001, "", "en", "s", 0), (9001, "", "en", "s", 0), (9002, "word " * 60_000, None, None, None)], docs.schema)
+    extra = ["'h' as host", "'s' as score", "'i' as _id", "'f' as _figures", "'m' as media", "1 as _times", "2 as label", "3 as kept", "4 as base_failed", "5 as taken", "6 as rid", "7 as component_id", "8 as n", "9 as k1"]
+    df = docs.unionByName(odd).selectExpr("*", *extra)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns and out.count() > 0
+        assert {tuple(r[c] for c in df.columns[5:]) for r in out.collect()} == {("h", "s", "i", "f", "m", 1, 2, 3, 4, 5, 6, 7, 8, 9)}
+    assert corpus_pipeline.STAGES[4][1](spark, df, sf).count() >= df.count()
+    assert [stage(spark, df.limit(0), sf).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+    near = corpus_pipeline.STAGES[2][1](spark, df, sf)
+    assert near.where("doc_id = 9001").count() == 1 and near.where("doc_id is null").count() == 1
+
+
+def test_url_model_on_hosts_of_no_table(spark):
+    """The labelled table shares no host with the tables, and hosts it hasn't seen are judged by their topic's words."""
+    names = {url_filter.split_url(u)[0].split(".")[0 if u.count(".") == 1 else 1] for u, _ in url_filter.labelled_urls()}
+    pages = {r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()}
+    assert not {p for u in pages if u for p in url_filter.split_url(u)[0].split(".")[:-2]} & names
+    data = url_filter.labelled_by_topic()
+    fold = [i // 7 % 4 for i in range(len(data))]
+    model = url_filter.train([(u, y) for (_, u, y), f in zip(data, fold) if f])
+    said = [(y, sum(model.weights.get(b, 0) for b in url_filter.buckets(u)) > 0) for (_, u, y), f in zip(data, fold) if not f]
+    assert sum(v for y, v in said if y) / sum(1 for y, _ in said if y) > 0.9
+    assert sum(v for y, v in said if not y) / sum(1 for y, _ in said if not y) < 0.05
