@@ -5,6 +5,13 @@ quality         documents go that fail a rule, or whose source is rejected
 near duplicates of each component of linked 5-word shingle sets (Jaccard 0.8) the least doc_id stays
 mixing          documents are repeated, or left out, as the words that the mix takes of them say
 packing         pieces of at most 2048 tokens are placed in sequences
+
+Defined results, in all stages: null and empty texts score by the model's intercept, fail the rules and so go at the second stage;
+a stage that gets one by itself takes it as an empty text, which has no near duplicates, is mixed in once and packs as one end id. Very long
+texts are worked on whole. A null source is a source like any other. Rows without a doc_id are kept apart from all others, but for equal texts;
+rows that share a doc_id are one document: near duplicates keep each of its texts once, mixing repeats them
+alike. Ties go to the least doc_id. An empty table gives an empty table. Extra columns are carried to the last stage
+whatever their names (``host``, ``score``, ``_id`` and the like); the last returns pieces only.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import mixing, ngram_join, packing, quality_rules, queries, toxicity
-from textloom.session import materialize
+from textloom.session import materialize, unused
 from textloom.sources.tables import table
 
 #: Near duplicates of the stage: 5-word shingles, a Jaccard similarity of 0.8 or more. op1's own query has other values.
@@ -22,32 +29,36 @@ NEAR = ngram_join.JoinSpec(n=5, num=80, den=100)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep_text=True)
-    return scored.where("score < 0.5").select(docs.columns)
+    name = unused(docs, "score")
+    return toxicity.score(docs, model, keep_text=True, name=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.with_figures(docs)
-    hosts = materialize(quality_rules.host_counts(judged.select("source", "base_failed", "symbols_failed")), "hosts")
-    rejected = quality_rules.host_verdicts(hosts, quality_rules.fit_prior(hosts)).where("host_rejected").select("host")
-    good = judged.where("not base_failed and not symbols_failed").select(docs.columns)
-    return good.join(rejected, F.col("source").eqNullSafe(F.col("host")), "left_anti")
+    """The figures are computed once: the rules' results are written beside the rows, then counted and filtered."""
+    failed, host = unused(docs, "failed"), unused(docs, "host")
+    judged = quality_rules.with_figures(docs.select("source", "text", F.struct(*docs.columns).alias(unused(docs, "row"))))
+    judged = materialize(judged.select(F.col(unused(docs, "row")), "source", "base_failed", "symbols_failed"), "judged")
+    hosts = materialize(quality_rules.host_counts(judged), "hosts")
+    rejected = quality_rules.host_verdicts(hosts, quality_rules.fit_prior(hosts)).where("host_rejected").select(F.col("host").alias(host))
+    good = judged.where("not base_failed and not symbols_failed").select(F.col(f"{unused(docs, 'row')}.*"))
+    return good.join(rejected, F.col("source").eqNullSafe(F.col(host)), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(docs, NEAR)
-    kept = found.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    # rows that share a doc_id are one document
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    key = unused(docs, "id")
+    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    once = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").unionByName(docs.where("doc_id is null"))
+    return once.dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the words taken make them up, rounded; those without a word stay once."""
-    taken = mixing.taken(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_id"), "size", "taken")
-    times = taken.groupBy("_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    times = times.select("_id", F.expr("if(size = 0, 1, cast(round(taken / size) as int))").alias("_times")).where("_times > 0")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    key, times, time = unused(docs, "id"), unused(docs, "times"), unused(docs, "time")
+    taken = mixing.taken(docs.select("doc_id", "source", "text")).select("doc_id", "size", "taken")
+    some = taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    some = some.select(key, F.expr("if(size = 0, 1, cast(round(taken / size) as int))").alias(times)).where(F.col(times) > 0)
+    out = docs.join(some, F.col("doc_id").eqNullSafe(F.col(key)))
+    return out.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
