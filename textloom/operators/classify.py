@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from textloom.session import materialize
 
 
+#: So many labels may be broadcast; more are joined as Spark sees fit.
+MAX_BROADCAST_LABELS = 10_000
+
+
 def word_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, word, n``: words of lower-case letters and their counts, within each row's own text."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
@@ -44,7 +48,8 @@ def classify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     """
     rows = word_rows(docs)
     sizes = rows.join(model.words.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("m"))
-    every = docs.select("doc_id").distinct().crossJoin(F.broadcast(model.labels)).join(sizes, "doc_id", "left")
+    few = model.labels.count() <= MAX_BROADCAST_LABELS
+    every = docs.select("doc_id").distinct().crossJoin(F.broadcast(model.labels) if few else model.labels).join(sizes, "doc_id", "left")
     found = rows.withColumnRenamed("n", "k").join(model.words, "word")
     found = found.groupBy("doc_id", "label").agg(F.sum(F.col("k") * F.log(F.col("n") + 1.0)).alias("plus"))
     total = F.log(F.col("docs").cast("double")) - F.coalesce("m", F.lit(0)) * F.log((F.col("total") + F.col("known")).cast("double")) + F.coalesce("plus", F.lit(0.0))
