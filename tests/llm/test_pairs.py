@@ -313,3 +313,43 @@ def test_packing_long_text_and_clashes(spark):
     rows = packing.pack(packing.pieces(df).selectExpr("*", "1 as _task", "2 as Offset", "3 as `_n`"))
     assert set(rows.columns) >= {"_task", "_n", "sequence_id", "offset"} and "Offset" not in rows.columns
     check_packing(rows.collect(), texts, 2048)
+
+
+def plain_taken(rows, budget=1.5):
+    """The schedule written out: slots by golden-ratio points, blocks of each source's line in order. Rows: (rid, doc_id, source, size, chance)."""
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[3] for r in rows if r[2] == s) for s in sources]
+    goals = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))], budget)
+    units = [int(g * mixing.UNITS + 0.5) for g in goals]
+    total, block = sum(units), mixing.block_words(sum(units) / mixing.UNITS)
+    edges = [sum(units[:i]) for i in range(len(units) + 1)]
+    lines = {}
+    for i, s in enumerate(sources):
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: (r[4] % (1 << 64), r[1] is not None, r[1] or 0, r[0]))
+        lines[i] = [r[0] for r in mine for _ in range(r[3])]
+    taken, used = Counter(), Counter()
+    for slot in range(-(-total // (mixing.UNITS * block))):
+        point = slot * mixing.GOLDEN % mixing.RING
+        src = next(i for i in range(len(units)) if edges[i] / total * mixing.RING <= point < edges[i + 1] / total * mixing.RING)
+        k = used[src]
+        used[src] += 1
+        for at in range(k * block, (k + 1) * block):
+            if at < 2 * len(lines[src]):
+                taken[lines[src][at % len(lines[src])]] += 1
+    return taken
+
+
+@pytest.mark.parametrize("sources", [1, 4, 45])
+def test_mixing_equals_the_plain_schedule(spark, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 100)
+    monkeypatch.setattr(mixing, "SLOT_BITS", 4)
+    rng = random.Random(sources)
+    rows = [(i // 2, " ".join(["w"] * rng.choice((0, 1, 5, 40, 300))), rng.choice([None, *(f"s{k}" for k in range(sources - 1))])) for i in range(160)]
+    F = mixing.F
+    df = frame(spark, rows).repartition(3)
+    df = spark.createDataFrame(df.withColumn("row", F.monotonically_increasing_id()).selectExpr("doc_id", "text", "source", "row as size", "'x' as rid", "'y' as src", "'z' as taken").collect(), "doc_id long, text string, source string, size long, rid string, src string, taken string").coalesce(1)
+    plain = df.select(F.monotonically_increasing_id(), "doc_id", "source", mixing.word_count(), F.xxhash64(F.lit(0), "doc_id", F.xxhash64("text"))).collect()
+    want = plain_taken([tuple(r) for r in plain])
+    found = mixing.taken(df)
+    assert Counter({r["rid"]: r["taken"] for r in found.collect() if r["taken"]}) == want
+    assert found.count() == len(rows) and sum(want.values()) > 0
