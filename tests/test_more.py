@@ -322,3 +322,25 @@ def test_discarded_tables_are_gone(spark):
     assert os.path.isdir(folder)
     discard(df, None, spark.range(1))
     assert not os.path.isdir(folder)
+
+
+def test_merges_in_batches_equal_single_ones(spark):
+    """Several merges a job give what one a job gives, ties and self-pairs included."""
+    rng = random.Random(9)
+    table = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))): rng.randint(1, 4) for _ in range(60)}
+    counts = spark.createDataFrame(list(table.items()), "pretoken string, n long")
+    assert bpe.train_distributed(counts, 25, every=4) == bpe.train_local({w.encode(): n for w, n in table.items()}, 25)
+    assert bpe.safe_merges([("a", "b", 9), ("c", "d", 8), ("e", "f", 7), ("b", "c", 7), ("g", "h", 6)]) == [("a", "b"), ("c", "d")]
+    assert bpe.safe_merges([("a", "a", 5)]) == [("a", "a")] and bpe.safe_merges([]) == []
+
+
+def test_token_parts_stream(tmp_path):
+    ids = np.arange(1000, dtype="<u2")
+    np.save(tmp_path / "a.npy", ids)
+    (tmp_path / "a.bin").write_bytes(ids.tobytes())
+    for name, npy in (("a.npy", True), ("a.bin", False)):
+        parts = list(token_files.stream(str(tmp_path / name), "<u2", npy, block=300))
+        assert [len(p) for p in parts] == [300, 300, 300, 100] and np.array_equal(np.concatenate(parts), ids)
+    (tmp_path / "b.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="whole number"):
+        list(token_files.stream(str(tmp_path / "b.bin"), "<u2", False))

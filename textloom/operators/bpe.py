@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import lean, materialize, ship
+from textloom.session import discard, lean, materialize, ship
 from textloom.sources.files import filesystem
 
 #: Fixed value: the public pattern of pre-tokens.
@@ -105,18 +105,42 @@ def apply_merge(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("word", F.replace("word", F.lit(f"«{left}»«{right}»"), F.lit(f"«{left}{right}»")))
 
 
-def train_distributed(counts: DataFrame, merges: int, every: int = 8) -> list[tuple[bytes, bytes]]:
-    """The first merges, one Spark job each; words are written anew after ``every`` merges."""
+def safe_merges(top: Sequence[tuple[str, str, int]]) -> list[tuple[str, str]]:
+    """Those of the most frequent pairs, in order, that come next one after the other whatever the merges before do.
+
+    A merge changes only the counts of pairs that share a token with it, and a pair that it
+    makes is no more frequent than such a one. So all pairs before the first that shares a token with
+    an earlier one are next, as long as they are more frequent than it. A list that was cut off may go on with any.
+    """
+    out: list[tuple[str, str, int]] = []
+    touched: set[str] = set()
+    bound = top[-1][2] if top else 0
+    for left, right, n in top:
+        if left in touched or right in touched:
+            bound = n
+            break
+        out.append((left, right, n))
+        touched |= {left, right}
+    return [(left, right) for k, (left, right, n) in enumerate(out) if not k or n > bound]
+
+
+def train_distributed(counts: DataFrame, merges: int, every: int = 8, look: int = 64) -> list[tuple[bytes, bytes]]:
+    """The first merges; a Spark job looks for as many as are sure to follow each other, words are written anew after ``every`` merges."""
     words = materialize(counts.select(as_word(F.col("pretoken")).alias("word"), "n"), "words")
-    out = []
-    for k in range(merges):
-        best = best_pair(pair_counts(words))
-        if best is None:
+    out: list[tuple[bytes, bytes]] = []
+    since, stored = 0, words
+    while len(out) < merges:
+        found = pair_counts(words).orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(look).collect()
+        if not found:
             break
-        words = apply_merge(words, *best[:2])
-        if k % every == every - 1:
-            words = materialize(words, "words")
-        out.append((bytes.fromhex(best[0]), bytes.fromhex(best[1])))
+        for left, right in safe_merges([(r["left"], r["right"], r["n"]) for r in found])[: merges - len(out)]:
+            words = apply_merge(words, left, right)
+            out.append((bytes.fromhex(left), bytes.fromhex(right)))
+            since += 1
+        if since >= every:
+            words, since = materialize(words, "words"), 0
+            discard(stored)
+            stored = words
     return out
 
 

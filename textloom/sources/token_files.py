@@ -36,22 +36,22 @@ def write_tokens(rows: DataFrame, folder: str, order: str, ids: str = "ids", dty
             if out is None:
                 name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.{'npy' if npy else 'bin'}"
                 fs, path = filesystem(name)
-                out = fs.open_output_stream(path)
-                held = []
+                out = fs.open_output_stream(path + ".raw" * npy)
             flat = batch.column(ids).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(flat) and (flat.min() < 0 or flat.max() > most):
                 raise ValueError(f"an id doesn't fit {dtype}")
             n += len(flat)
-            if npy:
-                held.append(flat.astype(dtype))
-            else:
-                out.write(flat.astype(dtype).tobytes())
+            out.write(flat.astype(dtype).tobytes())
         if out is not None:
-            if npy:
-                head = io.BytesIO()
-                np.save(head, np.concatenate(held))
-                out.write(head.getvalue())
             out.close()
+            if npy:  # its head says how many ids follow
+                head = io.BytesIO()
+                np.lib.format.write_array_header_1_0(head, {"descr": np.lib.format.dtype_to_descr(np.dtype(dtype)), "fortran_order": False, "shape": (n,)})
+                with fs.open_input_stream(path + ".raw") as raw, fs.open_output_stream(path) as whole:
+                    whole.write(head.getvalue())
+                    while data := raw.read(BLOCK):
+                        whole.write(data)
+                fs.delete_file(path + ".raw")
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "n": n, "dtype": dtype, "npy": npy}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("dtype", pa.string()), ("npy", pa.bool_())]))
 
     rows.select(order, ids).repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
@@ -71,6 +71,21 @@ def load(uri: str, dtype: str, npy: bool) -> np.ndarray:
     return np.frombuffer(data, dtype)
 
 
+def stream(uri: str, dtype: str, npy: bool, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """The ids of one part, ``block`` at a time; a raw file must be whole ids long."""
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as file:
+        kind = np.dtype(dtype)
+        if npy:
+            version = np.lib.format.read_magic(file)
+            read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+            kind = read(file)[2]
+        elif file.size() % kind.itemsize:
+            raise ValueError(f"{uri}: not a whole number of ids")
+        while data := file.read(block * kind.itemsize):
+            yield np.frombuffer(data, kind)
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """``pos, token`` of all parts in order."""
     ship(spark)
@@ -81,12 +96,12 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = load(r["file"], r["dtype"], r["npy"])
-                if len(ids) != r["n"]:
-                    raise ValueError(f"{r['file']}: {len(ids)} ids, the manifest has {r['n']}")
-                for k in range(0, len(ids), BLOCK):
-                    some = ids[k : k + BLOCK].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some)) + r["start"] + k), pa.array(some)], names=["pos", "token"])
+                n = 0
+                for ids in stream(r["file"], r["dtype"], r["npy"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)) + r["start"] + n), pa.array(ids.astype(np.int64))], names=["pos", "token"])
+                    n += len(ids)
+                if n != r["n"]:
+                    raise ValueError(f"{r['file']}: {n} ids, the manifest has {r['n']}")
 
     return files.repartition(max(1, files.count())).mapInArrow(run, "pos long, token long")
 
