@@ -107,7 +107,7 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """An element (``tag`` and its words) with its children, or a text (tag ``#``) with the share of it in links."""
 
@@ -169,7 +169,7 @@ def parse(page: str) -> Node:
     """The block-level tree of a page; inline tags only add to the text around them."""
     root = Node("#root")
     stack: list[tuple[str, Node]] = [("#root", root)]
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = {}
     text: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -182,10 +182,16 @@ def parse(page: str) -> Node:
         state["linked"] = 0
 
     def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        while any(opened[name] for name in names):
+        while True:
+            for name in names:
+                if opened.get(name):
+                    break
+            else:
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in names:
-                    opened.subtract(n for n, _ in stack[k:])
+                    for name, _ in stack[k:]:
+                        opened[name] -= 1
                     del stack[k:]
                     break
                 if stack[k][0] in stop:
@@ -235,7 +241,7 @@ def parse(page: str) -> Node:
                 stack[-1][1].children.append(node)
                 if name not in VOID:
                     stack.append((name, node))
-                    opened[name] += 1
+                    opened[name] = opened.get(name, 0) + 1
     flush()
     return root
 
@@ -360,14 +366,32 @@ def _repeat(a: Node, b: Node) -> Node:
     return out
 
 
-@_deep
-def folded(node: Node) -> Node:
+def folded(root: Node) -> Node:
     """The structure of a page: its labels, with neighbours that repeat as groups."""
-    out = Node(node.label)
-    for c in node.children:
-        out.children.append((yield folded.steps(c)))
-    out.children = yield fold.steps(out.children)
-    return out
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += node.children
+    shapes: dict[tuple, int] = {}  # equal structures have one number
+    done: dict[int, tuple[Node, int]] = {}
+    for node in reversed(order):
+        children: list[Node] = []
+        numbers: list[int] = []
+        for child in node.children:
+            out, number = done.pop(id(child))
+            if numbers and numbers[-1] == number:  # as a merge of equal ones would have it
+                children[-1].plus = True
+                continue
+            children.append(out)
+            numbers.append(number)
+        labels = [c.label for c in children]
+        if any(a in labels[i + 1 : i + 4] for i, a in enumerate(labels)):
+            children, shape = fold(children), (node.label, id(node))  # of its own
+        else:
+            shape = (node.label, *((n, c.plus) for n, c in zip(numbers, children, strict=True)))
+        done[id(node)] = Node(node.label, children), shapes.setdefault(shape, len(shapes))
+    return done[id(root)][0]
 
 
 def skeleton(root: Node) -> str:
