@@ -32,7 +32,7 @@ BUDGET, MAX_REPEAT = 1.5, 2
 #: Blocks hold 1/LEAST_SLOTS of the budget, but no more than MAX_BLOCK words.
 LEAST_SLOTS, MAX_BLOCK = 1 << 16, 4096
 RING, GOLDEN = 1 << 31, 1327217885
-SLOT_BITS, ROWS_PER_SHARE = 16, 128
+SLOT_BITS, ROWS_PER_SHARE = 12, 128
 #: Targets count in such parts of a word on the ring.
 UNITS = 1024
 
