@@ -33,13 +33,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory = memory
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # words can be remembered only where a line feed is one id and keeps words apart
         both = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b", "c")]
-        apart = not any(c.isspace() for t in added for c in t)
+        apart = not any(c.isspace() for t in self.added for c in t) and (self.tokenizer.normalizer is None or not any(t.normalized for t in added))
         self.by_word = apart and len(feed) == 1 and both == alone[0] + feed + alone[1] + feed + alone[2]
         self.feed = feed[0] if self.by_word else None
         #: "" and " " come from white space that isn't single
@@ -71,7 +71,7 @@ class Encoder:
         """Ids of each text."""
         if not self.by_word:
             return [np.frombuffer(self._whole(x), self.dtype) for x in texts]
-        parts = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x and "\0" not in x and not (self.added and self.added.search(x)) else () for x in texts]
+        parts = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x and "\0" not in x and not any(t in x for t in self.added) else () for x in texts]
         new = set().union(*parts).difference(self.known)
         over = len(self.known) + len(new) > self.memory
         self.known.update(self._learn(list(new)))
