@@ -267,8 +267,9 @@ def test_png_query_unfilters(spark, sf):
     assert "mine" in {r["kind"] for r in png_media.read(stored).limit(5).collect()}
 
 
-def test_token_store_repeated_ids_and_clashes(spark):
+def test_token_store_repeated_ids_and_clashes(spark, monkeypatch):
     """Many rows of one doc_id, or without one, are more than one range; extra columns don't matter."""
+    monkeypatch.setattr(token_store, "ROWS_PER_ID", 100)
     rows = [(7, f"{i:03d} text") for i in range(300)] + [(None, f"{i:03d} other") for i in range(300)] + [(i, "x") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as file", "3 as ids")
     folder, merge = new_dir(spark, "tokens"), "spark.sql.adaptive.coalescePartitions.enabled"

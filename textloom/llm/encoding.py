@@ -61,10 +61,9 @@ class Encoder:
             if len(cuts) != len(some) - 1:  # never seen; then each on its own
                 out.update((w, self._whole(w)) for w in some)
                 continue
-            data, start = ids.tobytes(), 0
-            for word, cut in zip(some, [*cuts, len(data)], strict=True):
-                out[word] = data[start:cut]
-                start = cut + size
+            data = ids.tobytes()
+            starts = [0, *[cut + size for cut in cuts]]
+            out.update(zip(some, [data[a:b] for a, b in zip(starts, [*cuts, len(data)])]))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

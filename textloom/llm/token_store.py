@@ -46,6 +46,8 @@ HEAD, FOOT = struct.Struct("<8sQ32s"), struct.Struct("<QQQQ8s")
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 1 << 16
 LEVEL = 3
 READ_BYTES = 4 << 20
+#: With more rows of one doc_id (or without one) than this, ranges go by the text's beginning too.
+ROWS_PER_ID = 10_000
 #: Appended to every document.
 END_ID = 0
 
@@ -169,7 +171,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "docs": out.docs, "ids": out.ids}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    files = docs.repartitionByRange("doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
+    many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ranges = ["doc_id"] if many <= ROWS_PER_ID else ["doc_id", F.left("text", F.lit(32))]
+    files = docs.repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
