@@ -143,12 +143,26 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-#: Packed rows: n-grams by holder. ``holders`` has the key and the size of each as three 64-bit integers; size 0 marks n-grams without one.
+#: Packed rows: for each holder a count, and as many n-grams or none. ``holders`` has the key and the size of each as three
+#: 64-bit integers; size 0 marks n-grams without one. Of an n-gram there are 32 bits, others than those that chose the part.
 _BLOCKS = "part long, known boolean, holders binary, counts binary, grams binary"
 
 
-def _deal(part: np.ndarray, holder: np.ndarray, grams: np.ndarray, holders: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of the parts that rows (number of a holder, n-gram) go to."""
+def _blocks_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+
+
+def _tally(part: np.ndarray, holders: np.ndarray, counts: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of the parts that holders' counts go to."""
+    order = np.argsort(part, kind="stable")
+    part, holders, counts = part[order], holders[order], counts[order].astype("<u4")
+    ends = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    yield from _blocks_of([(int(part[a]), known, holders[a:b].tobytes(), counts[a:b].tobytes(), b"") for a, b in zip(ends, ends[1:])])
+
+
+def _deal(part: np.ndarray, holder: np.ndarray, grams: np.ndarray, holders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of the parts that n-grams of numbered holders go to."""
     if not len(part):
         return
     order = np.lexsort((holder, part))
@@ -159,8 +173,8 @@ def _deal(part: np.ndarray, holder: np.ndarray, grams: np.ndarray, holders: np.n
     n, first = np.diff(ends).astype("<u4"), np.flatnonzero(np.diff(part[run], prepend=-1))
     rows = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True):
-        rows.append((int(part[run[a]]), known, holders[holder[run[a:b]]].tobytes(), n[a:b].tobytes(), grams[ends[a] : ends[b]].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+        rows.append((int(part[run[a]]), False, holders[holder[run[a:b]]].tobytes(), n[a:b].tobytes(), grams[ends[a] : ends[b]].tobytes()))
+    yield from _blocks_of(rows)
 
 
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -180,7 +194,7 @@ class _Chunk:
         self.n += len(grams)
 
     def deal(self) -> Iterator[pa.RecordBatch]:
-        """Known rows of what several sets of the chunk have, a mark of each, and all others to ask about."""
+        """How many n-grams of each set others of the chunk have, a mark of each of these, and all others to ask about."""
         if not self.n:
             return
         grams, sizes, holders = np.concatenate(self.grams), np.concatenate(self.sizes), np.concatenate(self.holders)
@@ -192,13 +206,13 @@ class _Chunk:
         several = np.diff(np.append(first, len(grams))) > 1
         marks = grams[first[several]]
         several = np.repeat(several, np.diff(np.append(first, len(grams))))
-        known, at = grams[several], holder[several]
-        # where several sets have it already, it goes anywhere, by n-gram and set
-        yield from _deal(_part_of(mix(known ^ mix(holders[at, 0].astype(np.uint64))), self.parts), at, known, holders, True)
+        known = np.bincount(holder[several], minlength=len(holders))
+        some = np.flatnonzero(known)
+        yield from _tally(_part_of(mix(holders[some, 0].astype(np.uint64)), self.parts), holders[some], known[some], True)
         none = len(holders)
         holders = np.concatenate([holders, np.zeros((1, 3), np.int64)])
-        asked = np.concatenate([grams[~several], marks])
-        yield from _deal(_part_of(mix(asked), self.parts), np.concatenate([holder[~several], np.full(len(marks), none)]), asked, holders, False)
+        asked = mix(np.concatenate([grams[~several], marks]))
+        yield from _deal(_part_of(asked, self.parts), np.concatenate([holder[~several], np.full(len(marks), none)]), asked.astype("<u4"), holders)
 
 
 def _blocks(docs: DataFrame, spec: JoinSpec, parts: int) -> DataFrame:
@@ -231,17 +245,16 @@ def _blocks(docs: DataFrame, spec: JoinSpec, parts: int) -> DataFrame:
 
 @dataclass
 class _Rows:
-    """The rows of some blocks: for each n-gram the number of its holder."""
+    """The rows of some blocks."""
 
     grams: np.ndarray
-    holder: np.ndarray
+    counts: np.ndarray
     holders: np.ndarray
 
     @staticmethod
     def of(blocks: list[tuple[bytes, bytes, bytes]]) -> _Rows:
-        holders = np.frombuffer(b"".join(b[0] for b in blocks), np.int64).reshape(-1, 3)
-        counts = np.frombuffer(b"".join(b[1] for b in blocks), "<u4")
-        return _Rows(np.frombuffer(b"".join(b[2] for b in blocks), np.uint64), np.repeat(np.arange(len(holders)), counts), holders)
+        holders, counts, grams = (b"".join(b[k] for b in blocks) for k in range(3))
+        return _Rows(np.frombuffer(grams, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(holders, np.int64).reshape(-1, 3))
 
 
 def _by_part(blocks: DataFrame, each, schema: str) -> DataFrame:
@@ -266,34 +279,42 @@ _SHARED = "k1 long, k2 long, shared long"
 
 
 def _answers(blocks: DataFrame, parts: int) -> DataFrame:
-    """How many n-grams of a part each set shares with others, of those that it asked about or knew; to the parts of the sets."""
+    """How many n-grams of a part each set shares with others, of those that it asked about or knew; to the parts of the sets.
+
+    Copies that tasks dealt on their own ask alike, so the most of them counts. Where 32 bits agree by chance a set
+    seems to share more than it does, and never less.
+    """
 
     def each(asked: _Rows, known: _Rows) -> Iterator[pa.RecordBatch]:
-        for rows, ask in ((known, False), (asked, True)):
-            if not len(rows.grams):
-                continue
-            key, mark = rows.holders[rows.holder, 0], rows.holders[rows.holder, 2] == 0
-            order = np.lexsort((key, rows.grams))
-            grams, holder, key, mark = rows.grams[order], rows.holder[order], key[order], mark[order]
-            fresh = np.concatenate([[True], (grams[1:] != grams[:-1]) | (key[1:] != key[:-1])]) & ~mark  # copies that tasks dealt on their own are one
-            if ask:
-                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-                low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
-                several = (low != high) | np.logical_or.reduceat(mark, first)
-                fresh &= np.repeat(several, np.diff(np.append(first, len(grams))))
-            holder = holder[fresh]
-            yield from _deal(_part_of(mix(rows.holders[holder, 0].astype(np.uint64)), parts), holder, np.zeros(len(holder), "V0"), rows.holders, False)
+        shared = np.zeros(len(asked.holders), np.int64)
+        if len(asked.grams):
+            holder = np.repeat(np.arange(len(asked.holders)), asked.counts)
+            order = np.argsort(asked.grams, kind="stable")
+            grams, holder = asked.grams[order], holder[order]
+            key, mark = asked.holders[holder, 0], asked.holders[holder, 2] == 0
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
+            several = (low != high) | np.logical_or.reduceat(mark, first)
+            several = np.repeat(several, np.diff(np.append(first, len(grams)))) & ~mark
+            shared = np.bincount(holder[several], minlength=len(asked.holders))
+        for holders, n in ((asked.holders, shared), (known.holders, known.counts)):
+            some = np.flatnonzero(n)
+            if len(some):
+                keys, which = np.unique(holders[some], axis=0, return_inverse=True)
+                most = np.zeros(len(keys), np.int64)
+                np.maximum.at(most, which.ravel(), n[some])
+                yield from _tally(_part_of(mix(keys[:, 0].astype(np.uint64)), parts), keys, most, False)
 
     return _by_part(blocks, each, _BLOCKS)
 
 
 def _sums(answers: DataFrame) -> DataFrame:
-    """The n-grams that each set shares, over all parts; copies that tasks dealt on their own may count some twice."""
+    """The n-grams that each set shares, over all parts."""
 
     def each(rows: _Rows, _: _Rows) -> Iterator[pa.RecordBatch]:
-        holders, which = np.unique(rows.holders, axis=0, return_inverse=True)
-        shared = np.bincount(which.ravel()[rows.holder], minlength=len(holders))
-        yield _batch(_SHARED, holders[:, 0], holders[:, 1], shared)
+        keys, which = np.unique(rows.holders, axis=0, return_inverse=True)
+        shared = np.bincount(which.ravel(), weights=rows.counts, minlength=len(keys)).astype(np.int64)
+        yield _batch(_SHARED, keys[:, 0], keys[:, 1], shared)
 
     return _by_part(answers, each, _SHARED)
 
