@@ -99,7 +99,7 @@ def test_join_in_small_pieces(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 30
     df = frame(spark, [(i, t, "s") for i, t in rows])
     assert components_of(df.repartition(3)) == want
-    for name, value in (("CHUNK", 64), ("PART", 500), ("RARE", 2), ("HOT_LEVEL", 2), ("GROWTH", 2)):
+    for name, value in (("CHUNK", 64), ("PART", 500), ("RARE", 2), ("HOT_LEVEL", 2), ("GROWTH", 2), ("TOLD", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     assert components_of(df.repartition(5)) == want
 

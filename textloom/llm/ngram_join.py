@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import Words, combine, mix, words
 from textloom.operators.components import components
-from textloom.session import discard, lean, materialize, ship
+from textloom.session import discard, drop_shuffles, lean, materialize, ship
 
 #: The first fragment has so many times the share of n-grams that a set may miss in a linked one.
 FIRST = 2.5
@@ -62,6 +62,8 @@ RARE = 8
 #: N-grams that 2**HOT_LEVEL sets or more have are dealt in salted shares.
 HOT_LEVEL = 12
 FRAGMENTS = 32
+#: Counts of up to so many n-grams are broadcast; more are joined to their holders. The result is the same.
+TOLD = 1 << 20
 #: Buckets of doc_ids that hold a set which goes on; a table of them has no more rows, whatever the corpus.
 ROUGH = 1 << 21
 #: A round has so many times the centres of the one before; in groups of no more members all are centres.
@@ -356,8 +358,11 @@ def _pivots(mass: dict[int, float]) -> np.ndarray:
 _ORDERED = "rep long, n int, grams array<long>, levels array<int>, sizes array<int>, sums array<long>, xors array<long>"
 
 
-def _ordered(sets: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """Each set's n-grams in the global order, cut into fragments, with the head's levels and a summary of every fragment."""
+def _ordered(sets: DataFrame, cuts: np.ndarray, known=None) -> DataFrame:
+    """Each set's n-grams in the global order, cut into fragments, with their levels and a summary of every fragment.
+
+    Levels come from ``known``, a broadcast of sorted n-grams and their levels, or a column ``told``; all others are 0.
+    """
 
     def lists(values: np.ndarray, each: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values))
@@ -370,13 +375,17 @@ def _ordered(sets: DataFrame, cuts: np.ndarray) -> DataFrame:
             grams = col.flatten().to_numpy().view(np.uint64)
             doc = np.repeat(np.arange(rows), m)
             level = np.zeros(len(grams), np.int64)
-            told = batch.column("told")
-            for i, pairs in enumerate(told.to_pylist()):
-                if pairs:
-                    a, b = int(m[:i].sum()) if i else 0, 0
-                    b = a + int(m[i])
-                    mine = grams[a:b]  # sorted
-                    level[a + np.searchsorted(mine, np.array([p["gram"] for p in pairs], np.int64).view(np.uint64))] = [p["level"] for p in pairs]
+            if known is not None:
+                some, levels = known.value
+                if len(some):
+                    at = np.minimum(np.searchsorted(some, grams), len(some) - 1)
+                    level = np.where(some[at] == grams, levels[at], 0)
+            else:
+                begin = np.cumsum(m) - m
+                for i, pairs in enumerate(batch.column("told").to_pylist()):
+                    if pairs:
+                        mine = grams[begin[i] : begin[i] + m[i]]  # sorted
+                        level[begin[i] + np.searchsorted(mine, np.array([p["gram"] for p in pairs], np.int64).view(np.uint64))] = [p["level"] for p in pairs]
             order = np.lexsort((grams, level, doc))
             grams, level, doc = grams[order], level[order], doc[order]
             frag = np.searchsorted(cuts, (level.astype(np.uint64) << np.uint64(56)) + (grams >> np.uint64(8)), "right")
@@ -393,7 +402,7 @@ def _ordered(sets: DataFrame, cuts: np.ndarray) -> DataFrame:
                 lists(sizes, every), lists(sums.view(np.int64), every), lists(xors.view(np.int64), every),
             )
 
-    return sets.select("rep", "n", "grams", "told").mapInArrow(lean(run), _ORDERED)
+    return sets.select("rep", "n", "grams", *(["told"] if known is None else [])).mapInArrow(lean(run), _ORDERED)
 
 
 def _fits(spec: JoinSpec, n: str, pos: str, m: str, at: str) -> str:
@@ -499,6 +508,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     shared = _sums(_answers(_blocks(docs, spec, parts), parts))
     good = classes.join(shared, ["k1", "k2"], "left").where(f"coalesce(shared, 0) >= f - {spec.missed()}")
     good = materialize(good.select(F.col("least").alias("doc_id"), "k1", "k2", "rep", "times"), "good")
+    drop_shuffles(docs.sparkSession)
     # at most ROUGH buckets of ids leave out most texts before they are dealt by id
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ROUGH))
     some = docs.join(F.broadcast(good.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
@@ -510,9 +520,16 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
     counts = materialize(counts.select("gram", "n", F.ceil(F.log2("n")).cast("int").alias("level")), "counts")
     mass = {r[0]: float(r[1]) for r in counts.groupBy("level").agg(F.sum("n")).collect()}  # a row per level
     mass[0] = float(sets.agg(F.sum(F.size("grams"))).first()[0] or 0) - sum(mass.values())
-    told = grams.join(counts.select("gram", "level"), "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "level")).alias("told"))
-    ordered = materialize(_ordered(sets.join(told, "rep", "left"), _pivots(mass)), "ordered")
+    if counts.count() <= TOLD:
+        rows = counts.select("gram", "level").toArrow()
+        some, levels = rows.column("gram").to_numpy().view(np.uint64), rows.column("level").to_numpy().astype(np.int64)
+        order = np.argsort(some)
+        ordered = materialize(_ordered(sets, _pivots(mass), docs.sparkSession.sparkContext.broadcast((some[order], levels[order]))), "ordered")
+    else:
+        told = grams.join(counts.select("gram", "level"), "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "level")).alias("told"))
+        ordered = materialize(_ordered(sets.join(told, "rep", "left"), _pivots(mass)), "ordered")
     discard(stored, counts, good)
+    drop_shuffles(docs.sparkSession)
 
     live = _heads(ordered, spec)
     labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
@@ -537,6 +554,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec | None = None) -> DataFra
         left = named.drop("label", "members").join(centres, ["gram", "rep"], "left_anti")  # all pairs of a centre are known now
         live, many = materialize(left, "live"), many * GROWTH
         discard(named, *old)
+        drop_shuffles(docs.sparkSession)
         old = (live,)
     linked = classes.join(labels.withColumnRenamed("node", "rep"), "rep")
     linked = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label")
