@@ -55,8 +55,8 @@ from textloom.session import discard, drop_shuffles, lean, materialize, ship
 #: The first fragment has so many times the share of n-grams that a set may miss in a linked one.
 FIRST = 2.5
 #: N-grams that a chunk of sets holds before it is dealt, and that a part of the n-grams' range has in the mean.
-CHUNK = 1 << 20
-PART = 1 << 21
+CHUNK = 1 << 19
+PART = 1 << 20
 #: N-grams with more sets than this are told to their holders and come later in the order, the more the later.
 RARE = 8
 #: N-grams that 2**HOT_LEVEL sets or more have are dealt in salted shares.
