@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, ngram_join, packing, png_media, quality_rules, token_store, toxicity, url_filter, warc, wrappers
+from textloom.llm import merkle, mixing, ngram_join, packing, png_media, quality_rules, sharding, token_store, toxicity, url_filter, warc, whitening, wrappers
 from textloom.session import materialize, new_dir
 from textloom.sources.tables import table
 
@@ -91,8 +91,40 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.read(materialize(png_media.store(docs, "payload"), "media"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what its proof says of it where one in seven was tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proved = merkle.prove(merkle.leaves(table(spark, sf_dir, "documents"), tampered), "lang", ["doc_id"])
+    checked = merkle.verify(proved, F.coalesce("changed", "leaf"))
+    digests = [merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return checked.select("doc_id", *digests, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every sound vector on the four strongest components."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    shares = F.array(*(F.lit(float(e)) for e in model.explained)).cast("array<double>")
+    out = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation as long)").alias("deviation"),
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op13_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to the files of 40 shards and read back; its shard with one more beside it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_dir(spark, "shards")
+    sharding.write(docs, folder)
+    rows = sharding.read(spark, folder, docs.schema).select("row.doc_id", "row.text", "shard", "slot")
+    text = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    grown = sharding.shard_of(F.col("doc_id"), sharding.SHARDS + 1)
+    return rows.select("doc_id", sharding.size_bytes().alias("size"), text.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op4_html_wrappers, op5_toxicity, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_store, op3_quality_rules, op4_html_wrappers, op5_toxicity, op6_warc, op7_best_fit_packing, op8_url_filter, op9_source_mixing, op10_png_media, op11_merkle_manifest, op12_embedding_whitening, op13_jump_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,4 +133,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.oracle(),
         "op6_warc": warc.oracle(),
         "op8_url_filter": url_filter.oracle(url_model()),
+        "op11_merkle_manifest": merkle.oracle(),
+        "op13_jump_sharding": sharding.oracle(),
     }
