@@ -7,12 +7,14 @@ bytes they stand for.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -20,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import discard, lean, materialize, ship
+from textloom.session import discard, lean, materialize, ship, unused
 from textloom.sources.files import filesystem
 
 #: Fixed value: the public pattern of pre-tokens.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pre-tokens that the driver may hold for training; above, every merge is a Spark job.
-DRIVER_WORDS = 2_000_000
+#: Bytes of distinct pre-tokens that the driver may hold for training; above, merges are Spark jobs over an index of pairs.
+DRIVER_BYTES = 4 << 20
 
 
 def split_specials(text: Column, specials: Sequence[str]) -> Column:
@@ -124,23 +126,87 @@ def safe_merges(top: Sequence[tuple[str, str, int]]) -> list[tuple[str, str]]:
     return [(left, right) for k, (left, right, n) in enumerate(out) if not k or n > bound]
 
 
+class PairIndex:
+    """The words that have a pair, for training on tables of any size.
+
+    Postings ``left, right, id, version, word, n`` lie in the order of pairs, in files by ranges of them, so a merge reads only row groups that can have its pair. A word that
+    a merge has changed is posted anew under each pair that it has now, and as null under those it has lost; of a pair's postings of a
+    word the latest counts. After ``every`` changes the postings are written as one table of latest ones.
+    """
+
+    def __init__(self, words: DataFrame, every: int) -> None:
+        self.every, self.version, self.tables = every, 0, []
+        self.add(words.withColumn("old", F.lit(None).cast("string")))
+
+    def add(self, changed: DataFrame) -> None:
+        """Post ``id, old, word, n``."""
+        pairs = changed.select("id", "word", "n", _pairs_of("old").alias("before"), _pairs_of("word").alias("now"))
+        posts = pairs.select("id", "word", "n", "now", F.explode(F.array_distinct(F.concat("before", "now"))).alias("p"))
+        word = F.when(F.array_contains("now", F.col("p")), F.col("word"))
+        self._store(posts.select("p.left", "p.right", "id", F.lit(self.version).alias("version"), word.alias("word"), "n"))
+        self.version += 1
+        if len(self.tables) > self.every:
+            old = list(self.tables)
+            self.tables.clear()
+            self._store(self._latest(_union(old)))
+            discard(*old)
+
+    def _store(self, posts: DataFrame) -> None:
+        self.tables.append(materialize(posts.repartitionByRange("left", "right", "id").sortWithinPartitions("left", "right"), "postings"))
+
+    @staticmethod
+    def _latest(posts: DataFrame) -> DataFrame:
+        last = posts.groupBy("left", "right", "id").agg(F.max_by(F.struct("version", "word", "n"), "version").alias("r"))
+        return last.select("left", "right", "id", "r.version", "r.word", "r.n").where("word is not null")
+
+    def words_with(self, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+        """``id, word, n`` of the words that have one of some pairs."""
+        wanted = functools.reduce(lambda a, b: a | b, ((F.col("left") == left) & (F.col("right") == right) for left, right in pairs))
+        found = _union([t.where(wanted) for t in self.tables])
+        return self._latest(found).select("id", "word", "n").dropDuplicates(["id"])
+
+    def close(self) -> None:
+        discard(*self.tables)
+
+
+def _union(tables: Sequence[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def _pairs_of(word: str) -> Column:
+    """Neighbouring tokens of a word in order; none of a null or a word of one token."""
+    tokens = F.split(F.regexp_replace(F.coalesce(word, F.lit("")), "^«|»$", ""), "»«")
+    pair = lambda t: F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.struct(F.element_at(t, i + 1).alias("left"), x.alias("right")))
+    return F.flatten(F.transform(F.array(tokens), pair))
+
+
 def train_distributed(counts: DataFrame, merges: int, every: int = 8, look: int = 64) -> list[tuple[bytes, bytes]]:
-    """The first merges; a Spark job looks for as many as are sure to follow each other, words are written anew after ``every`` merges."""
-    words = materialize(counts.select(as_word(F.col("pretoken")).alias("word"), "n"), "words")
+    """The first merges over a table of any size. Pairs are counted once; from then on a merge reads and changes only the words that have it.
+
+    A round merges as many of the most frequent pairs as are sure to follow each other; what that does to the counts is added to
+    them. Only the pairs looked at reach the driver.
+    """
+    words = materialize(counts.select(F.monotonically_increasing_id().alias("id"), as_word(F.col("pretoken")).alias("word"), "n"), "words")
+    totals, index = materialize(pair_counts(words), "totals"), PairIndex(words, every)
+    discard(words)
     out: list[tuple[bytes, bytes]] = []
-    since, stored = 0, words
     while len(out) < merges:
-        found = pair_counts(words).orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(look).collect()
-        if not found:
+        found = totals.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(look).collect()
+        chosen = safe_merges([(r["left"], r["right"], r["n"]) for r in found])[: merges - len(out)]
+        if not chosen:
             break
-        for left, right in safe_merges([(r["left"], r["right"], r["n"]) for r in found])[: merges - len(out)]:
-            words = apply_merge(words, left, right)
-            out.append((bytes.fromhex(left), bytes.fromhex(right)))
-            since += 1
-        if since >= every:
-            words, since = materialize(words, "words"), 0
-            discard(stored)
-            stored = words
+        out += [(bytes.fromhex(left), bytes.fromhex(right)) for left, right in chosen]
+        changed = index.words_with(chosen).withColumn("old", F.col("word"))
+        for left, right in chosen:
+            changed = apply_merge(changed, left, right)
+        changed = materialize(changed, "changed")
+        delta = pair_counts(changed).unionByName(pair_counts(changed.select(F.col("old").alias("word"), (-F.col("n")).alias("n"))))
+        before = totals
+        totals = materialize(totals.unionByName(delta).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
+        index.add(changed)
+        discard(before, changed)
+    index.close()
+    discard(totals)
     return out
 
 
@@ -207,15 +273,60 @@ def merge_once(tokens: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     return out
 
 
+def merge_word(tokens: list[bytes], rank: Mapping[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Merge the pair of least rank, of equals the first, at all its places from the left, until no pair has a rank.
+
+    Tokens are a linked list and the places of pairs a heap, so a word of n bytes takes n log n steps.
+    """
+    n = len(tokens)
+    if n < 2:
+        return tokens
+    text: list[bytes | None] = list(tokens)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank[p], k) for k, p in enumerate(zip(tokens, tokens[1:])) if p in rank]
+    heapify(heap)
+
+    def pair(k: int) -> tuple[bytes, bytes] | None:
+        return (text[k], text[after[k]]) if text[k] is not None and after[k] < n else None
+
+    while heap:
+        least, first = heap[0]
+        best = pair(first)
+        if best is None or rank.get(best) != least:
+            heappop(heap)
+            continue
+        places, others = [], []
+        while heap and heap[0][0] == least:
+            k = heappop(heap)[1]
+            (places if pair(k) == best else others).append(k)
+        made = []
+        for k in places:
+            if pair(k) == best:
+                text[k], gone = best[0] + best[1], after[k]
+                text[gone] = None
+                after[k] = after[gone]
+                if after[k] < n:
+                    before[after[k]] = k
+                made.append(k)
+        for k in {j for k in made for j in (before[k], k) if j >= 0}:
+            if (p := pair(k)) in rank:
+                heappush(heap, (rank[p], k))
+        for k in others:
+            if (p := pair(k)) is not None and rank.get(p) == least:
+                heappush(heap, (least, k))
+    return [t for t in text if t is not None]
+
+
 def train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = ()) -> Tokenizer:
     """Vocabulary of bytes, specials and merges. A table of distinct words that is small enough is merged on the driver."""
     counts = counts.where(~F.col("pretoken").isin(*specials)) if specials else counts
     merges = max(0, vocab_size - 256 - len(specials))
-    rows = counts.limit(DRIVER_WORDS + 1).collect()
-    if len(rows) <= DRIVER_WORDS:
-        found = train_local({r["pretoken"].encode(): r["n"] for r in rows}, merges)
+    counts = materialize(counts, "pretokens")
+    if (counts.agg(F.sum(F.octet_length("pretoken") + 16)).first()[0] or 0) <= DRIVER_BYTES:
+        found = train_local({r["pretoken"].encode(): r["n"] for r in counts.collect()}, merges)
     else:
         found = train_distributed(counts, merges)
+    discard(counts)
     vocab = {i: bytes([i]) for i in range(256)} | {256 + i: s.encode() for i, s in enumerate(specials)}
     for left, right in found:
         vocab[len(vocab)] = left + right
@@ -245,17 +356,15 @@ class Tokenizer:
     def _word(self, word: str) -> list[int]:
         found = self._memo.get(word)
         if found is None:
-            tokens = [bytes([b]) for b in word.encode()]
-            while len(tokens) > 1:
-                pair = min(zip(tokens, tokens[1:]), key=lambda p: self.rank.get(p, 1 << 62))
-                if pair not in self.rank:
-                    break
-                tokens = merge_once(tokens, pair)
-            found = [self.ids[t] for t in tokens]
+            found = [self.ids[t] for t in merge_word([bytes([b]) for b in word.encode()], self.rank)]
             if len(self._memo) < 500_000:
                 self._memo[word] = found
         return found
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a pre-token, or the one of a special token."""
+        return [self.ids[word.encode()]] if word in self.specials else self._word(word)
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self._cut.split(text) if self._cut else [text]:
@@ -292,18 +401,38 @@ def _kept(key: str, shared) -> Tokenizer:
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text. Workers remember the words they have encoded."""
+    """Add the ids of each text. Of a batch's pre-tokens each distinct one is encoded once, and workers remember the words they have encoded.
+
+    Pre-tokens are cut in the JVM and laid out as ids by array operations, so no Python runs per token and nothing is shuffled.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared, key = spark.sparkContext.broadcast((tokenizer.vocab, tokenizer.merges, tokenizer.specials)), uuid.uuid4().hex
+    words = unused(docs, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _kept(key, shared)
         for batch in batches:
-            ids = [own.encode(x or "") for x in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
-
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+            lists = batch.column(words)
+            coded = lists.flatten().dictionary_encode()
+            known = [own.word_ids(w) for w in coded.dictionary.to_pylist()]
+            ids = laid_out(coded.indices.to_numpy(zero_copy_only=False), known, lists.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], out])
+
+    cut = docs.withColumn(words, pretokens(F.col(text), tokenizer.specials))
+    return cut.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def laid_out(codes: np.ndarray, known: Sequence[Sequence[int]], counts: np.ndarray) -> pa.ListArray:
+    """Lists of ids: the words of each list (``counts`` of them) by their codes, each as the ids that are known of it."""
+    sizes = np.array([len(x) for x in known] or [0], np.int64)
+    flat = np.array([i for x in known for i in x], np.int32)
+    each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(each)])
+    begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    at = np.repeat(begins[codes] - ends[:-1], each) + np.arange(ends[-1]) if len(codes) else np.zeros(0, np.int64)
+    offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
 
 
 def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions import vectors as V
+from textloom.session import lean, ship
 
 
 def heads(rows: DataFrame, n: int, dim: int) -> DataFrame:
@@ -44,6 +49,86 @@ def attention(s: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
     return summed.groupBy(*own, "lse").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "o"))), lambda r: r["o"]).alias("out"))
 
 
+STATE = "m array<double>, l array<double>, o array<double>"
+
+
+def vector_blocks(rows: DataFrame, by: Sequence[str], pos: str, size: int, vectors: Sequence[str]) -> DataFrame:
+    """``block`` beside ``by``, with positions and the named vectors of ``size`` consecutive rows of a sequence as flat arrays."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *vectors)))
+    cut = rows.groupBy(*by, F.expr(f"{pos} div {size}").alias("block")).agg(own.alias("r"))
+    return cut.select(*by, "block", F.col("r.pos").alias("pos"), *(F.flatten(f"r.{v}").alias(v) for v in vectors))
+
+
+def block_state(q: np.ndarray, k: np.ndarray, v: np.ndarray, qpos: np.ndarray, kpos: np.ndarray, causal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of keys says of a block of queries: highest score, sum of exponentials and output relative to it."""
+    s = q @ k.T / math.sqrt(q.shape[1])
+    if causal:
+        s = np.where(kpos[None, :] <= qpos[:, None], s, -np.inf)
+    m = s.max(1)
+    p = np.exp(s - np.where(np.isneginf(m), 0.0, m)[:, None])
+    return m, p.sum(1), p @ v
+
+
+def merge_states(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state of both blocks' keys: sums and outputs are brought to the higher of the two scores."""
+    m = np.maximum(a[0], b[0])
+    top = np.where(np.isneginf(m), 0.0, m)
+    x, y = np.exp(a[0] - top), np.exp(b[0] - top)
+    return m, a[1] * x + b[1] * y, a[2] * x[:, None] + b[2] * y[:, None]
+
+
+def block_attention(rows: DataFrame, by: Sequence[str], pos: str = "pos", size: int = 64, causal: bool = True) -> DataFrame:
+    """``pos, lse, out`` beside ``by``: attention over sequences of any length, from ``pos, q, k, v`` at consecutive positions.
+
+    Sequences are cut in blocks. A block of queries meets the blocks of keys one at a time and keeps a state (highest score, sum,
+    output) per query, which merges with other blocks' in any order: within a task as rows come, then between tasks. Nothing holds a sequence or a row of
+    its attention matrix. Without causality every query sees all keys; a sequence's first query sees itself, so no state is empty at the end.
+    """
+    ship(rows.sparkSession)
+    queries = vector_blocks(rows, by, pos, size, ["q"])
+    keys = vector_blocks(rows, by, pos, size, ["k", "v"]).withColumnsRenamed({"block": "kblock", "pos": "kpos"})
+    pairs = queries.join(keys, list(by))
+    pairs = pairs.where("kblock <= block") if causal else pairs
+    key = [*by, "block"]
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, npos = None, None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                at = tuple(row[c].as_py() for c in key)
+                flat = {c: row[c].values.to_numpy() for c in ("pos", "q", "kpos", "k", "v")}
+                n, nk = len(flat["pos"]), len(flat["kpos"])
+                new = block_state(flat["q"].reshape(n, -1), flat["k"].reshape(nk, -1), flat["v"].reshape(nk, -1), flat["pos"], flat["kpos"], causal)
+                if held is not None and held != at:
+                    yield emitted(held, npos, state)
+                    state = None
+                held, npos, state = at, flat["pos"], new if state is None else merge_states(state, new)
+        if held is not None:
+            yield emitted(held, npos, state)
+
+    fields = T.StructType([*(queries.schema[c] for c in key), *T.StructType.fromDDL("pos array<long>, " + STATE)])
+    arrow = to_arrow_schema(fields)
+
+    def emitted(at: tuple, positions: np.ndarray, state: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(key, at)) | {"pos": positions, "m": state[0], "l": state[1], "o": state[2].ravel()}], schema=arrow)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = state = positions = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = tuple(batch.column(c)[r].as_py() for c in key)
+                positions, m, sums, out = (batch.column(c)[r].values.to_numpy() for c in ("pos", "m", "l", "o"))
+                new = (m, sums, out.reshape(len(m), -1))
+                state = new if state is None else merge_states(state, new)
+        m, sums, out = state
+        yield emitted(at, positions, (m + np.log(sums), sums, out / sums[:, None]))
+
+    found = pairs.mapInArrow(lean(states), fields).groupBy(*key).applyInArrow(merged, fields)
+    each = F.expr("transform(pos, (p, i) -> struct(p as pos, m[i] as lse, slice(o, int(i * (size(o) / size(pos))) + 1, int(size(o) / size(pos))) as out))")
+    return found.select(*by, F.inline(each))
+
+
 def softmax_gradient(s: DataFrame, out: DataFrame, values: DataFrame, grads: DataFrame, by: Sequence[str]) -> DataFrame:
     """``qid, kid, p, ds``: P from scores and log-sum-exp, dS = P (dO.V - dO.O)."""
     rows = s.join(out, [*by, "qid"]).join(grads.select(*by, F.col("id").alias("qid"), F.col("v").alias("g")), [*by, "qid"])

@@ -45,6 +45,32 @@ def windows(tokens: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return found.select("sample", "start", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
 
 
+def blocks(rows: DataFrame, size: int, order: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``block, ids``: the ids of all rows laid end to end in the order of a column and cut every ``size``; the last block can be shorter.
+
+    A row is sent as the slices that its blocks take of it, so a block gathers at most ``size`` ids, however short or long rows are.
+    """
+    counted = rows.select(order, F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n")).where("n > 0")
+    placed = running_offsets(counted, order, "n", "at")
+    first, past = f"greatest(0, b * {size} - at)", f"least(n, (b + 1) * {size} - at)"
+    slices = f"transform(sequence(at div {size}, (at + n - 1) div {size}), b -> struct(b as block, at + {first} as at, slice(ids, int({first}) + 1, int({past} - {first})) as ids))"
+    pieces = placed.select(F.inline(F.expr(slices)))
+    return pieces.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda r: r["ids"])).alias("ids"))
+
+
+def block_windows(stream: DataFrame, starts: DataFrame, length: int, size: int) -> DataFrame:
+    """``sample, start, x, y`` from :func:`blocks` and ``sample, start``: y is x moved on by one.
+
+    A window asks for the numbers of the blocks that it lies in, and of each only its own slice moves on.
+    """
+    wanted = starts.select("sample", "start", F.explode(F.expr(f"sequence(start div {size}, (start + {length}) div {size})")).alias("block"))
+    first = f"greatest(0, start - block * {size})"
+    own = F.expr(f"slice(ids, int({first}) + 1, int(least({size}, start + {length} + 1 - block * {size}) - {first}))")
+    found = wanted.join(stream, "block").select("sample", "start", F.struct("block", own.alias("ids")).alias("part"))
+    found = found.groupBy("sample", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda r: r["ids"])).alias("t"))
+    return found.select("sample", "start", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
+
+
 def random_starts(spark, samples: int, tokens: int, length: int, seed: int = 0) -> DataFrame:
     """``sample, start`` uniform on [0, tokens - length), with repeats; the same for a seed whatever the layout."""
     if tokens <= length:

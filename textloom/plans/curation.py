@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import pii, rules, text, url
 from textloom.operators import curation
-from textloom.session import materialize
+from textloom.session import materialize, new_dir
+from textloom.sources import archives
 from textloom.sources.html import plain_text, plain_text_sql
 from textloom.sources.tables import table
 
@@ -228,7 +229,20 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HTML_TEXT = f"SELECT page_id, {plain_text_sql('html')} AS text FROM pages"
 
+
+def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record of WET archives, and what the data source reads of them."""
+    folder = new_dir(spark, "archives")
+    id = F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))
+    archives.write_archives(table(spark, sf_dir, "pages").select(id.alias("id"), F.col("url").alias("uri"), F.col("html").alias("text")), folder)
+    back = archives.read_archives(spark, folder, columns=["type", "id", "uri", "length", "text"], split_bytes=1 << 20).where("type = 'conversion'")
+    return back.select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("page_id"), F.col("uri").alias("url"), "length", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ARCHIVE_RECORDS = "SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS length, md5(coalesce(html, '')) AS text_md5 FROM pages"
+
 QUERIES = {
+    "archive_records": (archive_records, ARCHIVE_RECORDS),
     "text_normalize_stats": (text_normalize_stats, TEXT_NORMALIZE_STATS),
     "gopher_rules": (gopher_rules, _gopher_sql(WORDS)),
     "gopher_rules_treebank": (gopher_rules_treebank, _gopher_sql(text.treebank_sql("text"))),

@@ -15,6 +15,8 @@ from textloom.sources.tables import table
 DIGITS, EPS = 6, 1e-5
 #: Rows of a sequence, attention heads, rows of a batch.
 LENGTH, HEADS, BATCH = 32, 4, 50
+#: Rows of the sequences that attention takes in blocks.
+LONG = 512
 E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, len(embedding) AS d FROM embeddings)"
 X = f"{E}, x AS (SELECT vec_id, unnest(range(0, d))::INT AS dim, unnest(v) AS x FROM e)"
 
@@ -224,6 +226,21 @@ d AS (SELECT *, bytes - coalesce(lag(bytes) OVER (PARTITION BY sharded, rank ORD
 SELECT sharded, "at", event, max(bytes) AS bytes, max(delta) AS delta FROM d GROUP BY ALL"""
 
 
+def block_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention within sequences of LONG rows, block by block with mergeable states."""
+    rows = _e(spark, sf_dir).select(F.expr(f"vec_id div {LONG}").alias("seq"), F.col("vec_id").alias("pos"), F.col("v").alias("q"), F.col("v").alias("k"), "v")
+    out = M.block_attention(rows, ["seq"])
+    return out.select(F.col("pos").alias("qid"), F.round("lse", DIGITS).alias("lse"), F.transform("out", lambda x: F.round(x, DIGITS)).alias("out"))
+
+
+BLOCK_ATTENTION = f"""
+WITH {E}, s AS (SELECT q.vec_id AS qid, k.v AS kv, list_dot_product(q.v, k.v) / sqrt(q.d) AS s FROM e q JOIN e k ON q.vec_id // {LONG} = k.vec_id // {LONG} AND k.vec_id <= q.vec_id),
+m AS (SELECT *, max(s) OVER (PARTITION BY qid) AS m FROM s),
+p AS (SELECT qid, m, exp(s - m) AS w, unnest(range(0, len(kv))) AS dim, unnest(kv) AS x FROM m),
+o AS (SELECT qid, dim, m + ln(sum(w)) AS lse, sum(w * x) / sum(w) AS o FROM p GROUP BY qid, dim, m)
+SELECT qid, round(any_value(lse), {DIGITS}) AS lse, list(round(o, {DIGITS}) ORDER BY dim) AS "out" FROM o GROUP BY qid"""
+
+
 def online_logsumexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _e(spark, sf_dir).select("vec_id", F.posexplode("v").alias("dim", "x"))
     return M.merged_logsumexp(rows, "vec_id", "x", F.expr("dim div 16")).select("vec_id", F.round("lse", DIGITS).alias("lse"))
@@ -468,6 +485,7 @@ QUERIES = {
     "flat_gradient_mean": (flat_gradient_mean, FLAT_GRADIENT_MEAN),
     "attention_peaks": (attention_peaks, ATTENTION_PEAKS),
     "memory_profile": (memory_profile, MEMORY_PROFILE),
+    "block_attention": (block_attention, BLOCK_ATTENTION),
     "online_logsumexp": (online_logsumexp, ONLINE),
     "cross_entropy_ppl": (cross_entropy_ppl, CROSS_ENTROPY),
     "top_p_filter": (top_p_filter, TOP_P),

@@ -11,6 +11,8 @@ from textloom.sources.tables import table
 
 MERGES, VOCAB, SEQUENCE = 6, 400, 512
 WINDOW, SAMPLES, STRIDE = 16, 64, 7919
+#: Ids of a block of a stored stream.
+BLOCK = 4096
 
 #: DuckDB's patterns can't look ahead, so the last white space before a word is set apart by a mark first.
 PRETOKENS = r"""
@@ -43,11 +45,35 @@ def bpe_first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merges_sql() -> str:
+    return f"WITH {WORDS}{_merged_sql(MERGES)} " + " UNION ALL ".join(f'SELECT {k}::BIGINT AS rank, l AS "left", r AS "right" FROM m{k}' for k in range(MERGES))
+
+
+def _merged_sql(merges: int) -> str:
+    """``m0, w1, m1, ...``: each merge, and the words after it."""
     out = ""
-    for k in range(MERGES):
-        out += f", m{k} AS ({_pairs(f'w{k}')} ORDER BY n DESC, l DESC, r DESC LIMIT 1)"
-        out += f", w{k + 1} AS (SELECT replace(word, '«' || l || '»«' || r || '»', '«' || l || r || '»') AS word, w{k}.n FROM w{k}, m{k})"
-    return f"WITH {WORDS}{out} " + " UNION ALL ".join(f'SELECT {k}::BIGINT AS rank, l AS "left", r AS "right" FROM m{k}' for k in range(MERGES))
+    for k in range(merges):
+        out += f", m{k} AS MATERIALIZED ({_pairs(f'w{k}')} ORDER BY n DESC, l DESC, r DESC LIMIT 1)"
+        out += f", w{k + 1} AS MATERIALIZED (SELECT w{k}.* REPLACE (replace(word, '«' || l || '»«' || r || '»', '«' || l || r || '»') AS word) FROM w{k}, m{k})"
+    return out
+
+
+#: Merges that a vocabulary of VOCAB tokens has beside the bytes and one special token.
+ALL_MERGES = VOCAB - 257
+
+
+def _encode_lengths_sql() -> str:
+    """Training and encoding in SQL: every pre-token with its merges applied, counted in every document."""
+    words = WORDS.replace("AS word, n FROM pc", "AS word, n, pretoken FROM pc")
+    return f"""WITH {words}{_merged_sql(ALL_MERGES)}, z AS (SELECT pretoken, len(word) - len(replace(word, '«', '')) AS k FROM w{ALL_MERGES}),
+t AS (SELECT doc_id, sum(k) AS k FROM (SELECT doc_id, unnest(p) AS pretoken FROM pt) JOIN z USING (pretoken) GROUP BY doc_id)
+SELECT doc_id, coalesce(k, 0)::BIGINT AS tokens FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+def _longest_sql() -> str:
+    made = " UNION ALL ".join(f"SELECT {257 + k}::BIGINT AS id, upper(l || r) AS token_hex FROM m{k}" for k in range(ALL_MERGES))
+    return f"""WITH {WORDS}{_merged_sql(ALL_MERGES)}, v AS (SELECT i::BIGINT AS id, printf('%02X', i) AS token_hex FROM range(0, 256) b(i)
+UNION ALL SELECT 256, hex(encode('<|endoftext|>')) UNION ALL {made})
+SELECT id, token_hex, (len(token_hex) // 2)::BIGINT AS bytes FROM v ORDER BY bytes DESC, id LIMIT 1"""
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bpe.Tokenizer]:
@@ -101,12 +127,10 @@ SELECT doc_id, tokens, "offset", "offset" // {SEQUENCE} AS first_seq, ("offset"
 def batch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over the stream of pre-token lengths (0 ends a document), from starts of a fixed rule."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(bpe.pretokens(F.col("text")), lambda p: F.length(p)).alias("t"))
-    docs = docs.select("doc_id", F.concat("t", F.array(F.lit(0))).alias("t")).withColumn("tokens", F.size("t").cast("long"))
-    stream = tokens.running_offsets(docs, "doc_id", "tokens").select("offset", F.posexplode("t").alias("k", "token"))
-    stream = materialize(stream.select((F.col("offset") + F.col("k")).alias("pos"), "token"), "stream")
-    n = stream.agg(F.max("pos") + 1).first()[0]
+    stream = materialize(tokens.blocks(docs.select("doc_id", F.concat("t", F.array(F.lit(0))).alias("ids")), BLOCK), "blocks")
+    n = stream.agg(F.sum(F.size("ids").cast("long"))).first()[0]
     starts = spark.range(SAMPLES).select(F.col("id").alias("sample"), (F.col("id") * STRIDE % (n - WINDOW)).alias("start"))
-    return tokens.windows(stream, starts, WINDOW).select("sample", "start", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
+    return tokens.block_windows(stream, starts, WINDOW, BLOCK).select("sample", "start", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
 BATCH_WINDOWS = f"""
@@ -130,9 +154,9 @@ QUERIES = {
     "pretoken_counts": (pretoken_counts, f"WITH {COUNTS} SELECT pretoken, n FROM pc"),
     "bpe_pair_counts": (bpe_pair_counts, f'WITH {WORDS} SELECT l AS "left", r AS "right", n FROM ({_pairs("w0")})'),
     "bpe_first_merges": (bpe_first_merges, _merges_sql()),
-    "bpe_encode_lengths": (bpe_encode_lengths, None),
+    "bpe_encode_lengths": (bpe_encode_lengths, _encode_lengths_sql()),
     "bpe_roundtrip": (bpe_roundtrip, "SELECT doc_id, true AS ok FROM documents"),
-    "bpe_longest_token": (bpe_longest_token, None),
+    "bpe_longest_token": (bpe_longest_token, _longest_sql()),
     "token_stats": (token_stats, TOKEN_STATS),
     "token_packing": (token_packing, TOKEN_PACKING),
     "batch_windows": (batch_windows, BATCH_WINDOWS),
