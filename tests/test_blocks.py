@@ -46,7 +46,12 @@ def test_merging_by_heap(word, rng):
     ids = {p: k for k, p in enumerate(rng.sample(parts, len(parts)))}
     pairs = [(x, y) for x in parts for y in parts if x + y in ids]
     rank = {p: ids[p[0] + p[1]] for p in rng.sample(pairs, rng.randint(0, len(pairs)))}
-    assert bpe.merge_word(list(word), rank) == plain_merge(list(word), rank)
+    want = plain_merge(list(word), rank)
+    assert bpe.merge_word(list(word), rank) == want
+    tokenizer = bpe.Tokenizer({k: p for p, k in ids.items()}, list(rank))
+    other = b"ab" * (len(word) % 4)
+    found = tokenizer._arrays.merged([b"".join(word), other, b"", b"".join(word[:7])])
+    assert [[tokenizer.vocab[i] for i in x] for x in found] == [want, plain_merge([bytes([b]) for b in other], rank), [], plain_merge(list(word[:7]), rank)]
 
 
 def test_long_words(spark):

@@ -36,17 +36,24 @@ def parse_suffixes(lines: Iterable[str]) -> dict[str, str]:
 
 def public_suffix_labels(h: Column, suffixes: Mapping[str, str]) -> Column:
     """How many labels of a host are its public suffix: of the rules that fit the longest, an exception first, else the last label."""
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    rules = {kind: F.array(*(F.lit(s) for s, k in suffixes.items() if k == kind)) if kind in suffixes.values() else F.array().cast("array<string>") for kind in ("plain", "wildcard", "exception")}
-    deepest = max((s.count(".") + 2 for s in suffixes), default=1)
-    tail = lambda k: F.substring_index(h, ".", -k)
+    n = F.size(F.split(h, r"\."))
+    by: dict[tuple[str, int], list[str]] = {}
+    for name, kind in suffixes.items():
+        by.setdefault((kind, name.count(".") + 1), []).append(name)
+    deepest = max((depth for _, depth in by), default=0) + 1
+
+    def listed(kind: str, depth: int) -> Column:
+        """Whether the last labels are a rule: each list is of one depth, so all of them are one look into a set for each label."""
+        names = by.get((kind, depth))
+        return F.substring_index(h, ".", -depth).isin(names) if names else F.lit(False)
+
     out = F.lit(1)
     for k in range(1, deepest + 1):
-        fits = (n >= k) & (F.array_contains(rules["plain"], tail(k)) | ((F.lit(k) > 1) & F.array_contains(rules["wildcard"], tail(max(k - 1, 1)))))
-        out = F.when(fits, F.lit(k)).otherwise(out)
+        if ("plain", k) in by or ("wildcard", k - 1) in by:
+            out = F.when((n >= k) & (listed("plain", k) | listed("wildcard", k - 1)), F.lit(k)).otherwise(out)
     for k in range(1, deepest + 1):
-        out = F.when((n >= k) & F.array_contains(rules["exception"], tail(k)), F.lit(k - 1)).otherwise(out)
+        if ("exception", k) in by:
+            out = F.when((n >= k) & listed("exception", k), F.lit(k - 1)).otherwise(out)
     return out
 
 

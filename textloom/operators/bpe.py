@@ -28,7 +28,7 @@ from textloom.sources.files import filesystem
 #: Fixed value: the public pattern of pre-tokens.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of distinct pre-tokens that the driver may hold for training; above, merges are Spark jobs over an index of pairs.
-DRIVER_BYTES = 4 << 20
+DRIVER_BYTES = 16 << 20
 
 
 def split_specials(text: Column, specials: Sequence[str]) -> Column:
@@ -210,52 +210,80 @@ def train_distributed(counts: DataFrame, merges: int, every: int = 8, look: int
     return out
 
 
-def train_local(counts: dict[bytes, int], merges: int) -> list[tuple[bytes, bytes]]:
-    """The same merges over a table of words in memory; only words with the merged pair are touched."""
-    words = [([bytes([b]) for b in w], n) for w, n in counts.items()]
-    totals: Counter[tuple[bytes, bytes]] = Counter()
-    where: defaultdict[tuple[bytes, bytes], set[int]] = defaultdict(set)
-    for k, (tokens, n) in enumerate(words):
-        for pair in zip(tokens, tokens[1:]):
-            totals[pair] += n
-            where[pair].add(k)
-    heap = [_Entry(n, pair) for pair, n in totals.items()]
-    heapify(heap)
+def train_local(counts: Mapping[bytes, int], merges: int) -> list[tuple[bytes, bytes]]:
+    """The same merges over a table of words in memory."""
+    words = list(counts)
+    return _train_arrays(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)), np.fromiter((counts[w] for w in words), np.int64, len(words)), merges)
+
+
+def _train_arrays(data: np.ndarray, lengths: np.ndarray, n: np.ndarray, merges: int) -> list[tuple[bytes, bytes]]:
+    """All words laid end to end as one array of tokens, with a mark between them. A merge is a scan; only the pairs beside its places are counted anew."""
+    token = np.full(len(data) + len(lengths), -1, np.int64)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    token[np.arange(len(data)) + word] = data
+    weight = np.repeat(n, lengths + 1)
+    known = [bytes([b]) for b in range(256)]
+    totals: dict[int, int] = {}
+    heap: list[_Entry] = []
+
+    def count(begins: np.ndarray, sign: int, changed: set[int]) -> None:
+        """Add the pairs that begin at some places."""
+        begins = begins[(begins >= 0) & (begins < len(token) - 1)]
+        begins = begins[(token[begins] >= 0) & (token[begins + 1] >= 0)]
+        codes, where = np.unique(token[begins] << 32 | token[begins + 1], return_inverse=True)
+        sums = np.zeros(len(codes), np.int64)
+        np.add.at(sums, where, weight[begins])
+        for code, total in zip(codes.tolist(), sums.tolist()):
+            totals[code] = totals.get(code, 0) + sign * total
+            changed.add(code)
+
+    def push(changed: set[int]) -> None:
+        for code in changed:
+            if totals[code] > 0:
+                heappush(heap, _Entry(totals[code], (known[code >> 32], known[code & 0xFFFFFFFF]), code))
+            else:
+                del totals[code]
+
+    changed: set[int] = set()
+    count(np.arange(len(token) - 1), 1, changed)
+    push(changed)
     out = []
     while heap and len(out) < merges:
         entry = heappop(heap)
-        best = entry.pair
-        if totals.get(best, 0) != entry.n:  # counted anew since
+        if totals.get(entry.code, 0) != entry.n:  # counted anew since
             continue
-        out.append(best)
+        out.append(entry.pair)
+        left, right = entry.code >> 32, entry.code & 0xFFFFFFFF
+        at = _apart(np.flatnonzero((token[:-1] == left) & (token[1:] == right)))
         changed = set()
-        for k in where.pop(best):
-            tokens, n = words[k]
-            for pair in zip(tokens, tokens[1:]):
-                totals[pair] -= n
-                changed.add(pair)
-            merged = merge_once(tokens, best)
-            for pair in zip(merged, merged[1:]):
-                totals[pair] += n
-                where[pair].add(k)
-                changed.add(pair)
-            words[k] = (merged, n)
-        changed.discard(best)
-        totals.pop(best, None)
-        for pair in changed:
-            if totals[pair] > 0:
-                heappush(heap, _Entry(totals[pair], pair))
-            else:
-                del totals[pair]
+        count(np.unique(np.concatenate([at - 1, at, at + 1])), -1, changed)
+        token[at] = len(known)
+        known.append(entry.pair[0] + entry.pair[1])
+        kept = np.ones(len(token), bool)
+        kept[at + 1] = False
+        token, weight = token[kept], weight[kept]
+        now = at - np.arange(len(at))
+        count(np.unique(np.concatenate([now - 1, now])), 1, changed)
+        push(changed)
     return out
 
 
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of sorted places of a pair those that merge from the left: in a run of neighbours every second one."""
+    if len(at) < 2:
+        return at
+    begins = np.concatenate([[True], np.diff(at) > 1])
+    first = at[begins][np.cumsum(begins) - 1]
+    return at[(at - first) % 2 == 0]
+
+
 @dataclass(slots=True)
 class _Entry:
     """A pair's count in the heap: the most frequent comes first, of equals the greatest."""
 
     n: int
     pair: tuple[bytes, bytes]
+    code: int = 0
 
     def __lt__(self, other: _Entry) -> bool:
         return (self.n, self.pair) > (other.n, other.pair)
@@ -273,6 +301,74 @@ def merge_once(tokens: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     return out
 
 
+#: Words of more characters are merged one by one (by a heap), shorter ones together; the ids are the same.
+LONG_WORD = 64
+
+
+class _WordArrays:
+    """Many words merged at once. In a round every word merges its pair of least rank, of equals the first, at all its places; a word without one is done."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        ids = tokenizer.ids
+        self.base = np.array([ids.get(bytes([b]), -1 - b) for b in range(256)], np.int64)  # a byte that isn't a token is an error only where it stays one
+        number = dict(ids) | {bytes([b]): int(self.base[b]) for b in range(256)}
+        missing: dict[bytes, int] = {}
+        for pair in tokenizer.rank:
+            for t in pair:
+                if t not in number and t not in missing:
+                    missing[t] = -1000 - len(missing)
+        number |= missing
+        pairs = sorted((self._code(np.int64(number[a]), np.int64(number[b])), r) for (a, b), r in tokenizer.rank.items())
+        self.codes = np.array([c for c, _ in pairs], np.int64)
+        self.ranks = np.array([r for _, r in pairs], np.int64)
+
+    @staticmethod
+    def _code(left, right):
+        return (left + (1 << 20)) << 32 | (right + (1 << 20))
+
+    def merged(self, words: Sequence[bytes]) -> list[list[int]]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        token = self.base[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), lengths)
+        done_tokens, done_words = [token[:0]], [word[:0]]
+        while len(token) > 1 and len(self.codes):
+            code = self._code(token[:-1], token[1:])
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = (self.codes[at] == code) & (word[1:] == word[:-1])
+            places = np.flatnonzero(known)
+            if not len(places):
+                break
+            rank, owner = self.ranks[at[places]], word[places]
+            begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            group = np.cumsum(np.concatenate([[False], owner[1:] != owner[:-1]]))
+            least = rank == np.minimum.reduceat(rank, begins)[group]
+            places, rank, group = places[least], rank[least], group[least]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            same = code[places] == code[places[first]][group]
+            places, rank = places[same], rank[same]
+            begins = np.concatenate([[True], np.diff(places) > 1])
+            odd = (places - places[begins][np.cumsum(begins) - 1]) % 2 == 1
+            places, rank = places[~odd], rank[~odd]
+            token[places] = rank
+            kept = np.ones(len(token), bool)
+            kept[places + 1] = False
+            going = np.zeros(len(words), bool)
+            going[owner] = True
+            active = going[word]
+            over = ~active
+            done_tokens.append(token[over])
+            done_words.append(word[over])
+            kept &= active
+            token, word = token[kept], word[kept]
+        tokens, owners = np.concatenate([*done_tokens, token]), np.concatenate([*done_words, word])
+        tokens = tokens[np.argsort(owners, kind="stable")]
+        if len(tokens) and tokens.min() < 0:
+            raise KeyError("a text has a byte that the vocabulary has no token for")
+        ends = np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
+        flat = tokens.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def merge_word(tokens: list[bytes], rank: Mapping[tuple[bytes, bytes], int]) -> list[bytes]:
     """Merge the pair of least rank, of equals the first, at all its places from the left, until no pair has a rank.
 
@@ -322,8 +418,10 @@ def train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = ()) -> T
     counts = counts.where(~F.col("pretoken").isin(*specials)) if specials else counts
     merges = max(0, vocab_size - 256 - len(specials))
     counts = materialize(counts, "pretokens")
-    if (counts.agg(F.sum(F.octet_length("pretoken") + 16)).first()[0] or 0) <= DRIVER_BYTES:
-        found = train_local({r["pretoken"].encode(): r["n"] for r in counts.collect()}, merges)
+    if (counts.agg(F.sum(F.octet_length("pretoken") + 1)).first()[0] or 0) <= DRIVER_BYTES:
+        rows = counts.select(F.col("pretoken").cast("binary").alias("word"), F.octet_length("pretoken").alias("length"), "n").toArrow()
+        data = np.frombuffer(b"".join(rows.column("word").to_pylist()), np.uint8)
+        found = _train_arrays(data, rows.column("length").to_numpy().astype(np.int64), rows.column("n").to_numpy(), merges)
     else:
         found = train_distributed(counts, merges)
     discard(counts)
@@ -361,9 +459,19 @@ class Tokenizer:
                 self._memo[word] = found
         return found
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a pre-token, or the one of a special token."""
-        return [self.ids[word.encode()]] if word in self.specials else self._word(word)
+    def words_ids(self, words: Sequence[str]) -> list[Sequence[int]]:
+        """Ids of distinct pre-tokens, and of special tokens: what isn't remembered is merged all at once, but for long words."""
+        out: list[Sequence[int] | None] = [self._memo.get(w) for w in words]
+        new = [k for k, ids in enumerate(out) if ids is None and len(words[k]) <= LONG_WORD and words[k] not in self.specials]
+        for k, ids in zip(new, self._arrays.merged([words[k].encode() for k in new])):
+            out[k] = ids
+            if len(self._memo) < 500_000:
+                self._memo[words[k]] = ids
+        return [([self.ids[w.encode()]] if w in self.specials else self._word(w)) if ids is None else ids for w, ids in zip(words, out)]
+
+    @functools.cached_property
+    def _arrays(self) -> _WordArrays:
+        return _WordArrays(self)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -415,7 +523,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str =
         for batch in batches:
             lists = batch.column(words)
             coded = lists.flatten().dictionary_encode()
-            known = [own.word_ids(w) for w in coded.dictionary.to_pylist()]
+            known = own.words_ids(coded.dictionary.to_pylist())
             ids = laid_out(coded.indices.to_numpy(zero_copy_only=False), known, lists.value_lengths().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], out])
 

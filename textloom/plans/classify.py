@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import classify
+from textloom.operators import classify, linear
 from textloom.sources.tables import table
 
 #: Documents with this remainder by five are held out.
 HELD_OUT = 0
 
 
-def _evaluation(label: str, source: str):
+def _evaluation(label: str, source: str, by=classify):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         labels = table(spark, sf_dir, source).select("doc_id", F.col(label).cast("string").alias("label"))
         held = F.col("doc_id") % 5 == HELD_OUT
-        model = classify.train(docs, labels.where(~held))
+        model = by.train(docs, labels.where(~held))
         known = labels.where(held)
-        return classify.confusion(classify.classify(docs.join(known.select("doc_id"), "doc_id", "left_semi"), model), known)
+        return classify.confusion(by.classify(docs.join(known.select("doc_id"), "doc_id", "left_semi"), model), known)
 
     return query
 
@@ -44,4 +44,7 @@ QUERIES = {
     "lang_classifier_eval": (_evaluation("lang", "documents"), _sql("lang", "documents")),
     "quality_classifier_eval": (_evaluation("quality", "labels"), _sql("quality", "labels")),
     "toxic_classifier_eval": (_evaluation("toxic", "labels"), _sql("toxic", "labels")),
+    "lang_ngram_model_eval": (_evaluation("lang", "documents", linear), None),
+    "quality_ngram_model_eval": (_evaluation("quality", "labels", linear), None),
+    "toxic_ngram_model_eval": (_evaluation("toxic", "labels", linear), None),
 }
