@@ -16,7 +16,7 @@ whatever their names (``host``, ``score``, ``_id`` and the like); the last retur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import mixing, ngram_join, packing, quality_rules, queries, toxicity
@@ -27,16 +27,21 @@ from textloom.sources.tables import table
 NEAR = ngram_join.JoinSpec(n=5, num=80, den=100)
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
     name = unused(docs, "score")
-    return toxicity.score(docs, model, keep_text=True, name=name).where(F.col(name) < 0.5).select(docs.columns)
+    return toxicity.score(docs, model, keep_text=True, name=name).where(F.col(name) < 0.5).select(columns(docs))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The figures are computed once: the rules' results are written beside the rows, then counted and filtered."""
     failed, host = unused(docs, "failed"), unused(docs, "host")
-    judged = quality_rules.with_figures(docs.select("source", "text", F.struct(*docs.columns).alias(unused(docs, "row"))))
+    judged = quality_rules.with_figures(docs.select("source", "text", F.struct(*columns(docs)).alias(unused(docs, "row"))))
     judged = materialize(judged.select(F.col(unused(docs, "row")), "source", "base_failed", "symbols_failed"), "judged")
     hosts = materialize(quality_rules.host_counts(judged), "hosts")
     rejected = quality_rules.host_verdicts(hosts, quality_rules.fit_prior(hosts)).where("host_rejected").select(F.col("host").alias(host))
@@ -49,7 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = unused(docs, "id")
     kept = found.where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
     once = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").unionByName(docs.where("doc_id is null"))
-    return once.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return once.dropDuplicates(["doc_id", "text"]).select(columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     some = taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     some = some.select(key, F.expr("if(size = 0, 1, cast(round(taken / size) as int))").alias(times)).where(F.col(times) > 0)
     out = docs.join(some, F.col("doc_id").eqNullSafe(F.col(key)))
-    return out.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
+    return out.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
