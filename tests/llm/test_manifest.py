@@ -284,3 +284,31 @@ def test_merged_moments():
     large = np.full((3, 1), 2**62, np.int64)
     assert whitening.Moments.of(large).total == [3 * 2**62]
     assert [int(v.as_py()) for v in whitening.deviations(np.array([[5, -3]]), 10**12, [7, 11])] == [(5 * 10**12 - 7) ** 2 + (-3 * 10**12 - 11) ** 2]
+
+
+def test_media_with_names_in_other_cases(spark):
+    """Names count as Spark compares them: a clashing one is replaced, whatever its case."""
+    from textloom.llm import png_media
+
+    df = spark.createDataFrame([(1, b"abc", "x", "y", "z")], "doc_id long, payload binary, N_Bytes string, MEDIA string, Feature string")
+    stored = png_media.store(df, "payload")
+    assert stored.columns == ["doc_id", "Feature", "n_bytes", "media"]
+    found = png_media.read(stored)
+    assert found.columns == ["doc_id", "n_bytes", *png_media.FEATURES.names] and found.first()["n_bytes"] == 3
+
+
+def test_mixing_of_long_texts_and_clashing_names(spark, monkeypatch):
+    """A text far longer than a block is cut by blocks; columns named like the operator's own change nothing; sums in two levels are those in one."""
+    from textloom.llm import mixing
+
+    rows = [(k, "w " * (30_000 if k == 5 else k % 7), "ab"[k % 2]) for k in range(120)]
+    plain = sorted(map(tuple, mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], "doc_id long, text string, source string, size long, src long, at long, share long, slot long, over long")
+    monkeypatch.setattr(mixing, "OVER_BITS", 1)
+    assert plain == sorted(map(tuple, mixing.taken(clash).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    by = {}
+    for _, size, whole, target, taken in plain:
+        assert taken <= 2 * size
+        by.setdefault((whole, target), []).append(taken)
+    for (_, target), taken in by.items():
+        assert sum(taken) == pytest.approx(target, rel=0.02)

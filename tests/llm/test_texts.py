@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from parity import plain
+from pyspark.sql import functions as F
 from textloom.llm import quality_rules, queries, toxicity, url_filter, wordhash, wrappers
 from textloom.llm.sampling import bounded
 
@@ -589,3 +590,87 @@ def test_url_model_on_hosts_of_no_table(spark):
     said = [(y, sum(model.weights.get(b, 0) for b in url_filter.buckets(u)) > 0) for (_, u, y), f in zip(data, fold) if not f]
     assert sum(v for y, v in said if y) / sum(1 for y, _ in said if y) > 0.9
     assert sum(v for y, v in said if not y) / sum(1 for y, _ in said if not y) < 0.05
+
+
+def comment_pages(n, part):
+    """Pages of one host that differ in their words and ids."""
+    out = []
+    for k in range(n):
+        own = " ".join(f"w{k}x{j}" for j in range(30))
+        out.append(
+            f'<html><body><div class="top"><ul><li><a href="/">Home</a></li></ul></div><div id="post-{k}" class="post post-{k} hentry"><h1 id="title-{k}">Title {k}</h1><p>{own}</p><p>More {own}</p>'
+            f"{part.format(k=k)}<p>End {own}</p></div></body></html>"
+        )
+    return out
+
+
+def comment_article(k):
+    own = " ".join(f"w{k}x{j}" for j in range(30))
+    return f"Title {k}\n{own}\nMore {own}\nEnd {own}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="comment">I agree with page {k}</div>',
+        '<ol><li id="comment-{k}5" class="comment even">I agree with page {k}</li></ol>',
+        '<div class="user-comment">I agree with page {k}</div>',
+        '<div class="cookie-notice">We keep cookies on {k}</div>',
+        '<div class="ad-box">Buy {k} now</div>',
+        '<section id="comments-2"><p>I agree with page {k}</p></section>',
+    ],
+)
+def test_comments_notices_and_adverts_go(part):
+    """In an article, in a core of plain parts, with the host's wrapper and without."""
+    pages = comment_pages(12, part)
+    wrapper = wrappers.pack(wrappers.infer(pages))
+    for k, page in enumerate(pages):
+        assert wrappers.extract(page, wrapper) == wrappers.extract(page) == comment_article(k)
+    articles = [p.replace("<div id=", "<article id=").replace("</div></body>", "</article></body>") for p in pages]
+    wrapper = wrappers.pack(wrappers.infer(articles))
+    for k, page in enumerate(articles):
+        assert wrappers.extract(page, wrapper) == wrappers.extract(page) == comment_article(k)
+
+
+def test_ids_that_name_what_a_part_is_about_stay():
+    page = '<article><h1>T</h1><section id="comments-on-the-theory-of-light"><p>Light</p></section><h2 id="notice">Notice</h2><div id="notice-of-change"><p>Change</p></div></article>'
+    assert wrappers.extract(page) == "T\nLight\nNotice\nChange"
+
+
+def test_wrapper_of_many_pages_stays_small():
+    """Numbers in ids and classes don't make a host's wrapper grow with its pages."""
+    import time
+
+    sizes, times = [], []
+    for n in (50, 2000):
+        pages = comment_pages(n, '<h2 id="part-of-page-{k}">Part</h2><ol><li id="comment-{k}1" class="comment c{k}">a</li><li id="comment-{k}2" class="comment c{k}b">b</li></ol>')
+        began = time.time()
+        sizes.append(len(wrappers.skeleton(wrappers.infer(pages).root)))
+        times.append(time.time() - began)
+    assert sizes[0] == sizes[1] < 10_000 and times[1] < 120 * max(times[0], 0.05)
+
+
+def test_stages_take_any_names(spark, sf):
+    """Columns with dots, spaces and names of the stages' own go through all stages but the last."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({"meta.url": F.lit("u"), "a b": F.lit(1), "host": F.lit("h"), "score": F.lit(2)})
+    for k in range(4):
+        out = corpus_pipeline.STAGES[k][1](spark, docs, sf)
+        assert out.columns == docs.columns and out.where("`meta.url` = 'u' and `a b` = 1 and host = 'h' and score = 2").count() == out.count() > 0
+
+
+def test_pipeline_as_dealt(spark, sf):
+    """The last three stages from the second one's rows, the near duplicates by the stage's own 5 words and 0.8, against plain versions."""
+    from test_pairs import brute_components
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    two = corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, sf), sf).persist()
+    three = corpus_pipeline.STAGES[2][1](spark, two, sf).persist()
+    labels = brute_components([(r["doc_id"], r["text"]) for r in two.collect()], n=5, num=80)
+    assert rows(three.select("doc_id")) == rows(two.select("doc_id").where(F.col("doc_id").isin([d for d, (_, c) in labels.items() if c == d])))
+    four = corpus_pipeline.STAGES[3][1](spark, three, sf).persist()
+    sizes = {r["doc_id"]: len(r["text"].split()) for r in three.collect()}
+    times = four.groupBy("doc_id").count().collect()
+    assert four.columns == docs.columns and max(r["count"] for r in times) <= 2
+    assert sum(sizes[r["doc_id"]] * r["count"] for r in times) == pytest.approx(1.5 * sum(sizes.values()), rel=0.1)
+    five = corpus_pipeline.STAGES[4][1](spark, four, sf)
+    assert five.select("doc_id").distinct().count() == len(times)

@@ -9,7 +9,7 @@ block of the source's shuffled line: its documents in the order of a hash, laid
 and repeated as often as a target may need.
 
 Scale: ranks and line offsets are counts per share (a range of slots, of hashes or of sources) plus the
-sums of the shares before, so no source is one task's load, however large, and there may be any number of them. The
+sums of the shares before, in two levels, so no source is one task's load, however large, and there may be any number of them. The
 targets' level is found by sums over the sources, whose totals alone reach the driver. Targets are laid on the
 schedule's ring as whole numbers, so sums don't depend on the layout.
 
@@ -33,6 +33,8 @@ BUDGET, MAX_REPEAT = 1.5, 2
 LEAST_SLOTS, MAX_BLOCK = 1 << 16, 4096
 RING, GOLDEN = 1 << 31, 1327217885
 SLOT_BITS, ROWS_PER_SHARE = 12, 128
+#: Neighbouring shares that are summed together (as a power of two).
+OVER_BITS = 12
 #: Targets count in such parts of a word on the ring.
 UNITS = 1024
 
@@ -71,11 +73,21 @@ def block_words(total: float) -> int:
 
 
 def _before(rows: DataFrame, key: list[str], share: Column, value: Column, order: list) -> DataFrame:
-    """Add ``before``, the sum of ``value`` over the rows before in ``order`` (which the shares follow), by ``key``."""
+    """Add ``before``, the sum of ``value`` over the rows before in ``order`` (which the shares follow), by ``key``.
+
+    Sums are taken of shares, and of OVER_BITS' worth of neighbouring shares, so a window holds the rows of a share, the shares of a neighbourhood, or the
+    neighbourhoods of a key: none grows as fast as the rows.
+    """
+
+    def upto(sums: DataFrame, within: list[str], at: str, name: str) -> DataFrame:
+        before = F.sum("all").over(Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+        return sums.withColumn(name, F.coalesce(before, F.lit(0)))
+
     rows = rows.withColumn("share", share).withColumn("value", value)
-    sums = rows.groupBy(*key, "share").agg(F.sum("value").alias("all"))
-    upto = F.sum("all").over(Window.partitionBy(*key).orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*key, "share", F.coalesce(upto, F.lit(0)).alias("upto"))
+    sums = rows.groupBy(*key, "share").agg(F.sum("value").alias("all")).withColumn("over", F.shiftright(F.col("share").cast("long"), OVER_BITS))
+    overs = upto(sums.groupBy(*key, "over").agg(F.sum("all").alias("all")), key, "over", "overs").drop("all")
+    sums = upto(sums, [*key, "over"], "share", "shares").join(overs, [*key, "over"])
+    sums = sums.select(*key, "share", (F.col("shares") + F.col("overs")).alias("upto"))
     own = F.sum("value").over(Window.partitionBy(*key, "share").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).join(sums, [*key, "share"])
     return rows.withColumn("before", F.col("own") + F.col("upto")).drop("own", "upto", "value", "share")

@@ -181,7 +181,8 @@ FEATURES = T.StructType(
 
 
 def _with(batch: pa.RecordBatch, drop: str, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n != drop and n not in columns]
+    gone = {drop.lower(), *map(str.lower, columns)}  # as Spark compares names
+    keep = [n for n in batch.schema.names if n.lower() not in gone]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns.values()], names=[*keep, *columns])
 
 
@@ -195,7 +196,8 @@ def store(rows: DataFrame, payload: str, how: str = "adaptive") -> DataFrame:
             media = [encode(pad(x), how) for x in data]
             yield _with(batch, payload, {"n_bytes": pa.array([len(x) for x in data], pa.int64()), "media": pa.array(media, pa.binary())})
 
-    keep = [f for f in rows.schema if f.name != payload and f.name not in STORED.names]
+    gone = {payload.lower(), *STORED.names}
+    keep = [f for f in rows.schema if f.name.lower() not in gone]
     return rows.mapInArrow(lean(run), T.StructType(keep + list(STORED)))
 
 
@@ -214,6 +216,7 @@ def read(stored: DataFrame, media: str = "media") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield _with(batch, media, {n: pa.array(v, k) for n, v, k in zip(FEATURES.names, found, kinds, strict=True)})
 
-    keep = [f for f in stored.schema if f.name != media and f.name not in FEATURES.names]
+    gone = {media.lower(), *FEATURES.names}
+    keep = [f for f in stored.schema if f.name.lower() not in gone]
     return stored.mapInArrow(lean(run), T.StructType(keep + list(FEATURES)))
 

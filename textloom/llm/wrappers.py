@@ -98,6 +98,8 @@ CLEAR_IDS = frozenset("comments respond disqus_thread".split())
 #: Readers' comments, and adverts by their whole class, are never main text; elements that can hold one.
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
 ADVERT_CLASSES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored".split())
+#: A class one of whose ends is such a word names an advert or a notice, inside an article too.
+PART_WORDS = ADVERT_CLASSES | frozenset("sponsor promo promotion promotions cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal".split())
 HOLDERS = frozenset("#root html body div section main article center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLE_TAGS, ARTICLE_WORDS = frozenset(("article", "main")), frozenset("articlebody".split())
@@ -107,6 +109,12 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _ends(token: str) -> set[str]:
+    """The first and the last word of a class or id, numbers aside."""
+    words = [w for w in _WORDS.findall(token) if not w.isdigit()]
+    return {words[0], words[-1]} if words else set()
+
+
 @dataclass(slots=True)
 class Node:
     """An element (``tag`` and its words) with its children, or a text (tag ``#``) with the share of it in links."""
@@ -159,10 +167,16 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
     plain = name in ("html", "body") or article
     sure = not plain and (name in DROP_TAGS or role in DROP_ROLES) or hidden
     drop = sure or not plain and not DROP_WORDS.isdisjoint(words)
-    named = not CLEAR_CLASSES.isdisjoint(found.get("class", "").lower().split()) or found.get("id", "").strip().lower() in CLEAR_IDS
+    classes, ident = found.get("class", "").lower().split(), found.get("id", "").strip().lower()
+    ends = set().union(*map(_ends, classes))
+    # an id is short where it numbers or places comments, and longer where it names what a part is about
+    commented = not COMMENT_WORDS.isdisjoint(ends) or not COMMENT_WORDS.isdisjoint(_ends(ident)) and sum(not w.isdigit() for w in _WORDS.findall(ident)) <= 2
+    named = commented or not CLEAR_CLASSES.isdisjoint(classes) or not PART_WORDS.isdisjoint(ends) or ident in CLEAR_IDS
     unclear = drop and not sure and (not named or name in HEADINGS)
-    barred = sure or drop and not unclear and not (COMMENT_WORDS.isdisjoint(words) and ADVERT_CLASSES.isdisjoint(found.get("class", "").lower().split()))
-    return ".".join([name, *sorted(set(words))]), drop, unclear, barred, article
+    barred = sure or drop and not unclear and not (COMMENT_WORDS.isdisjoint(words) and ADVERT_CLASSES.isdisjoint(ends))
+    # words with digits tell pages and comments apart, and so do the ids of headings: they would never align
+    shown = words if name not in HEADINGS else _WORDS.findall(found.get("class", "").lower())
+    return ".".join([name, *sorted({w for w in shown if w.isalpha()})]), drop, unclear, barred, article
 
 
 def parse(page: str) -> Node:
