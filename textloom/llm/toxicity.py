@@ -155,24 +155,26 @@ def train(rows: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
-    """Add the score, 0 to 1, as column ``name``; the text goes unless it is to be kept, the other columns pass through."""
+    """Add the score, 0 to 1, as column ``name``; the text goes unless it is to be kept, the other columns pass through, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     gone = {name.lower()} if keep_text else {name.lower(), text.lower()}
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() != name.lower()}
+    place = [c.lower() for c in quoted].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = shared.value.dense()
         for batch in batches:
             scores = [np.zeros(0)]
-            for group in words_of(batch.column(text), separators=letters):
+            for group in words_of(batch.column("row").field(place), separators=letters):
                 doc, bucket = occurrences(group)
                 known = dense[bucket] != 0  # few, so that only they need sorting
                 doc, bucket = distinct(doc[known], bucket[known])
                 total = np.bincount(doc, weights=dense[bucket], minlength=group.last - group.first) + shared.value.intercept
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            keep = [n for n in batch.schema.names if n.lower() not in gone]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(scores))], names=["row", "score"])
 
-    keep = [f for f in docs.schema if f.name.lower() not in gone]
-    return docs.mapInArrow(lean(run), T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+    rows = docs.select(F.struct(*(F.col(q) for q in quoted.values())).alias("row"))
+    scored = rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select(*(F.col(f"row.{q}").alias(c) for c, q in quoted.items() if c.lower() not in gone), F.col("score").alias(name))
