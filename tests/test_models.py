@@ -104,3 +104,28 @@ def test_a_list_of_ten_thousand_suffixes(spark):
     df = spark.createDataFrame([(h, f"http://{h}/x") for h in hosts], "host string, url string")
     found = df.select("host", url.registered_domain(F.col("url"), rules).alias("domain")).collect()
     assert [r["domain"] for r in found] == [plain_domain(h, rules) for h in hosts]
+
+
+def test_links_join_what_all_pairs_join(spark):
+    """Mosaics of shared passages, groups of near copies and chains: clusters by links are those by all pairs."""
+    from textloom.operators import dedup
+    from textloom.operators.components import components
+
+    rng = random.Random(11)
+    passages = [[f"p{k}w{j}" for j in range(25)] for k in range(6)]
+    rows = []
+    for g in range(8):
+        base = sum(rng.sample(passages, 3), []) + [f"g{g}w{j}" for j in range(20)]
+        for _ in range(rng.randint(1, 25)):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = dedup.gram_rows(df, 5)
+    pairs = dedup.jaccard_pairs(grams)
+    links = dedup.jaccard_links(grams)
+    assert {tuple(r) for r in links.select("l", "r").collect()} <= {tuple(r) for r in pairs.select("l", "r").collect()}
+    found = [{r["node"]: r["label"] for r in components(x.select(F.col("l").alias("a"), F.col("r").alias("b"))).collect()} for x in (pairs, links)]
+    assert found[0] == found[1] and len(set(found[0].values())) > 3
+    assert links.count() < pairs.count()

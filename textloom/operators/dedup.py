@@ -74,12 +74,11 @@ def gram_rows(docs: DataFrame, n: int = 5) -> DataFrame:
     return tokens.select("doc_id", F.explode(text.ngrams(F.col("t"), n)).alias("gram"))
 
 
-def jaccard_pairs(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """Pairs ``l < r`` with ``inter`` and ``uni`` whose Jaccard similarity is num/den or more.
+def _heads(grams: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, gram`` of the prefixes, one n-gram of which any partner must share, and ``doc_id, n, g``, the n-grams that others have too.
 
-    An inverted index restricted to prefixes: of a set of n grams ordered by rarity, any
-    partner must share one of the first n - ceil(n * num / den) + 1. Only pairs that meet there
-    are counted in full. Sets that are equal meet as well, by the same rule. N-grams travel as 64-bit hashes.
+    Of a set of n grams ordered by rarity, any partner with a similarity of num/den must share one of the first
+    n - ceil(n * num / den) + 1. N-grams travel as 64-bit hashes.
     """
     grams = materialize(grams.select("doc_id", F.xxhash64("gram").alias("gram")), "grams")
     sized = grams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -90,15 +89,42 @@ def jaccard_pairs(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     own = F.col("n") - F.size("g")
     head = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     heads = ranked.select("doc_id", "n", F.explode(F.slice("g", F.lit(1), F.greatest(head - own, F.lit(0)).cast("int"))).alias("h")).select("doc_id", "n", "h.gram")
-    left = heads.select(F.col("doc_id").alias("l"), F.col("n").alias("nl"), "gram")
-    right = heads.select(F.col("doc_id").alias("r"), F.col("n").alias("nr"), "gram")
-    met = left.join(right, "gram").where(f"l < r and {den} * least(nl, nr) >= {num} * greatest(nl, nr)").select("l", "r", "nl", "nr").distinct()
-    sets = ranked.select("doc_id", F.transform("g", lambda x: x["gram"]).alias("g"))
-    both = met.join(sets.select(F.col("doc_id").alias("l"), F.col("g").alias("gl")), "l").join(sets.select(F.col("doc_id").alias("r"), F.col("g").alias("gr")), "r")
+    return heads, ranked.select("doc_id", "n", F.transform("g", lambda x: x["gram"]).alias("g"))
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``l, r, inter, uni`` of the pairs whose similarity is num/den or more, by sets with their sizes."""
+    one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("g").alias(f"g{side}"))
+    both = pairs.join(one("l"), "l").join(one("r"), "r").where(f"{den} * least(nl, nr) >= {num} * greatest(nl, nr)")
     counted = both.withColumn("inter", F.size(F.array_intersect("gl", "gr")).cast("long")).withColumn("uni", F.col("nl") + F.col("nr") - F.col("inter"))
     return counted.where(f"{den} * inter >= {num} * uni").select("l", "r", "inter", "uni")
 
 
+def jaccard_pairs(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """All pairs ``l < r`` with ``inter`` and ``uni`` whose Jaccard similarity is num/den or more: a report, as large as the groups' squares.
+
+    An inverted index restricted to prefixes: only pairs that meet there are counted in full. Sets that are equal meet as well, by the same rule.
+    Clusters need no pairs but links, see :func:`jaccard_links`.
+    """
+    heads, sets = _heads(grams, num, den)
+    left = heads.select(F.col("doc_id").alias("l"), F.col("n").alias("nl"), "gram")
+    right = heads.select(F.col("doc_id").alias("r"), F.col("n").alias("nr"), "gram")
+    met = left.join(right, "gram").where(f"l < r and {den} * least(nl, nr) >= {num} * greatest(nl, nr)").select("l", "r").distinct()
+    return _counted(met, sets, num, den)
+
+
+def jaccard_links(grams: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """Links ``l, r`` of a similarity of num/den or more that join all that all such pairs would join.
+
+    The documents that share an n-gram of their prefixes are a bucket of :func:`bucket_links`: centres are compared with members of other
+    components, so a group of near copies costs one comparison a member and an n-gram's group is never paired with itself.
+    """
+    heads, sets = _heads(grams, num, den)
+    sets = materialize(sets, "sets")
+    keys = materialize(heads.select(F.lit(0).alias("band"), F.col("gram").alias("key"), "doc_id"), "keys")
+    return bucket_links(keys, lambda pairs: _counted(pairs, sets, num, den))
+
+
 def set_classes(grams: DataFrame) -> DataFrame:
     """``doc_id, rep``: the least document with the same n-grams (by number, sum and exclusive or of two hashes)."""
     h = F.xxhash64("gram")

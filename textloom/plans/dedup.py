@@ -105,7 +105,7 @@ SELECT l, r, false AS copy FROM cp JOIN rp a ON a.doc_id = l AND a.rep = l JOIN
 UNION ALL SELECT rep, doc_id, true FROM rp WHERE rep < doc_id"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, pairs_of=dedup.jaccard_pairs) -> tuple[DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, sf_dir: str, pairs_of=dedup.jaccard_links) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     grams = materialize(_grams(spark, sf_dir), "grams")
     links = dedup.duplicate_links(grams, pairs_of).unionByName(dedup.empty_pairs(docs, grams))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import ship
+from textloom.sources import encodings
 
 
 def records(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
@@ -82,20 +83,22 @@ def write_filtered(rows: DataFrame, folder: str, file: str = "file", text: str =
 
 
 def decode_html(data: bytes | None) -> str:
-    """UTF-8, else the encoding that a byte order mark or a meta tag names, else UTF-8 with replacements."""
+    """UTF-8, else the encoding that a byte order mark or a meta tag names, else the likeliest by its characters; what can't be decoded becomes replacements."""
     import re
 
     if not data:
         return ""
     try:
-        return data.decode("utf-8")
+        if b"\0" not in data:
+            return data.decode("utf-8")
     except UnicodeDecodeError:
-        named = re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", data[:4096])
-        guess = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else named[1].decode() if named else "utf-8"
-        try:
-            return data.decode(guess, "replace")
-        except LookupError:
-            return data.decode("utf-8", "replace")
+        pass
+    named = re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", data[:4096])
+    guess = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else named[1].decode() if named else encodings.detect(data)
+    try:
+        return data.decode(guess, "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
 
 
 def decoded_html(data: Column) -> Column:
