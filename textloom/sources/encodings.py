@@ -72,6 +72,8 @@ def _value(char: str, before: str, after: str, encoding: str) -> float:
         return 0.9 if _usual(char, encoding) else -0.6
     if kind == "w":
         return -0.8
+    if left in "lLaA" and right in "lLaA" and char not in "’·":
+        return -2.0
     return 0.1 if 0x2010 <= ord(char) < 0x2027 or 0x3000 <= ord(char) < 0x3020 or 0xFF00 <= ord(char) < 0xFF61 or char in "«»§°·¡¿" else -0.5
 
 
