@@ -129,3 +129,37 @@ def test_links_join_what_all_pairs_join(spark):
     found = [{r["node"]: r["label"] for r in components(x.select(F.col("l").alias("a"), F.col("r").alias("b"))).collect()} for x in (pairs, links)]
     assert found[0] == found[1] and len(set(found[0].values())) > 3
     assert links.count() < pairs.count()
+
+
+def test_line_removal_over_files_in_blocks(spark, tmp_path):
+    """Files of several blocks, of all three terminators, compressed, empty, and with and without a last one: the lines in their order."""
+    import gzip
+    from collections import Counter
+
+    from textloom.operators import dedup
+
+    rng = random.Random(5)
+    texts = {}
+    for k in range(4):
+        lines = [rng.choice([f"line {rng.randrange(40)}", f"own {k} {j}", "", f"é {rng.randrange(300)}"]) for j in range(400)]
+        texts[f"f{k}.txt"] = "\n".join(lines) + ("\n" if k % 2 else "")
+    texts |= {"crlf.txt": "a\r\nb\rown c\r\n", "z.txt.gz": "b\nlast", "empty.txt": "", "y.txt": "a\nlast\n", "x.txt": "own c"}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        data = text.encode()
+        (tmp_path / "in" / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+    cut = {name: [x + "\n" for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")] for name, text in texts.items()}
+    for name, lines in cut.items():
+        lines[-1] = lines[-1][:-1]
+        if not lines[-1]:
+            lines.pop()
+    counts = Counter(x for lines in cut.values() for x in lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = dedup.dedup_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, lines in cut.items():
+        assert (tmp_path / "out" / name).read_bytes().decode() == "".join(x for x in lines if counts[x] == 1), name
+    assert {r["file"]: r["lines"] for r in rows.collect()} == {name: sum(counts[x] == 1 for x in lines) for name, lines in cut.items()}

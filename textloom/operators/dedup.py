@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text
 from textloom.operators.components import components
 from textloom.session import lean, materialize, ship
-from textloom.sources.files import make_dir, write_bytes
+from textloom.sources.files import filesystem, make_dir
 
 
 def exploded_lines(docs: DataFrame) -> DataFrame:
@@ -44,27 +44,58 @@ def dedup_files(spark: SparkSession, paths: str | Sequence[str], folder: str) ->
 
     Lines count with their terminators (any of the three becomes a line feed), so a last line without one differs from the same
     line with one. Of inputs with one base name the last path's output stays. Returns ``file, lines``, the lines that each output has.
+
+    Files are read in blocks, as many tasks as they have, and a line's place is its block's offset and its row there. Lines come to the
+    writer of their file sorted and stream into it, so nothing holds a file.
     """
     ship(spark)
     make_dir(folder)
-    files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    name = F.substring_index("file", "/", -1)
-    text_ = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    lines = files.select("file", F.posexplode(F.regexp_extract_all(text_, F.lit("([^\n]*\n|[^\n]+$)"), F.lit(1))).alias("line_no", "line"))
-    lines = lines.withColumn("hash", text.digest(F.col("line")))
+    read = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    lines = read.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    lines = materialize(lines, "lines")
+    ends = F.udf(_ends_line, "boolean")  # once a file
+    files = spark.createDataFrame([(f,) for f in sorted(read.inputFiles())], "file string")
+    last = lines.groupBy("file").agg(F.max(F.struct("block", "row")).alias("at"))
+    open_end = last.where(~ends("file")).select("file", "at.block", "at.row", F.lit(True).alias("open"))
+    whole = F.when(F.col("open"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    lines = lines.join(open_end, ["file", "block", "row"], "left").select("file", "block", "row", whole.alias("line")).withColumn("hash", text.digest(F.col("line")))
     once = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("hash")
-    kept = lines.join(once, "hash", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
-    last = files.select("file").groupBy(name.alias("name")).agg(F.max("file").alias("file"))
-    out = last.join(kept, "file", "left").select("name", F.transform("rows", lambda r: r["line"]).alias("lines"))
+    name = F.substring_index("file", "/", -1)
+    kept = files.groupBy(name.alias("name")).agg(F.max("file").alias("file"))
+    rows = lines.join(once, "hash", "left_semi").join(kept, "file").select("name", "block", "row", "line")
+    rows = rows.unionByName(kept.select("name", F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("row"), F.lit(None).cast("string").alias("line")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, done = None, None, []
         for batch in batches:
-            names, all_lines = batch.column("name").to_pylist(), batch.column("lines").to_pylist()
-            for file, some in zip(names, all_lines, strict=True):
-                write_bytes(f"{folder}/{file}", "".join(some or []).encode())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(x or []) for x in all_lines], pa.int64())], names=["file", "lines"])
-
-    return materialize(out.mapInArrow(lean(write), "file string, lines long"), "files")
+            for file, line in zip(batch.column("name").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if file != now:
+                    if out is not None:
+                        out.close()
+                    fs, path = filesystem(f"{folder}/{file}")
+                    now, out = file, fs.open_output_stream(path, compression=None)
+                    done.append([file, 0])
+                if line is not None:
+                    out.write(line.encode())
+                    done[-1][1] += 1
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["file", "lines"])
+
+    return materialize(rows.repartition("name").sortWithinPartitions("name", "block", "row").mapInArrow(lean(write), "file string, lines long"), "files")
+
+
+def _ends_line(uri: str) -> bool:
+    """Whether a file's text ends with a line's end; a compressed one is read through to see."""
+    fs, path = filesystem(uri)
+    if uri.endswith(".gz"):
+        end = b""
+        with fs.open_input_stream(path) as file:
+            while data := file.read(1 << 20):
+                end = data[-1:]
+        return end in (b"\n", b"\r")
+    with fs.open_input_file(path) as file:
+        return file.size() > 0 and file.read_at(1, file.size() - 1) in (b"\n", b"\r")
 
 
 def gram_rows(docs: DataFrame, n: int = 5) -> DataFrame:
