@@ -163,3 +163,15 @@ def test_line_removal_over_files_in_blocks(spark, tmp_path):
     for name, lines in cut.items():
         assert (tmp_path / "out" / name).read_bytes().decode() == "".join(x for x in lines if counts[x] == 1), name
     assert {r["file"]: r["lines"] for r in rows.collect()} == {name: sum(counts[x] == 1 for x in lines) for name, lines in cut.items()}
+
+
+def test_masks_know_digits_of_all_scripts(spark):
+    """Digits count as such in any script, inside a number and beside it."""
+    from textloom.functions import pii
+
+    texts = ["call ٣٢١-٦٥٤-٩٨٧٠ now", "at １９２.１６８.1.２", "٣321-654-9870", "id 321-654-98701"]
+    df = pii.mask_all(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    found = [(r["phones"], r["ips"], r["masked"]) for r in df.orderBy("doc_id").collect()]
+    assert found[0] == (1, 0, "call |||PHONE_NUMBER||| now")
+    assert found[2] == (0, 0, texts[2]) and found[3] == (0, 0, texts[3])
+    assert pii.MASKS[2].pattern.count(r"\d") >= 4

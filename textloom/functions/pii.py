@@ -18,14 +18,19 @@ class Mask:
 
     @property
     def pattern(self) -> str:
-        return rf"(?<![0-9]){self.core}(?![0-9])" if self.digits_around else rf"\b{self.core}\b"
+        return rf"(?U)(?<!\d){self.core}(?!\d)" if self.digits_around else rf"\b{self.core}\b"
+
+    @property
+    def ascii_core(self) -> str:
+        """For SQL: the same but for digits of other scripts."""
+        return self.core.replace(r"\d", "[0-9]")
 
 
 #: Patterns and marks, in the order in which they are applied.
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MASKS = (
     Mask("emails", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "|||EMAIL_ADDRESS|||", False),
-    Mask("phones", r"(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}", "|||PHONE_NUMBER|||", True),
+    Mask("phones", r"(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}", "|||PHONE_NUMBER|||", True),
     Mask("ips", rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}", "|||IP_ADDRESS|||", True),
 )
 
@@ -50,7 +55,7 @@ def mask_all_sql(source: str, text: str = "text", keep: str = "doc_id") -> str:
     column = f"coalesce({text}, '')"
     done = ""
     for what in MASKS:
-        core = what.core
+        core = what.ascii_core
         if what.digits_around:
             find, put, count = f"(^|[^0-9])({core})([^0-9]|$)", f"\\1{what.mark}\\3", f"(?:^|[^0-9])(?:{core})(?:[^0-9]|$)"
         else:

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.session import materialize
 
 
-#: So many labels may be broadcast; more are joined as Spark sees fit.
-MAX_BROADCAST_LABELS = 10_000
-
-
 def word_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, word, n``: words of lower-case letters and their counts, within each row's own text."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
@@ -48,14 +44,18 @@ def classify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     """
     rows = word_rows(docs)
     sizes = rows.join(model.words.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("m"))
-    few = model.labels.count() <= MAX_BROADCAST_LABELS
-    every = docs.select("doc_id").distinct().crossJoin(F.broadcast(model.labels) if few else model.labels).join(sizes, "doc_id", "left")
     found = rows.withColumnRenamed("n", "k").join(model.words, "word")
     found = found.groupBy("doc_id", "label").agg(F.sum(F.col("k") * F.log(F.col("n") + 1.0)).alias("plus"))
-    total = F.log(F.col("docs").cast("double")) - F.coalesce("m", F.lit(0)) * F.log((F.col("total") + F.col("known")).cast("double")) + F.coalesce("plus", F.lit(0.0))
-    scored = every.join(found, ["doc_id", "label"], "left").select("doc_id", "label", total.alias("s"))
-    best = scored.groupBy("doc_id").agg(F.max(F.struct("s", "label")).alias("top"), F.collect_list("s").alias("all"))
-    return best.select("doc_id", F.col("top.label").alias("label"), (1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top.s")))).alias("score"))
+    found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "plus"))).alias("plus"))  # as many as there are labels
+    every = docs.select("doc_id").distinct().join(sizes, "doc_id", "left").join(found, "doc_id", "left")
+    labels = model.labels.agg(F.collect_list(F.struct("label", "docs", "total", "known"))).scalar()
+
+    def likelihood(row: Column) -> Column:
+        unseen = F.log(row["docs"].cast("double")) - F.coalesce("m", F.lit(0)) * F.log((row["total"] + row["known"]).cast("double"))
+        return F.struct((unseen + F.coalesce(F.try_element_at("plus", row["label"]), F.lit(0.0))).alias("s"), row["label"].alias("label"))
+
+    scored = every.withColumn("labels", labels).select("doc_id", F.transform("labels", likelihood).alias("all")).where(F.size("all") > 0).select("doc_id", "all", F.array_max("all").alias("top"))
+    return scored.select("doc_id", F.col("top.label").alias("label"), (1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("top.s")))).alias("score"))
 
 
 def confusion(predicted: DataFrame, labels: DataFrame) -> DataFrame:
