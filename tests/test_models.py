@@ -175,3 +175,13 @@ def test_masks_know_digits_of_all_scripts(spark):
     assert found[0] == (1, 0, "call |||PHONE_NUMBER||| now")
     assert found[2] == (0, 0, texts[2]) and found[3] == (0, 0, texts[3])
     assert pii.MASKS[2].pattern.count(r"\d") >= 4
+
+
+@pytest.mark.parametrize(
+    ("text", "seed", "low"),
+    [("", 0, 0), ("hello", 0, 0xCBD8A7B341BD9B02), ("hello, world", 0, 0x342FAC623A5EBC8E), ("19 Jan 2038 at 3:14:07 AM", 0, 0xB89E5988B737AFFC), ("The quick brown fox jumps over the lazy dog.", 0, 0xCD99481F9EE902C9), ("hello", 1, 0xA78DDFF5ADAE8D10)],
+)
+def test_published_values_of_murmur(text, seed, low):
+    from textloom.operators import dedup
+
+    assert int(dedup.murmur_low(text.encode(), np.array([seed], np.uint64))[0]) == low

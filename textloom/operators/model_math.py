@@ -148,9 +148,10 @@ def attention_gradients(ds: DataFrame, q: DataFrame, k: DataFrame, grads: DataFr
     return summed("dq", "qid", "kid", scaled, k).unionByName(summed("dk", "kid", "qid", scaled, q)).unionByName(summed("dv", "kid", "qid", F.col("p"), grads))
 
 
-def replicated(states: DataFrame, ranks: DataFrame, first: int = 0) -> DataFrame:
-    """``rank, name, pos, value``: every rank of ``ranks`` starts from the state of rank ``first``."""
-    return ranks.select("rank").join(states.where(F.col("rank") == first).drop("rank"))
+def replicated(states: DataFrame, ranks: int, first: int = 0) -> DataFrame:
+    """``rank, name, pos, value``: each of so many ranks starts from the state of rank ``first``."""
+    sent = states.where(F.col("rank") == first).drop("rank")
+    return sent.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranks - 1).cast("long"))).alias("rank"), "*")
 
 
 def flat_mean(grads: DataFrame) -> DataFrame:

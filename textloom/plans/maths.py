@@ -178,52 +178,66 @@ EVAL_BATCHES = f"""
 WITH {X}, l AS (SELECT vec_id, m + ln(sum(exp(x - m))) AS lse FROM (SELECT *, max(x) {OVER} AS m FROM x) GROUP BY vec_id, m),
 c AS (SELECT vec_id // {BATCH} AS b, avg(lse - v[label + 1]) AS c FROM l JOIN e USING (vec_id) GROUP BY ALL) SELECT count(*) AS batches, round(avg(c), {DIGITS}) AS loss FROM c"""
 
-#: Gradients of four ranks by rule: parameters of seven, one and four values.
-_FLAT_SIZES = ((0, 7), (1, 1), (2, 4))
+#: Ranks that share the rows by id, and values of a parameter.
+RANKS, PARAMETER = 4, 16
 
 
-def _flat(spark: SparkSession) -> DataFrame:
-    sizes = spark.createDataFrame(_FLAT_SIZES, "idx long, n long")
-    rows = sizes.select("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).join(spark.range(4).withColumnRenamed("id", "rank"))
-    return rows.select("rank", "idx", "pos", F.sin(F.col("rank") * 100 + F.col("idx") * 10 + F.col("pos")).alias("value"))
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rank's mean of its embeddings, as the gradients of parameters of PARAMETER values."""
+    rows = _e(spark, sf_dir).select(F.expr(f"vec_id % {RANKS}").alias("rank"), F.posexplode("v").alias("dim", "x"))
+    mean = rows.groupBy("rank", "dim").agg(F.avg("x").alias("value"))
+    return mean.select("rank", F.expr(f"dim div {PARAMETER}").alias("idx"), F.expr(f"cast(dim % {PARAMETER} as long)").alias("pos"), "value")
 
 
 def replicated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rank's state after that of rank 0 was sent to all."""
-    found = M.replicated(_flat(spark), spark.range(4).withColumnRenamed("id", "rank"))
+    found = M.replicated(_flat(spark, sf_dir), RANKS)
     return found.select("rank", "idx", "pos", F.round("value", DIGITS).alias("value"))
 
 
-_FLAT_SQL = f"fs(idx, n) AS (VALUES {', '.join(map(str, _FLAT_SIZES))}), fl AS (SELECT r AS rank, idx::BIGINT AS idx, p AS pos, sin(r * 100 + idx * 10 + p) AS value FROM fs, range(0, 4) a(r), range(0, 10) b(p) WHERE p < n)"
-REPLICATED_STATE = f"WITH {_FLAT_SQL} SELECT r AS rank, idx, pos, round(value, {DIGITS}) AS value FROM fl, range(0, 4) a(r) WHERE rank = 0"
+_FLAT_SQL = f"{X}, fl AS (SELECT vec_id % {RANKS} AS rank, (dim // {PARAMETER})::BIGINT AS idx, (dim % {PARAMETER})::BIGINT AS pos, avg(x) AS value FROM x GROUP BY ALL)"
+REPLICATED_STATE = f"WITH {_FLAT_SQL} SELECT r AS rank, idx, pos, round(value, {DIGITS}) AS value FROM fl, range(0, {RANKS}) a(r) WHERE rank = 0"
 
 
 def flat_gradient_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.flat_mean(_flat(spark)).select("rank", "idx", "pos", F.round("value", DIGITS).alias("value"))
+    return M.flat_mean(_flat(spark, sf_dir)).select("rank", "idx", "pos", F.round("value", DIGITS).alias("value"))
 
 
 FLAT_GRADIENT_MEAN = f"WITH {_FLAT_SQL}, m AS (SELECT idx, pos, avg(value) AS value FROM fl GROUP BY ALL) SELECT rank, idx, pos, round(m.value, {DIGITS}) AS value FROM fl JOIN m USING (idx, pos)"
 
+#: The event log as a log of steps: what ran (the type), on which rank (of the user), in which step (of STEP_EVENTS events), for how long (the value).
+STEP_EVENTS = 200
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", "user_id", F.col("event_type").alias("impl"), F.expr(f"user_id % {RANKS}").alias("rank"), F.expr(f"event_id div {STEP_EVENTS}").alias("step"), F.col("value").alias("ms"))
+
+
+_STEPS_SQL = f"st AS (SELECT event_id, user_id, event_type AS impl, user_id % {RANKS} AS rank, event_id // {STEP_EVENTS} AS step, value AS ms FROM events)"
+
 
 def attention_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean time and peak bytes of runs by rule, the warm-up left out."""
-    rows = spark.range(60).selectExpr("concat('impl', id % 3) as impl", "id div 3 as step", "10 + id % 7 as ms", "1000 * (id % 11) + id as bytes")
+    """Mean time and peak bytes (a thousand by user, and the event's number) of each type, the warm-up left out."""
+    rows = _steps(spark, sf_dir).withColumn("bytes", F.expr("1000 * user_id + event_id"))
     return R.peak(rows, ["impl"], 3).select("impl", F.round("mean_ms", DIGITS).alias("mean_ms"), "peak_bytes")
 
 
-ATTENTION_PEAKS = f"SELECT 'impl' || (i % 3) AS impl, round(avg(10 + i % 7), {DIGITS}) AS mean_ms, max(1000 * (i % 11) + i) AS peak_bytes FROM range(0, 60) r(i) WHERE i // 3 >= 3 GROUP BY ALL"
+ATTENTION_PEAKS = f"WITH {_STEPS_SQL} SELECT impl, round(avg(ms), {DIGITS}) AS mean_ms, max(1000 * user_id + event_id) AS peak_bytes FROM st WHERE step >= 3 GROUP BY impl"
 
 
 def memory_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes after each phase and their growth, the most over ranks, for states by rule."""
-    rows = spark.range(24).selectExpr("id % 4 as rank", "id div 4 % 3 as at", "id div 12 as sharded", "concat('phase', id div 4 % 3) as event", "(id * 7919) % 1000 + 500 * (id div 4 % 3) as bytes")
-    return R.memory_deltas(rows, ["sharded"])
+    """Bytes (the value in hundredths) after each event of a user's day and their growth on a rank, the most over ranks."""
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", F.dayofyear("ts").alias("day"), F.expr(f"event_id % {RANKS}").alias("rank"), F.col("event_id").alias("at"), F.col("event_type").alias("event"), F.round(F.col("value") * 100).cast("long").alias("bytes")
+    )
+    return R.memory_deltas(rows, ["user_id", "day"])
 
 
-MEMORY_PROFILE = """
-WITH e AS (SELECT i % 4 AS rank, i // 4 % 3 AS "at", i // 12 AS sharded, 'phase' || (i // 4 % 3) AS event, (i * 7919) % 1000 + 500 * (i // 4 % 3) AS bytes FROM range(0, 24) r(i)),
-d AS (SELECT *, bytes - coalesce(lag(bytes) OVER (PARTITION BY sharded, rank ORDER BY "at"), 0) AS delta FROM e)
-SELECT sharded, "at", event, max(bytes) AS bytes, max(delta) AS delta FROM d GROUP BY ALL"""
+MEMORY_PROFILE = f"""
+WITH e AS (SELECT user_id, dayofyear(ts)::INT AS day, event_id % {RANKS} AS rank, event_id AS "at", event_type AS event, round(value * 100)::BIGINT AS bytes FROM events),
+d AS (SELECT *, bytes - coalesce(lag(bytes) OVER (PARTITION BY user_id, day, rank ORDER BY "at"), 0) AS delta FROM e)
+SELECT user_id, day, "at", event, max(bytes) AS bytes, max(delta) AS delta FROM d GROUP BY ALL"""
 
 
 def block_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,25 +294,27 @@ TOP_K = f"WITH {X}, t AS (SELECT vec_id, list_reverse_sort(v)[5] AS t FROM e) SE
 
 
 def lr_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(25).select(F.col("id").alias("it"), F.round(V.lr_cosine(F.col("id"), 1.0, 0.1, 7, 21), DIGITS).alias("lr"))
+    """The learning rate of every event's step, the events taken one by one."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("it"), F.round(V.lr_cosine(F.col("event_id"), 1.0, 0.1, 700, 2100), DIGITS).alias("lr"))
 
 
-LR_COSINE = f"SELECT t AS it, round(CASE WHEN t < 7 THEN t / 7 WHEN t <= 21 THEN 0.1 + 0.5 * (1 + cos((t - 7) / 14 * pi())) * 0.9 ELSE 0.1 END, {DIGITS}) AS lr FROM range(0, 25) r(t)"
+LR_COSINE = f"SELECT t AS it, round(CASE WHEN t < 700 THEN t / 700 WHEN t <= 2100 THEN 0.1 + 0.5 * (1 + cos((t - 700) / 1400 * pi())) * 0.9 ELSE 0.1 END, {DIGITS}) AS lr FROM (SELECT event_id AS t FROM events)"
 STEPS = 3
 
 
 def adamw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(50).select("id", (F.col("id") / 10.0).alias("p"), F.sin(F.col("id").cast("double")).alias("g"))
-    return M.adamw(rows, STEPS).select("id", F.round("p", 9).alias("p"))
+    """Every entry of every embedding after some steps, its gradient being the entry as far from the other end."""
+    rows = _e(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(F.col("v").alias("p"), F.reverse("v").alias("g"))).alias("dim", "x")).select("vec_id", "dim", "x.p", "x.g")
+    return M.adamw(rows, STEPS).select("vec_id", "dim", F.round("p", 9).alias("p"))
 
 
 def _adamw_sql() -> str:
-    sql = "SELECT i AS id, i / 10.0::DOUBLE AS p, sin(i::DOUBLE) AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM range(0, 50) r(i)"
+    sql = "SELECT vec_id, unnest(range(0, d))::INT AS dim, unnest(v) AS p, unnest(list_reverse(v)) AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM e"
     for t in range(1, STEPS + 1):
         rate = 1e-3 * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        sql = f"SELECT id, p, g, 0.9::DOUBLE * m + {1 - 0.9!r}::DOUBLE * g AS m, 0.999::DOUBLE * v + {1 - 0.999!r}::DOUBLE * g * g AS v FROM ({sql})"
-        sql = f"SELECT id, q - {1e-3 * 0.01!r}::DOUBLE * q AS p, g, m, v FROM (SELECT *, p - {rate!r}::DOUBLE * m / (sqrt(v) + 1e-8::DOUBLE) AS q FROM ({sql}))"
-    return f"SELECT id, round(p, 9) AS p FROM ({sql})"
+        sql = f"SELECT vec_id, dim, p, g, 0.9::DOUBLE * m + {1 - 0.9!r}::DOUBLE * g AS m, 0.999::DOUBLE * v + {1 - 0.999!r}::DOUBLE * g * g AS v FROM ({sql})"
+        sql = f"SELECT vec_id, dim, q - {1e-3 * 0.01!r}::DOUBLE * q AS p, g, m, v FROM (SELECT *, p - {rate!r}::DOUBLE * m / (sqrt(v) + 1e-8::DOUBLE) AS q FROM ({sql}))"
+    return f"WITH {E} SELECT vec_id, dim, round(p, 9) AS p FROM ({sql})"
 
 
 def grad_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,45 +324,48 @@ def grad_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAD_CLIP = f"WITH {X} SELECT round(sqrt(sum(x * x)), {DIGITS}) AS norm, round(least(1.0, 1.0 / (sqrt(sum(x * x)) + 1e-6)), {DIGITS}) AS scale FROM x"
 
-#: A small model's parameters: index, name, rows, columns (0: a vector). The output shares the input embedding.
-PARAMETERS = tuple(
-    [(0, "embedding", 1000, 64)]
-    + [(1 + 4 * k + j, f"layer{k}.{name}", n, m) for k in range(3) for j, (name, n, m) in enumerate((("qkv", 192, 64), ("out", 64, 64), ("ffn", 256, 64), ("norm", 64, 0)))]
-    + [(13, "embedding", 1000, 64)]
-)
-_PARAMETERS_SQL = f"pa(idx, name, n, m) AS (VALUES {', '.join(map(str, PARAMETERS))})"
+#: The table of embeddings as a model's parameters: for each label a matrix of its rows and a vector of as many entries, and every third matrix
+#: once more under its name (tied). The matrix of label 0 is the embedding. Index, name, rows, columns (0: a vector).
+_PARAMETERS_SQL = """pl AS (SELECT label::BIGINT AS k, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label),
+pa AS (SELECT 2 * k AS idx, 'label' || k AS name, n, 64::BIGINT AS m FROM pl UNION ALL SELECT 2 * k + 1, 'bias' || k, n, 0 FROM pl
+       UNION ALL SELECT 1000000 + k, 'label' || k, n, 64 FROM pl WHERE k % 3 = 0)"""
+EMBEDDING = "label0"
 
 
-def _parameters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARAMETERS, "idx long, name string, n long, m long")
+def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("label").cast("long")
+    labels = table(spark, sf_dir, "embeddings").where("label is not null").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    one = lambda idx, name, m: F.struct(F.expr(idx).alias("idx"), F.concat(F.lit(name), F.col("k").cast("string")).alias("name"), F.col("n"), F.lit(m).cast("long").alias("m"))
+    rows = F.array(one("2 * k", "label", 64), one("2 * k + 1", "bias", 0), one("1000000 + k", "label", 64))
+    return labels.select("k", F.explode(rows).alias("r")).where("r.idx < 1000000 or k % 3 = 0").select("r.*")
 
 
 def param_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parameters, those without embeddings, and those that decay (matrices); tied ones count once."""
-    once = _parameters(spark).dropDuplicates(["name"]).withColumn("size", F.col("n") * F.greatest("m", F.lit(1)))
+    once = _parameters(spark, sf_dir).dropDuplicates(["name"]).withColumn("size", F.col("n") * F.greatest("m", F.lit(1)))
     part = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
-    return once.agg(F.sum("size").alias("total"), part(F.col("name") != "embedding").alias("non_embedding"), part(F.col("m") > 0).alias("decayed"))
+    return once.agg(F.sum("size").alias("total"), part(F.col("name") != EMBEDDING).alias("non_embedding"), part(F.col("m") > 0).alias("decayed"))
 
 
 PARAM_COUNTS = f"""WITH {_PARAMETERS_SQL}, o AS (SELECT DISTINCT name, n * greatest(m, 1) AS s, m FROM pa)
-SELECT sum(s)::BIGINT AS total, coalesce(sum(s) FILTER (name <> 'embedding'), 0)::BIGINT AS non_embedding, coalesce(sum(s) FILTER (m > 0), 0)::BIGINT AS decayed FROM o"""
+SELECT sum(s)::BIGINT AS total, coalesce(sum(s) FILTER (name <> '{EMBEDDING}'), 0)::BIGINT AS non_embedding, coalesce(sum(s) FILTER (m > 0), 0)::BIGINT AS decayed FROM o"""
 LIMIT = 60000
 
 
 def gradient_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _parameters(spark).select("idx", (4 * F.col("n") * F.greatest("m", F.lit(1))).alias("bytes"))
+    sizes = _parameters(spark, sf_dir).select("idx", (4 * F.col("n") * F.greatest("m", F.lit(1))).alias("bytes"))
     return M.buckets(sizes, LIMIT)
 
 
 BUCKETS = f"""
-WITH RECURSIVE {_PARAMETERS_SQL}, s AS (SELECT idx, 4 * n * greatest(m, 1) AS b FROM pa),
-r AS (SELECT idx, b, 0::BIGINT AS bucket, b AS used FROM s WHERE idx = 0
-      UNION ALL SELECT s.idx, s.b, r.bucket + (r.used + s.b > {LIMIT})::INT, CASE WHEN r.used + s.b > {LIMIT} THEN s.b ELSE r.used + s.b END FROM r JOIN s ON s.idx = r.idx + 1)
+WITH RECURSIVE {_PARAMETERS_SQL}, s AS (SELECT idx, 4 * n * greatest(m, 1) AS b, row_number() OVER (ORDER BY idx) AS k FROM pa),
+r AS (SELECT k, idx, b, 0::BIGINT AS bucket, b AS used FROM s WHERE k = 1
+      UNION ALL SELECT s.k, s.idx, s.b, r.bucket + (r.used + s.b > {LIMIT})::INT, CASE WHEN r.used + s.b > {LIMIT} THEN s.b ELSE r.used + s.b END FROM r JOIN s ON s.k = r.k + 1)
 SELECT idx::BIGINT AS idx, b::BIGINT AS bytes, bucket FROM r"""
 
 
 def shard_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.owners(_parameters(spark), 4)
+    return M.owners(_parameters(spark, sf_dir), RANKS)
 
 
 OWNERS = f"WITH {_PARAMETERS_SQL} SELECT name, idx::BIGINT AS idx, ((row_number() OVER (ORDER BY idx) - 1) % 4)::BIGINT AS owner FROM (SELECT name, min(idx) AS idx FROM pa GROUP BY name)"
@@ -362,24 +381,9 @@ def gradient_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRADIENT_MEAN = f"WITH {X}, l AS (SELECT vec_id % 4 AS r, dim, avg(x) AS g FROM x GROUP BY ALL) SELECT dim, round(avg(g), {DIGITS}) AS g FROM l GROUP BY dim"
 
 
-def _steps(spark: SparkSession) -> DataFrame:
-    """Times by rule: implementation, ranks, rank, step."""
-    i = F.col("id")
-    base = F.when(i % 3 == 0, 9.0).when(i % 3 == 1, 7.0).otherwise(6.0)
-    return spark.range(3 * 4 * 12).select(
-        F.element_at(F.array(F.lit("naive"), F.lit("flat"), F.lit("bucketed")), (i % 3 + 1).cast("int")).alias("impl"),
-        F.expr("id div 3 % 4").alias("rank"),
-        F.expr("id div 12").alias("step"),
-        (base + F.sin(i.cast("double"))).alias("ms"),
-    )
-
-
-_STEPS_SQL = """st AS (SELECT CASE i % 3 WHEN 0 THEN 'naive' WHEN 1 THEN 'flat' ELSE 'bucketed' END AS impl, i // 3 % 4 AS rank, i // 12 AS step,
-  CASE i % 3 WHEN 0 THEN 9.0 WHEN 1 THEN 7.0 ELSE 6.0 END + sin(i::DOUBLE) AS ms FROM range(0, 144) r(i))"""
-
-
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = R.step_stats(_steps(spark), ["impl"], 2).join(R.throughput(R.slowest_rank(_steps(spark), ["impl"], 2), 4096), "impl")
+    steps = _steps(spark, sf_dir)
+    stats = R.step_stats(steps, ["impl"], 2).join(R.throughput(R.slowest_rank(steps, ["impl"], 2), 4096), "impl")
     return stats.select("impl", "steps", *(F.round(c, DIGITS).alias(c) for c in ("mean_ms", "std_ms", "step_ms", "tokens_s")))
 
 
@@ -388,78 +392,68 @@ WITH {_STEPS_SQL}, a AS (SELECT impl, count(*) AS steps, avg(ms) AS mean_ms, coa
 w AS (SELECT impl, avg(ms) AS step_ms FROM (SELECT impl, step, max(ms) AS ms FROM st WHERE step >= 2 GROUP BY ALL) GROUP BY impl)
 SELECT impl, steps, round(mean_ms, {DIGITS}) AS mean_ms, round(std_ms, {DIGITS}) AS std_ms, round(step_ms, {DIGITS}) AS step_ms, round(4096 * 1000.0 / step_ms, {DIGITS}) AS tokens_s FROM a JOIN w USING (impl)"""
 
-#: Results of a sweep, also one that ran out of memory: group, implementation, variant, status, milliseconds.
-RESULTS = (
-    ("small", "naive", "-", "ok", 12.0),
-    ("small", "bucketed", "1 MB", "ok", 9.5),
-    ("small", "bucketed", "25 MB", "ok", 8.0),
-    ("large", "naive", "-", "ok", 80.0),
-    ("large", "bucketed", "1 MB", "ok", 70.0),
-    ("large", "bucketed", "25 MB", "oom", None),
-    ("huge", "naive", "-", "oom", None),
-    ("huge", "bucketed", "25 MB", "ok", 200.0),
-)
-_RESULTS_SQL = f"re(size, impl, variant, status, ms) AS (VALUES {', '.join(str(r).replace('None', 'NULL') for r in RESULTS)})"
+#: Events above so much have failed: their time isn't known.
+MOST = 200.0
 
 
 def bench_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = spark.createDataFrame(RESULTS, "size string, impl string, variant string, status string, ms double")
-    return R.speedup(results, "size", "naive").select("size", "impl", "variant", "ms", "base_ms", F.round("speedup", DIGITS).alias("speedup"))
+    """The best variant (of the event's number) of each type against that of views, by users' last digit; what failed has no time."""
+    rows = _steps(spark, sf_dir)
+    ok = F.col("ms") <= MOST
+    results = rows.select(F.expr("cast(user_id % 10 as string)").alias("size"), "impl", F.expr("concat('v', event_id % 3)").alias("variant"), F.when(ok, "ok").otherwise("oom").alias("status"), F.when(ok, F.col("ms")).alias("ms"))
+    return R.speedup(results, "size", "view").select("size", "impl", "variant", "ms", "base_ms", F.round("speedup", DIGITS).alias("speedup"))
 
 
 BENCH_SPEEDUP = f"""
-WITH {_RESULTS_SQL}, b AS (SELECT size, impl, arg_min(variant, ms) AS variant, min(ms)::DOUBLE AS ms FROM re WHERE status = 'ok' GROUP BY size, impl)
-SELECT b.size, b.impl, b.variant, b.ms, n.ms AS base_ms, round(n.ms / b.ms, {DIGITS}) AS speedup FROM b LEFT JOIN b n ON n.size = b.size AND n.impl = 'naive'"""
+WITH {_STEPS_SQL}, re AS (SELECT (user_id % 10)::VARCHAR AS size, impl, 'v' || (event_id % 3) AS variant, ms FROM st WHERE ms <= {MOST}),
+b AS (SELECT size, impl, arg_min(variant, (ms, variant)) AS variant, min(ms)::DOUBLE AS ms FROM re GROUP BY size, impl)
+SELECT b.size, b.impl, b.variant, b.ms, n.ms AS base_ms, CASE WHEN b.ms <> 0 THEN round(n.ms / b.ms, {DIGITS}) END AS speedup FROM b LEFT JOIN b n ON n.size = b.size AND n.impl = 'view'"""
 
 
 def reduce_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(4 * 3 * 4 * 5).select(
-        F.element_at(F.array(*map(F.lit, (1, 10, 100, 1024))), (F.col("id") % 4 + 1).cast("int")).alias("mb"),
-        F.expr("2 + 2 * (id div 4 % 3)").alias("world"),
-        F.expr("id div 12 % 4").alias("rank"),
-        F.expr("id div 48").alias("step"),
-    )
-    rows = rows.withColumn("ms", F.col("mb") * F.col("world") / 10.0 + F.col("rank") + 0.5 * F.col("step"))
+    """Latency and bandwidth by a size and a number of ranks of the event's number."""
+    size = F.element_at(F.array(*map(F.lit, (1, 10, 100, 1024))), F.expr("cast(event_id % 4 + 1 as int)"))
+    rows = _steps(spark, sf_dir).withColumns({"mb": size, "world": F.expr("2 + 2 * (event_id div 4 % 3)")})
     return R.latency(rows, 1).select("mb", "world", F.round("latency_ms", DIGITS).alias("latency_ms"), F.round("gib_s", DIGITS).alias("gib_s"))
 
 
 REDUCE_LATENCY = f"""
-WITH r AS (SELECT [1, 10, 100, 1024][i % 4 + 1] AS mb, 2 + 2 * (i // 4 % 3) AS world, i // 12 % 4 AS rank, i // 48 AS step FROM range(0, 240) t(i)),
-m AS (SELECT mb, world, rank, avg(mb * world / 10.0 + rank + 0.5 * step) AS ms FROM r WHERE step >= 1 GROUP BY ALL)
+WITH {_STEPS_SQL}, r AS (SELECT [1, 10, 100, 1024][event_id % 4 + 1] AS mb, 2 + 2 * (event_id // 4 % 3) AS world, rank, ms FROM st WHERE step >= 1),
+m AS (SELECT mb, world, rank, avg(ms) AS ms FROM r GROUP BY ALL)
 SELECT mb, world, round(max(ms), {DIGITS}) AS latency_ms, round(mb / 1024.0 / (max(ms) / 1000.0), {DIGITS}) AS gib_s FROM m GROUP BY mb, world"""
 
 
 def bench_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return R.sweep(one("impl", "string", ("naive", "flat", "bucketed")), one("size", "string", ("small", "large")), one("world", "int", (2, 4)), "bucketed", [1, 10, 100])
+    """Every combination of the types of events, the types of parts and the ranks; bucket sizes only for purchases."""
+    events, parts = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
+    world = F.expr(f"cast(user_id % {RANKS} + 1 as int)")
+    return R.sweep(events.select(F.col("event_type").alias("impl")).distinct(), parts.select(F.col("p_type").alias("size")).distinct(), events.select(world.alias("world")).distinct(), "purchase", [1, 10, 100])
 
 
-BENCH_SWEEP = """
-SELECT impl, size, world, unnest(CASE WHEN impl = 'bucketed' THEN [1, 10, 100] ELSE [NULL::INT] END) AS bucket_mb
-FROM (SELECT unnest(['naive', 'flat', 'bucketed']) AS impl), (SELECT unnest(['small', 'large']) AS size), (SELECT unnest([2, 4]) AS world)"""
+BENCH_SWEEP = f"""
+SELECT impl, size, world, unnest(CASE WHEN impl = 'purchase' THEN [1, 10, 100] ELSE [NULL::INT] END) AS bucket_mb
+FROM (SELECT DISTINCT event_type AS impl FROM events), (SELECT DISTINCT p_type AS size FROM part), (SELECT DISTINCT (user_id % {RANKS} + 1)::INT AS world FROM events)"""
 
-#: Synthetic runs: nine budgets, eight sizes each, the loss by a parametric rule.
-_RUNS_SQL = "ru AS (SELECT b, k, 6e18 * pow(10, b / 3.0) AS c, round(5e7 * pow(2, b * 0.55 + k))::BIGINT AS n FROM range(0, 9) x(b), range(0, 8) y(k))"
-_LOSS = "1.7 + 400 / pow({n}, 0.34) + 410 / pow({c} / (6.0 * {n}), 0.28)"
+#: Line items as runs: the quantity is the budget, the price the parameters, and how far the price is from a rate per piece, with the discount, the loss.
+_LOSS = "abs(l_extendedprice - 1500 * l_quantity) / 1000 + l_discount"
+_RUNS_SQL = f"ru AS (SELECT l_quantity AS c, round(l_extendedprice)::BIGINT AS n, {_LOSS} AS l FROM lineitem)"
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    grid = spark.range(72).select(F.expr("id div 8").alias("b"), F.expr("id % 8").alias("k"))
-    grid = grid.select((F.lit(6e18) * F.pow(F.lit(10.0), F.col("b") / 3.0)).alias("compute_budget"), F.round(F.lit(5e7) * F.pow(F.lit(2.0), F.col("b") * 0.55 + F.col("k"))).cast("long").alias("parameters"))
-    return grid.withColumn("final_loss", F.expr(_LOSS.format(n="parameters", c="compute_budget")))
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("compute_budget"), F.round("l_extendedprice").cast("long").alias("parameters"), F.expr(_LOSS).alias("final_loss"))
 
 
 def isoflop_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = R.best_per_budget(_runs(spark))
+    best = R.best_per_budget(_runs(spark, sf_dir))
     return best.select(F.round(F.log10("compute_budget"), DIGITS).alias("log_budget"), "parameters", F.round("final_loss", DIGITS).alias("final_loss"))
 
 
-_BEST = f"{_RUNS_SQL}, lo AS (SELECT c, n, {_LOSS.format(n='n', c='c')} AS l FROM ru), be AS (SELECT c, arg_min(n, l) AS n, min(l) AS l FROM lo GROUP BY c)"
+_BEST = f"{_RUNS_SQL}, be AS (SELECT c, arg_min(n, (l, n)) AS n, min(l) AS l FROM ru GROUP BY c)"
 ISOFLOP = f"WITH {_BEST} SELECT round(log10(c), {DIGITS}) AS log_budget, n AS parameters, round(l, {DIGITS}) AS final_loss FROM be"
 
 
 def scaling_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.power_law(R.best_per_budget(_runs(spark))).select(F.round("exponent", DIGITS).alias("exponent"), F.round("intercept", 4).alias("intercept"))
+    return R.power_law(R.best_per_budget(_runs(spark, sf_dir))).select(F.round("exponent", DIGITS).alias("exponent"), F.round("intercept", 4).alias("intercept"))
 
 
 SCALING_FIT = f"WITH {_BEST} SELECT round(regr_slope(ln(n), ln(c)), {DIGITS}) AS exponent, round(regr_intercept(ln(n), ln(c)), 4) AS intercept FROM be"

@@ -21,7 +21,8 @@ def passing(stream: DataFrame, config: FilterConfig | None = None) -> DataFrame:
 
 
 def without_duplicates(stream: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """The first row of each digest; with an event time, state is kept only as long as rows may be late."""
+    """The first row of each digest. With an event time, state is kept only as long as rows may be late; without one, every digest is kept for ever,
+    so a stream without end needs one (or :func:`textloom.streaming.ordered.first_by_time` with ``keep_ms``)."""
     if time is None:
         return stream.dropDuplicates(["digest"])
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["digest"])
