@@ -312,3 +312,19 @@ def test_mixing_of_long_texts_and_clashing_names(spark, monkeypatch):
         by.setdefault((whole, target), []).append(taken)
     for (_, target), taken in by.items():
         assert sum(taken) == pytest.approx(target, rel=0.02)
+
+
+def test_token_store_of_equal_rows(spark, monkeypatch):
+    """One doc_id whose rows are all equal is more than one file, and nothing is lost."""
+    from textloom.llm import token_store
+    from textloom.session import new_dir
+
+    monkeypatch.setattr(token_store, "ROWS_PER_ID", 10)
+    df = spark.createDataFrame([(7, "the same text")] * 200 + [(None, None)] * 50 + [(9, "other")], "doc_id long, text string")
+    folder, merge = new_dir(spark, "tokens"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    assert token_store.write(df, folder).where("docs > 1").count() > 2
+    spark.conf.unset(merge)
+    found = token_store.read(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None] * 50 + [7] * 200 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))

@@ -15,7 +15,7 @@ index in memory. A task that is tried again writes another file, and the manifes
 one whose task succeeded.
 
 Defined results: null text is empty (the end id alone); a null doc_id comes first; rows with
-one doc_id follow each other by text; very long texts are one frame; extra columns are ignored, whatever their names; empty tables give an empty manifest; a damaged
+one doc_id follow each other by text (where they are over ROWS_PER_ID, by its first 32 characters, then its hash); very long texts are one frame; extra columns are ignored, whatever their names; empty tables give an empty manifest; a damaged
 file, or one with another dictionary, raises :class:`TokenStoreError`.
 """
 
@@ -46,7 +46,7 @@ HEAD, FOOT = struct.Struct("<8sQ32s"), struct.Struct("<QQQQ8s")
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 1 << 16
 LEVEL = 3
 READ_BYTES = 4 << 20
-#: With more rows of one doc_id (or without one) than this, ranges go by the text's beginning too.
+#: With more rows of one doc_id (or without one) than this, ranges go by the text's beginning, its hash and the row's number too.
 ROWS_PER_ID = 10_000
 #: Appended to every document.
 END_ID = 0
@@ -172,8 +172,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "docs": out.docs, "ids": out.ids}], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    ranges = ["doc_id"] if many <= ROWS_PER_ID else ["doc_id", F.left("text", F.lit(32))]
-    files = docs.repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), MANIFEST)
+    if many <= ROWS_PER_ID:
+        dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    else:  # equal rows are told apart by their number, so that they too are more than one range
+        keys = ["doc_id", F.left("text", F.lit(32)), F.xxhash64("text"), F.col("nth")]
+        dealt = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("nth")
+    files = dealt.mapInArrow(lean(run), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 

@@ -47,14 +47,6 @@ UNWANTED = {
     "money": "loans payday prizes getrich replica credit doubler forex",
 }
 BAIT = "online bonus royal vip hot best shop deals club now mega direct 24 instant top".split()
-WANTED = {
-    "gambling": "casino-royal mega-casino online-casino poker-bonus jackpot-slots betting-tips sports-betting roulette-wheel lottery-numbers bingo-jackpot",
-    "pharmacy": "pharmacy-deals buy-viagra discount-meds generic-tablets rx-drugstore weight-loss-drugs steroids-shop no-prescription-meds",
-    "explicit": "xxx-cams hot-porn sexy-videos nude-photos sex-chat erotic-stories porn-tube escort-dates",
-    "advertising": "popup-advert banner-adserver click-pixel telemetry-beacon ad-network affiliate-clicks adserving-hub sponsor-popup",
-    "link schemes": "seo-backlinks link-exchange mass-links bulk-emailer article-spinner rank-booster traffic-generator link-wheel",
-    "money": "payday-loans quick-loans prize-claims get-rich-fast replica-watches instant-credit crypto-doubler binary-options",
-}
 WANTED = {
     "news": "daily-news morning-herald weekly-letter evening-post city-tribune river-gazette news-desk radio-bulletin",
     "learning": "university library school-board maths-lecture science-journal open-textbooks astronomy chess-problems",
