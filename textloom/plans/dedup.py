@@ -149,7 +149,8 @@ jp AS (SELECT l, r FROM (SELECT l, r, (SELECT count(*) FROM g x JOIN g y ON x.gr
 def murmur_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures by 128-bit MurmurHash3, a seed each; SQL has no such hash."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.canonical(F.col("text")).alias("c"))
-    sets = docs.select("doc_id", text.ngrams(text.tokens(F.col("c")), N).alias("grams"))
+    words = docs.select("doc_id", text.tokens(F.col("c")).alias("t"))  # a column of its own: inside the n-grams it would be cut anew for each
+    sets = words.select("doc_id", text.ngrams(F.col("t"), N).alias("grams"))
     found = dedup.murmur_signatures(sets, HASHES)
     return found.select("doc_id", F.posexplode("signature").alias("i", "h")).select("doc_id", F.col("i").cast("long").alias("i"), F.col("h").cast("string").alias("h"))
 
