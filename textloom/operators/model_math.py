@@ -66,7 +66,12 @@ def block_state(q: np.ndarray, k: np.ndarray, v: np.ndarray, qpos: np.ndarray, k
         s = np.where(kpos[None, :] <= qpos[:, None], s, -np.inf)
     m = s.max(1)
     p = np.exp(s - np.where(np.isneginf(m), 0.0, m)[:, None])
-    return m, p.sum(1), p @ v
+    bad = np.flatnonzero(~np.isfinite(v).all(1))
+    out = p @ np.where(np.isfinite(v), v, 0.0)
+    for j in bad:  # zero times such a value is not a number, also where a later key may not be seen
+        seen = kpos[j] <= qpos if causal else np.ones(len(q), bool)
+        out[seen] += p[seen, j, None] * np.where(np.isfinite(v[j]), 0.0, v[j])
+    return m, p.sum(1), out
 
 
 def merge_states(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
