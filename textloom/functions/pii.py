@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A border of a word of ASCII characters; Java's own ``\b`` takes letters of other scripts and accents for parts of the word.
+_BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 @dataclass(frozen=True)
 class Mask:
     """What is masked; ``core`` is the pattern between its borders, ``edge`` what may not adjoin it."""
@@ -18,7 +22,7 @@ class Mask:
 
     @property
     def pattern(self) -> str:
-        return rf"(?U)(?<!\d){self.core}(?!\d)" if self.digits_around else rf"\b{self.core}\b"
+        return rf"(?U)(?<!\d){self.core}(?!\d)" if self.digits_around else _BORDER + self.core + _BORDER
 
     @property
     def ascii_core(self) -> str:
