@@ -134,6 +134,74 @@ def block_attention(rows: DataFrame, by: Sequence[str], pos: str = "pos", size:
     return found.select(*by, F.inline(each))
 
 
+def _whole_sequences(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, id, v``: the rows of each short sequence, in order, with their vectors as one flat array."""
+    own = F.array_sort(F.collect_list(F.struct("id", "v")))
+    return rows.where("v is not null").groupBy(*by).agg(own.alias("r")).select(*by, F.col("r.id").alias("id"), F.flatten("r.v").alias("v"))
+
+
+def _weights(x: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-sum-exp and softmax of the scaled dot products of rows with each other (``seen``: queries by keys)."""
+    s = np.where(seen, x @ x.T / math.sqrt(x.shape[1]), -np.inf)
+    m = s.max(1)
+    lse = m + np.log(np.exp(s - m[:, None]).sum(1))
+    return lse, np.exp(s - lse[:, None])
+
+
+def _times(p: np.ndarray, x: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """``p @ x``, in which what isn't seen is no term, also where a value isn't finite."""
+    return p @ x if np.isfinite(x).all() else np.where(seen[:, :, None], p[:, :, None] * x[None], 0.0).sum(1)
+
+
+def _seen(ids: np.ndarray, sees) -> np.ndarray:
+    return np.asarray(sees(ids[:, None], ids[None, :]), bool)
+
+
+def sequence_attention(rows: DataFrame, by: Sequence[str], sees, heads: int = 1) -> DataFrame:
+    """``qid, head, lse, out`` of self-attention within short sequences, by ``id, v`` rows; ``sees(query ids, key ids)`` is the mask.
+
+    For sequences whose attention matrix a task can hold, a few thousand rows; longer ones take :func:`block_attention`. Each row is shuffled
+    once and no pair ever is. Every query has to see itself.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in zip(batch.column("id"), batch.column("v")):
+                ids = i.values.to_numpy()
+                x = v.values.to_numpy(zero_copy_only=False).reshape(len(ids), heads, -1)
+                seen = _seen(ids, sees)
+                for h in range(heads):
+                    lse, p = _weights(x[:, h], seen)
+                    out = _times(p, x[:, h], seen)
+                    ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * out.shape[1])
+                    columns = [pa.array(ids), pa.array(np.full(len(ids), h, np.int32)), pa.array(lse), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["qid", "head", "lse", "out"])
+
+    return _whole_sequences(rows, by).select("id", "v").mapInArrow(lean(run), "qid long, head int, lse double, out array<double>")
+
+
+def sequence_gradients(rows: DataFrame, by: Sequence[str], sees) -> DataFrame:
+    """``of, id, out``: dq, dk and dv of :func:`sequence_attention` with one head, where the output's gradient is each row itself."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in zip(batch.column("id"), batch.column("v")):
+                ids = i.values.to_numpy()
+                x = v.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                seen = _seen(ids, sees)
+                _, p = _weights(x, seen)
+                own = (x * _times(p, x, seen)).sum(1)
+                ds = np.where(seen, p * (x @ x.T - own[:, None]), 0.0) / math.sqrt(x.shape[1])
+                for of, found in (("dq", _times(ds, x, seen)), ("dk", _times(ds.T, x, seen.T)), ("dv", _times(p.T, x, seen.T))):
+                    ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1])
+                    columns = [pa.array([of] * len(ids)), pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["of", "id", "out"])
+
+    return _whole_sequences(rows, by).select("id", "v").mapInArrow(lean(run), "of string, id long, out array<double>")
+
+
 def softmax_gradient(s: DataFrame, out: DataFrame, values: DataFrame, grads: DataFrame, by: Sequence[str]) -> DataFrame:
     """``qid, kid, p, ds``: P from scores and log-sum-exp, dS = P (dO.V - dO.O)."""
     rows = s.join(out, [*by, "qid"]).join(grads.select(*by, F.col("id").alias("qid"), F.col("v").alias("g")), [*by, "qid"])

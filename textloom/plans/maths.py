@@ -107,8 +107,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal attention of every row within its sequence, by HEADS heads."""
-    rows, by = M.heads(_sequences(spark, sf_dir), HEADS, 64 // HEADS), ["seq", "head"]
-    out = M.attention(M.scores(rows, rows, 64 // HEADS, by), rows, by)
+    out = M.sequence_attention(_sequences(spark, sf_dir), ["seq"], lambda q, k: k <= q, HEADS)
     out = out.select("qid", "head", F.round("lse", DIGITS).alias("lse"), F.posexplode("out").alias("i", "x"))
     return out.select("qid", "head", "lse", (F.col("head") * (64 // HEADS) + F.col("i")).alias("dim"), F.round("x", DIGITS).alias("value"))
 
@@ -129,10 +128,7 @@ CAUSAL_ATTENTION = f"WITH {_attention_sql(HEADS, 'k.vec_id <= q.vec_id')} SELECT
 
 def masked_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attention with a Boolean mask by rule: a query sees itself and the keys whose sum with it isn't a multiple of three."""
-    rows, by = _sequences(spark, sf_dir), ["seq"]
-    keys = rows.select("seq", F.col("id").alias("kid"))
-    mask = rows.select("seq", F.col("id").alias("qid")).join(keys, "seq").select("seq", "qid", "kid", F.expr("qid = kid or (qid + kid) % 3 <> 0").alias("keep"))
-    out = M.attention(M.scores(rows, rows, 64, by, causal=False, mask=mask), rows, by)
+    out = M.sequence_attention(_sequences(spark, sf_dir), ["seq"], lambda q, k: (q == k) | ((q + k) % 3 != 0))
     return out.select("qid", F.round("lse", DIGITS).alias("lse"), F.posexplode("out").alias("dim", "x")).select("qid", "lse", "dim", F.round("x", DIGITS).alias("value"))
 
 
@@ -141,10 +137,8 @@ MASKED_ATTENTION = f"WITH {_attention_sql(1, '(q.vec_id = k.vec_id OR (q.vec_id
 
 def attention_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gradients of queries, keys and values of causal attention; the output's gradient is each row itself."""
-    rows, by = _sequences(spark, sf_dir), ["seq"]
-    s = M.scores(rows, rows, 64, by)
-    ds = M.softmax_gradient(s, M.attention(s, rows, by), rows, rows, by)
-    found = M.attention_gradients(ds, rows, rows, rows, 64, by)
+    found = M.sequence_gradients(_sequences(spark, sf_dir), ["seq"], lambda q, k: k <= q)
+    found = found.select("of", "id", F.posexplode("out").alias("dim", "x"))
     return found.select("of", F.col("id").alias("vec_id"), "dim", F.round("x", DIGITS).alias("value"))
 
 
