@@ -60,7 +60,8 @@ NGRAM_COUNTS = f"WITH {GRAMS} SELECT gram, count(*) AS docs FROM g GROUP BY gram
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.jaccard_pairs(_grams(spark, sf_dir))
+    ship(spark)
+    return dedup.document_pairs(table(spark, sf_dir, "documents"), N)
 
 
 JACCARD_PAIRS = f"WITH {PAIRS} SELECT l, r, inter, uni::BIGINT AS uni FROM jp"
