@@ -106,11 +106,10 @@ SELECT l, r, false AS copy FROM cp JOIN rp a ON a.doc_id = l AND a.rep = l JOIN
 UNION ALL SELECT rep, doc_id, true FROM rp WHERE rep < doc_id"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, pairs_of=dedup.jaccard_links) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    grams = materialize(_grams(spark, sf_dir), "grams")
-    links = dedup.duplicate_links(grams, pairs_of).unionByName(dedup.empty_pairs(docs, grams))
-    return docs, materialize(links, "links")
+def _pairs(spark: SparkSession, sf_dir: str, links_of=None) -> tuple[DataFrame, DataFrame]:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs, materialize(dedup.document_links(docs, N, links_of), "links")
 
 
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +132,16 @@ FUZZY_DEDUP_EXACT = f"WITH RECURSIVE {PAIRS}, {CLUSTERS.format(pairs='jp')} SELE
 
 
 def fuzzy_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash, bands, verification and clusters; in a bucket only pairs of different components are verified."""
+    """MinHash, bands, verification and clusters; in a bucket only pairs of different components are verified.
+
+    Signatures are made of the documents that can have a partner at all: any other pair of a bucket fails the verification.
+    """
 
-    def banded(grams: DataFrame) -> DataFrame:
-        sets = materialize(dedup.gram_sets(grams), "sets")
-        return dedup.bucket_links(materialize(_keys(grams), "keys"), lambda pairs: dedup.verified(pairs, sets))
+    def banded(found: dedup.SimilarSets) -> DataFrame:
+        sets = materialize(found.single(), "single")
+        docs = table(spark, sf_dir, "documents").join(sets.select("doc_id"), "doc_id", "left_semi")
+        keys = materialize(_keys(dedup.gram_rows(docs, N)), "keys")
+        return dedup.bucket_links(keys, lambda pairs: dedup.verified(pairs, sets))
 
     return dedup.keep_first(*_pairs(spark, sf_dir, banded)).select("doc_id")
 
