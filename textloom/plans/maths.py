@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,13 @@ SELECT vec_id, o::INT AS dim, round(sum(a * z), {DIGITS}) AS value FROM k JOIN w
 
 def swiglu_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed-forward step of every embedding."""
-    return _rows(_e(spark, sf_dir), V.swiglu(F.col("v"), _matrix(16, 64, 1), _matrix(64, 16, 2), _matrix(16, 64, 3)))
+    made = M.swiglu_rows(_e(spark, sf_dir).select("vec_id", "v"), "v", _weights(16, 64, 1), _weights(64, 16, 2), _weights(16, 64, 3))
+    return _rows(made, F.col("v"))
+
+
+def _weights(n: int, d: int, shift: int) -> np.ndarray:
+    """The same numbers as :func:`_matrix`."""
+    return np.cos(shift + np.arange(n * d, dtype=np.float64)).reshape(n, d) / math.sqrt(d)
 
 
 def rope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
