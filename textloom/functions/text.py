@@ -63,10 +63,15 @@ def ngrams(words: Column, n: int) -> Column:
 
 def ngram_hashes(hashes: Column, n: int) -> Column:
     """Distinct 64-bit hashes of the n-grams of :func:`ngrams`, from the words' own :func:`word_hashes`; no string of several words is built."""
+    return F.array_distinct(placed_hashes(hashes, n))
+
+
+def placed_hashes(hashes: Column, n: int) -> Column:
+    """The same for every place, repeated ones included."""
     size = F.size(hashes)
     grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n))))
     short = F.when(size > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(size >= n, F.array_distinct(grams)).otherwise(short)
+    return F.when(size >= n, grams).otherwise(short)
 
 
 def word_hashes(words: Column) -> Column:

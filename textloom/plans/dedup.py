@@ -53,7 +53,8 @@ jp AS (SELECT l, r, inter, a.n + b.n - inter AS uni FROM jo JOIN gn a ON a.doc_i
 
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty n-grams in most documents; a report."""
-    return _grams(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "gram").limit(50)
+    ship(spark)
+    return dedup.frequent_grams(table(spark, sf_dir, "documents"), 50, N)
 
 
 NGRAM_COUNTS = f"WITH {GRAMS} SELECT gram, count(*) AS docs FROM g GROUP BY gram ORDER BY docs DESC, gram LIMIT 50"
