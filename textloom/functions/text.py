@@ -31,26 +31,51 @@ def digest(text: Column) -> Column:
     return F.sha1(text.cast("binary"))
 
 
+def strip_marks(text: str) -> str:
+    """Compatibility decomposition without combining marks; only the different characters of a text are looked up, as few are marks."""
+    out = unicodedata.normalize("NFKD", text)
+    marks = [ord(c) for c in set(out) if unicodedata.combining(c)]
+    if len(marks) > MARKS_APART:
+        return out.translate(dict.fromkeys(marks))
+    for mark in marks:
+        out = out.replace(chr(mark), "")
+    return out
+
+
+#: With more different marks than these, a text is gone through once for all of them.
+MARKS_APART = 16
+
+
 @F.pandas_udf(returnType=StringType())
 def _strip_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+        yield batch.map(strip_marks)
 
 
-def canonical(text: Column) -> Column:
-    """Compatibility decomposition without combining marks, lower case, white space collapsed.
+def _plain(text: Column) -> Column:
+    return ~text.rlike(r"[^\x00-\x7F]")
+
+
+def folded(text: Column) -> Column:
+    """Compatibility decomposition without combining marks, lower case.
 
     Only texts with characters outside ASCII need Python; the others never leave the JVM's
     result, though Spark evaluates the function on its (then empty) argument for every row.
     """
     text = F.coalesce(text, F.lit(""))
-    plain = ~text.rlike(r"[^\x00-\x7F]")
-    return normalize(F.lower(F.when(plain, text).otherwise(_strip_marks(F.when(plain, F.lit("")).otherwise(text)))))
+    plain = _plain(text)
+    return F.lower(F.when(plain, text).otherwise(_strip_marks(F.when(plain, F.lit("")).otherwise(text))))
+
+
+def canonical(text: Column) -> Column:
+    """:func:`folded`, white space collapsed."""
+    return normalize(folded(text))
 
 
 def tokens(text: Column) -> Column:
-    """Runs of word characters of a canonical text."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
+    """Runs of word characters of a canonical text, or of a folded one; in ASCII both patterns are the same, and the first is faster."""
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(_plain(text), found(r"\w+")).otherwise(found(r"(?U)\w+"))
 
 
 def ngrams(words: Column, n: int) -> Column:
