@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from textloom.session import materialize
 
 
+def _words(text: str = "text") -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def word_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, word, n``: words of lower-case letters and their counts, within each row's own text."""
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
-    return docs.select("doc_id", F.explode(found).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    # not explode: the filter that Spark derives from it would find the words twice
+    rows = docs.select("doc_id", F.explode_outer(_words()).alias("word")).where("word is not null")
+    return rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -25,10 +30,13 @@ class NaiveBayes:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> NaiveBayes:
-    """Counts of words by label from ``doc_id, text`` and ``doc_id, label``; the labels are few, the words a table."""
+    """Counts of words by label from ``doc_id, text`` and ``doc_id, label``; the labels are few, the words a table.
+
+    Texts are dealt out once to meet their labels; what words they have is then counted where they are, and never by text.
+    """
     labels = labels.where(F.col("label").isNotNull())
-    rows = word_rows(docs).join(labels, "doc_id")
-    counts = materialize(rows.groupBy("word", "label").agg(F.sum("n").alias("n")), "words")
+    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id").select("label", F.explode_outer(_words()).alias("word")).where("word is not null")
+    counts = materialize(rows.groupBy("word", "label").agg(F.count(F.lit(1)).alias("n")), "words")
     known = counts.agg(F.count_distinct("word")).first()[0]
     totals = labels.join(docs.select("doc_id"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     totals = totals.join(counts.groupBy("label").agg(F.sum("n").alias("total")), "label", "left")
@@ -40,14 +48,16 @@ def classify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     """``doc_id, label, score``: the likeliest label and its probability; of equals the greatest label.
 
     With Laplace smoothing a label's log probability is that of a text of unseen words plus a
-    correction for each word that the label has, so only matching words are joined.
+    correction for each word that the label has, so only matching words are joined: once, with all labels of a word, and
+    with no label for the number of known words.
     """
-    rows = word_rows(docs)
-    sizes = rows.join(model.words.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("m"))
-    found = rows.withColumnRenamed("n", "k").join(model.words, "word")
-    found = found.groupBy("doc_id", "label").agg(F.sum(F.col("k") * F.log(F.col("n") + 1.0)).alias("plus"))
-    found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "plus"))).alias("plus"))  # as many as there are labels
-    every = docs.select("doc_id").distinct().join(sizes, "doc_id", "left").join(found, "doc_id", "left")
+    known = model.words.groupBy("word").agg(F.collect_list(F.struct("label", "n")).alias("by"))  # as many as there are labels
+    none = F.struct(F.lit(None).cast(model.words.schema["label"].dataType).alias("label"), F.lit(0).cast("long").alias("n"))
+    found = word_rows(docs).withColumnRenamed("n", "k").join(known, "word").select("doc_id", "k", F.explode(F.concat(F.array(none), "by")).alias("of"))
+    found = found.groupBy("doc_id", "of.label").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("of.n") + 1.0)).alias("plus"))
+    entry = F.when(F.col("label").isNotNull(), F.struct("label", "plus"))
+    found = found.groupBy("doc_id").agg(F.max(F.when(F.col("label").isNull(), F.col("m"))).alias("m"), F.map_from_entries(F.collect_list(entry)).alias("plus"))
+    every = docs.select("doc_id").distinct().join(found, "doc_id", "left")
     labels = model.labels.agg(F.collect_list(F.struct("label", "docs", "total", "known"))).scalar()
 
     def likelihood(row: Column) -> Column:
